@@ -8,8 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import learnable, table
+from tidelane.llm.interleave import shard_digest
 from tidelane.llm.minhash import near_duplicates
+from tidelane.llm.mixing import mixture
+from tidelane.llm.pii import personal_data, personal_digest
 from tidelane.llm.quality import quality
+from tidelane.llm.tokencount import document_counts
+from tidelane.llm.toxicity import toxicity
+
+
+#: Where the public vocabularies are; a path on every executor.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The pattern that splits text for this vocabulary (a fixed value of it), and the id that its ranks leave free.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SEPARATOR = 50256
+
+#: Target weights of the mixture: domains, languages within them, and equal sources within those.
+DOMAINS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
+LANGUAGES = {"en": 5, "de": 2, "fr": 2, "es": 1}
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+    return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), DOMAINS, LANGUAGES, share=(3, 5), max_epochs=2, seed="mix")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +47,26 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"), 24, seed="shard")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_counts(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, SEPARATOR).select("doc_id", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
+    "op7_sharding": op7_sharding,
     "op8_minhash": op8_minhash,
+    "op9_tokencount": op9_tokencount,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -68,6 +68,23 @@ def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = WHITE) -> t
     return mix(h + length.astype(np.uint64) * _STEP), length, np.searchsorted(where[head], offsets)
 
 
+def stems(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """([word hashes, hashes of each word's first `size` bytes for each size], bounds); 0 where a word is no longer than that."""
+    low = LOWER[data]
+    h, length, bounds = words(data, offsets, parts)
+    if not len(h):
+        return [h] * (1 + len(sizes)), bounds
+    where = np.flatnonzero(~parts[low])
+    head = where[np.append(0, np.cumsum(length)[:-1])]
+    out = [h]
+    power = np.multiply.accumulate(np.full(max(sizes), _STEP | np.uint64(1), np.uint64))
+    for size in sizes:
+        at = np.minimum(head[:, None] + np.arange(size), len(low) - 1)
+        x = mix((_BYTE[low[at]] * power[:size]).sum(axis=1, dtype=np.uint64) + np.uint64(size * int(_LEFT) % 2**64))
+        out.append(np.where(length > size, x, np.uint64(0)))
+    return out, bounds
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of one text's words; fewer words make one shingle, none make none."""
     if not len(h):
