@@ -53,6 +53,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often body (or a lambda in it) refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def distinct_name(taken: list[str], want: str) -> str:
     """want, or want with underscores until no column in taken (case aside) has that name."""
     low = {t.lower() for t in taken}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut
+from tidelane.llm.common import cut, let
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -46,29 +46,33 @@ def _walk(pieces: Column, entry) -> Column:
     Starts are summed inside chunks of about the square root of the number of pieces, and over the chunks, so that
     the arrays that grow by copying stay short.
     """
-    size = F.size(pieces)
-    # an even number, so that matches have odd places in every chunk
-    per = (F.greatest(F.lit(_CHUNK), F.ceil(F.sqrt(size.cast("double")))).cast("int") / 2).cast("int") * 2
-    chunks = F.transform(F.sequence(F.lit(0), ((size - 1) / per).cast("int")), lambda c: F.slice(pieces, c * per + 1, per))
-    sums = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(0), lambda a, x: a + F.length(x)))
-    starts = F.aggregate(
-        sums,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
-    )["out"]
-    rows = F.transform(
-        F.arrays_zip(chunks.alias("ch"), starts.alias("st")),
-        lambda z, c: F.aggregate(
-            z["ch"],
-            F.struct(z["st"].alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<at:int,i:int>>").alias("out")),
-            lambda a, x: F.struct(
-                (a["at"] + F.length(x)).alias("at"),
-                (a["i"] + 1).alias("i"),
-                F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), (c * per + a["i"]).alias("i"))))).otherwise(a["out"]).alias("out"),
-            ),
-        )["out"],
-    )
-    return F.filter(F.transform(F.flatten(rows), lambda m: entry(F.element_at(pieces, m["i"] + 1), m["at"], pieces, m["i"])), lambda x: x.isNotNull())
+    def of(p: Column) -> Column:
+        # an even number, so that matches have odd places in every chunk
+        per = (F.greatest(F.lit(_CHUNK), F.ceil(F.sqrt(F.size(p).cast("double")))).cast("int") / 2).cast("int") * 2
+        return let(per, lambda n: let(F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / n).cast("int")), lambda c: F.slice(p, c * n + 1, n)), lambda chunks: matches(p, n, chunks)))
+
+    def matches(p: Column, per: Column, chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(0), lambda a, x: a + F.length(x)))
+        starts = F.aggregate(
+            sums,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+        )["out"]
+        rows = F.transform(
+            F.arrays_zip(chunks.alias("ch"), starts.alias("st")),
+            lambda z, c: F.aggregate(
+                z["ch"],
+                F.struct(z["st"].alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<at:int,i:int>>").alias("out")),
+                lambda a, x: F.struct(
+                    (a["at"] + F.length(x)).alias("at"),
+                    (a["i"] + 1).alias("i"),
+                    F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), (c * per + a["i"]).alias("i"))))).otherwise(a["out"]).alias("out"),
+                ),
+            )["out"],
+        )
+        return F.filter(F.transform(F.flatten(rows), lambda m: entry(F.element_at(p, m["i"] + 1), m["at"], p, m["i"])), lambda x: x.isNotNull())
+
+    return let(pieces, of)
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import learnable, table
+from tidelane.llm.decontaminate import leaks
+from tidelane.llm.html import extract
 from tidelane.llm.interleave import shard_digest
 from tidelane.llm.minhash import near_duplicates
 from tidelane.llm.mixing import mixture
 from tidelane.llm.pii import personal_data, personal_digest
 from tidelane.llm.quality import quality
 from tidelane.llm.tokencount import document_counts
+from tidelane.llm.topk import top_k
 from tidelane.llm.toxicity import toxicity
 
 
@@ -32,6 +35,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_digest(personal_data(table(spark, sf_dir, "documents")))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
     return out.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
@@ -41,6 +48,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), DOMAINS, LANGUAGES, share=(3, 5), max_epochs=2, seed="mix")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality(docs, table(spark, sf_dir, "labels"), threshold=0.3)
@@ -59,14 +70,31 @@ def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_counts(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, SEPARATOR).select("doc_id", "n_tokens")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_topk": op2_topk,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op8_minhash": op8_minhash,
     "op9_tokencount": op9_tokencount,
+    "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
