@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidelane.plans import domain, temporal
+
+QUERIES = temporal.QUERIES | domain.QUERIES
+ORACLE_SQL = temporal.ORACLE_SQL | domain.ORACLE_SQL
