@@ -15,7 +15,7 @@ from tidelane.llm.common import cut
 #: Vectors of a block of queries and of a block of candidates.
 QUERY_BLOCK, ROW_BLOCK = 512, 8192
 #: Segments at each resolution, coarse to fine.
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
 
 
 def _packer(block: int):
@@ -60,36 +60,37 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
 def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of every pair that can be among a query's k best: its score is not below floor[query].
 
-    The score is (|q|^2 + |x|^2 - d^2) / 2. Coarse bounds of d choose k rows a query for a first exact floor; pairs
-    whose bound at any resolution puts the score below the floor go, and the rest get exact scores.
+    The score is (|q|^2 + |x|^2 - d^2) / 2, and statistics of a resolution have the vectors' norms, so that the inner
+    product of two rows of statistics is the score that their lower bound of d allows. Queries without a floor get one
+    from the exact scores of the rows with the best coarse bounds. Pairs that a resolution puts below the floor go;
+    the rest get exact scores, by a product of the whole tile where many are left.
     """
     qf, xf = q.astype(float), x.astype(float)
     qn, xn = (qf**2).sum(axis=1), (xf**2).sum(axis=1)
-    stats = [(segment_statistics(qf, s), segment_statistics(xf, s)) for s in LEVELS]
     slack = 1e-6 * (1 + np.sqrt(qn.max(initial=0) * xn.max(initial=0)))
-    # half of |q|^2 + |x|^2 - |q' - x'|^2 for the statistics q' and x', whose norms are those of q and x
-    upper = stats[0][0] @ stats[0][1].T
-    if len(x) > k:
-        first = np.argpartition(-upper, k, axis=1)[:, : k + 1]
+    coarse = segment_statistics(qf, LEVELS[0]) @ segment_statistics(xf, LEVELS[0]).T
+    if np.isneginf(floor).any():
+        first = np.argpartition(-coarse, k, axis=1)[:, : k + 1] if len(x) > k else np.tile(np.arange(len(x)), (len(q), 1))
+        exact = np.einsum("qd,qkd->qk", qf, xf[first])
+        exact[ids[first] == own[:, None]] = -np.inf
+        if exact.shape[1] >= k:
+            floor = np.maximum(floor, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
+    least = (floor - slack)[:, None]
+    open_ = coarse >= least
+    for level in LEVELS[1:]:
+        if open_.any():
+            open_ &= segment_statistics(qf, level) @ segment_statistics(xf, level).T >= least
+    qi, xi = np.nonzero(open_)
+    exact_floats = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2**53
+    if exact_floats and 50 * len(qi) > open_.size:
+        tile = qf @ xf.T
+        qi, xi = np.nonzero(open_ & (tile >= floor[:, None]))
+        score = tile[qi, xi].astype(np.int64)
     else:
-        first = np.tile(np.arange(len(x)), (len(q), 1))
-    exact = np.einsum("qd,qkd->qk", qf, xf[first])
-    exact[ids[first] == own[:, None]] = -np.inf
-    if exact.shape[1] >= k:
-        floor = np.maximum(floor, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
-    qi, xi = np.nonzero(upper >= (floor - slack)[:, None])
-    for a, b in stats[1:]:
-        keep = np.zeros(len(qi), bool)
-        for at in range(0, len(qi), 1 << 17):
-            s = slice(at, at + (1 << 17))
-            lower = ((a[qi[s]] - b[xi[s]]) ** 2).sum(axis=1)  # of the squared distance
-            keep[s] = (qn[qi[s]] + xn[xi[s]] - lower) / 2 >= floor[qi[s]] - slack
-        qi, xi = qi[keep], xi[keep]
-    score = np.zeros(len(qi), np.int64)
-    small = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2**53
-    for at in range(0, len(qi), 1 << 17):
-        s = slice(at, at + (1 << 17))
-        score[s] = np.einsum("nd,nd->n", (qf if small else q)[qi[s]], (xf if small else x)[xi[s]])
+        score = np.zeros(len(qi), np.int64)
+        for at in range(0, len(qi), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            score[s] = np.einsum("nd,nd->n", (qf if exact_floats else q)[qi[s]], (xf if exact_floats else x)[xi[s]])
     keep = (score >= floor[qi]) & (ids[xi] != own[qi])
     return qi[keep], xi[keep], score[keep]
 
