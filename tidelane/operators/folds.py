@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelane import constants as C
 
@@ -320,5 +321,5 @@ def greedy_match(spends: DataFrame, falls: DataFrame, **options: float) -> DataF
         found = take_drops([(q, t, {"v": c}) for _, q, t, c in rows], pool, **options)
         return pd.DataFrame([(key[0], tag, ok, off, got["v"]) for tag, ok, off, got in found], columns=["match_id", "seq", "matched", "offset_ms", "got"]).astype({"offset_ms": "Int64"})
 
-    both = spends.select("match_id", "seq", "ts_ms", "cost").groupBy("match_id").cogroup(falls.select("match_id", "seq", "ts_ms", "delta").groupBy("match_id"))
+    both = spends.select("match_id", "seq", "ts_ms", "cost").groupBy("match_id").cogroup(falls.select(F.col("match_id").alias("match_id"), "seq", "ts_ms", "delta").groupBy("match_id"))
     return both.applyInPandas(run, "match_id long, seq long, matched boolean, offset_ms long, got long")
