@@ -427,3 +427,18 @@ def test_queries_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert pd.notna(bootstrap)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    r = c.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in r.description]
+    assert sorted(names) == cols
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(tuple(x[names.index(k)] for k in cols) for x in r.fetchall())

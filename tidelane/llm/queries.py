@@ -97,4 +97,51 @@ p AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op4_mixing": """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    'd' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) AS INTEGER), 0) % 4) AS domain,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, 2 * CAST(sum(n_tokens) AS BIGINT) AS cap FROM docs GROUP BY ALL),
+d0 AS (SELECT 0 AS p, domain AS c, CAST(sum(cap) AS BIGINT) AS cap, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY domain),
+d1 AS (SELECT *, CAST(sum(cap) OVER () AS BIGINT) * 3 // 5 AS budget FROM d0),
+{fill:d:p},
+l1 AS (SELECT l.domain AS p, l.lang AS c, CAST(sum(l.cap) AS BIGINT) AS cap, CASE l.lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w, any_value(g.got) AS budget FROM leaf l JOIN dg g ON g.c = l.domain GROUP BY l.domain, l.lang),
+{fill:l:p},
+s1 AS (SELECT l.domain || '/' || l.lang AS p, l.source AS c, l.cap, 1 AS w, g.got AS budget FROM leaf l JOIN lg g ON g.p = l.domain AND g.c = l.lang),
+{fill:s:p},
+plan AS (
+  SELECT l.*, CASE WHEN tokens > 0 THEN got // tokens ELSE 0 END AS whole, got - (CASE WHEN tokens > 0 THEN got // tokens ELSE 0 END) * tokens AS rest
+  FROM leaf l JOIN sg g ON g.p = l.domain || '/' || l.lang AND g.c = l.source),
+turns AS (SELECT d.*, CAST(unnest(range(0, whole + 1)) AS INTEGER) AS epoch, whole, rest FROM docs d JOIN plan USING (domain, lang, source)),
+summed AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('mix:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turns)
+SELECT doc_id, epoch, domain, lang, source, n_tokens FROM summed WHERE epoch < whole OR (rest > 0 AND before < rest)""",
+    "op8_minhash": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN [ws[1]] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+link AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+top AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(top.y, w.doc_id)) AS component_id, least(w.doc_id, coalesce(top.y, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN top ON top.x = w.doc_id""",
 }
+
+#: Water filling of one level: from <k>1 (p, c, cap, w, budget) to <k>g (p, c, got).
+_FILL = """{k}2 AS (
+  SELECT *, budget - coalesce(sum(cap) OVER (PARTITION BY p ORDER BY cap / w::DOUBLE, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem,
+    sum(w) OVER (PARTITION BY p ORDER BY cap / w::DOUBLE, c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {k}1),
+{k}3 AS (SELECT *, cap * ws <= rem * w AS filled FROM {k}2),
+{k}4 AS (SELECT *, budget - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER (PARTITION BY p) AS rest, sum(CASE WHEN filled THEN 0 ELSE w END) OVER (PARTITION BY p) AS wr FROM {k}3),
+{k}5 AS (SELECT *, CASE WHEN filled THEN cap ELSE CAST(rest * w // greatest(wr, 1) AS BIGINT) END AS part FROM {k}4),
+{k}6 AS (SELECT *, budget - sum(part) OVER (PARTITION BY p) AS spare, row_number() OVER (PARTITION BY p ORDER BY filled, cap / w::DOUBLE DESC, c DESC) AS z FROM {k}5),
+{k}g AS (SELECT p, c, CAST(CASE WHEN z = 1 AND NOT filled THEN least(cap, part + spare) ELSE part END AS BIGINT) AS got FROM {k}6)"""
+for _k in "dls":
+    ORACLE_SQL["op4_mixing"] = ORACLE_SQL["op4_mixing"].replace(f"{{fill:{_k}:p}}", _FILL.format(k=_k))
