@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelane.plans import domain, temporal
+from tidelane.plans import domain, folded, temporal
 
-QUERIES = temporal.QUERIES | domain.QUERIES
-ORACLE_SQL = temporal.ORACLE_SQL | domain.ORACLE_SQL
+QUERIES = temporal.QUERIES | domain.QUERIES | folded.QUERIES
+ORACLE_SQL = temporal.ORACLE_SQL | domain.ORACLE_SQL | folded.ORACLE_SQL
