@@ -167,7 +167,10 @@ def test_analysis_end_to_end(spark):
     assert g.housed_tier == "bronze" and g.overall_tier in ("bronze", "silver", "gold")
     assert {r.phase for r in a.floating_by_phase.collect()} == {0, 1}
     assert a.chart.where("floating_food").count() > 0
-    _, stats = sanity(a.timeline)
+    found, stats = sanity(a.timeline)
+    poor = a.timeline.where("src = 'screen'").unionByName(a.timeline.where("src = 'event' and kind = 'queue'").limit(1).withColumn("cost_food", F.lit(900000)).withColumn("cost_wood", F.lit(0)).withColumn("cost_gold", F.lit(0)))
+    assert any("only" in r.detail and "available for 900000" in r.detail for r in sanity(poor)[0].where("section = 'unmatched'").collect())
+    assert {r.section for r in found.collect()} <= {"glitch", "increase", "invariant", "unmatched", "overclaimed", "unexplained"}
     s = stats.first()
     assert s.total == len(spends) and s.matched >= 0.97 * s.total
     alone = analyze(readings, None)
@@ -184,6 +187,8 @@ def test_scalar_functions(spark):
     assert pick(text.newer_version(F.lit("v1.10.0"), F.lit("1.9.9"))) and not pick(text.newer_version(F.lit("1.2"), F.lit("1.1.1")))
     assert pick(text.percent_tier(F.lit(0.0396))[1]) == "bronze" and pick(text.percent_tier(F.lit(0.0194))[1]) == "gold"
     assert pick(text.file_name(F.lit("a/b: c"))) == "a_b__c"
+    assert pick(text.panel_line([("Food", F.lit(5), F.lit(2)), ("Wood", F.lit(None), None)], F.lit(1.0), F.lit(3))) == "Food 5 (2) | scale 1.00 | 3 ms"
+    assert pick(text.range_middle(F.lit(3), F.lit(6))) == 3 and pick(text.clock_single(F.lit(61_500))) == "01:01.500"
 
 
 def test_decode(spark):
@@ -207,6 +212,10 @@ def test_decode(spark):
     assert rows[5].stone == 20 and rows[6].wood == 200 and rows[6].gives_resources and rows[7].wood == 60
     assert rows[8].description == "Queue Unknown unit 999" and len(rows) == 9
     assert [(r.dim, r.type_id, r.n) for r in missed.collect()] == [("unit", 999, 1)]
+    from tidelane.sources.telemetry import event_lines
+
+    lines = [r.line for r in event_lines(events).collect()]
+    assert len(lines) == 9 and all(x.count("\t") == 9 for x in lines)
     p = spark.createDataFrame([(1, 1, "", "", 2, 5, 2), (1, 2, "Bo", "", 2, 6, 2), (1, 3, "", "", 0, 6, 2)], "match_id long, slot int, name string, ai_name string, player_type int, civ_id long, rec_player int")
     civ = spark.createDataFrame([(5, "Franks")], "id long, name string")
     out = sorted(winners(players(p, civ), ops).collect(), key=lambda r: r.place)

@@ -96,3 +96,17 @@ def percent_tier(part: Column, gold: float = 2.0, silver: float = 4.0) -> tuple[
 
 def overall_tier(stars: Column, gold: int = 6, silver: int = 4) -> Column:
     return F.when(stars >= gold, "gold").when(stars >= silver, "silver").otherwise("bronze")
+
+
+def panel_line(parts: list[tuple[str, Column, Column | None]], scale: Column, elapsed_ms: Column) -> Column:
+    """`label total (vils)` for each part that was read, the scale and the time it took; a second number is optional."""
+    shown = []
+    for name, total, more in parts:
+        second = F.lit("") if more is None else F.coalesce(F.concat(F.lit(" ("), more.cast("string"), F.lit(")")), F.lit(""))
+        shown.append(F.when(total.isNotNull() & (total.cast("string") != ""), F.concat(F.lit(f"{name} "), total.cast("string"), second)))
+    return F.concat_ws(" | ", *shown, F.concat(F.lit("scale "), F.format_string("%.2f", scale)), F.concat(elapsed_ms.cast("string"), F.lit(" ms")))
+
+
+def range_middle(start: Column, end: Column) -> Column:
+    """The 0-based middle of a 1-based range."""
+    return F.floor((start + end) / 2) - 1

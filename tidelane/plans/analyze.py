@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidelane import constants as C
 from tidelane.functions.text import clock, overall_tier, percent_tier, stem
-from tidelane.operators import anomalies, folds, intervals, phases
+from tidelane.operators import anomalies, asof, folds, intervals, phases
 from tidelane.operators.decode import is_refund
 from tidelane.sync.calibrate import PANEL, calibrate_matches
 
@@ -158,10 +158,13 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
         for i, ok, off, got in folds.take_drops(want, pool):
             x, need = info[i], want[i][2]
             over = ok and x["buildings"] > 1 and all(got[r] < C.OVERCLAIM * n for r, n in need.items())
-            rows.append((key[0], "overclaimed" if over else "matched" if ok else "unmatched", int(x["ts_ms"]), next(iter(need)), x["description"], off))
+            short = {r: n for r, n in need.items() if got[r] < C.TAKE_FRACTION * n}
+            shown = ", ".join(f"{r} {n} charged, ~{got[r]} on screen" for r, n in need.items())
+            text = f"{x['description']} with {x['buildings']} buildings: {shown}" if over else x["description"]
+            rows.append((key[0], i, "overclaimed" if over else "matched" if ok else "unmatched", int(x["ts_ms"]), next(iter(short or need)), text, off, [{"resource": r, "need": n} for r, n in short.items()]))
         seeds, rest = folds.left_over(pool)
-        rows += [(key[0], "reseed", 0, "wood", "", None)] * seeds + [(key[0], "unexplained", ts, r, f"-{left}", None) for r, ts, left in rest]
-        return pd.DataFrame(rows, columns=["match_id", "section", "in_game_ms", "field", "detail", "offset_ms"]).astype({"offset_ms": "Int64"})
+        rows += [(key[0], -1, "reseed", 0, "wood", "", None, [])] * seeds + [(key[0], -1, "unexplained", ts, r, f"-{left}", None, []) for r, ts, left in rest]
+        return pd.DataFrame(rows, columns=["match_id", "n", "section", "in_game_ms", "field", "detail", "offset_ms", "short"]).astype({"offset_ms": "Int64"})
 
     falls = None
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
@@ -170,10 +173,19 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
         x = x.select("match_id", "seq", "ts_ms", F.lit(r).alias("resource"), (F.col("prev") - F.col("value")).alias("delta"))
         falls = x if falls is None else falls.unionByName(x)
     falls = falls.select(*[F.col(c).alias(c) for c in falls.columns])  # both sides come from one table
-    settled = spends.groupBy("match_id").cogroup(falls.groupBy("match_id")).applyInPandas(settle, f"match_id {dict(line.dtypes)['match_id']}, section string, in_game_ms long, field string, detail string, offset_ms long")
+    settled = spends.groupBy("match_id").cogroup(falls.groupBy("match_id")).applyInPandas(settle, f"match_id {dict(line.dtypes)['match_id']}, n long, section string, in_game_ms long, field string, detail string, offset_ms long, short array<struct<resource:string,need:long>>")
     is_ = lambda *k: F.sum(F.col("section").isin(*k).cast("long"))
     stats = settled.groupBy("match_id").agg(is_("matched", "overclaimed").alias("matched"), is_("matched", "overclaimed", "unmatched").alias("total"), is_("reseed").alias("reseeds"), F.expr("get(sort_array(collect_list(offset_ms)), cast(((count(offset_ms) - 1) * 50) div 100 as int))").alias("median_ms"))
-    told = settled.where("section in ('unmatched', 'overclaimed', 'unexplained')").drop("offset_ms")
+    # why a spend found no drop: the last reading before it could not pay, or none was seen
+    short = settled.where("section = 'unmatched'").select("match_id", "n", F.col("in_game_ms").alias("ts_ms"), F.explode("short").alias("s")).select("match_id", "n", "ts_ms", "s.*")
+    shown = shots.select("match_id", "s_", "in_game_ms", F.explode(F.array(*[F.struct(F.lit(r).alias("resource"), F.col(r).alias("value")) for r in C.RESOURCES])).alias("x"))
+    shown = shown.select("match_id", F.col("x.resource").alias("resource"), F.col("in_game_ms").alias("ts_ms"), F.col("s_").alias("seq"), F.col("x.value").cast("long").alias("value"))
+    had = asof.backward(short, shown, "value", "had", ("match_id", "resource"))
+    poor = F.concat("resource", F.lit(": only "), F.col("had").cast("string"), F.lit(" available for "), F.col("need").cast("string"))
+    none = F.concat("resource", F.lit(": no drop of ~"), F.col("need").cast("string"), F.lit(" on screen"))
+    order = F.array_position(F.array(*[F.lit(r) for r in C.RESOURCES]), F.col("resource"))
+    why = had.withColumn("why", F.when(F.col("had") < F.col("need"), poor).otherwise(none)).groupBy("match_id", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "why"))), lambda x: x["why"]), "; ").alias("why"))
+    told = settled.where("section in ('unmatched', 'overclaimed', 'unexplained')").join(why, ["match_id", "n"], "left").withColumn("detail", F.concat_ws(": ", "detail", "why")).select("match_id", "section", "in_game_ms", "field", "detail")
     return found.unionByName(told), stats
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.functions.text import cost_text, cost_value, int_list
+from tidelane.functions.text import clock_single, cost_text, cost_value, int_list
 
 TELEMETRY = ["timestamp_ms", "food_total", "food_vils", "wood_total", "wood_vils", "gold_total", "gold_vils", "stone_total", "stone_vils", "pop_curr", "pop_max", "pop_vils", "idle_vils", "housing"]
 NUMBERS = {"food_total": "food", "wood_total": "wood", "gold_total": "gold", "stone_total": "stone", "pop_curr": "pop_curr", "pop_max": "pop_max", "pop_vils": "pop_vils", "idle_vils": "idle_vils"}
@@ -157,3 +157,22 @@ def merge_game_data(named: DataFrame, costs: DataFrame, names: DataFrame, overri
     n = F.count("*").over(Window.partitionBy("kind", "id"))
     bad = F.assert_true((F.col("n_") == 1) & F.col("label").isNotNull(), F.lit("conflicting or unnamed id"))
     return x.withColumn("n_", n).where(bad.isNull()).select("kind", "id", F.col("label").alias("name"), "food", "wood", "gold", "stone").join(named, ["kind", "id"], "left_semi").orderBy("kind", "id")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, fields that are null included."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """(match_id, seq, line): a printed line of ten columns for each event."""
+    cost = F.concat_ws("/", *[F.col(r).cast("string") for r in ("food", "wood", "gold", "stone")])
+    ids = F.array_join(F.transform("building_ids", lambda i: i.cast("string")), ",")
+    line = F.concat_ws("\t", clock_single(F.col("ts_ms")), F.col("player_id").cast("string"), "kind", F.coalesce(F.col("type_id").cast("string"), F.lit("")), "description", cost, ids, F.array_join("building_types", ","), F.col("gives_resources").cast("string"), F.col("match_id").cast("string"))
+    return events.select("match_id", "seq", line.alias("line"))
+
+
+def write_saved_frames(saved: DataFrame, frames: DataFrame, path: str) -> None:
+    """The chosen frames (match_id, seq, reason) with their images and an index (file, ts_ms, reason), as Parquet."""
+    out = saved.join(frames, ["match_id", "seq"]).withColumn("file", F.concat(F.col("ts_ms").cast("string"), F.lit(".png")))
+    out.select("match_id", "file", "ts_ms", "reason", "content").write.mode("append").partitionBy("match_id").parquet(path)

@@ -318,3 +318,11 @@ def match(img: np.ndarray, names: list[str], templates: np.ndarray, slash: bool)
         if odd > 60 if best[0][0] == "0" else odd < 40:
             best.reverse()
     return best[0]
+
+
+def masked(img: np.ndarray, keep: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """The image with everything outside the (x, y, w, h) regions zeroed."""
+    out = np.zeros_like(img)
+    for x, y, w, h in keep:
+        out[y : y + h, x : x + w] = img[y : y + h, x : x + w]
+    return out
