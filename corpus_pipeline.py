@@ -22,19 +22,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by five-word shingles at 0.8."""
+    """One document, that of the least doc_id, of each group linked by five-word shingles at 0.8. Rows without doc_id stay."""
     kept = near_duplicates(docs, k=5, percent=80)
     return docs.join(kept.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. Rows without doc_id are not checked and stay."""
     found = leaks(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the target mixture, three fifths of the tokens, each at most once."""
+    """Documents of the target mixture, three fifths of the tokens, each at most once. Rows are chosen by doc_id:
+    a null one is never chosen, and rows of one doc_id go together."""
     chosen = mixture(docs, DOMAINS, LANGUAGES, share=(3, 5), max_epochs=1, seed="mix")
     return docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
