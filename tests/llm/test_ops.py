@@ -393,6 +393,8 @@ def test_html(spark):
     page = '<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><a href=x>Home, now.</a></nav><div id="content"><h2>Head</h2><p>One para, with text &amp; more.<br>Line</p><p>Second.</p><div class="comments"><p>Nice post, I agree, friend, with everything, all of it.</p></div></div><aside><p>Popular, things.</p></aside><form><p>Your mail, please.</p></form><footer>foot, note.</footer></body></html>'
     assert main_text(page) == "Head\n\nOne para, with text & more. Line\n\nSecond."
     assert main_text("<article><h1>T</h1><p>x<p>y<script>var a='</p>';</script><p>a &lt; b &eacute;") == "T\n\nx\n\ny\n\na < b é"
+    assert main_text("<body><article><h1>T</h1><p>x.</p></article><div><p>" + "Much, longer text. " * 20 + "</p></div></body>") == "T\n\nx."
+    assert main_text('<article><p>a > b</p><img alt="<p>no</p>"><p title="x > y">z</p></article>') == "a > b\n\nz"
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>only <b>this"), (4, "u", "a < b")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract(rows).collect()}
     assert got[2] == ("", 0) and got[3] == ("", 0) and got[None] == ("only this", 9) and got[4] == ("a < b", 5)

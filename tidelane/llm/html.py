@@ -28,6 +28,8 @@ _NAMES = frozenset(
 _OUTER = frozenset("header footer masthead top bottom".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+#: Quoted values that hold a <; tried where the form above fails, at most so often a page, as each failure may scan it all.
+_QUOTED, _QUOTED_TRIES = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), 50
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -55,7 +57,7 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, inside an aside
     text: list[str] = []
     links = articles = serial = in_link = 0
-    at, n = 0, len(html)
+    at, n, tries = 0, len(html), 0
 
     def flush() -> None:
         nonlocal links
@@ -81,7 +83,11 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             end = html.find("-->", at + 4)
             at = n if end < 0 else end + 3
             continue
-        m = _TAG.match(html, at) or _LOOSE.match(html, at)
+        m = _TAG.match(html, at)
+        if not m and tries < _QUOTED_TRIES:
+            m = _QUOTED.match(html, at)
+            tries += not m
+        m = m or _LOOSE.match(html, at)
         if not m:
             if html.startswith(("<!", "<?", "</"), at):  # declarations, or an end tag without a name
                 end = html.find(">", at)
@@ -159,12 +165,23 @@ def path_scores(found: list[tuple[tuple[int, ...], str, str, int]]) -> dict[str,
     return {p: s / nodes[p] * (1 - linked[p] / size[p]) * nodes[p] ** 0.5 for p, s in sums.items()}
 
 
+def _held(found: list[tuple[tuple[int, ...], str, str, int]], tag: str) -> dict[int, int]:
+    """Characters under each innermost element of a tag."""
+    out: dict[int, int] = {}
+    for nodes, path, text, _ in found:
+        names = path.split("/")
+        at = next((i for i in range(len(names) - 1, 0, -1) if names[i] == tag), None)
+        if at is not None:
+            out[nodes[at]] = out.get(nodes[at], 0) + len(text)
+    return out
+
+
 def main_text(html: str | None, part: float = 0.5) -> str:
     """The page's main text: blocks joined by an empty line.
 
     Paths that score `part` of the best one or more are content. The content root is the article that holds most of
-    the content's text if one does, else the deepest node that holds all of it; every block under it that no aside
-    holds is taken, so short paragraphs and headings among the content stay.
+    the content's text (or, if none holds any, most text), else the main element, else the deepest node that holds all
+    content; every block under it that no aside holds is taken, so short paragraphs and headings stay.
     """
     found = blocks(html or "")
     if not found:
@@ -172,16 +189,9 @@ def main_text(html: str | None, part: float = 0.5) -> str:
     score = path_scores(found)
     least = part * max(score.values())
     chosen = [x for x in found if score[x[1]] >= least and score[x[1]] > 0] or found
-    held: dict[int, int] = {}
-    for nodes, path, text, _ in chosen:
-        names = path.split("/")
-        for i in range(len(names) - 1, 0, -1):
-            if names[i] == "article":
-                held[nodes[i]] = held.get(nodes[i], 0) + len(text)
-                break
-    total = sum(len(x[2]) for x in chosen)
+    held = _held(chosen, "article") or _held(found, "article") or _held(chosen, "main")
     root = max(held, key=held.get) if held else None
-    if root is None or 2 * held[root] < total:
+    if root is None:
         common = chosen[0][0]
         for nodes, *_ in chosen[1:]:
             k = 0
