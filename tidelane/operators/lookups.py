@@ -12,7 +12,7 @@ BROADCAST_ROWS = 100_000
 
 def small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """dim, marked for broadcast if it has no more than `rows` rows."""
-    return F.broadcast(dim) if len(dim.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else dim
+    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
 def named(facts: DataFrame, dim: DataFrame, on: list[str], name: str, unknown: Column, amounts: list[str]) -> DataFrame:
