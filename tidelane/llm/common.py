@@ -53,6 +53,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
+#: Most rows of a table that is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast once a count shows that it has no more than `rows` rows; larger ones join by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body (or a lambda in it) refers to it."""
     return F.transform(F.array(value), body)[0]

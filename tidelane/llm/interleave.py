@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import cut
+from tidelane.llm.common import cut, lookup
 
 #: Parts that each source's shuffled rows, and all rows by fraction, are ranked in; no window holds more than about 1/PARTS of them.
 PARTS = 4096
@@ -35,7 +35,7 @@ def interleaved(rows: DataFrame, n_shards: int, seed: str = "0", parts: int = PA
     A null source is a source; null doc_ids and repeated rows are placed like others, in any order among equals.
     No rows give no rows. The rows are written once to the shared folder: pass ids and measures, not texts.
     """
-    taken = {"s_", "h_", "p_", "r_", "n_", "f_", "z_", "at_", "all_", "shard", "slot"}
+    taken = {"s_", "h_", "p_", "r_", "n_", "f_", "z_", "at_", "shard", "slot"}
     if clash := taken & {c.lower() for c in rows.columns}:
         raise ValueError(f"columns {sorted(clash)} are in use")
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -44,12 +44,12 @@ def interleaved(rows: DataFrame, n_shards: int, seed: str = "0", parts: int = PA
     base = cut(base)
     ranked = _ranked(base, ["s_"], "p_", ["h_", "doc_id"], "r_").drop("p_", "h_")
     sizes = base.groupBy("s_").agg(F.count("*").alias("n_"))
-    placed = ranked.join(sizes, "s_").withColumn("f_", (2 * F.col("r_") - 1) / (2 * F.col("n_"))).withColumn("p_", F.expr(f"((2 * r_ - 1) * {parts}) div (2 * n_)"))
-    total = base.agg(F.count("*").alias("all_")).withColumn("z_", F.lit(0))
+    placed = ranked.join(lookup(sizes), "s_").withColumn("f_", (2 * F.col("r_") - 1) / (2 * F.col("n_"))).withColumn("p_", F.expr(f"((2 * r_ - 1) * {parts}) div (2 * n_)"))
+    total = base.count()
     ordered = _ranked(placed.withColumn("z_", F.lit(0)), ["z_"], "p_", ["f_", "s_", "doc_id"], "at_")
-    placed = ordered.join(F.broadcast(total), "z_").withColumn("shard", F.expr(f"cast(((at_ - 1) * {n_shards}) div all_ as int)"))
-    first = F.expr(f"(shard * all_ + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("slot", F.col("at_") - 1 - first).drop("s_", "p_", "r_", "n_", "f_", "z_", "at_", "all_")
+    placed = ordered.withColumn("shard", F.expr(f"cast(((at_ - 1) * {n_shards}) div {max(total, 1)} as int)"))
+    first = F.expr(f"(shard * {total}L + {n_shards - 1}) div {n_shards}")
+    return placed.withColumn("slot", F.col("at_") - 1 - first).drop("s_", "p_", "r_", "n_", "f_", "z_", "at_")
 
 
 def shard_digest(docs: DataFrame, n_shards: int, seed: str = "0") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import cut
+from tidelane.llm.common import cut, lookup
 
 #: Hash parts in which a leaf's seeded order is cut; only rows of the part that the cut falls in are ranked.
 PARTS = 4096
@@ -104,7 +104,7 @@ def mixture(
     # whole epochs, and what the one after them gives
     plan = got.withColumn("whole", F.expr("case when tokens > 0 then got div tokens else 0 end")).withColumn("rest", F.col("got") - F.col("whole") * F.col("tokens"))
     plan = cut(plan.select(*key, F.col("whole").cast("int").alias("whole"), "rest"))
-    epochs = rows.join(plan, key).withColumn("epoch", F.explode(F.expr("sequence(0, whole)"))).where("epoch < whole or rest > 0")
+    epochs = rows.join(lookup(plan), key).withColumn("epoch", F.explode(F.expr("sequence(0, whole)"))).where("epoch < whole or rest > 0")
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     full = epochs.where("epoch < whole")
     part = epochs.where("epoch = whole").withColumn("h_", hashed).withColumn("p_", (F.conv(F.substring("h_", 1, 8), 16, 10).cast("long") * parts / 2**32).cast("int"))
