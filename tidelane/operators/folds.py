@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from tidelane import constants as C
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows by match over all shuffle partitions: folds cost processor time, not bytes, so small stages must not be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_id")
+
+
 def per_match(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: tuple[str, ...] = ("ts_ms", "seq")) -> DataFrame:
     """run over each match's rows in order; one match is one group, thousands of rows at most."""
-    return rows.groupBy("match_id").applyInPandas(lambda p: run(p.sort_values(list(order), kind="stable")), schema)
+    return spread(rows).groupBy("match_id").applyInPandas(lambda p: run(p.sort_values(list(order), kind="stable")), schema)
 
 
 def half_away(x: float) -> int:
@@ -321,5 +326,6 @@ def greedy_match(spends: DataFrame, falls: DataFrame, **options: float) -> DataF
         found = take_drops([(q, t, {"v": c}) for _, q, t, c in rows], pool, **options)
         return pd.DataFrame([(key[0], tag, ok, off, got["v"]) for tag, ok, off, got in found], columns=["match_id", "seq", "matched", "offset_ms", "got"]).astype({"offset_ms": "Int64"})
 
-    both = spends.select("match_id", "seq", "ts_ms", "cost").groupBy("match_id").cogroup(falls.select(F.col("match_id").alias("match_id"), "seq", "ts_ms", "delta").groupBy("match_id"))
+    falls = spread(falls.select(F.col("match_id").alias("match_id"), "seq", "ts_ms", "delta"))
+    both = spread(spends.select("match_id", "seq", "ts_ms", "cost")).groupBy("match_id").cogroup(falls.groupBy("match_id"))
     return both.applyInPandas(run, "match_id long, seq long, matched boolean, offset_ms long, got long")

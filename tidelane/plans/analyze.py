@@ -173,7 +173,7 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
         x = x.select("match_id", "seq", "ts_ms", F.lit(r).alias("resource"), (F.col("prev") - F.col("value")).alias("delta"))
         falls = x if falls is None else falls.unionByName(x)
     falls = falls.select(*[F.col(c).alias(c) for c in falls.columns])  # both sides come from one table
-    settled = spends.groupBy("match_id").cogroup(falls.groupBy("match_id")).applyInPandas(settle, f"match_id {dict(line.dtypes)['match_id']}, n long, section string, in_game_ms long, field string, detail string, offset_ms long, short array<struct<resource:string,need:long>>")
+    settled = folds.spread(spends).groupBy("match_id").cogroup(folds.spread(falls).groupBy("match_id")).applyInPandas(settle, f"match_id {dict(line.dtypes)['match_id']}, n long, section string, in_game_ms long, field string, detail string, offset_ms long, short array<struct<resource:string,need:long>>")
     is_ = lambda *k: F.sum(F.col("section").isin(*k).cast("long"))
     stats = settled.groupBy("match_id").agg(is_("matched", "overclaimed").alias("matched"), is_("matched", "overclaimed", "unmatched").alias("total"), is_("reseed").alias("reseeds"), F.expr("get(sort_array(collect_list(offset_ms)), cast(((count(offset_ms) - 1) * 50) div 100 as int))").alias("median_ms"))
     # why a spend found no drop: the last reading before it could not pay, or none was seen
