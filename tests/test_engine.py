@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.functions import text
-from tidelane.operators import folds, intervals, phases
+from tidelane.functions import compare, text
+from tidelane.operators import folds, intervals, phases, retime
 from tidelane.plans import catalog
 from tidelane.sync.calibrate import PANEL, calibrate
 from tidelane.sync.mapping import Mapping
@@ -254,3 +254,27 @@ def test_report():
     assert "&lt;x&gt;" in out and "<x>" not in out and "★★★" in out
     found = [{"section": "glitch", "in_game_ms": i, "field": "food", "detail": "d"} for i in range(12)]
     assert "... 2 more" in report.findings_text(found, None)
+
+
+def test_retiming(spark):
+    rows = spark.createDataFrame([(1, i, 1000 + 250 * i, i) for i in range(4)] + [(2, 0, 0, 5)], "match_id long, seq long, ts_ms long, value long")
+    got = sorted((r.match_id, r.ts_ms) for r in retime.stretched(rows, 2.0).collect())
+    assert got == [(1, 1000), (1, 1500), (1, 2000), (1, 2500), (2, 0)]
+    got = sorted((r.match_id, r.ts_ms, r.value, r.copy) for r in retime.paused(rows, 2, 600).collect())
+    assert got == [(1, 1000, 0, 0), (1, 1250, 1, 0), (1, 1500, 1, 1), (1, 1750, 1, 2), (1, 2100, 2, 0), (1, 2350, 3, 0), (2, 0, 5, 0)]
+    assert retime.paused(rows.where("false"), 2, 600).count() == 0
+
+
+def test_change_bounds(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 1000, 1), (1, 2, 2000, 2), (1, 3, 3000, 1), (1, 4, 4000, 2)], "match_id long, seq long, ts_ms long, key long")
+    changes = spark.createDataFrame([(1, 7, 1200, 1300, 1, 2), (1, 8, 1200, 1300, 2, 3), (1, 9, 9000, 9100, 1, 2), (1, 10, 1200, 1300, None, 2)], "match_id long, seq long, old_ms long, new_ms long, old_key long, new_key long")
+    assert [tuple(r) for r in retime.change_bounds(changes, rows, 0, 2500).collect()] == [(1, 7, -300, 800)]
+
+
+def test_json_differences(spark):
+    a = {"n": 1.0, "s": "x", "list": [1, 2, 3], "o": {"gone": {"deep": 1}}, "kind": {"k": 1}, "t": True}
+    b = {"n": 1.0 + 1e-7, "s": "y", "list": [1, 5], "o": {"new": 1}, "kind": [1], "t": 1}
+    assert compare.json_differences(a, a) == []
+    assert compare.json_differences(a, b) == [("$.kind", "value"), ("$.list", "length"), ("$.list[1]", "value"), ("$.o.gone", "missing"), ("$.o.new", "unexpected"), ("$.s", "value"), ("$.t", "value")]
+    x = spark.createDataFrame([(1.0, 1.0 + 1e-7), (1.0, 1.1), (None, 1.0), (None, None)], "e double, a double")
+    assert [r[0] for r in x.select(compare.beyond(F.col("e"), F.col("a"))).collect()] == [False, True, True, False]
