@@ -14,6 +14,8 @@ from tidelane.llm.common import cut
 
 #: Vectors of a block of queries and of a block of candidates.
 QUERY_BLOCK, ROW_BLOCK = 512, 8192
+#: Tasks that pack queries, however few these are.
+LEAST_TASKS = 8
 #: Segments at each resolution, coarse to fine.
 LEVELS = (4, 16, 32)
 
@@ -147,7 +149,9 @@ def top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & ok)
     schema = "dim int, ids binary, x binary"
-    queries = rows.where(F.col("vec_id") % every == 0).coalesce(8).mapInArrow(_packer(QUERY_BLOCK), schema)
+    asked = F.col("vec_id") % every == 0
+    tasks = max(LEAST_TASKS, 4 * vectors.where(asked).count() // (3 * QUERY_BLOCK))  # three quarters of a block each
+    queries = rows.where(asked).repartition(tasks, "vec_id").mapInArrow(_packer(QUERY_BLOCK), schema)
     queries = cut(queries.select(F.monotonically_increasing_id().alias("qb"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q")))
     blocks = rows.mapInArrow(_packer(ROW_BLOCK), schema)
     numbers = queries.groupBy("dim").agg(F.collect_list("qb").alias("qbs"))  # a number for each block of queries
