@@ -400,6 +400,16 @@ def test_html(spark):
     assert got[2] == ("", 0) and got[3] == ("", 0) and got[None] == ("only this", 9) and got[4] == ("a < b", 5)
 
 
+def test_html_articles_follow_the_scores():
+    long = "Much, longer text. " * 20
+    text = long.strip()
+    teaser = "<article><h2>Card</h2><p>Read this.</p></article>"
+    assert text in main_text(f"<main><h1>T</h1><div><p>{long}</p><p>{long}</p></div>{teaser}</main>")
+    assert main_text(f"<body>{teaser}<div><h1>T</h1><p>{long}</p><p>{long}</p></div></body>").endswith(f"T\n\n{text}\n\n{text}")
+    assert text in main_text(f"<body><div><p>{long}</p></div>{teaser}</body>")
+    assert main_text(f"<body><article><p>{long}A.</p></article><p>Between.</p><article><p>{long}</p><p>{long}B.</p></article></body>") == f"{text} A.\n\n{text}\n\n{text} B."
+
+
 def test_html_equals_articles(spark):
     from html import unescape
 

@@ -165,23 +165,35 @@ def path_scores(found: list[tuple[tuple[int, ...], str, str, int]]) -> dict[str,
     return {p: s / nodes[p] * (1 - linked[p] / size[p]) * nodes[p] ** 0.5 for p, s in sums.items()}
 
 
-def _held(found: list[tuple[tuple[int, ...], str, str, int]], tag: str) -> dict[int, int]:
-    """Characters under each innermost element of a tag."""
-    out: dict[int, int] = {}
-    for nodes, path, text, _ in found:
-        names = path.split("/")
-        at = next((i for i in range(len(names) - 1, 0, -1) if names[i] == tag), None)
-        if at is not None:
-            out[nodes[at]] = out.get(nodes[at], 0) + len(text)
-    return out
+def _outermost(nodes: tuple[int, ...], path: str, tag: str) -> int | None:
+    """The outermost element of a tag among a block's nodes."""
+    return next((n for n, name in zip(nodes, path.split("/"), strict=True) if name == tag), None)
+
+
+def _roots(found: list[tuple[tuple[int, ...], str, str, int]], chosen: list[tuple[tuple[int, ...], str, str, int]]) -> set[int]:
+    """The articles, else the main elements, that hold the greater part of the chosen text; empty if neither do.
+
+    Where the articles hold less, and no main element has text, those that hold every h1 of the page still count: the
+    page names them its subject.
+    """
+    total = sum(len(x[2]) for x in chosen)
+    for tag in ("article", "main"):
+        within = [(_outermost(x[0], x[1], tag), len(x[2])) for x in chosen]
+        if 2 * sum(n for at, n in within if at is not None) > total:
+            return {at for at, _ in within if at is not None}
+        if tag == "article" and not any(_outermost(x[0], x[1], "main") for x in found):
+            titled = {_outermost(x[0], x[1], tag) for x in found if "h1" in x[1].split("/")}
+            if titled and None not in titled:
+                return titled | {at for at, _ in within if at is not None}
+    return set()
 
 
 def main_text(html: str | None, part: float = 0.5) -> str:
     """The page's main text: blocks joined by an empty line.
 
-    Paths that score `part` of the best one or more are content. The content root is the article that holds most of
-    the content's text (or, if none holds any, most text), else the main element, else the deepest node that holds all
-    content; every block under it that no aside holds is taken, so short paragraphs and headings stay.
+    Paths that score `part` of the best one or more are content. The content roots are the articles that hold content
+    if they hold the greater part of its text (see _roots), else the main element if it does, else the deepest node
+    that holds all content; every block under them that no aside holds is taken, so short paragraphs and headings stay.
     """
     found = blocks(html or "")
     if not found:
@@ -189,17 +201,16 @@ def main_text(html: str | None, part: float = 0.5) -> str:
     score = path_scores(found)
     least = part * max(score.values())
     chosen = [x for x in found if score[x[1]] >= least and score[x[1]] > 0] or found
-    held = _held(chosen, "article") or _held(found, "article") or _held(chosen, "main")
-    root = max(held, key=held.get) if held else None
-    if root is None:
+    roots = _roots(found, chosen)
+    if not roots:
         common = chosen[0][0]
         for nodes, *_ in chosen[1:]:
             k = 0
             while k < min(len(common), len(nodes)) and common[k] == nodes[k]:
                 k += 1
             common = common[:k]
-        root = common[-1] if len(chosen) > 1 or len(common) < 2 else common[-2]
-    return "\n\n".join(text for nodes, _, text, _ in found if root in nodes)
+        roots = {common[-1] if len(chosen) > 1 or len(common) < 2 else common[-2]}
+    return "\n\n".join(text for nodes, _, text, _ in found if not roots.isdisjoint(nodes))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
