@@ -91,6 +91,19 @@ def test_pii_contexts_find_more(spark):
     assert none.count() == 0
 
 
+def test_pii_contexts_find_numbers_of_several_words(spark):
+    # phones of too few digits and cards that fail the checksum, among valid ones with spaces; 40 ends a text with digits around
+    phones = [f"+1 (743) 555-38{i:02d}" for i in range(6)]
+    cards = [f"{x[:4]} {x[4:8]} {x[8:12]} {x[12:]}" for x in (f"41111111111{i:05d}" for i in range(200)) if luhn(x)][:6]
+    text = [f"you may call {p} after lunch" for p in phones] + [f"my card is {c} thanks" for c in cards]
+    text += ["you may call +1 (743) 555-3 after lunch", "my card is 4111 1111 1111 1112 thanks", "row 7 call +1 (743) 555-3 today"]
+    text += [f"room 12 {p} late" for p in phones] + ["room 12 +1 (743) 55-3 late", "room 13 +1 (743) 55-4 late"]
+    got = rows_of(personal_digest(personal_data(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))))
+    assert [got[i].n_found for i in range(12)] == [0] * 12
+    assert (got[12].spans, got[13].spans, got[14].spans) == ("phone:13:27", "card:11:30", "")
+    assert [got[i].n_found for i in range(15, 21)] == [0] * 6 and got[21].spans == "phone:8:21" and got[22].spans == ""
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -22,6 +22,8 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _MARK = "\x01"
 #: Pieces of one chunk of a text's matches at least; chunks grow with the square root of their number.
 _CHUNK = 64
+#: Words of an instance at most: no base span of several words has more than 19 digits, and each word has one.
+_WORDS = 19
 
 
 def _holds(kind: str, x: Column) -> Column:
@@ -102,38 +104,76 @@ def _shape(x: Column) -> Column:
 
 
 def _tokens(text: Column, base: Column) -> Column:
-    """Tokens with a digit or @: start, end (outer punctuation apart), the words around them, form, and the base kind that starts there."""
+    """Instances: start, end (outer punctuation apart), the words around them, form, hash of the text, kind, and longest.
+
+    A token is a word with a digit or @; tokens in a row that only spaces, digits and ().- part are one run. A token
+    that a base span starts in gives one instance, the tokens that the span covers, of the span's kind. Any other one
+    that no base span touches gives an instance of kind -1 for each number of tokens from it on, up to _WORDS and the
+    next base span; `longest` marks the last of them.
+    """
     pieces = _pieces(text, r"(?<!\S)\S*[0-9@]\S*")
+    edge = r"^[^A-Za-z0-9+@]+"
+
+    def joined(p: Column, i: Column) -> Column:
+        """Whether the token at place i and the next one are of a run."""
+        return F.coalesce(F.concat(F.substring(F.get(p, i), -1, 1), F.get(p, i + 1), F.substring(F.get(p, i + 2), 1, 1)).rlike(r"^[0-9().-][\x20().-]+[0-9().-]$"), F.lit(False))
+
+    def runs(p: Column, i: Column) -> Column:
+        """The texts of the first, the first two, ... tokens of the run from place i on."""
+        more = F.aggregate(
+            F.sequence(F.lit(0), F.lit(_WORDS - 2)),
+            F.struct(F.lit(1).alias("n"), F.lit(True).alias("open")),
+            lambda a, k: F.when(a["open"] & joined(p, i + k * 2), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("open"))),
+        )["n"]
+        return F.when(joined(p, i), F.transform(F.sequence(F.lit(1), more), lambda n: F.array_join(F.slice(p, i + 1, n * 2 - 1), ""))).otherwise(F.array(F.get(p, i)))
 
     def entry(x: Column, at: Column, p: Column, i: Column) -> Column:
-        ahead = F.length(F.regexp_extract(x, r"^[^A-Za-z0-9+@]*", 0))
-        core = F.regexp_replace(x, r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
-        start, end = at + ahead, at + ahead + F.length(core)
-        before = F.filter(F.split(F.substring(F.element_at(p, i), -200, 200), r"\s+"), lambda w: w != "")
+        first = at + F.length(F.regexp_extract(x, edge, 0))
+        back = F.substring(F.concat(*[F.substring(F.coalesce(F.get(p, i - k), F.lit("")), -200, 200) for k in (4, 3, 2, 1)]), -200, 200)
+        before = F.filter(F.split(back, r"\s+"), lambda w: w != "")
         left = F.lower(F.concat_ws(" ", F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2))))
-        right = F.lower(F.regexp_extract(F.element_at(p, i + 2), r"^\s*(\S+)", 1))
-        seeds = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > start))
-        kind = F.when(F.size(seeds) == 0, F.lit(-1)).when(F.element_at(seeds, 1)["start"] < start, F.lit(-2)).otherwise(F.element_at(seeds, 1)["kind"])
-        return F.when(F.length(core) > 0, F.struct(start.alias("start"), end.alias("end"), left.alias("left"), right.alias("right"), _shape(core).alias("shape"), F.xxhash64(core).alias("value"), kind.alias("kind")))
 
-    return _walk(pieces, entry)
+        def made(t: Column, n: Column, left: Column, kind: Column, longest: Column) -> Column:
+            core = F.regexp_replace(t, edge + r"|[^A-Za-z0-9]+$", "")
+            right = F.lower(F.regexp_extract(F.concat(F.get(p, i + n * 2 - 1), F.coalesce(F.get(p, i + n * 2), F.lit(""))), r"^\s*(\S+)", 1))
+            out = F.struct(first.alias("start"), (first + F.length(core)).alias("end"), left.alias("left"), right.alias("right"), _shape(core).alias("shape"), F.xxhash64(core).alias("value"), kind.alias("kind"), longest.alias("longest"))
+            return F.when(F.length(core) > 0, out)
+
+        def kinds(near: Column, left: Column) -> Column:
+            """near: base spans that end behind this token's start."""
+            seed = F.filter(near, lambda b: b["start"] < at + F.length(x))
+            free = lambda ts: F.filter(ts, lambda t: ~F.exists(near, lambda b: b["start"] < at + F.length(t)))
+            covered = lambda ts: F.size(F.filter(ts, lambda t: at + F.length(t) < seed[0]["end"])) + 1
+            plain = let(free(runs(p, i)), lambda ts: F.transform(ts, lambda t, k: made(t, k + 1, left, F.lit(-1), k + 1 == F.size(ts))))
+            whole = let(runs(p, i), lambda ts: let(F.least(covered(ts), F.size(ts)), lambda n: F.array(made(F.element_at(ts, n), n, left, seed[0]["kind"], F.lit(True)))))
+            return F.when(F.size(seed) == 0, plain).when(seed[0]["start"] >= first, whole)
+
+        return let(left, lambda w: let(F.filter(base, lambda b: b["end"] > first), lambda near: kinds(near, w)))
+
+    return F.filter(F.flatten(_walk(pieces, entry)), lambda x: x.isNotNull())
 
 
 def bootstrap(tokens: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
     """(row, start, end, kind) of tokens that are no seed but stand in trusted contexts of one kind and have a form of it.
 
-    tokens: (row, start, end, left, right, shape, value, kind), kind -1 where no base span touches the token. The
-    graph joins instances and patterns: (two words before), and (word before, word after). A pattern's score for a
-    kind is the share of its instances that are of the kind, each distinct value once; it is trusted with `support`
-    distinct values of the kind and a score from `confidence` on. A found instance counts from the next round on.
+    tokens: (row, start, end, left, right, shape, value, kind, longest), kind -1 where no base span touches the
+    instance. The graph joins instances and patterns: (two words before), and (word before, word after). A pattern's
+    score for a kind is the share of its instances that are of the kind, each distinct value once; it is trusted with
+    `support` distinct values of the kind and a score from `confidence` on. Of instances of kind -1 with one start the
+    longest counts. Of found ones that overlap, the first is kept, and the longest of one start. A found instance
+    counts from the next round on, in place of the longest one of its start.
     """
-    edges = tokens.where("kind >= -1").withColumn("word", F.element_at(F.split("left", " "), -1))
+    edges = tokens.withColumn("word", F.element_at(F.split("left", " "), -1))
     edges = edges.withColumn("pattern", F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("B:"), "word", F.lit(" _ "), "right")))).where("left <> '' and (pattern like 'L:%' or right <> '')")
-    edges = edges.select("row", "start", "end", "shape", "value", "kind", "pattern")
+    edges = edges.select("row", "start", "end", "shape", "value", "kind", "longest", "pattern")
     forms = tokens.where("kind >= 0").select("kind", "shape").distinct()
     found = None
     for _ in range(rounds):
-        now = edges if found is None else edges.join(found.select("row", "start", F.col("kind").alias("given")), ["row", "start"], "left").withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("given", "kind")).otherwise(F.col("kind"))).drop("given")
+        if found is None:
+            now = edges.where("longest")
+        else:
+            given = edges.join(found.select("row", "start", F.col("end").alias("until"), F.col("kind").alias("given")), ["row", "start"], "left")
+            now = given.where("case when kind < 0 and given is not null then end = until else longest end").withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("given", "kind")).otherwise(F.col("kind")))
         # by value first: a hot pattern is counted in parts before its values meet
         values = now.groupBy("pattern", "value", "kind").agg(F.lit(1).alias("one"))
         counts = values.groupBy("pattern", "kind").agg(F.sum("one").alias("n"))
@@ -141,10 +181,23 @@ def bootstrap(tokens: DataFrame, rounds: int, support: int, confidence: float) -
         trusted = totals.where((F.col("top.n") >= support) & (F.col("top.n") >= confidence * F.col("all"))).select("pattern", F.col("top.kind").alias("to"), (F.col("top.n") / F.col("all")).alias("score"))
         hit = edges.where("kind = -1").join(trusted, "pattern").join(forms.withColumnRenamed("kind", "to"), ["to", "shape"], "left_semi")
         best = hit.groupBy("row", "start", "end", "to").agg(F.max("score").alias("score"))
-        found = cut(best.groupBy("row", "start", "end").agg(F.max_by("to", F.struct("score", -F.col("to"))).alias("kind")))
+        kinds = best.groupBy("row", "start", "end").agg(F.max_by("to", F.struct("score", -F.col("to"))).alias("kind"))
+        found = cut(_apart(kinds))
     return found
 
 
+def _apart(spans: DataFrame) -> DataFrame:
+    """Spans (row, start, end, kind) that do not overlap: from the first on, the longest of each start."""
+    item = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind")))
+    none = F.struct(F.lit(-1).alias("to"), F.array().cast("array<struct<start:int,end:int,kind:int>>").alias("out"))
+    kept = F.aggregate(
+        "all",
+        none,
+        lambda a, x: F.when(x["start"] >= a["to"], F.struct((-x["back"]).alias("to"), F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["kind"].alias("kind")))).alias("out"))).otherwise(a),
+    )["out"]
+    return spans.groupBy("row").agg(item.alias("all")).select("row", F.explode(kept).alias("x")).select("row", "x.*")
+
+
 def personal_data(docs: DataFrame, rounds: int = 2, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """(doc_id, text_key, base, more): base and found spans (start, kind, end) of every row, in code points.
 
