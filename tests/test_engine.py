@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 
 import duckdb
@@ -271,6 +272,32 @@ def test_change_bounds(spark):
     assert [tuple(r) for r in retime.change_bounds(changes, rows, 0, 2500).collect()] == [(1, 7, -300, 800)]
 
 
+def test_queries_over_whole_tables(spark):
+    """Brute force over every user, order and reading."""
+    def pick(name):
+        return sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).collect())
+
+    ev = [(r.user_id, r.event_id, r.ts, r.event_type, r.value) for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    assert {x[0] for x in pick("player_events_all")} == {x[0] for x in ev}
+    orders = sorted((r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect())
+    first = {}
+    for k, c in orders:
+        first.setdefault((c % 97, k % 23), k)
+    around = [(0, 0)] + [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x, y) != (0, 0)]
+    near = lambda x, y: next((first[x + a, y + b] for a, b in around if (x + a, y + b) in first), None)
+    assert pick("nearby_cells_all") == [(k, near(c * 3 % 97, k * 7 % 23)) for k, c in orders]
+    seen, want = {}, []
+    for u, i, t, kind, v in sorted(ev, key=lambda x: (x[0], x[2], x[1])):
+        if kind in ("view", "click") and v is not None:
+            seen.setdefault(u, []).append((i, math.floor((t - datetime.datetime(1970, 1, 1)) / datetime.timedelta(milliseconds=1)), math.floor(v) // 25))
+    for u, line in seen.items():
+        steps = [(a, b) for a, b in zip(line, line[1:], strict=False) if a[2] != b[2]]
+        for old, new in steps:
+            met = [(a[1], b[1]) for a, b in steps if (a[2], b[2]) == (old[2], new[2]) and old[1] - 3600000 < a[1] <= new[1] + 3600000]
+            want.append((u, new[0], min(met)[0] - new[1], min(met)[1] - old[1]))
+    assert pick("change_bounds_all") == sorted(want) and len(want) > 100
+
+
 def test_json_differences(spark):
     a = {"n": 1.0, "s": "x", "list": [1, 2, 3], "o": {"gone": {"deep": 1}}, "kind": {"k": 1}, "t": True}
     b = {"n": 1.0 + 1e-7, "s": "y", "list": [1, 5], "o": {"new": 1}, "kind": [1], "t": 1}

@@ -157,6 +157,14 @@ def nearby_cells(spark, d):
     return lookups.nearby(p, q, "id", "what").select("id", "what")
 
 
+@query("WITH p AS (SELECT o_orderkey AS id, CAST(o_custkey * 3 % 97 AS BIGINT) AS cx, CAST(o_orderkey * 7 % 23 AS BIGINT) AS cy FROM orders), q AS (SELECT o_orderkey AS what, CAST(o_custkey % 97 AS BIGINT) AS cx, CAST(o_orderkey % 23 AS BIGINT) AS cy FROM orders), m AS (SELECT p.id, q.what, CASE WHEN q.cx = p.cx AND q.cy = p.cy THEN -1 ELSE (q.cx - p.cx + 1) * 3 + q.cy - p.cy + 1 END AS k FROM p JOIN q ON q.cx BETWEEN p.cx - 1 AND p.cx + 1 AND q.cy BETWEEN p.cy - 1 AND p.cy + 1), b AS (SELECT id, what FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, what) = 1) SELECT p.id, b.what FROM p LEFT JOIN b ON b.id = p.id")
+def nearby_cells_all(spark, d):
+    """nearby_cells with every order among those looked up."""
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 3 % 97).alias("cx"), (F.col("o_orderkey") * 7 % 23).alias("cy"))
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("what"), (F.col("o_custkey") % 97).alias("cx"), (F.col("o_orderkey") % 23).alias("cy"))
+    return lookups.nearby(p, q, "id", "what").select("id", "what")
+
+
 @query("SELECT a.l_orderkey, a.l_linenumber, b.o_custkey FROM lineitem a JOIN orders b ON b.o_orderkey = a.l_orderkey AND b.o_custkey = a.l_partkey")
 def exact_key_join(spark, d):
     a = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("o_custkey"))
@@ -230,3 +238,9 @@ def player_events(spark, d):
     rec = events(spark, d).select("match_id").distinct().where("match_id % 3 = 0")
     e = events(spark, d).join(lookups.small(rec), "match_id", "left_semi")
     return e.groupBy("match_id").agg(F.count("*").alias("n"), F.when(F.max("ts_ms") > F.min("ts_ms"), "ok").otherwise("empty").alias("status"))
+
+
+@query(CTE + "SELECT match_id, CAST(count(*) AS BIGINT) AS n, CASE WHEN max(ts_ms) > min(ts_ms) THEN 'ok' ELSE 'empty' END AS status FROM ev GROUP BY match_id")
+def player_events_all(spark, d):
+    """player_events of every match."""
+    return events(spark, d).groupBy("match_id").agg(F.count("*").alias("n"), F.when(F.max("ts_ms") > F.min("ts_ms"), "ok").otherwise("empty").alias("status"))

@@ -324,6 +324,20 @@ def change_bounds(spark, d):
     return retime.change_bounds(seen.where("old_key <> new_key"), rows, 0, HOUR)
 
 
+@query(CTE + """, k AS (SELECT match_id, seq, ts_ms, value // 25 AS key FROM rd WHERE value IS NOT NULL),
+s AS (SELECT *, lead(key) OVER w AS nkey, lead(ts_ms) OVER w AS nts FROM k WINDOW w AS (PARTITION BY match_id ORDER BY ts_ms, seq)),
+v AS (SELECT match_id, seq, lag(ts_ms) OVER w AS o, ts_ms AS n, lag(key) OVER w AS ok, key AS nk FROM k WINDOW w AS (PARTITION BY match_id ORDER BY ts_ms, seq)),
+m AS (SELECT v.match_id, v.seq, s.ts_ms - v.n AS low, s.nts - v.o AS high, row_number() OVER (PARTITION BY v.match_id, v.seq ORDER BY s.ts_ms, s.nts) AS z
+  FROM v JOIN s ON s.match_id = v.match_id AND s.key = v.ok AND s.nkey = v.nk AND v.ok <> v.nk AND s.ts_ms > v.o - 3600000 AND s.ts_ms <= v.n + 3600000)
+SELECT match_id, seq, low, high FROM m WHERE z = 1""")
+def change_bounds_all(spark, d):
+    """change_bounds with every reading in the second view."""
+    rows = _series(spark, d).where("value is not null").select("match_id", "seq", "ts_ms", F.expr("value div 25").alias("key"))
+    w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
+    seen = rows.select("match_id", "seq", F.lag("ts_ms").over(w).alias("old_ms"), F.col("ts_ms").alias("new_ms"), F.lag("key").over(w).alias("old_key"), F.col("key").alias("new_key"))
+    return retime.change_bounds(seen.where("old_key <> new_key"), rows, 0, HOUR)
+
+
 @query(CTE + ", o AS (SELECT r.match_id, r.seq, r.value, row_number() OVER (PARTITION BY match_id ORDER BY ts_ms, seq) AS i FROM rd r) SELECT a.match_id, a.seq, bool_or(a.value = b.value) AS agrees FROM o a JOIN o b ON b.match_id = a.match_id AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.i <> a.i WHERE a.value IS NOT NULL GROUP BY ALL")
 def neighbour_agreement(spark, d):
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
