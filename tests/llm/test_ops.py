@@ -423,6 +423,16 @@ def test_html_articles_follow_the_scores():
     assert main_text(f"<body><article><p>{long}A.</p></article><p>Between.</p><article><p>{long}</p><p>{long}B.</p></article></body>") == f"{text} A.\n\n{text}\n\n{text} B."
 
 
+def test_html_names_are_whole_and_wrappers_pass():
+    long = "Much, longer text. " * 20
+    text = long.strip()
+    for name in ("class='layout has-sidebar'", "class=no-sidebar", 'class="page search-results"', "id='social-history'", "id=ad-hoc", "class=sidebar", "class='page search'"):
+        assert main_text(f"<body><div {name}><div><p>{long}</p></div><p>{long}</p></div></body>") == f"{text}\n\n{text}", name
+    assert main_text(f"<body><article class='comments-open'><p>{long}</p></article></body>") == text
+    assert main_text(f"<body><form id=aspnetForm><div class=Sidebar>Popular, things.</div><div><p>{long}</p></div></form><form>Your mail.</form></body>") == text
+    assert main_text(f"<body><div><p>{long}</p><div class='box ad'>Buy, now.</div><article class='comment'>Nice, post.</article></div></body>") == text
+
+
 def test_html_equals_articles(spark):
     from html import unescape
 

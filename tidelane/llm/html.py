@@ -15,44 +15,54 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template svg math iframe object textarea title select canvas audio video noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp nobr".split())
 ASIDE = frozenset("head nav footer aside form button dialog menu fieldset".split())
+#: Asides that may also be put around a whole page.
+WRAPPERS = frozenset("form fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl td th article section div main body html".split())
 
-#: Words in class, id or role that name what is no main text; _OUTER only where no article holds the element.
+#: Classes, ids and roles (whole ones) that name what is no main text; _OUTER only where no article holds the element,
+#: and only _COMMENTS on an article and the elements that hold the page.
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr login menu modal nav navbar navigation "
     "newsletter notice notices notification overlay pagination pager popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags toolbar trending widget complementary contentinfo dialog alert form".split()
 )
 _OUTER = frozenset("header footer masthead top bottom".split())
+_COMMENTS = frozenset("comment comments commentlist".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
 #: Quoted values that hold a <; tried where the form above fails, at most so often a page, as each failure may scan it all.
 _QUOTED, _QUOTED_TRIES = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), 50
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：\"'()]")
 
 
-def _aside(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in ASIDE or (tag == "header" and not inside):
+def _aside(tag: str, inside: bool) -> bool:
+    return tag in ASIDE and tag not in WRAPPERS or (tag == "header" and not inside)
+
+
+def _named(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether its name, or tag, makes an element an aside unless it holds most of the page's text."""
+    if tag in WRAPPERS:
         return True
-    if not attrs or tag in ("html", "body", "main", "article") and "comment" not in attrs.lower():
+    if not attrs:
         return False
-    for m in _NAMED.finditer(attrs):
-        words = set(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        if words & _NAMES or (not inside and words & _OUTER):
-            return True
-    return False
+    names = {x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").lower().split()}
+    if tag in ("html", "body", "main", "article"):
+        return not names.isdisjoint(_COMMENTS)
+    return not names.isdisjoint(_NAMES) or (not inside and not names.isdisjoint(_OUTER))
 
 
 def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
     """(node ids from the root, path of tag names, text, characters in links) of each block that no aside holds, in page order.
 
     Character references are decoded, and runs of white space are one space. Blocks without text are left out.
+    An element that only its name, or being a form, makes an aside is none if it holds more than half of the text
+    outside the other asides.
     """
+    named: set[int] = set()
     out: list[tuple[tuple[int, ...], str, str, int]] = []
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, inside an aside
     text: list[str] = []
@@ -133,10 +143,20 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             if stack[i][0] in SCOPES and not (tag in ("tr", "td", "th") and stack[i][0] in ("td", "th")):
                 break
         serial += 1
-        stack.append((tag, serial, stack[-1][2] or _aside(tag, attrs, articles > 0)))
+        stack.append((tag, serial, stack[-1][2] or _aside(tag, articles > 0)))
+        if not stack[-1][2] and _named(tag, attrs, articles > 0):
+            named.add(serial)
         articles += tag == "article"
     flush()
-    return out
+    if not named:
+        return out
+    held = dict.fromkeys(named, 0)
+    for nodes, _, clean, _ in out:
+        for node in named.intersection(nodes):
+            held[node] += len(clean)
+    total = sum(len(x[2]) for x in out)
+    named = {node for node, size in held.items() if 2 * size <= total}
+    return [x for x in out if named.isdisjoint(x[0])]
 
 
 def path_scores(found: list[tuple[tuple[int, ...], str, str, int]]) -> dict[str, float]:
