@@ -104,6 +104,14 @@ def test_pii_contexts_find_numbers_of_several_words(spark):
     assert [got[i].n_found for i in range(15, 21)] == [0] * 6 and got[21].spans == "phone:8:21" and got[22].spans == ""
 
 
+def test_pii_contexts_follow_chains(spark):
+    numbers = [f"41111111111{i:05d}" for i in range(1200)]
+    valid, other = [x for x in numbers if luhn(x)][:90], [x for x in numbers if not luhn(x)][:27]
+    text = [f"card is {c} ok" for c in valid] + [f"card is {c} now" for c in other[:21]] + [f"pin is {c} now" for c in other[21:26]] + [f"pin is {other[26]} later"]
+    got = rows_of(personal_digest(personal_data(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))))
+    assert [got[i].n_found for i in range(len(text))] == [0] * 90 + [1] * 27
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 

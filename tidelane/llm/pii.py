@@ -153,22 +153,23 @@ def _tokens(text: Column, base: Column) -> Column:
     return F.filter(F.flatten(_walk(pieces, entry)), lambda x: x.isNotNull())
 
 
-def bootstrap(tokens: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
+def bootstrap(tokens: DataFrame, support: int, confidence: float) -> DataFrame:
     """(row, start, end, kind) of tokens that are no seed but stand in trusted contexts of one kind and have a form of it.
 
     tokens: (row, start, end, left, right, shape, value, kind, longest), kind -1 where no base span touches the
     instance. The graph joins instances and patterns: (two words before), and (word before, word after). A pattern's
     score for a kind is the share of its instances that are of the kind, each distinct value once; it is trusted with
     `support` distinct values of the kind and a score from `confidence` on. Of instances of kind -1 with one start the
-    longest counts. Of found ones that overlap, the first is kept, and the longest of one start. A found instance
-    counts from the next round on, in place of the longest one of its start.
+    longest counts. Of found ones that overlap, the earlier round's is kept, then the first, and the longest of one
+    start. A found instance counts from the next round on, in place of the longest one of its start; rounds end when
+    one finds nothing new.
     """
     edges = tokens.withColumn("word", F.element_at(F.split("left", " "), -1))
     edges = edges.withColumn("pattern", F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("B:"), "word", F.lit(" _ "), "right")))).where("left <> '' and (pattern like 'L:%' or right <> '')")
     edges = edges.select("row", "start", "end", "shape", "value", "kind", "longest", "pattern")
     forms = tokens.where("kind >= 0").select("kind", "shape").distinct()
     found = None
-    for _ in range(rounds):
+    while True:
         if found is None:
             now = edges.where("longest")
         else:
@@ -182,8 +183,13 @@ def bootstrap(tokens: DataFrame, rounds: int, support: int, confidence: float) -
         hit = edges.where("kind = -1").join(trusted, "pattern").join(forms.withColumnRenamed("kind", "to"), ["to", "shape"], "left_semi")
         best = hit.groupBy("row", "start", "end", "to").agg(F.max("score").alias("score"))
         kinds = best.groupBy("row", "start", "end").agg(F.max_by("to", F.struct("score", -F.col("to"))).alias("kind"))
-        found = cut(_apart(kinds))
-    return found
+        if found is not None:
+            old = found.select(F.col("row").alias("row_"), F.col("start").alias("from_"), F.col("end").alias("to_"))
+            kinds = kinds.join(old, F.col("row").eqNullSafe(F.col("row_")) & (F.col("start") < F.col("to_")) & (F.col("end") > F.col("from_")), "left_anti")
+        new = cut(_apart(kinds))
+        if new.isEmpty():
+            return new if found is None else found
+        found = new if found is None else cut(found.unionByName(new))
 
 
 def _apart(spans: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def _apart(spans: DataFrame) -> DataFrame:
     return spans.groupBy("row").agg(item.alias("all")).select("row", F.explode(kept).alias("x")).select("row", "x.*")
 
 
-def personal_data(docs: DataFrame, rounds: int = 2, support: int = 3, confidence: float = 0.8) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """(doc_id, text_key, base, more): base and found spans (start, kind, end) of every row, in code points.
 
     kind is a place in KINDS. base are the valid leftmost matches of each pattern by (start, kind); more are spans
@@ -220,7 +226,7 @@ def personal_data(docs: DataFrame, rounds: int = 2, support: int = 3, confidence
     )
     row = F.struct("doc_id", "text_key").alias("row")
     tokens = bare.where("tokens is not null").select(row, F.explode("tokens").alias("x")).select("row", "x.*").distinct()
-    found = bootstrap(tokens, rounds, support, confidence)
+    found = bootstrap(tokens, support, confidence)
     more = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("more"))
     more = more.select(F.col("row.doc_id").alias("id_"), F.col("row.text_key").alias("key_"), "more")
     out = bare.join(more, bare["doc_id"].eqNullSafe(F.col("id_")) & (bare["text_key"] == F.col("key_")), "left")
