@@ -441,6 +441,17 @@ def test_html_names_are_whole_and_wrappers_pass():
     assert main_text(f"<body><div><p>{long}</p><div class='box ad'>Buy, now.</div><article class='comment'>Nice, post.</article></div></body>") == text
 
 
+def test_html_parses_all_tags_alike():
+    import time
+
+    # from each br on, the quotes run to the apostrophe at the end, which none closes
+    page = "<article><p>" + "<br '>word '" * 200 + "it's</p><p title=\"<b>no</b>\">yes.</p></article>"
+    assert main_text(page).endswith("it's\n\nyes.")
+    began = time.perf_counter()
+    main_text("<article>" + '<a "> " x ' * 100000)
+    assert time.perf_counter() - began < 20
+
+
 def test_html_equals_articles(spark):
     from html import unescape
 

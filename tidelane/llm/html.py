@@ -31,10 +31,10 @@ _NAMES = frozenset(
 _OUTER = frozenset("header footer masthead top bottom".split())
 _COMMENTS = frozenset("comment comments commentlist".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
-#: Quoted values that hold a <; tried where the form above fails, at most so often a page, as each failure may scan it all.
-_QUOTED, _QUOTED_TRIES = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), 50
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+)>")
+#: Tags whose quoted values hold < or > are scanned from quote to quote; those that never end so end at the first >.
+_NAME, _STOP = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)"), re.compile(r"[>\"']")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：\"'()]")
 
@@ -55,6 +55,24 @@ def _named(tag: str, attrs: str, inside: bool) -> bool:
     return not names.isdisjoint(_NAMES) or (not inside and not names.isdisjoint(_OUTER))
 
 
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """The place of the > outside quotes that ends a tag whose name ends at `at`; -1 without one.
+
+    dead: places of opening quotes from which no such > follows, so that a page's failing scans open each quote once.
+    """
+    opened = []
+    while (m := _STOP.search(html, at)) and m[0] != ">":
+        opened.append(m.start())
+        at = -1 if m.start() in dead else html.find(m[0], m.end())
+        if at < 0:
+            break
+        at += 1
+    if at >= 0 and m:
+        return m.start()
+    dead.update(opened)
+    return -1
+
+
 def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
     """(node ids from the root, path of tag names, text, characters in links) of each block that no aside holds, in page order.
 
@@ -67,7 +85,7 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, inside an aside
     text: list[str] = []
     links = articles = serial = in_link = 0
-    at, n, tries = 0, len(html), 0
+    at, n, dead = 0, len(html), set()
 
     def flush() -> None:
         nonlocal links
@@ -93,11 +111,14 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             end = html.find("-->", at + 4)
             at = n if end < 0 else end + 3
             continue
-        m = _TAG.match(html, at)
-        if not m and tries < _QUOTED_TRIES:
-            m = _QUOTED.match(html, at)
-            tries += not m
-        m = m or _LOOSE.match(html, at)
+        m, end = _TAG.match(html, at), -1
+        if m:
+            end = m.end() - 1
+        elif m := _NAME.match(html, at):
+            end = _tag_end(html, m.end(), dead)
+            if end < 0:
+                m = _LOOSE.match(html, at)
+                end = m.end() - 1 if m else -1
         if not m:
             if html.startswith(("<!", "<?", "</"), at):  # declarations, or an end tag without a name
                 end = html.find(">", at)
@@ -108,8 +129,8 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, str, int]]:
                 text.append("<")
                 at += 1
             continue
-        at = m.end()
-        closing, tag, attrs = m[1], m[2].lower(), m[3]
+        at = end + 1
+        closing, tag, attrs = m[1], m[2].lower(), html[m.end(2) : end]
         if tag in RAW:
             if not closing and not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(html, at)
