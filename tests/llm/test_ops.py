@@ -257,14 +257,36 @@ def test_shards_match_the_mixture(spark, docs, odd):
 
 
 def grams(w):
-    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+
+
+def brute_leaks(text, item):
+    """Best window of each document and item over all windows of the item's size, without any filter."""
+    out = {}
+    for d, w in text.items():
+        for i, p in item.items():
+            a = grams(p)
+            for k in range(max(1, len(w) - len(p) + 1)):
+                b = grams(w[k : k + len(p)])
+                s = sum((a & b).values()) / max(sum((a | b).values()), 1)
+                if s >= 0.8 and s > out.get((d, i), (0, 0))[0]:
+                    out[d, i] = (s, k)
+    return out
+
+
+def check_leaks(spark, text, item):
+    docs_ = spark.createDataFrame([(d, " ".join(w)) for d, w in text.items()], "doc_id long, text string").withColumn("Item_ID", F.lit(7)).withColumn("length", F.lit("x"))
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in item.items()], "item_id long, text string").withColumn("DOC_id", F.lit(3))
+    got = leaks(docs_, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == brute_leaks(text, item)
+    return got
 
 
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
     item = {i: [rng.choice(words) for _ in range(rng.randint(15, 45))] for i in range(20)}
-    item[20] = ["a", "b"]
+    item[20], item[21], item[22] = ["a", "b"], ["w1", "w2", "w3", "w4"], ["x"] * 12
     text = {}
     for d in range(60):
         w = [rng.choice(words) for _ in range(rng.randint(0, 80))]
@@ -275,18 +297,39 @@ def test_leaks_equal_brute_force(spark):
             at = rng.randint(0, len(w))
             w[at:at] = p
         text[d] = w
-    want = set()
-    for d, w in text.items():
-        for i, p in item.items():
-            a = grams(p)
-            for k in range(max(1, len(w) - len(p) + 1)):
-                b = grams(w[k : k + len(p)])
-                if a and b and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
-                    want.add((d, i))
-    docs_ = spark.createDataFrame([(d, " ".join(w)) for d, w in text.items()] + [(100, None), (101, ""), (0, " ".join(text[0]))], "doc_id long, text string")
-    got = leaks(docs_, spark.createDataFrame([(i, " ".join(p)) for i, p in item.items()] + [(30, None)], "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and len(want) >= 8
-    assert leaks(docs_.where("false"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+    text[60], text[61], text[62] = ["c", "a", "b", "c"], ["w0", "w1", "w2", "w3", "w4"], ["x"] * 14
+    text[63], text[64] = ["w1", "w2", "w3"], []
+    assert len(check_leaks(spark, text, item)) >= 10
+
+
+def test_leaks_find_windows_between_alignments(spark):
+    """Swapped halves, insertions, a truncated passage, and one in a very long text."""
+    rng = random.Random(5)
+    new = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    item = {i: new(50) for i in range(4)}
+    a, b = item[0][:25], item[0][25:]
+    text = {0: new(100) + b + a + new(40), 1: new(30) + a + b + new(9), 2: new(20) + item[1][:24] + ["in"] + item[1][24:] + new(30)}
+    text[3] = new(20) + item[1][:2] + ["in"] + item[1][2:47] + ["in"] + item[1][47:] + new(30)
+    text[4], text[5] = item[2][:47], new(5) + item[2][4:]
+    text[6] = new(15000) + item[3] + new(700) + item[3][:24] + ["z"] + item[3][25:] + new(10)
+    got = check_leaks(spark, text, item)
+    assert (0, 0) in {(r.doc_id, r.item_id) for r in got} and max(r.bits for r in got) <= 15
+
+
+def test_leaks_odd_rows(spark, odd):
+    one = spark.createDataFrame([(1, "a b c d e f"), (2, None), (None, "word word word word word word"), (3, " ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(odd, one).collect()}
+    assert got == {(None, None), (4, None)}
+    assert leaks(odd.where("false"), one).count() == 0 and leaks(odd, one.where("false")).count() == 0
+
+
+def test_leaks_of_the_tables_equal_brute_force(spark, docs):
+    split = lambda t: [w for w in re.split(r"[ \t-\r]+", (t or "").lower()) if w]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    text = {r.doc_id: split(r.text) for r in docs.collect()}
+    item = {r.item_id: split(r.text) for r in bench.collect()}
+    got = leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == brute_leaks(text, item)
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------
