@@ -62,14 +62,19 @@ def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """Inner join of a left side with hot keys and a right side that has each key once.
+
+    The right side is broadcast if it has no more than `rows` rows. Otherwise every key is dealt over `salts` places
+    by `by`, a hash of the left row, and the right side is repeated for each.
+    """
+    if right.limit(rows + 1).count() <= rows:
+        return left.join(F.broadcast(right), keys)
+    dealt = left.withColumn("salt_", F.pmod(by, F.lit(salts)).cast("int"))
+    copies = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "salt_"]).drop("salt_")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body (or a lambda in it) refers to it."""
     return F.transform(F.array(value), body)[0]
-
-
-def distinct_name(taken: list[str], want: str) -> str:
-    """want, or want with underscores until no column in taken (case aside) has that name."""
-    low = {t.lower() for t in taken}
-    while want.lower() in low:
-        want += "_"
-    return want

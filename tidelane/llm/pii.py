@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut, let
+from tidelane.llm.common import cut, let, lookup, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -129,14 +129,14 @@ def _tokens(text: Column, base: Column) -> Column:
 
     def entry(x: Column, at: Column, p: Column, i: Column) -> Column:
         first = at + F.length(F.regexp_extract(x, edge, 0))
-        back = F.substring(F.concat(*[F.substring(F.coalesce(F.get(p, i - k), F.lit("")), -200, 200) for k in (4, 3, 2, 1)]), -200, 200)
-        before = F.filter(F.split(back, r"\s+"), lambda w: w != "")
-        left = F.lower(F.concat_ws(" ", F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2))))
+        # the two words before, read backwards from the token, however long they and the white space are
+        back = F.reverse(F.concat(*[F.coalesce(F.get(p, i - k), F.lit("")) for k in (4, 3, 2, 1)]))
+        left = F.lower(F.reverse(F.rtrim(F.regexp_replace(F.regexp_extract(back, r"^\s*+(\S++(?:\s++\S++)?+)", 1), r"\s+", " "))))
 
         def made(t: Column, n: Column, left: Column, kind: Column, longest: Column) -> Column:
             core = F.regexp_replace(t, edge + r"|[^A-Za-z0-9]+$", "")
             right = F.lower(F.regexp_extract(F.concat(F.get(p, i + n * 2 - 1), F.coalesce(F.get(p, i + n * 2), F.lit(""))), r"^\s*(\S+)", 1))
-            out = F.struct(first.alias("start"), (first + F.length(core)).alias("end"), left.alias("left"), right.alias("right"), _shape(core).alias("shape"), F.xxhash64(core).alias("value"), kind.alias("kind"), longest.alias("longest"))
+            out = F.struct(first.alias("start"), (first + F.length(core)).alias("end"), left.alias("left"), right.alias("right"), _shape(core).alias("shape"), F.length(F.regexp_replace(core, "[^0-9]", "")).alias("digits"), F.xxhash64(core).alias("value"), kind.alias("kind"), longest.alias("longest"))
             return F.when(F.length(core) > 0, out)
 
         def kinds(near: Column, left: Column) -> Column:
@@ -153,36 +153,52 @@ def _tokens(text: Column, base: Column) -> Column:
     return F.filter(F.flatten(_walk(pieces, entry)), lambda x: x.isNotNull())
 
 
-def bootstrap(tokens: DataFrame, support: int, confidence: float) -> DataFrame:
-    """(row, start, end, kind) of tokens that are no seed but stand in trusted contexts of one kind and have a form of it.
+#: Sides of a pattern: two words before, word before and word after, word before, word after.
+_SIDES = ("L", "B", "l", "r")
 
-    tokens: (row, start, end, left, right, shape, value, kind, longest), kind -1 where no base span touches the
-    instance. The graph joins instances and patterns: (two words before), and (word before, word after). A pattern's
-    score for a kind is the share of its instances that are of the kind, each distinct value once; it is trusted with
-    `support` distinct values of the kind and a score from `confidence` on. Of instances of kind -1 with one start the
-    longest counts. Of found ones that overlap, the earlier round's is kept, then the first, and the longest of one
-    start. A found instance counts from the next round on, in place of the longest one of its start; rounds end when
-    one finds nothing new.
+
+def _edges(instances: DataFrame) -> DataFrame:
+    """instances with side and pattern, a row for each context that has all its words."""
+    word = F.element_at(F.split("left", " "), -1)
+    has_left, has_right = F.col("left") != "", F.col("right") != ""
+    of = {"L": (has_left, F.col("left")), "B": (has_left & has_right, F.concat(word, F.lit(" _ "), F.col("right"))), "l": (has_left, word), "r": (has_right, F.col("right"))}
+    made = [F.when(some, F.struct(F.lit(s).alias("side"), text.alias("pattern"))) for s, (some, text) in of.items()]
+    return instances.withColumn("x", F.explode(F.array_compact(F.array(*made)))).select("*", "x.side", "x.pattern").drop("x", "left", "right")
+
+
+def bootstrap(tokens: DataFrame, support: int, confidence: float, least: float = 0.5) -> DataFrame:
+    """(row, start, end, kind) of tokens that are no seed, stand in trusted contexts and have a form of a kind.
+
+    tokens: (row, start, end, left, right, shape, digits, value, kind, longest), kind -1 where no base span touches
+    the instance. The graph joins instances and patterns of four sides (see _SIDES). A pattern's score is the share of
+    its instances that are identifiers, each distinct value once; it counts with `support` distinct identifiers and a
+    score from `least` on. An instance's score is the best of its two-word patterns', or, of those of one word, what
+    both sides give together, 1 - (1 - a) (1 - b); it is found with `confidence`. Its kind is the one whose seeds have
+    its form most often, with a number of digits between half of their fewest and twice their most.
+
+    Of instances of kind -1 with one start the longest counts. Of found ones that overlap, the earlier round's is
+    kept, then the first, and the longest of one start. A found instance counts from the next round on, in place of the
+    longest one of its start; rounds end when one finds nothing new.
     """
-    edges = tokens.withColumn("word", F.element_at(F.split("left", " "), -1))
-    edges = edges.withColumn("pattern", F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("B:"), "word", F.lit(" _ "), "right")))).where("left <> '' and (pattern like 'L:%' or right <> '')")
-    edges = edges.select("row", "start", "end", "shape", "value", "kind", "longest", "pattern")
-    forms = tokens.where("kind >= 0").select("kind", "shape").distinct()
+    seeds = tokens.where("kind >= 0").groupBy("shape", F.col("kind").alias("to")).agg(F.count("*").alias("n"), F.min("digits").alias("low"), F.max("digits").alias("high"))
+    free = tokens.where("kind = -1").join(lookup(cut(seeds)), "shape").where("2 * digits >= low and digits <= 2 * high")
+    forms = free.groupBy("row", "start", "end", "left", "right").agg(F.max_by("to", F.struct("n", -F.col("to"))).alias("to"))
+    open_ = cut(_edges(forms))
     found = None
     while True:
         if found is None:
-            now = edges.where("longest")
+            now = tokens.where("longest")
         else:
-            given = edges.join(found.select("row", "start", F.col("end").alias("until"), F.col("kind").alias("given")), ["row", "start"], "left")
+            given = tokens.join(found.select("row", "start", F.col("end").alias("until"), F.col("kind").alias("given")), ["row", "start"], "left")
             now = given.where("case when kind < 0 and given is not null then end = until else longest end").withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("given", "kind")).otherwise(F.col("kind")))
         # by value first: a hot pattern is counted in parts before its values meet
-        values = now.groupBy("pattern", "value", "kind").agg(F.lit(1).alias("one"))
-        counts = values.groupBy("pattern", "kind").agg(F.sum("one").alias("n"))
-        totals = counts.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind") >= 0, F.struct("n", "kind"))).alias("top"))
-        trusted = totals.where((F.col("top.n") >= support) & (F.col("top.n") >= confidence * F.col("all"))).select("pattern", F.col("top.kind").alias("to"), (F.col("top.n") / F.col("all")).alias("score"))
-        hit = edges.where("kind = -1").join(trusted, "pattern").join(forms.withColumnRenamed("kind", "to"), ["to", "shape"], "left_semi")
-        best = hit.groupBy("row", "start", "end", "to").agg(F.max("score").alias("score"))
-        kinds = best.groupBy("row", "start", "end").agg(F.max_by("to", F.struct("score", -F.col("to"))).alias("kind"))
+        values = _edges(now).groupBy("side", "pattern", "value").agg(F.max(F.when(F.col("kind") >= 0, 1).otherwise(0)).alias("is"))
+        counts = values.groupBy("side", "pattern").agg(F.sum("is").alias("n"), F.count("*").alias("all"))
+        trusted = cut(counts.where((F.col("n") >= support) & (F.col("n") >= least * F.col("all"))).select("side", "pattern", (F.col("n") / F.col("all")).alias("score")))
+        hit = spread_join(open_, trusted, ["side", "pattern"], F.xxhash64("row", "start"))
+        of = {s: F.max(F.when(F.col("side") == s, F.col("score"))).alias(f"s{i}") for i, s in enumerate(_SIDES)}
+        scored = hit.groupBy("row", "start", "end", F.col("to").alias("kind")).agg(*of.values())
+        kinds = scored.where(F.greatest("s0", "s1", 1 - (1 - F.col("s2")) * (1 - F.col("s3"))) >= confidence).select("row", "start", "end", "kind")
         if found is not None:
             old = found.select(F.col("row").alias("row_"), F.col("start").alias("from_"), F.col("end").alias("to_"))
             kinds = kinds.join(old, F.col("row").eqNullSafe(F.col("row_")) & (F.col("start") < F.col("to_")) & (F.col("end") > F.col("from_")), "left_anti")
