@@ -18,13 +18,13 @@ from tidelane.llm import queries
 from tidelane.llm.components import components
 from tidelane.llm.decontaminate import leaks
 from tidelane.llm.html import extract, main_text
-from tidelane.llm.interleave import shard_digest
+from tidelane.llm.interleave import interleaved, shard_digest
 from tidelane.llm.minhash import confirmed, near_duplicates
 from tidelane.llm.mixing import mixture
 from tidelane.llm.pii import bootstrap, personal_data, personal_digest
 from tidelane.llm.quality import FEATURES, fit, quality, statistics
 from tidelane.llm.tokencount import document_counts, encoder, separator_scan
-from tidelane.llm.topk import best_rows, segment_statistics, top_k
+from tidelane.llm.topk import Side, best_rows, levels, segment_statistics, top_k
 from tidelane.llm.toxicity import segments, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -112,16 +112,101 @@ def test_pii_contexts_follow_chains(spark):
     assert [got[i].n_found for i in range(len(text))] == [0] * 90 + [1] * 27
 
 
+def brute_bootstrap(tokens, support, confidence, least=0.5):
+    """Rounds over the pattern-instance graph in plain Python, on instances of one word each."""
+    forms = collections.defaultdict(collections.Counter)
+    digits = collections.defaultdict(list)
+    for t in tokens:
+        if t["kind"] >= 0:
+            forms[t["shape"]][t["kind"]] += 1
+            digits[t["shape"], t["kind"]].append(t["digits"])
+
+    def patterns(t):
+        word = t["left"].split(" ")[-1]
+        return {"L": t["left"], "l": word, "r": t["right"], "B": f"{word} _ {t['right']}" if word and t["right"] else ""}
+
+    def kind_of(t):
+        ok = [(n, -k) for k, n in forms[t["shape"]].items() if min(digits[t["shape"], k]) <= 2 * t["digits"] and t["digits"] <= 2 * max(digits[t["shape"], k])]
+        return -max(ok)[1] if ok else None
+
+    found = {}
+    while True:
+        seen = collections.defaultdict(dict)
+        for i, t in enumerate(tokens):
+            for side, p in patterns(t).items():
+                if p:
+                    seen[side, p][t["value"]] = seen[side, p].get(t["value"], False) or t["kind"] >= 0 or i in found
+        score = {k: sum(v.values()) / len(v) for k, v in seen.items() if sum(v.values()) >= support and sum(v.values()) >= least * len(v)}
+        new = {}
+        for i, t in enumerate(tokens):
+            if t["kind"] < 0 and i not in found and kind_of(t) is not None:
+                got = {side: score.get((side, p)) for side, p in patterns(t).items() if p}
+                best = max(got.get("L") or 0, got.get("B") or 0)
+                if got.get("l") and got.get("r"):
+                    best = max(best, 1 - (1 - got["l"]) * (1 - got["r"]))
+                if best >= confidence:
+                    new[i] = kind_of(t)
+        if not new:
+            return found
+        found |= new
+
+
+def test_pii_rounds_equal_brute_force(spark):
+    rng = random.Random(4)
+    tokens = []
+    for i in range(900):
+        word = lambda: rng.choice(["a", "b", "c", "d", "e", "f", ""])
+        left = " ".join(x for x in (word(), word()) if x)
+        sure = left[-1:] in ("a", "b", "c")
+        kind = rng.choice([0, 1, 2]) if sure and rng.random() < 0.85 else -1
+        shape = rng.choice(["9", "a9"]) if kind != 1 else "9.9"
+        tokens.append({"row": i, "start": 5, "end": 9, "left": left, "right": word(), "shape": shape if kind >= 0 else rng.choice(["9", "a9", "9.9", "z"]), "digits": rng.randint(4, 30), "value": rng.randrange(600), "kind": kind, "longest": True})
+    df = spark.createDataFrame([tuple(t.values()) for t in tokens], "row long, start int, end int, left string, right string, shape string, digits int, value long, kind int, longest boolean")
+    want = brute_bootstrap(tokens, 3, 0.8)
+    got = {r.row: r.kind for r in bootstrap(df, 3, 0.8).collect()}
+    assert got == want and 20 <= len(want) < sum(t["kind"] < 0 for t in tokens)
+
+
+def test_pii_contexts_have_no_length_limit(spark):
+    valid = [x for x in (f"41111111111{i:05d}" for i in range(1000)) if luhn(x)][:12]
+    long = "w" * 5000
+    rows = [(i, f"my {long} {' ' * 3000}{c} thanks a lot") for i, c in enumerate([*valid, "4111111111111112"])]
+    got = rows_of(personal_digest(personal_data(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert got[12].n_found == 1 and got[0].n_found == 0
+    other = [(i, f"my {long}{i} {' ' * 3000}{c} thanks{i} a lot") for i, c in enumerate([*valid, "4111111111111112"])]
+    assert rows_of(personal_digest(personal_data(spark.createDataFrame(other, "doc_id long, text string"))))[12].n_found == 0
+
+
+def test_pii_odd_rows(spark, odd):
+    rows = [(7, "a@b.co", "en", "s", 1), (7, "a@b.co", "en", "s", 1), (7, "c@d.co 1.2.3.4", "en", "s", 1), (None, "+1 (017) 555-7713", "en", "s", 1), (8, None, None, None, None)]
+    both = odd.unionByName(spark.createDataFrame(rows, DOCS).withColumn("Score", F.lit("x"))).withColumn("Kind", F.lit(1)).withColumn("t", F.lit("a@b.co"))
+    out = personal_digest(personal_data(both)).collect()
+    assert len(out) == len(ODD) + len(rows)
+    assert sorted(r.n_email for r in out if r.doc_id == 7) == [1, 1, 1] and [r.n_phone for r in out if r.doc_id is None and r.n_phone] == [1]
+    assert all(r.spans == "" and r.n_found == 0 for r in out if r.doc_id in (1, 2, 8))
+
+
+def test_pii_contexts_find_planted_numbers(spark):
+    """On a whole table: what contexts add has the form of a card, and texts without digits get nothing."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    added = personal_data(d).where("size(more) > 0").select("doc_id", "more").join(d.select("doc_id", "text"), "doc_id").collect()
+    spans = [r.text[m.start : m.end] for r in added for m in r.more]
+    assert len(spans) >= 5 and all(re.fullmatch(r"[0-9]{16}", x) and not luhn(x) for x in spans)
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"chunk_numbers": 300, "first_rows": 20}])
+def test_top_k_equals_brute_force(spark, limits):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (300, 64)).astype(np.float32)
     x[40:80] = x[40]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 64), (320, [1.0, 2.0]), (340, [0.5, 0.5]), (360, [])]
+    rows += [(None, [1.0] * 64), (380, [1e30] * 64), (400, [float("inf")] * 64)]
     got = collections.defaultdict(list)
-    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, 20).orderBy("query_id", "rank").collect():
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("Score", F.lit(1)).withColumn("dim", F.lit("x"))
+    for r in top_k(df, 20, 20, **limits).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     q = np.floor(64 * x.astype(float)).astype(int)
     for i in range(0, 300, 20):
@@ -129,19 +214,34 @@ def test_top_k_equals_brute_force(spark):
         want = sorted((-int(s[j]), j) for j in range(300) if j != i)[:20]
         assert got[i] == [(j, -v) for v, j in want]
     assert got[320] == [(340, 6144)] and got[340] == [(320, 6144)] and set(got) == {*range(0, 300, 20), 320, 340}
+    assert top_k(df.where("false"), 20, 20).count() == 0
+
+
+def test_top_k_of_repeated_and_large_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1e6, 2.0]), (3, [1e6, 2.0]), (4, [-1e7, 3.0]), (60, [2e7, 1.0]), (80, [3e7, 1.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 2).collect()]
+    want, rows = [], rows[:-1]  # the last one's scores can leave 63 bits
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:2]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want)
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(50, 64)), rng.normal(size=(60, 64))
-    for level in (4, 16, 32):
+    assert levels(64) == [4, 8, 16] and levels(2) == []
+    for level in levels(64):
         assert (segment_statistics(a, level) @ segment_statistics(b, level).T >= a @ b.T - 1e-9).all()
-    q, x = (a * 50).astype(int), (b * 50).astype(int)
-    qi, xi, s = best_rows(q, x, np.arange(60), np.full(50, -1), 5, np.full(50, -np.inf))
+    q, x = Side(np.full(50, -1), (a * 50).astype(int)), Side(np.arange(60), (b * 50).astype(int))
+    qi, xi, s = best_rows(q, 0, 50, x, 5, np.full(50, -np.inf))
     for i in range(50):
-        best = set(np.argsort(-(x @ q[i]))[:5])
+        best = set(np.argsort(-(x.x @ q.x[i]))[:5])
         assert best <= set(xi[qi == i])
-    assert (s == (q[qi] * x[xi]).sum(axis=1)).all()
+    assert (s == (q.x[qi] * x.x[xi]).sum(axis=1)).all()
+    far = Side(np.arange(60), (b * 50).astype(int) - 10**4 * np.sign(q.x[0]))
+    assert not len(best_rows(q, 0, 1, far, 5, np.array([0.0]))[0])  # the box alone is below the floor
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
@@ -244,15 +344,40 @@ def test_shards_match_the_mixture(spark, docs, odd):
     o = shard_digest(odd, 3).toPandas()
     assert len(o) == len(ODD) and o["size"].min() == 8 and shard_digest(docs.where("false"), 3).count() == 0
     # the same law by brute force
-    key = {r.doc_id: hashlib.md5(f"0:{r.doc_id}".encode()).hexdigest() for r in docs.select("doc_id").collect()}
-    src = collections.defaultdict(list)
-    for r in docs.select("doc_id", "source").collect():
+    md5 = lambda x: hashlib.md5(f"0:{x}".encode()).hexdigest()
+    src, text = collections.defaultdict(list), {}
+    for r in docs.select("doc_id", "source", "text").collect():
         src[r.source].append(r.doc_id)
-    frac = sorted(((2 * i + 1) / (2 * len(v)), "1" + s, d) for s, v in src.items() for i, d in enumerate(sorted(v, key=lambda x: key[x])))
-    place = {d: i * 7 // n for i, (_, _, d) in enumerate(frac)}
+        text[r.doc_id] = hashlib.md5(r.text.encode()).hexdigest()
+    size = collections.Counter(text.values())
+    key = {d: md5(d) if size[t] * 7 * 50 > n else md5(t) for d, t in text.items()}
+    frac = []
+    for s, v in src.items():
+        u = int(md5("1" + s)[:8], 16)
+        frac += [((i * 2**32 + u) / (len(v) * 2.0**32), "1" + s, i, d) for i, d in enumerate(sorted(v, key=lambda d: (key[d], md5(d), d)))]
+    place = {d: i * 7 // n for i, (*_, d) in enumerate(sorted(frac))}
     assert dict(zip(out["doc_id"], out["shard"], strict=True)) == place
 
 
+def test_shards_of_many_small_sources_and_groups(spark):
+    """Sources of one row spread over all shards and parts; equal texts come in one shard where counts allow."""
+    rows = [(i, f"text {i // 3}", f"host{i // 6}", "x", 1.0, "mine") for i in range(9000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, p_ string, f_ double, Slot string")
+    one = interleaved(d.where("doc_id % 6 = 0"), 10)
+    assert one.columns == ["doc_id", "text", "source", "p_", "f_", "shard", "slot"]
+    at = one.toPandas()
+    assert at.groupby("shard").size().tolist() == [150] * 10 and sorted(at[at["shard"] == 3]["slot"]) == list(range(150))
+    # the fractions behind the places are spread, too: no hundredth of them holds over five times its share
+    u = [int(hashlib.md5(f"0:1host{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(1500)]
+    assert max(collections.Counter(int(x * 100) for x in u).values()) <= 75
+    same = spark.createDataFrame([(i, f"text {i // 3}", f"s{i % 2}") for i in range(9000)], "doc_id long, text string, source string")
+    got = shard_digest(same, 10).toPandas()
+    split = got.groupby("text_crc32")["shard"].nunique()
+    assert (split > 1).mean() < 0.2
+    hot = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}", "s0") for i in range(3000)], "doc_id long, text string, source string")
+    assert shard_digest(hot, 10).groupBy("shard").count().toPandas()["count"].tolist() == [300] * 10
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -495,6 +620,35 @@ def test_html_parses_all_tags_alike():
     assert time.perf_counter() - began < 20
 
 
+def test_html_path_scores_decide(monkeypatch):
+    """Without article and main, what the page's text is follows from the path ratios alone."""
+    from tidelane.llm import html
+
+    long = "Much, longer text, of a paragraph. " * 12
+    page = f"<body><div class=a><div>Short one</div><div>Or two</div></div><div class=b><h2>Head</h2><p>{long}</p><p>Brief.</p><section class='search-methods'><p>{long}</p></section></div><div class=c><span>More here</span></div></body>"
+    want = f"Head\n\n{long.strip()}\n\nBrief.\n\n{long.strip()}"
+    assert main_text(page) == want
+    monkeypatch.setattr(html, "path_scores", lambda page: dict.fromkeys(page.path, 1.0))
+    assert main_text(page) != want
+
+
+def test_html_is_linear_in_the_page():
+    import time
+
+    for part in ("<div>x", "<blockquote><p>x", "<x-a>", "</b-x><div>", "<p><td><x>", "<table><tr><td>", "<script>", "<!-- ", "<a href='", "<li><ul>y"):
+        began = time.perf_counter()
+        main_text(part * 100_000)
+        assert time.perf_counter() - began < 20, part
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (2, "v", "<p>" + "word " * 400_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("mine")).withColumn("n_chars", F.lit("x"))
+    out = sorted((r.page_id, r.n_chars) for r in extract(d).collect())
+    assert out == [(1, 1), (1, 1), (2, 5 * 400_000 - 1)]
+    assert extract(d.where("false")).count() == 0
+
+
 def test_html_equals_articles(spark):
     from html import unescape
 

@@ -118,6 +118,24 @@ summed AS (
   SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('mix:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turns)
 SELECT doc_id, epoch, domain, lang, source, n_tokens FROM summed WHERE epoch < whole OR (rest > 0 AND before < rest)""",
+    # the checksum is folded over a text's bytes with the 256 values of the reflected polynomial 0xEDB88320
+    "op7_sharding": """
+WITH steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
+d AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS s,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+h AS (
+  SELECT doc_id, s, len(bytes) + 8 AS size, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS text_crc32,
+    md5('shard:' || md5(text)) AS g, md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM d, steps),
+k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY g) * 1200 > count(*) OVER () THEN o ELSE g END AS key FROM h),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY key, o, doc_id) AS r, count(*) OVER (PARTITION BY s) AS n, count(*) OVER () AS total,
+    CAST('0x' || substr(md5('shard:' || s), 1, 8) AS BIGINT) AS u FROM k),
+a AS (SELECT *, row_number() OVER (ORDER BY CAST((r - 1) * 4294967296 + u AS DOUBLE) / (n * 4294967296.0::DOUBLE), s, r) - 1 AS place FROM r),
+p AS (SELECT *, CAST(place * 24 // total AS INTEGER) AS shard FROM a)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(place - (CAST(shard AS BIGINT) * total + 23) // 24 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM p""",
     "op8_minhash": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS ws FROM documents),
