@@ -17,8 +17,10 @@ from tidelane.llm.words import NO_LETTER, slices, stems
 SAMPLE_ROWS = 20_000
 #: The Dirichlet prior of a token: a flat part and this share of its texts in both classes.
 PRIOR_FLAT, PRIOR_SHARE = 0.5, 0.05
-#: Least z value of a token that can score above 0.
-LEAST_Z = 3.0
+#: Log-odds of fewer standard errors than this are taken as 0, others are drawn towards it (the nonnegative garrote).
+SURE = 2.5
+#: What every word costs a passage.
+DRIFT = 0.05
 #: A word's tokens are itself and its first so many bytes.
 STEMS = (4, 5, 6)
 #: Chance in clean text of a passage that still counts as significant.
@@ -60,22 +62,23 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Lexicon:
-    """Sorted token hashes, the score above the drift that each adds, and the drift of every word."""
+    """Sorted token hashes and the log-odds of each, what a word costs, and the calibration."""
 
     keys: np.ndarray
     gain: np.ndarray
-    drift: float = 0.05
+    drift: float = DRIFT
     rate: float = 1.0
     log_k: float = 0.0
     weights: tuple[float, ...] = (-2.0, 0.0, 0.0)
 
     def gains(self, tokens: list[np.ndarray]) -> np.ndarray:
-        """For each word the highest gain of its tokens."""
+        """For each word the log-odds of the one of its tokens that says most."""
         best = np.zeros(len(tokens[0]))
         if len(self.keys):
             for h in tokens:
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                np.maximum(best, np.where(self.keys[at] == h, self.gain[at], 0.0), out=best)
+                own = np.where(self.keys[at] == h, self.gain[at], 0.0)
+                best = np.where(np.abs(own) > np.abs(best), own, best)
         return best
 
 
@@ -149,22 +152,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_odds(sample: DataFrame) -> Lexicon:
     """Token log-odds between the classes with an informative Dirichlet prior; a token counts once for each text.
 
-    Counts are summed over the sample's rows in Spark, and only tokens whose z value is LEAST_Z or more come to the
-    driver; their gain is the log-odds less one standard error.
+    Counts are summed over the sample's rows in Spark. Log-odds of either sign keep the part 1 - (SURE / z)^2 of
+    themselves, z being their standard errors; tokens that keep none do not come to the driver.
     """
     counts = sample.select("text", "y").mapInArrow(_tokens, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = counts.withColumn("p", PRIOR_FLAT + PRIOR_SHARE * (F.col("t") + F.col("c")))
-    counts = cut(counts)
+    counts = cut(counts.withColumn("p", PRIOR_FLAT + PRIOR_SHARE * (F.col("t") + F.col("c"))))
     nt, nc, a0 = (float(x or 0) for x in counts.agg(F.sum("t"), F.sum("c"), F.sum("p")).head())
+    if not nt or not nc:
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     odds = lambda k, n: F.log((F.col(k) + F.col("p")) / (n + a0 - F.col(k) - F.col("p")))
     delta = odds("t", nt) - odds("c", nc)
     error = F.sqrt(1 / (F.col("t") + F.col("p")) + 1 / (F.col("c") + F.col("p")))
-    if not nt or not nc:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
-    rows = counts.select("token", delta.alias("d"), error.alias("e")).where((F.col("d") >= LEAST_Z * F.col("e")) & F.col("d").isNotNull()).toPandas()
+    sure = F.greatest(1 - (SURE * error / delta) ** 2, F.lit(0.0))
+    rows = counts.where(F.abs(delta) > SURE * error).select("token", (delta * sure).alias("gain")).toPandas()
     keys = rows["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return Lexicon(keys[order], (rows["d"] - rows["e"]).to_numpy(float)[order])
+    return Lexicon(keys[order], rows["gain"].to_numpy(float)[order])
 
 
 def _observed(model: Lexicon):
@@ -173,7 +176,7 @@ def _observed(model: Lexicon):
             n, values, times = [], [], []
             best: list[list[float]] = []
             for g in texts_gains(model, batch.column(0)):
-                up, many = np.unique(g[g > 0], return_counts=True)
+                up, many = np.unique(g[g != 0], return_counts=True)
                 n.append(len(g))
                 values.append(up.tolist())
                 times.append(many.tolist())
