@@ -674,6 +674,32 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in comp.items() if i == c}
 
 
+def test_pipeline_stages_equal_brute_force(spark, odd):
+    """What each stage decides on rows with null ids and texts, repeated rows and benchmark passages."""
+    import corpus_pipeline as P
+
+    split = lambda t: [w for w in re.split(r"[ \t-\r]+", (t or "").lower()) if w]
+    bench = [split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(30)]
+    rows = [(i, t, "en", f"src{i % 4}", 1) for i, t in enumerate(text)] + [(100, text[0] + " x", "en", "src1", 1), (7, text[7], "en", "src3", 1)]
+    rows += [(200, text[1] + " " + " ".join(bench[0]), "en", "src0", 1), (None, " ".join(bench[1]), "de", "src0", 1), (None, "clean words only", "de", None, 1), (201, None, None, None, None)]
+    ds = spark.createDataFrame(rows, DOCS)
+    kept = P.drop_near_duplicates(spark, ds, SF)
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted([*range(1, 30), -1, -1, -1, 200, 201])
+    clean = P.drop_leaks(spark, kept, SF).collect()
+    assert sorted((r.doc_id or -1) for r in clean) == sorted([*range(1, 30), -1, -1, 201])
+    mixed = P.mix(spark, ds, SF).toPandas()
+    tokens = lambda p: p["text"].fillna("").str.split().str.len().groupby(p["source"].fillna("src0")).sum()
+    cap, got = tokens(ds.toPandas()), tokens(mixed)
+    total = min(cap[f"src{i}"] * 10 // w for i, w in enumerate((4, 3, 2, 1)))
+    assert all(abs(got[f"src{i}"] - total * w / 10) <= 130 for i, w in enumerate((4, 3, 2, 1)))
+    assert set(P.shard(spark, ds, SF).toPandas()["slot"]) <= {0, 1}
+    for _, stage in P.STAGES:
+        assert stage(spark, ds.where("false"), SF).count() == 0
+    assert len(P.drop_leaks(spark, odd, SF).columns) == len(odd.columns)
+
+
 def test_queries_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

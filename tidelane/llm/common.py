@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,23 +14,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that is unset it is a folder in the warehouse, or in local mode, where driver and tasks are one process, a
+    temporary one.
+    """
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     if path := spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None):
         return path
-    path = tempfile.mkdtemp(prefix="tidelane-")
+    local = spark.sparkContext.master.startswith("local")
+    path = tempfile.mkdtemp(prefix="tidelane-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidelane-shared"
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared folder, below one folder for each application (see clean)."""
+    return f"{shared_dir(spark)}/tidelane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application wrote to the shared folder. DataFrames that read from it can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidelane-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read from there: lost executors do not bring its lineage back."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+    """df, written once to the shared folder as Parquet and read from there.
+
+    Lost executors do not bring its lineage back, and readers get columns and sizes of a table.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def learnable(doc_id: Column) -> Column:

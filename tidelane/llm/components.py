@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut
+from tidelane.llm.common import BROADCAST_ROWS, cut
 
+#: Neighbours from which on a node is hot at least.
+HOT = 1000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours (the larger ones, or itself and the smaller ones) linked to the least node that it sees."""
+
+def _star(edges: DataFrame, large: bool, hot_from: int) -> DataFrame:
+    """Each node's neighbours (the larger ones, or itself and the smaller ones) linked to the least node that it sees.
+
+    Minima are pre-aggregated. A hot node's neighbours take theirs from a broadcast table, the others by a shuffle, so
+    that none meet in one task.
+    """
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-    least = both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("low"))
-    seen = both.join(least, "n")
+    least = both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("low"), F.count("*").alias("degree"))
+    hot = least.where(F.col("degree") >= hot_from).select("n", "low")
+    near = both.join(F.broadcast(hot), "n", "left")
+    seen = near.where("low is not null").unionByName(near.where("low is null").drop("low").join(least.select("n", "low"), "n"))
     if large:
         out = seen.where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v"))
     else:
@@ -22,23 +31,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, component): for each node of an edge (u, v), the least node that it reaches.
 
-    Null ends and loops are dropped; no edges give no rows. Every round is written to the shared folder. A node's
-    neighbours never meet in one place: only minima and joins by node are taken.
+    Null ends and loops are dropped; no edges give no rows. Rounds, each written to the shared folder, go on until one
+    changes nothing; every round lowers some node's neighbour, and as many as the logarithm of the longest chain are
+    usual. A node is hot from `hot` neighbours on, and from so many that no more than BROADCAST_ROWS nodes are.
     """
     kind = edges.schema["u"].dataType
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         tally = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).head()
         if not tally[0] or tuple(tally) == before:
             break
         before = tuple(tally)
-        now = cut(_star(_star(now, True), False))
-    else:
-        raise RuntimeError("components did not settle")
+        hot_from = max(hot, 1 + 2 * tally[0] // BROADCAST_ROWS)
+        once = _star(now, True, hot_from)
+        now = cut(_star(cut(once), False, hot_from))
     tops = now.select(F.col("v").alias("node")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))

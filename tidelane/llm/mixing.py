@@ -51,18 +51,25 @@ def _shared(nodes: DataFrame, parent: list[str], child: str, weight: Column) ->
     return x.withColumn("got", F.when(F.col("last"), F.least("cap", F.col("part") + F.col("spare"))).otherwise(F.col("part"))).drop("w", "left", "ws", "full", "open", "rest", "wr", "part", "last", "spare")
 
 
-def leaf_budgets(leaves: DataFrame, total: Column | int | None, share: tuple[int, int], domains: dict[str, int], languages: dict[str, int], sources: dict[str, int], max_epochs: int, other: int = 1) -> DataFrame:
+def leaf_budgets(leaves: DataFrame, total: Column | int | None, share: tuple[int, int] | None, domains: dict[str, int], languages: dict[str, int], sources: dict[str, int], max_epochs: int, other: int = 1) -> DataFrame:
     """(domain, lang, source, tokens, got) for leaves (domain, lang, source, tokens).
 
     A node can give its leaves' tokens times max_epochs at most. The budget is total, or share (a/b) of what the root
-    can give. Each level shares its budget among its children (see _shared): what a child can't give goes to its
+    can give, or without both the largest one at which every domain gives its weight. Each level shares its budget among its children (see _shared): what a child can't give goes to its
     siblings, and to the level above only when no sibling has room, since a node's own cap is its leaves' sum.
     """
     leaf = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     lang = leaf.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
     dom = lang.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("root", F.lit(0))
     room = F.sum("cap").over(Window.partitionBy("root"))
-    want = F.expr(f"({{}} * {int(share[0])}) div {int(share[1])}".format("sum(cap) over (partition by root)")) if total is None else (F.lit(total) if isinstance(total, int) else total)
+    dom = dom.withColumn("weight", weight_of("domain", domains, other))
+    if total is not None:
+        want = F.lit(total) if isinstance(total, int) else total
+    elif share is not None:
+        want = F.expr(f"(sum(cap) over (partition by root) * {int(share[0])}) div {int(share[1])}")
+    else:
+        dom = dom.withColumn("weights", F.sum("weight").over(Window.partitionBy("root")))
+        want = F.min(F.when(F.col("weight") > 0, F.expr("cast(floor(cast(cap as decimal(38,0)) * weights / weight) as long)"))).over(Window.partitionBy("root"))
     dom = dom.withColumn("budget", F.least(room, want.cast("long")))
     dom = _shared(dom, ["root"], "domain", weight_of("domain", domains, other)).select("domain", F.col("got").alias("budget"))
     lang = _shared(lang.join(dom, "domain"), ["domain"], "lang", weight_of("lang", languages, other)).select("domain", "lang", F.col("got").alias("budget"))
@@ -75,14 +82,15 @@ def mixture(
     languages: dict[str, int],
     sources: dict[str, int] | None = None,
     total: int | None = None,
-    share: tuple[int, int] = (1, 2),
+    share: tuple[int, int] | None = (1, 2),
     max_epochs: int = 1,
     seed: str = "0",
     other: int = 1,
     domain: Column | None = None,
     parts: int = PARTS,
 ) -> DataFrame:
-    """(doc_id, epoch, domain, lang, source, n_tokens) of the chosen rows; docs' other columns but text are not read.
+    """(doc_id, epoch, domain, lang, source, n_tokens, text_key) of the chosen rows; docs' other columns but text are not
+    read. text_key is xxhash64 of the text.
 
     Weights are whole numbers and `other` holds for names without one. Each leaf's rows are put in an order of their
     own for each epoch, by the MD5 of seed, epoch and doc_id; the leaf takes whole epochs and then the prefix whose
@@ -96,6 +104,7 @@ def mixture(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         (numbered_domain(F.col("source").cast("string")) if domain is None else F.coalesce(domain, F.lit(""))).alias("domain"),
         token_count(F.col("text")).alias("n_tokens"),
+        F.xxhash64("text").alias("text_key"),
     )
     rows = cut(leafed)
     key = ["domain", "lang", "source"]
@@ -113,5 +122,5 @@ def mixture(
     starts = sums.select(*key, "p_", F.coalesce(F.sum("t_").over(along), F.lit(0)).alias("b_"))
     inside = Window.partitionBy(*key, "p_").orderBy("h_", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     part = part.join(starts, [*key, "p_"]).where("b_ < rest").withColumn("b_", F.col("b_") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("b_ < rest")
-    cols = ["doc_id", "epoch", *key, "n_tokens"]
+    cols = ["doc_id", "epoch", *key, "n_tokens", "text_key"]
     return full.select(*cols).unionByName(part.select(*cols))

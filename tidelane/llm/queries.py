@@ -45,7 +45,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"), DOMAINS, LANGUAGES, share=(3, 5), max_epochs=2, seed="mix")
+    out = mixture(table(spark, sf_dir, "documents"), DOMAINS, LANGUAGES, share=(3, 5), max_epochs=2, seed="mix")
+    return out.drop("text_key")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import shared_dir
+from tidelane.llm.common import scratch
 
 #: Bytes of a block, two for each id.
 BLOCK_BYTES = 1 << 20
@@ -122,7 +121,7 @@ def separator_scan(blocks: DataFrame, separator: int, span: int = SPAN) -> DataF
 def document_counts(docs: DataFrame, vocabulary: str, pattern: str, separator: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, file, ordinal) for each row of docs, counted in flat files written to the shared folder."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    path = scratch(spark, "flat")
     write_flat(docs, path, vocabulary, pattern, separator, block_bytes)
     read = spark.read.schema("file int, place long, payload binary, doc_id long, kind string").parquet(path)
     blocks = read.where("kind = 'block'").select("file", F.col("place").alias("block"), "payload")
