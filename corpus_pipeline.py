@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import shared_dir, table
+from tidelane.llm.common import scratch, table
 from tidelane.llm.decontaminate import leaks
 from tidelane.llm.interleave import shard_digest
 from tidelane.llm.minhash import near_duplicates
@@ -16,28 +14,39 @@ from tidelane.llm.quality import quality
 from tidelane.llm.queries import DOMAINS, LANGUAGES
 
 
+def rows_in(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """docs whose (doc_id, text) is among chosen's (doc_id, text_key), or left_anti: is not. Null ids are equal."""
+    keys = chosen.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(docs["text"]) == F.col("key_"))
+    return docs.join(keys, same, how).select(*docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more; the model learns from the labelled rows among them."""
     return quality(docs, table(spark, sf_dir, "labels"), threshold=0.3).where("predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by five-word shingles at 0.8. Rows without doc_id stay."""
-    kept = near_duplicates(docs, k=5, percent=80)
-    return docs.join(kept.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the least doc_id, of each group linked by five-word shingles at 0.8, and one of equal rows.
+
+    Rows of one doc_id go together. Rows without doc_id are not held against others and stay.
+    """
+    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = out.groupBy("doc_id", F.xxhash64("text").alias("text_key")).count().where("count > 1 and doc_id is not null")
+    if twice.isEmpty():
+        return out
+    return rows_in(out, twice, "left_anti").unionByName(rows_in(out, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. Rows without doc_id are not checked and stay."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a benchmark passage."""
+    return rows_in(docs, leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the target mixture, three fifths of the tokens, each at most once. Rows are chosen by doc_id:
-    a null one is never chosen, and rows of one doc_id go together."""
-    chosen = mixture(docs, DOMAINS, LANGUAGES, share=(3, 5), max_epochs=1, seed="mix")
-    return docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Documents of the largest mixture in which every domain has its weight and no token comes twice."""
+    return rows_in(docs, mixture(docs, DOMAINS, LANGUAGES, share=None, max_epochs=1, seed="mix"), "left_semi")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+    for _, stage in STAGES[:-1]:
+        path = scratch(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
