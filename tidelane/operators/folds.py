@@ -189,7 +189,12 @@ def resample(rows: DataFrame, interval_ms: int) -> DataFrame:
 
 @dataclass
 class Recorder:
-    """Which frames to save and why; a sharp change saves the frame before too, unless it was saved."""
+    """Which frames to save and why.
+
+    A frame's events are, by precedence: a sharp change (from `gap` after the last save on; it saves the frame before
+    too, unless that was saved), the population colour lighting up or having been out for `window`, the first frame,
+    and `interval` since the last save. The frame on which the match is lost ends it and is always saved.
+    """
 
     interval: int = C.RECORD_INTERVAL_MS
     gap: int = C.RECORD_GAP_MS
@@ -197,52 +202,68 @@ class Recorder:
     count_jump: int = C.COUNT_JUMP
     window: int = C.BLINK_WINDOW_MS
     saved_at: int | None = None
-    blinked_at: int | None = None
-    before: tuple | None = None
-
-    def _blink(self, ts: int, color: str | None) -> str | None:
-        if color not in (None, "white"):
-            fresh, self.blinked_at = self.blinked_at is None, ts
-            return "pop_color:start" if fresh else None
-        if self.blinked_at is not None and ts - self.blinked_at >= self.window:
-            self.blinked_at = None
-            return "pop_color:end"
-        return None
-
-    def _changed(self, totals: dict, counts: dict) -> str | None:
-        for now, old, least in ((totals, self.before[1], self.jump), (counts, self.before[2], self.count_jump)):
-            for name, v in now.items():
-                w = old.get(name)
-                if (v is None) != (w is None) or (v is not None and abs(v - w) >= least):
-                    return name
-        return None
+    lit_at: int | None = None
+    shown: dict | None = None
+    pending: object = None  # the last frame, if it was not saved
+
+    def _moved(self, now: dict[str, int | None], steps: dict[str, int]) -> str | None:
+        """The first number that moved by its step or that only one of the two frames shows."""
+        pairs = ((name, self.shown.get(name), v) for name, v in now.items())
+        return next((name for name, old, v in pairs if (old is None) ^ (v is None) or None not in (old, v) and abs(v - old) >= steps[name]), None)
+
+    def _lamp(self, ts: int, lit: bool) -> str | None:
+        """start or end as the lamp goes from out to lit, or has been out for the window."""
+        was = self.lit_at
+        turn = {(True, True): "start", (False, False): "end"}.get((lit, was is None))
+        if lit:
+            self.lit_at = ts
+        elif was is not None and ts - was < self.window:
+            turn = None
+        elif was is not None:
+            self.lit_at = None
+        return turn
 
     def offer(self, tag: object, ts: int, totals: dict, counts: dict, color: str | None) -> list[tuple[object, str]]:
-        blink = self._blink(ts, color)
-        since = None if self.saved_at is None else max(ts - self.saved_at, 0)
-        change = self._changed(totals, counts) if self.before and since is not None and since >= self.gap else None
-        why = f"change:{change}" if change else blink or ("first" if since is None else "interval" if since >= self.interval else None)
-        out: list[tuple[object, str]] = []
-        if why:
-            if change and not self.before[3]:
-                out.append((self.before[0], "before"))
-            out.append((tag, why))
-            self.saved_at = ts
-        self.before = (tag, totals, counts, bool(why))
+        """(tag, reason) of the frames that this one makes worth saving."""
+        numbers = totals | counts
+        steps = dict.fromkeys(totals, self.jump) | dict.fromkeys(counts, self.count_jump)
+        age = None if self.saved_at is None else max(ts - self.saved_at, 0)
+        lamp = self._lamp(ts, color not in (None, "white"))
+        moved = self._moved(numbers, steps) if self.shown is not None and age is not None and age >= self.gap else None
+        due = "first" if age is None else "interval" if age >= self.interval else None
+        events = [moved and f"change:{moved}", lamp and f"pop_color:{lamp}", due]
+        reason = next(filter(None, events), None)
+        out = [(self.pending, "before")] if moved and self.pending is not None else []
+        self.shown, self.pending = numbers, tag
+        if reason:
+            out.append((tag, reason))
+            self.saved_at, self.pending = ts, None
         return out
 
+    def end(self, tag: object) -> list[tuple[object, str]]:
+        """The frame on which the match was lost."""
+        return [(tag, "end")]
+
 
 def recorded(rows: DataFrame, totals: list[str], counts: list[str], **options: int) -> DataFrame:
-    """(match_id, seq, reason) of saved frames."""
+    """(match_id, seq, reason) of saved frames, by time.
+
+    rows (match_id, seq, ts_ms, color, totals, counts) may have `lost`: the first frame where it is true ends the
+    match, and later ones are not looked at.
+    """
+    ends = "lost" in rows.columns
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         r, out = Recorder(**options), []
         num = lambda v: None if pd.isna(v) else int(v)
         for x in p.to_dict("records"):
+            if ends and x["lost"]:
+                out += r.end(x["seq"])
+                break
             out += r.offer(x["seq"], int(x["ts_ms"]), {c: num(x[c]) for c in totals}, {c: num(x[c]) for c in counts}, x["color"] if isinstance(x["color"], str) else None)
         return pd.DataFrame([(p["match_id"].iloc[0], *o) for o in out], columns=["match_id", "seq", "reason"])
 
-    return per_match(rows.select("match_id", "seq", "ts_ms", "color", *totals, *counts), run, "match_id long, seq long, reason string")
+    return per_match(rows.select("match_id", "seq", "ts_ms", "color", *totals, *counts, *(["lost"] if ends else [])), run, "match_id long, seq long, reason string")
 
 
 # session ----------------------------------------------------------------------------------------------------------
