@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from tidelane.constants import RESOURCES
 from tidelane.functions.cost import market_sale, wall_cost
 from tidelane.operators.folds import per_match
-from tidelane.operators.lookups import latest_per_key, misses, small
+from tidelane.operators.lookups import misses, small
 
 #: The operations' contract. code is the building type of dequeue, the resource of sell; ids are the selected objects.
 OPS = "match_id long, op_seq long, kind string, time_increment long, player_id int, type_id long, object_id long, amount long, x double, y double, x2 double, y2 double, code long, ids array<long>"
@@ -132,15 +132,21 @@ def is_refund() -> Column:
     return F.col("kind").isin("unqueue", "delete") | F.col("gives_resources")
 
 
+def is_spend() -> Column:
+    """Whether an event costs anything."""
+    return F.greatest(*[F.coalesce(F.col(r), F.lit(0)) for r in RESOURCES]) > 0
+
+
 def players(rows: DataFrame, civs: DataFrame) -> DataFrame:
     """(match_id, slot, name, civ, place) of players (match_id, slot, name, ai_name, player_type, civ_id, rec_player).
 
-    People, computers and anyone with a name; the recorded player comes first, others by slot.
+    People, computers and anyone with a name; the recorded player comes first, others by slot. civs has each id once,
+    as read_id_names gives it.
     """
     filled = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
     own = F.coalesce(F.when(filled("name").isNotNull(), F.col("name")), F.when(filled("ai_name").isNotNull(), F.col("ai_name")))
     x = rows.withColumn("shown", F.coalesce(own, F.format_string("Player %d", "slot"))).where(F.col("player_type").isin(2, 4) | own.isNotNull())
-    x = x.join(small(latest_per_key(civs, "id", ["name"]).select(F.col("id").alias("civ_id"), F.col("name").alias("civ"))), "civ_id", "left")
+    x = x.join(small(civs.select(F.col("id").alias("civ_id"), F.col("name").alias("civ"))), "civ_id", "left")
     w = Window.partitionBy("match_id").orderBy(F.when(F.col("slot") == F.col("rec_player"), 0).otherwise(1), "slot")
     return x.select("match_id", "slot", F.col("shown").alias("name"), F.coalesce("civ", F.format_string("Unknown Civ %d", "civ_id")).alias("civ"), F.row_number().over(w).alias("place"))
 

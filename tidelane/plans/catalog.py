@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelane.plans import domain, folded, temporal
+from tidelane.plans import domain, engine, folded, games, temporal
 
-QUERIES = temporal.QUERIES | domain.QUERIES | folded.QUERIES
-ORACLE_SQL = temporal.ORACLE_SQL | domain.ORACLE_SQL | folded.ORACLE_SQL
+QUERIES = temporal.QUERIES | domain.QUERIES | folded.QUERIES | engine.QUERIES | games.QUERIES
+ORACLE_SQL = temporal.ORACLE_SQL | domain.ORACLE_SQL | folded.ORACLE_SQL | engine.ORACLE_SQL | games.ORACLE_SQL
