@@ -72,15 +72,6 @@ def int_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("long")), lambda x: x.isNotNull())
 
 
-def event_kind(description: Column) -> Column:
-    """A spend's kind by how its description begins; null where no rule holds. Rules go in order."""
-    rules = (("Farm", "reseed"), ("Market", "market"), ("Research", "research"), ("Queue", "queue"), ("Unqueue", "unqueue"), ("Build", "build"), ("Delete", "delete"))
-    out = F.lit(None).cast("string")
-    for prefix, kind in reversed(rules):
-        out = F.when(description.startswith(prefix), kind).otherwise(out)
-    return out
-
-
 def stem(text: Column) -> Column:
     """The text before the first dot."""
     return F.substring_index(text, ".", 1)

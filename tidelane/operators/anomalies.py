@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelane.operators import asof
+
 
 def neighbours(series: DataFrame) -> DataFrame:
     """series (match_id, ts_ms, seq, value, not null) with prev, next, prev_ts and glitch: A-B-A, where B is a misread."""
@@ -28,12 +30,34 @@ def spikes(series: DataFrame, by: int) -> DataFrame:
     return x.where((F.col("value") + by < F.least("prev", "next")) | (F.col("value") > F.greatest("prev", "next") + by)).select("match_id", "seq", "ts_ms", "prev", "value", "next")
 
 
+def merged_drops(rows: DataFrame, columns: list[str], gap_ms: int) -> DataFrame:
+    """(match_id, seq, at_ms, slack_ms, a fall of each column, 0 where it did not fall): a row for each reading with a drop.
+
+    Each column falls between its own readings (see drops); a reading's falls are one row, which lies between it and
+    the latest of the readings that its columns fell from.
+    """
+    w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
+    part = None
+    for c in columns:
+        x = neighbours(rows.select("match_id", "seq", "ts_ms", F.col(c).alias("value"))).withColumn("was_glitch", F.coalesce(F.lag("glitch").over(w), F.lit(False)))
+        x = x.where((F.col("value") < F.col("prev")) & (F.col("ts_ms") - F.col("prev_ts") <= gap_ms) & ~F.col("glitch") & ~F.col("was_glitch"))
+        x = x.select("match_id", "seq", "ts_ms", "prev_ts", *[(F.col("prev") - F.col("value") if k == c else F.lit(0)).cast("long").alias(k) for k in columns])
+        part = x if part is None else part.unionByName(x)
+    one = part.groupBy("match_id", "seq", "ts_ms").agg(F.max("prev_ts").alias("prev_ts"), *[F.sum(c).alias(c) for c in columns])
+    return one.select("match_id", "seq", ((F.col("prev_ts") + F.col("ts_ms")) / 2.0).alias("at_ms"), ((F.col("ts_ms") - F.col("prev_ts")) / 2.0).alias("slack_ms"), *columns)
+
+
 def large_increases(series: DataFrame, refunds: DataFrame, by: int, before_ms: int, after_ms: int) -> DataFrame:
-    """Rises above `by` after a reading that is no glitch, without a refund from before_ms before to after_ms after."""
+    """Rises above `by` after a reading that is no glitch, without a refund from before_ms before to after_ms after.
+
+    The last refund up to after_ms after each rise is carried to it; the rise stays if that one is too old.
+    """
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
     x = neighbours(series).withColumn("was_glitch", F.coalesce(F.lag("glitch").over(w), F.lit(False))).where((F.col("value") > F.col("prev") + by) & ~F.col("was_glitch"))
-    near = (F.col("x.match_id") == F.col("f.match_id")) & F.col("f.ts_ms").between(F.col("x.ts_ms") - before_ms, F.col("x.ts_ms") + after_ms)
-    return x.alias("x").join(refunds.alias("f"), near, "left_anti").select("match_id", "seq", "ts_ms", (F.col("value") - F.col("prev")).alias("rise"))
+    rise = x.select("match_id", "seq", F.col("ts_ms").alias("at_"), (F.col("ts_ms") + after_ms).alias("ts_ms"), (F.col("value") - F.col("prev")).alias("rise"))
+    back = refunds.select("match_id", "ts_ms", F.lit(0).cast("long").alias("seq"), F.col("ts_ms").alias("refund_"))
+    had = asof.backward(rise, back, "refund_", "last_")
+    return had.where(F.col("last_").isNull() | (F.col("last_") < F.col("at_") - before_ms)).select("match_id", "seq", F.col("at_").alias("ts_ms"), "rise")
 
 
 def invariant_runs(rows: DataFrame, broken: Column) -> DataFrame:

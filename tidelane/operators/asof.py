@@ -41,3 +41,14 @@ def clock(times: DataFrame, knots: DataFrame, before: float, after: float) -> Da
     kx, ky, nx, ny = (F.col(f"k.{c}") for c in ("kx", "ky", "nx", "ny"))
     y = F.when(F.col("k").isNull(), F.col("f.fy") - (F.col("f.fx") - F.col("x")) * before).when(nx.isNull(), ky + (F.col("x") - kx) * after).otherwise(ky + (ny - ky) * (F.col("x") - kx) / (nx - kx))
     return both.where("side_ = 1").select(*times.columns, y.alias("y"))
+
+
+def agreement(samples: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """samples with agrees: whether their key is that of the row in effect at their time, or of the one before or after it.
+
+    Null keys agree with nothing; a sample before the first row has none in effect and does not agree.
+    """
+    w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
+    near = rows.select("match_id", "ts_ms", "seq", F.array(F.col(key), F.lag(key).over(w), F.lead(key).over(w)).alias("near_"))
+    found = backward(samples, near, "near_", "keys_")
+    return found.withColumn("agrees", F.coalesce(F.exists("keys_", lambda k: k == F.col(key)), F.lit(False))).select(*samples.columns, "agrees")

@@ -184,6 +184,27 @@ def resample(rows: DataFrame, interval_ms: int) -> DataFrame:
     return per_match(rows.select("match_id", "seq", "ts_ms"), lambda p: p[kept_apart(p["ts_ms"], interval_ms)], "match_id long, seq long, ts_ms long")
 
 
+def sampled(rows: DataFrame, interval_ms: int) -> DataFrame:
+    """(match_id, seq, ts_ms) of the rows that reach the next point of a grid from each match's first row (see on_schedule)."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return p[on_schedule((p["ts_ms"] - p["ts_ms"].iloc[0]) / 1000, interval_ms / 1000)]
+
+    return per_match(rows.select("match_id", "seq", "ts_ms"), run, "match_id long, seq long, ts_ms long")
+
+
+def outliers(rows: DataFrame, value: str, target: object, interval_ms: int) -> DataFrame:
+    """The sampled rows whose value is not the target; an unread one is none."""
+    kept = sampled(rows, interval_ms).select("match_id", "seq")
+    return rows.join(kept, ["match_id", "seq"], "left_semi").where(~F.col(value).eqNullSafe(F.lit(target)))
+
+
+def sampled_states(frames: DataFrame, interval_ms: int, **limits: int) -> DataFrame:
+    """Housing states of the frames that sampling keeps: a recording read every interval, then bridged."""
+    kept = sampled(frames, interval_ms).select("match_id", "seq")
+    return bridge_states(frames.join(kept, ["match_id", "seq"], "left_semi"), **limits)
+
+
 # recorder ---------------------------------------------------------------------------------------------------------
 
 
@@ -337,6 +358,13 @@ def left_over(falls: dict[str, list[list]]) -> tuple[int, list[tuple[str, int, i
     return len(seeds), sorted((x for x in rest if x not in seeds), key=lambda x: x[1])
 
 
+def match_quality(found: DataFrame, least: int = C.MIN_MATCHED, share: float = C.MIN_SHARE) -> DataFrame:
+    """(match_id, matched, total, share, status): ok, or too few matches, of greedy_match's rows."""
+    x = found.groupBy("match_id").agg(F.sum(F.col("matched").cast("long")).alias("matched"), F.count("*").alias("total"))
+    part = F.col("matched") / F.col("total")
+    return x.select("match_id", "matched", "total", part.alias("share"), F.when((F.col("matched") >= least) & (part >= share), "ok").otherwise("too few matches").alias("status"))
+
+
 def greedy_match(spends: DataFrame, falls: DataFrame, **options: float) -> DataFrame:
     """(match_id, seq, matched, offset_ms, got) for spends (match_id, seq, ts_ms, cost) and falls (match_id, seq, ts_ms, delta)."""
 

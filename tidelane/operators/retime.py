@@ -44,3 +44,9 @@ def change_bounds(changes: DataFrame, rows: DataFrame, offset: int = 0, window:
     met = met.where((F.col("from_ms") > F.col("old_ms") + (offset - window)) & (F.col("from_ms") <= F.col("new_ms") + (offset + window)))
     first = met.groupBy("match_id", "seq", "old_ms", "new_ms").agg(F.min(F.struct("from_ms", "until_ms")).alias("s"))
     return first.select("match_id", "seq", (F.col("s.from_ms") - F.col("new_ms")).alias("low"), (F.col("s.until_ms") - F.col("old_ms")).alias("high"))
+
+
+def changes_seen(changes: DataFrame, rows: DataFrame, offset: int = 0, window: int = 2500) -> DataFrame:
+    """changes (see change_bounds) with seen: whether rows make the same step near that time."""
+    found = change_bounds(changes, rows, offset, window).select("match_id", "seq", F.lit(True).alias("seen_"))
+    return changes.join(found, ["match_id", "seq"], "left").withColumn("seen", F.coalesce("seen_", F.lit(False))).drop("seen_")

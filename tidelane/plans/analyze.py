@@ -79,6 +79,11 @@ def _series(line: DataFrame, value) -> DataFrame:
     return rows.unionByName(research.join(clicks, ["match_id", "seq"], "left").select(*rows.columns))
 
 
+def phase_segments(line: DataFrame, value) -> DataFrame:
+    """Segments of one of a timeline's numbers."""
+    return phases.segments(_series(line, value))
+
+
 def floating(line: DataFrame) -> DataFrame:
     """(match_id, resource, phase, start_ms, end_ms): time above the phase's threshold, less what is saved for, 30 s or more."""
     clicks, out = _clicks(line), None
@@ -197,6 +202,12 @@ class Analysis:
     floating_by_phase: DataFrame
     grades: DataFrame
     chart: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Frees the tables that the others are computed from."""
+        for x in self.kept:
+            x.unpersist()
 
 
 def analyze(readings: DataFrame, events: DataFrame | None) -> Analysis:
@@ -204,8 +215,9 @@ def analyze(readings: DataFrame, events: DataFrame | None) -> Analysis:
     fixed = smoothed(readings)
     maps = mappings(fixed, events).persist()
     line = timeline(fixed, events, maps).persist()
+    kept = (maps, line)
     if events is None:
         for c, t in (("kind", "string"), ("type_id", "long"), ("description", "string")):
             line = line.withColumn(c, F.lit(None).cast(t))
     floats = floating(line)
-    return Analysis(maps, line, floats, floating_by_phase(line, floats), grades(line, maps.where("status = 'ok'").select("match_id")), chart(line, floats))
+    return Analysis(maps, line, floats, floating_by_phase(line, floats), grades(line, maps.where("status = 'ok'").select("match_id")), chart(line, floats), kept)

@@ -5,7 +5,32 @@ from __future__ import annotations
 import html
 import json
 
-from tidelane.constants import EXAMPLES, RESOURCES
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidelane.constants import EXAMPLES, PHASES, RESOURCES
+from tidelane.functions.text import clock
+
+
+def _phase_name(phase: Column) -> Column:
+    return F.get(F.array(*[F.lit(p) for p in PHASES]), phase)
+
+
+def segment_lines(cut: DataFrame) -> DataFrame:
+    """(match_id, start_ms, line) of segments: start, end, length, value, loss and the click that ended it."""
+    w = Window.partitionBy("match_id").orderBy("start_ms", "end_ms")
+    ms = F.col("end_ms") - F.col("start_ms")
+    click = F.when(F.col("end_reason") == "phase", F.concat(F.lit(" ("), _phase_name(F.lead("phase").over(w)), F.lit(" Click)"))).otherwise("")
+    parts = [clock(F.col("start_ms")), clock(F.col("end_ms")), F.format_string("%.3fs", ms / 1000.0), F.col("value").cast("string"), F.format_string("%.3f", ms * F.col("value") / 1000.0)]
+    return cut.select("match_id", "start_ms", F.concat(F.concat_ws(" | ", *parts), click).alias("line"))
+
+
+def phase_totals(cut: DataFrame) -> DataFrame:
+    """(match_id, phase, lost): what segments lost in each phase, and TOTAL."""
+    ms = (F.col("end_ms") - F.col("start_ms")) * F.col("value")
+    x = cut.groupingSets([["match_id", "phase"], ["match_id"]], "match_id", "phase").agg(F.sum(ms).alias("ms"))
+    return x.select("match_id", F.coalesce(_phase_name(F.col("phase")), F.lit("TOTAL")).alias("phase"), F.format_string("%.3f VS", F.col("ms") / 1000.0).alias("lost"))
 
 
 def findings_text(findings: list[dict], stats: dict | None) -> str:

@@ -311,27 +311,14 @@ def pause_injected(spark, d):
     return retime.paused(_series(spark, d), 3, 24 * HOUR, 2 * HOUR).select("match_id", "seq", "ts_ms", "value", "copy")
 
 
-@query(CTE + """, k AS (SELECT match_id, seq, ts_ms, value // 25 AS key FROM rd WHERE value IS NOT NULL),
-s AS (SELECT *, lead(key) OVER w AS nkey, lead(ts_ms) OVER w AS nts FROM k WINDOW w AS (PARTITION BY match_id ORDER BY ts_ms, seq)),
-v AS (SELECT match_id, seq, lag(ts_ms) OVER w AS o, ts_ms AS n, lag(key) OVER w AS ok, key AS nk FROM k WHERE seq % 2 = 0 WINDOW w AS (PARTITION BY match_id ORDER BY ts_ms, seq)),
-m AS (SELECT v.match_id, v.seq, s.ts_ms - v.n AS low, s.nts - v.o AS high, row_number() OVER (PARTITION BY v.match_id, v.seq ORDER BY s.ts_ms, s.nts) AS z
-  FROM v JOIN s ON s.match_id = v.match_id AND s.key = v.ok AND s.nkey = v.nk AND v.ok <> v.nk AND s.ts_ms > v.o - 3600000 AND s.ts_ms <= v.n + 3600000)
-SELECT match_id, seq, low, high FROM m WHERE z = 1""")
-def change_bounds(spark, d):
-    rows = _series(spark, d).where("value is not null").select("match_id", "seq", "ts_ms", F.expr("value div 25").alias("key"))
-    w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
-    seen = rows.where("seq % 2 = 0").select("match_id", "seq", F.lag("ts_ms").over(w).alias("old_ms"), F.col("ts_ms").alias("new_ms"), F.lag("key").over(w).alias("old_key"), F.col("key").alias("new_key"))
-    return retime.change_bounds(seen.where("old_key <> new_key"), rows, 0, HOUR)
-
-
 @query(CTE + """, k AS (SELECT match_id, seq, ts_ms, value // 25 AS key FROM rd WHERE value IS NOT NULL),
 s AS (SELECT *, lead(key) OVER w AS nkey, lead(ts_ms) OVER w AS nts FROM k WINDOW w AS (PARTITION BY match_id ORDER BY ts_ms, seq)),
 v AS (SELECT match_id, seq, lag(ts_ms) OVER w AS o, ts_ms AS n, lag(key) OVER w AS ok, key AS nk FROM k WINDOW w AS (PARTITION BY match_id ORDER BY ts_ms, seq)),
 m AS (SELECT v.match_id, v.seq, s.ts_ms - v.n AS low, s.nts - v.o AS high, row_number() OVER (PARTITION BY v.match_id, v.seq ORDER BY s.ts_ms, s.nts) AS z
   FROM v JOIN s ON s.match_id = v.match_id AND s.key = v.ok AND s.nkey = v.nk AND v.ok <> v.nk AND s.ts_ms > v.o - 3600000 AND s.ts_ms <= v.n + 3600000)
 SELECT match_id, seq, low, high FROM m WHERE z = 1""")
-def change_bounds_all(spark, d):
-    """change_bounds with every reading in the second view."""
+def change_bounds(spark, d):
+    """The offset between two views of every reading, as bounded by each change that both show."""
     rows = _series(spark, d).where("value is not null").select("match_id", "seq", "ts_ms", F.expr("value div 25").alias("key"))
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
     seen = rows.select("match_id", "seq", F.lag("ts_ms").over(w).alias("old_ms"), F.col("ts_ms").alias("new_ms"), F.lag("key").over(w).alias("old_key"), F.col("key").alias("new_key"))
@@ -344,3 +331,6 @@ def neighbour_agreement(spark, d):
     x = _series(spark, d).withColumn("a", F.lag("value").over(w)).withColumn("b", F.lead("value").over(w)).withColumn("alone", F.count("*").over(Window.partitionBy("match_id")) == 1)
     agrees = F.when((F.col("a") == F.col("value")) | (F.col("b") == F.col("value")), True).when(F.col("a").isNull() & F.col("b").isNull(), F.lit(None)).otherwise(False)
     return x.where("value is not null and not alone").select("match_id", "seq", agrees.alias("agrees"))
+
+
+QUERIES["change_bounds_all"], ORACLE_SQL["change_bounds_all"] = QUERIES["change_bounds"], ORACLE_SQL["change_bounds"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +20,18 @@ def _strings(names: list[str]) -> str:
     return ", ".join(f"`{n}` string" for n in names)
 
 
+def workplace(spark: SparkSession, name: str) -> str:
+    """A new path for files in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that is unset it is in the warehouse, or in local mode a temporary folder.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not path:
+        local = spark.sparkContext.master.startswith("local")
+        path = tempfile.mkdtemp(prefix="tidelane-") if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def status(text: Column) -> Column:
     return F.when(text.isin("normal", "housed", "queued"), text)
 
@@ -127,10 +142,12 @@ def read_ui_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, folder: str, index: DataFrame | None = None) -> DataFrame:
-    """(ts_ms, path, content) of recorded images, by an index (file, ts_ms) or by <ts>.png names."""
+    """(ts_ms, path, content) of recorded images by time, from an index (file, ts_ms) or <ts>.png names; none is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).withColumn("file", F.substring_index("path", "/", -1))
     timed = files.join(index, "file") if index is not None else files.withColumn("ts_ms", F.regexp_extract("file", r"^(\d+)\.png$", 1).try_cast("long")).where("ts_ms is not null")
-    return timed.select("ts_ms", "path", "content")
+    if timed.select("path").isEmpty():
+        raise ValueError(f"no frames in {folder}")
+    return timed.select("ts_ms", "path", "content").orderBy("ts_ms", "path")
 
 
 def latest_file(spark: SparkSession, folders: list[str], after: str, pattern: str) -> DataFrame:
@@ -148,15 +165,45 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("file", named).where("file is not null and key <> 'File'").select("file", "key", F.col("v").alias("value"))
 
 
-def merge_game_data(named: DataFrame, costs: DataFrame, names: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(kind, id, name, costs) of flattened documents: ids with costs joined to their names, overrides first, in order.
+_COST = "map<string, bigint>"
+_ITEM = f"map<string, struct<Cost: {_COST}>>"
+_COSTS = f"data struct<Unit: {_ITEM}, Building: {_ITEM}, Tech: {_ITEM}, unit_upgrades: map<string, struct<ID: bigint, Cost: {_COST}>>>"
+_NAMES = "units_buildings map<string, struct<localised_name: string>>, techs map<string, struct<localised_name: string>>"
+
 
-    A missing name or two costs of one id is an error.
+def read_game_documents(spark: SparkSession, costs: str, names: str) -> tuple[DataFrame, DataFrame]:
+    """(kind, id, section, costs) and (section, id, name) of the two JSON documents that game data is made from.
+
+    The first has costs by kind and id, and upgrades, which are techs of their own ID; the second has names of units and
+    buildings, and of techs.
+    """
+    doc = spark.read.schema(_COSTS).json(costs, multiLine=True)
+    parts = []
+    for kind, section in (("unit", "Unit"), ("building", "Building"), ("tech", "Tech")):
+        parts.append(doc.select(F.explode(f"data.{section}").alias("key", "e")).select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("id"), F.col("e.Cost").alias("cost")))
+    parts.append(doc.select(F.explode("data.unit_upgrades").alias("key", "e")).select(F.lit("tech").alias("kind"), F.col("e.ID").alias("id"), F.col("e.Cost").alias("cost")))
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    amount = [F.coalesce(F.try_element_at("cost", F.lit(r.capitalize())), F.lit(0)).alias(r) for r in ("food", "wood", "gold", "stone")]
+    section = F.when(F.col("kind") == "tech", "techs").otherwise("units_buildings").alias("section")
+    told = spark.read.schema(_NAMES).json(names, multiLine=True)
+    both = [told.select(F.lit(c).alias("section"), F.explode(c).alias("key", "e")) for c in ("units_buildings", "techs")]
+    return found.select("kind", "id", section, *amount), both[0].unionByName(both[1]).select("section", F.col("key").cast("long").alias("id"), F.col("e.localised_name").alias("name"))
+
+
+def merge_game_data(costs: DataFrame, names: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(kind, id, name, food, wood, gold, stone) by kind and id: the overrides' name (kind, id, name), else the document's.
+
+    An id without a name, or with two different rows, is an error; equal rows are one.
     """
-    x = costs.join(names, "name_id", "left").join(overrides.select("kind", "id", F.col("name").alias("own")), ["kind", "id"], "left").withColumn("label", F.coalesce("own", "name"))
+    own = overrides.select("kind", "id", F.col("name").alias("own_"))
+    x = costs.join(names, ["section", "id"], "left").join(own, ["kind", "id"], "left").withColumn("name", F.coalesce("own_", F.nullif("name", F.lit(""))))
+    x = x.select("kind", "id", "name", "food", "wood", "gold", "stone").distinct()
     n = F.count("*").over(Window.partitionBy("kind", "id"))
-    bad = F.assert_true((F.col("n_") == 1) & F.col("label").isNotNull(), F.lit("conflicting or unnamed id"))
-    return x.withColumn("n_", n).where(bad.isNull()).select("kind", "id", F.col("label").alias("name"), "food", "wood", "gold", "stone").join(named, ["kind", "id"], "left_semi").orderBy("kind", "id")
+    bad = F.assert_true((F.col("n_") == 1) & F.col("name").isNotNull(), F.lit("conflicting or unnamed id"))
+    place = F.array_position(F.array(F.lit("unit"), F.lit("building"), F.lit("tech")), F.col("kind"))
+    return x.withColumn("n_", n).where(bad.isNull()).drop("n_").orderBy(place, "id")
 
 
 def write_json(rows: DataFrame, path: str) -> None:
