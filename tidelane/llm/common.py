@@ -93,6 +93,25 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column,
     return dealt.join(copies, [*keys, "salt_"]).drop("salt_")
 
 
+def join_frequent(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int) -> DataFrame:
+    """Left join with a right side that has each key once and, in `count`, how many of the `rows` left rows have it.
+
+    Keys of so many left rows that no more than BROADCAST_ROWS have as many are joined by broadcast, others by a
+    shuffle; count itself is not returned.
+    """
+    often = max(1000, 1 + rows // BROADCAST_ROWS)
+    added = [c for c in right.columns if c not in (*keys, count)]
+    hot = right.where(F.col(count) >= often).drop(count).withColumn("hot_", F.lit(True))
+    near = left.join(F.broadcast(hot), keys, "left")
+    rest = near.where("hot_ is null").drop("hot_", *added).join(right.where(F.col(count) < often).drop(count), keys, "left")
+    return near.where("hot_").drop("hot_").unionByName(rest)
+
+
+def parts_of(rows: int, least: int = 64, most: int = 1_000_000) -> int:
+    """Into how many parts that many rows are dealt where an order runs over all of them; a part has 10,000 or so."""
+    return max(least, min(rows // 10_000, most))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body (or a lambda in it) refers to it."""
     return F.transform(F.array(value), body)[0]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import cut
+from tidelane.llm.common import cut, join_frequent
 from tidelane.llm.components import components
 from tidelane.llm.words import mix, shingle_sets
 
@@ -194,15 +194,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     linked: its component_id is null and it is kept.
     """
     known = cut(sketches(docs, k, t, w))
-    reps = known.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    shared = reps.where("last > doc_id").select("set_key", F.col("doc_id").alias("rep"))
+    reps = known.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("copies"))
+    reps = cut(reps)
+    shared = reps.where("last > doc_id").select("set_key", F.col("doc_id").alias("rep"), "copies")
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     groups = components(candidates(lead.where("n_shingles > 0").select("doc_id", "left", "right")))
     sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     members = cut(groups.withColumnRenamed("node", "doc_id").join(sizes, "doc_id"))
     links = confirmed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), members, k, percent)
     found = components(links)
-    copies = known.join(shared, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    copies = join_frequent(known.select("doc_id", "n_shingles", "set_key"), shared, ["set_key"], "copies", known.count()).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = copies.join(found.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
