@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import cut, lookup
+from tidelane.llm.common import cut, lookup, parts_of
 
-#: Parts that each source's shuffled rows, and all rows by fraction, are ranked in at least; large tables have one
-#: for every PART_ROWS rows. Parts only spread the work: no place depends on their number.
-PARTS, PART_ROWS = 4096, 100_000
 #: Rows of one group that are kept in a row of the shuffle at most, as a part of a shard.
 GROUP_SHARE = 50
 
@@ -38,7 +35,7 @@ def _number(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
-def interleaved(rows: DataFrame, n_shards: int, seed: str = "0", parts: int = PARTS, group: str | None = None) -> DataFrame:
+def interleaved(rows: DataFrame, n_shards: int, seed: str = "0", parts: int | None = None, group: str | None = None) -> DataFrame:
     """rows (doc_id, source and any others) with shard and slot added, in place of columns of these names.
 
     Rows of each source are shuffled by the MD5 of seed and doc_id, and row r of n gets the fraction (r - 1 + u) / n,
@@ -61,7 +58,7 @@ def interleaved(rows: DataFrame, n_shards: int, seed: str = "0", parts: int = PA
     base = base.withColumn("g_", _hash(seed, F.col(f"row_.{group}")) if group else F.col("d_"))
     base = cut(base)
     total = base.count()
-    parts = max(parts, total // PART_ROWS)
+    parts = parts or parts_of(total)  # only to spread the work: no place depends on their number
     if group:  # at most n_shards * GROUP_SHARE names
         big = base.groupBy("g_").agg(F.count("*").alias("n_")).where(F.col("n_") * (n_shards * GROUP_SHARE) > total).select("g_", F.lit(True).alias("big_"))
         base = base.join(F.broadcast(big), "g_", "left").withColumn("g_", F.when(F.col("big_"), F.col("d_")).otherwise(F.col("g_"))).drop("big_")

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import cut, lookup
-
-#: Hash parts in which a leaf's seeded order is cut; only rows of the part that the cut falls in are ranked.
-PARTS = 4096
+from tidelane.llm.common import cut, lookup, parts_of
 
 
 def token_count(text: Column) -> Column:
@@ -87,7 +84,7 @@ def mixture(
     seed: str = "0",
     other: int = 1,
     domain: Column | None = None,
-    parts: int = PARTS,
+    parts: int | None = None,
 ) -> DataFrame:
     """(doc_id, epoch, domain, lang, source, n_tokens, text_key) of the chosen rows; docs' other columns but text are not
     read. text_key is xxhash64 of the text.
@@ -107,6 +104,8 @@ def mixture(
         F.xxhash64("text").alias("text_key"),
     )
     rows = cut(leafed)
+    # a leaf's seeded order is cut in parts by hash; only rows of the part that the budget ends in are ranked
+    parts = parts or parts_of(rows.count())
     key = ["domain", "lang", "source"]
     leaves = rows.groupBy(*key).agg(F.sum("n_tokens").alias("tokens"))
     got = leaf_budgets(leaves, total, share, domains, languages, sources or {}, max_epochs, other)
