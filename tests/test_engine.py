@@ -64,21 +64,56 @@ def test_bridge_later_upgrade():
     assert [f.state for f in out] == ["housed", "queued", "queued", "queued"]
 
 
+def _stream(spark, tmp_path, rows, schema, run, name, until, per_file=3):
+    """The rows of a stream of files, polled until `until` of them are there."""
+    import time
+
+    src = str(tmp_path / f"{name}-in")
+    for i in range(0, len(rows), per_file):
+        spark.createDataFrame(rows[i : i + per_file], schema).coalesce(1).write.mode("append").parquet(src)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = run(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).outputMode("append").trigger(processingTime="200 milliseconds").start()
+    try:
+        began = time.monotonic()
+        while time.monotonic() - began < 120:
+            got = spark.sql(f"select * from {name}").collect()
+            if len(got) >= until:
+                return got
+            time.sleep(1)
+        return got
+    finally:
+        q.stop()
+
+
 def test_bridge_stream_equals_batch(spark, tmp_path):
-    rows = [(1, 0, 0, "overlay", 20, 20, True, True), (1, 1, 250, "overlay", 20, 20, True, True), (1, 2, 500, "white", 20, 20, True, True), (1, 3, 750, "overlay", 20, 20, True, True), (1, 4, 1000, "white", 20, 20, True, True), (1, 5, 1250, None, None, None, False, False)]
     from tidelane.streaming.live import FRAMES, live_states
 
-    src = str(tmp_path / "in")
-    for i in (0, 3):
-        spark.createDataFrame(rows[i : i + 3], FRAMES).coalesce(1).write.mode("append").parquet(src)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(src)
-    q = live_states(stream).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.seq: r.state for r in spark.sql("select * from live").collect()}
+    rows = [(1, 0, 0, "overlay", 20, 20, True, True), (1, 1, 250, "overlay", 20, 20, True, True), (1, 2, 500, "white", 20, 20, True, True), (1, 3, 750, "overlay", 20, 20, True, True), (1, 4, 1000, "white", 20, 20, True, True), (1, 5, 1250, None, None, None, False, False)]
+    got = {r.seq: r.state for r in _stream(spark, tmp_path, rows, FRAMES, live_states, "live", 4)}
     assert got == {1: "housed", 2: "housed", 3: "housed", 4: "housed"}
 
 
+def test_stream_of_a_match_that_just_stops(spark, tmp_path):
+    from tidelane.streaming.live import FRAMES, live_states
+
+    rows = [(1, 0, 0, "white", 20, 25, True, True), (1, 1, 250, "overlay", 20, 20, True, True), (1, 2, 500, "white", 20, 20, True, True), (1, 3, 750, "white", 20, 20, True, True)]
+    got = _stream(spark, tmp_path, rows, FRAMES, lambda s: live_states(s, idle_ms=3000), "stops", 3)
+    assert {r.seq: r.state for r in got} == {1: "housed", 2: "housed", 3: "housed"}
+
+
+def test_stream_of_saved_frames_equals_batch(spark, tmp_path):
+    from tidelane.streaming.live import saved_frames
+
+    schema = "match_id long, seq long, ts_ms long, color string, readable boolean, food long, pop long"
+    rows = [(1, i, 250 * i, "yellow" if i in (9, 10) else "white", i != 30, 100 + 200 * (i >= 14), 5 if i % 7 else None) for i in range(33)]
+    batch = folds.recorded(spark.createDataFrame(rows, schema).selectExpr("*", "not readable as lost"), ["food"], ["pop"])
+    want = sorted((r.seq, r.reason) for r in batch.collect())
+    assert want[-1] == (30, "end") and ("first" in {w for _, w in want})
+    got = _stream(spark, tmp_path, rows, schema, lambda s: saved_frames(s, ["food"], ["pop"]), "saved", len(want), 7)
+    assert sorted((r.seq, r.reason) for r in got) == want
+
+
 def test_recorder_and_session():
     r = folds.Recorder()
     saved = []
