@@ -265,6 +265,32 @@ def test_segments_are_all_maximal_ones():
         assert [x[:2] for x in segments(s)] == all_maximal(s, 0, len(s))
 
 
+def test_log_odds_equal_a_written_model(spark, docs):
+    """Word scores recomputed from counts of strings: Dirichlet prior, log-odds, errors and shrinkage."""
+    from tidelane.llm import toxicity as T
+
+    rows = [(r.text, r.doc_id % 3 == 0) for r in docs.limit(120).collect()]
+    rows = [(t + " vile vilest " * 3 if y else t, int(y)) for t, y in rows]
+    model = T.log_odds(spark.createDataFrame(rows, "text string, y int"))
+    count = {0: collections.Counter(), 1: collections.Counter()}
+    for t, y in rows:
+        words = re.findall(rb"[a-z'\x80-\xff]+", t.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
+        count[y].update({(0, w) for w in words} | {(k, w[:k]) for w in words for k in T.STEMS if len(w) > k})
+    keys = set(count[0]) | set(count[1])
+    prior = {w: T.PRIOR_FLAT + T.PRIOR_SHARE * (count[0][w] + count[1][w]) for w in keys}
+    a0, n = sum(prior.values()), [sum(count[y].values()) for y in (0, 1)]
+    want = []
+    for w in keys:
+        odds = [np.log((count[y][w] + prior[w]) / (n[y] + a0 - count[y][w] - prior[w])) for y in (0, 1)]
+        error = (1 / (count[0][w] + prior[w]) + 1 / (count[1][w] + prior[w])) ** 0.5
+        z = (odds[1] - odds[0]) / error
+        if abs(z) > T.SURE:
+            want.append((odds[1] - odds[0]) * (1 - (T.SURE / z) ** 2))
+    assert len(want) >= 2 and np.allclose(sorted(model.gain), sorted(want))
+    best = next(iter(T.texts_gains(model, pa.array(["so vile a day"]))))
+    assert len(best) == 4 and best[1] > 0 and best[0] == best[2] == 0
+
+
 @pytest.fixture(scope="module")
 def big(spark):
     d = "/root/testdata/sf0.01"
@@ -470,6 +496,29 @@ def test_quality_held_out_and_columns(big, odd, spark):
     assert quality(spark.createDataFrame([], DOCS), big[1]).count() == 0
 
 
+def test_quality_statistics_equal_plain_counts(docs):
+    texts = [r.text for r in docs.limit(40).collect()] + ["", None, "a", "Aa aa! aa 12 $", "x " * 50]
+    got = statistics(pa.array(texts))
+
+    def logit(k, n, usual):
+        p = (k + 25 * usual) / (n + 25)
+        return np.log(p / (1 - p)) if p < 1 - 1e-6 else np.log(p) - np.log(1e-6)
+
+    for t, row in zip(texts, got, strict=True):
+        raw = (t or "").encode()
+        low = raw.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+        w = [x for x in re.split(rb"[ \t-\r]+", low) if x]
+        n, pairs = len(w), list(zip(w, w[1:], strict=False))
+        of = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+        size = len(raw) / 4
+        mean = (sum(map(len, w)) + 150) / (n + 25)
+        square = (sum(len(x) ** 2 for x in w) + 25 * 45) / (n + 25)
+        want = [logit(of(range(65, 91)), size, 0.06), logit(of(range(48, 58)), size, 0.003), logit(of(b".,;:!?'\"()-"), size, 0.09), logit(of(b"#$%&*+/<=>@[\\]^_`{|}~"), size, 0.004)]
+        want += [np.log((len(set(w)) + 22.5) / (n + 25)) + 0.12 * np.log(n + 25), logit(len(set(pairs)), len(pairs), 0.97), logit(sum(a == b for a, b in pairs), len(pairs), 0.01)]
+        want += [logit(max(collections.Counter(w).values(), default=0), n, 0.06), np.log(mean), np.log(max(square - mean**2, 0.05)), np.log(n + 25)]
+        assert np.allclose(row, want, atol=1e-6), t
+
+
 def test_discriminant_density():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, (500, 3)), rng.normal(1, 2, (500, 3))])
@@ -555,6 +604,18 @@ def test_components_of_a_chain(spark):
 # 9, 10 -----------------------------------------------------------------------------------------------------------
 
 
+def test_token_counts_of_hard_texts(spark):
+    """No rows, a run of 50,000 letters, one without white space in other scripts, and a missing vocabulary."""
+    rows = [(1, "a" * 50_000), (2, "\u4e2d\u6587" * 3000), (3, " " * 20_000), (4, "x y " * 10_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("File", F.lit("f")).withColumn("payload", F.lit(1))
+    enc = encoder(queries.VOCABULARY, queries.PATTERN)
+    got = {r.doc_id: r.n_tokens for r in document_counts(d, queries.VOCABULARY, queries.PATTERN, queries.SEPARATOR, 1000).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in rows}
+    assert document_counts(d.where("false"), queries.VOCABULARY, queries.PATTERN, queries.SEPARATOR).count() == 0
+    with pytest.raises(FileNotFoundError, match="no vocabulary"):
+        encoder("/nowhere", queries.PATTERN)
+
+
 def test_token_counts_round_trip(spark, docs, odd):
     enc = encoder(queries.VOCABULARY, queries.PATTERN)
     for df, block in ((docs.limit(60), 1 << 20), (odd, 64)):
@@ -711,7 +772,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cols = sorted(got.columns)

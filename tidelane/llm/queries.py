@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from tidelane.llm.topk import top_k
 from tidelane.llm.toxicity import toxicity
 
 
-#: Where the public vocabularies are; a path on every executor.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The rank file of a public byte-level vocabulary; a path on every executor.
+VOCABULARY = os.environ.get("TIDELANE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pattern that splits text for this vocabulary (a fixed value of it), and the id that its ranks leave free.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEPARATOR = 50256
@@ -50,7 +51,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("bits", "text_key")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,20 @@ summed AS (
   SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('mix:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turns)
 SELECT doc_id, epoch, domain, lang, source, n_tokens FROM summed WHERE epoch < whole OR (rest > 0 AND before < rest)""",
+    # every window that shares a shingle with an item, without fingerprints; items have five words or more
+    "op5_decontaminate": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+ds AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda k: concat_ws(' ', w[k], w[k + 1], w[k + 2], w[k + 3], w[k + 4]))) AS s FROM d),
+si AS (SELECT item_id, len(w) AS size, unnest(list_transform(range(1, len(w) - 3), lambda k: concat_ws(' ', w[k], w[k + 1], w[k + 2], w[k + 3], w[k + 4]))) AS s FROM i),
+ci AS (SELECT item_id, size, s, count(*) AS k FROM si GROUP BY ALL),
+st AS (SELECT DISTINCT doc_id, item_id, size, unnest(range(least(greatest(0, p - size + 5), greatest(0, least(p, n - size))), greatest(0, least(p, n - size)) + 1)) AS first FROM ds JOIN ci ON ci.s = ds.s),
+cw AS (SELECT st.doc_id, st.item_id, st.size, st.first, ds.s, count(*) AS k FROM st JOIN ds ON ds.doc_id = st.doc_id AND ds.p BETWEEN st.first AND st.first + st.size - 5 GROUP BY ALL),
+m AS (
+  SELECT cw.doc_id, cw.item_id, cw.size, cw.first, sum(cw.k) AS n, sum(least(cw.k, coalesce(ci.k, 0))) AS met FROM cw LEFT JOIN ci ON ci.item_id = cw.item_id AND ci.s = cw.s GROUP BY ALL),
+r AS (SELECT m.*, met / (n + size - 4 - met)::DOUBLE AS similarity FROM m)
+SELECT r.doc_id, r.item_id, CAST(first AS BIGINT) AS first_word, CAST(least(size, len(d.w)) AS BIGINT) AS n_words, similarity FROM r JOIN d ON d.doc_id = r.doc_id WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.item_id ORDER BY similarity DESC, first) = 1""",
     # the checksum is folded over a text's bytes with the 256 values of the reflected polynomial 0xEDB88320
     "op7_sharding": """
 WITH steps AS (

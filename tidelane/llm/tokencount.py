@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ def encoder(vocabulary: str, pattern: str):
     """A byte-level BPE without special tokens, from a rank file; an id above every rank is free for the separator."""
     import tiktoken
 
+    if not os.path.exists(vocabulary):
+        raise FileNotFoundError(f"no vocabulary at {vocabulary}: give its path, one that every executor has")
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
