@@ -283,6 +283,77 @@ def test_codecs(spark, tmp_path):
     assert sorted(map(tuple, S.read_blocks(spark, str(tmp_path / "b.txt")).collect())) == [("a.png", "food", "5"), ("b.png", "food", "6")]
 
 
+def test_frames_and_latest_file(spark, tmp_path):
+    from tidelane.sources import telemetry as S
+
+    for name in ("750.png", "500.png", "x.png", "1000.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    assert [r.ts_ms for r in S.read_frames(spark, str(tmp_path)).collect()] == [500, 750]
+    index = spark.createDataFrame([("x.png", 5), ("750.png", 7), ("gone.png", 1)], "file string, ts_ms long")
+    assert [(r.ts_ms, bytes(r.content)) for r in S.read_frames(spark, str(tmp_path), index).collect()] == [(5, b"x.png"), (7, b"750.png")]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception, match="no frames|does not exist|PATH_NOT_FOUND"):
+        S.read_frames(spark, str(tmp_path / "empty"))
+    import os
+
+    os.utime(tmp_path / "500.png", (2_000_000_000, 2_000_000_000))
+    assert S.latest_file(spark, [str(tmp_path)], "2001-01-01", "*.png").first().path.endswith("500.png")
+    assert S.latest_file(spark, [str(tmp_path)], "2040-01-01", "*.png").count() == 0
+
+
+def test_game_documents_refuse_conflicts(spark):
+    from tidelane.sources.telemetry import merge_game_data
+
+    row = "kind string, id long, section string, food long, wood long, gold long, stone long"
+    names = spark.createDataFrame([("techs", 1, "A")], "section string, id long, name string")
+    none = spark.createDataFrame([], "kind string, id long, name string")
+    same = spark.createDataFrame([("tech", 1, "techs", 1, 0, 0, 0)] * 2, row)
+    assert [tuple(r) for r in merge_game_data(same, names, none).collect()] == [("tech", 1, "A", 1, 0, 0, 0)]
+    for bad in ([("tech", 1, "techs", 1, 0, 0, 0), ("tech", 1, "techs", 2, 0, 0, 0)], [("tech", 2, "techs", 1, 0, 0, 0)]):
+        with pytest.raises(Exception, match="conflicting or unnamed"):
+            merge_game_data(spark.createDataFrame(bad, row), names, none).collect()
+
+
+def test_recorder_saves_the_end(spark):
+    rows = [(1, i, 250 * i, "white", 100, i == 3) for i in range(6)]
+    df = spark.createDataFrame(rows, "match_id long, seq long, ts_ms long, color string, food long, lost boolean")
+    assert [(r.seq, r.reason) for r in folds.recorded(df, ["food"], []).collect()] == [(0, "first"), (3, "end")]
+
+
+def test_clock_summary():
+    r = calibrate(*game(1.7, pause=8000))
+    told = r.summary()
+    assert "1 pause(s)" in told and "speed 1.7" in told and f"{r.matched}/{r.spends} spends matched" in told
+    assert calibrate(*game(1.7, n=3)).summary() == calibrate(*game(1.7, n=3)).status
+
+
+def test_clock_fit_parts():
+    """Runs, chains and their joints on pairs (ig, rw, uncertainty) of known lines."""
+    from tidelane.sync import mapping as M
+
+    rng = np.random.default_rng(2)
+    ig = np.sort(rng.uniform(0, 600_000, 120))
+    none = np.zeros(0), np.zeros((0, 8))
+    pairs = lambda rw: np.column_stack([ig, rw + rng.uniform(-60, 60, len(ig)), np.full(len(ig), 60.0)])
+    bend = np.where(ig < 300_000, ig / 1.7, 300_000 / 1.7 + (ig - 300_000) / 3.0)
+    p = pairs(bend)
+    p[::17, 1] += 5000  # wrong pairs
+    runs = M.straight_runs(p)
+    for r in runs:  # a run's line is the least-squares line of its pairs, and fits all of them
+        q = np.array(r.pairs)
+        slope, level = np.polyfit(q[:, 0], q[:, 1], 1)
+        assert abs(r.slope - slope) < 1e-6 and (np.abs(q[:, 1] - r.rw(q[:, 0])) <= q[:, 2] + 125 + 1e-3).all()
+    m = M.fit(p, *none)
+    assert abs(m.before - 1.7) < 0.02 and abs(m.after - 3.0) < 0.05 and m.segments() >= 2 and not m.pauses()
+    assert np.median(np.abs(m.rw_at(ig) - bend)) < 100
+    stop = pairs(ig / 2.0 + np.where(ig > 300_000, 20_000, 0))
+    ts = np.arange(0, 330_000, 250.0)
+    panel = np.floor(np.where(ts < 150_000, ts, np.where(ts < 170_000, 150_000, ts - 20_000)) / 500)[:, None].repeat(8, axis=1)
+    m = M.fit(stop, ts, panel)
+    assert len(m.pauses()) == 1 and abs(m.pauses()[0][2] - 20_000) < 400 and abs(m.pauses()[0][1] - 150_000) < 1500
+    assert M.fit(stop[:3], *none) is None and M.fit(stop[:0], *none) is None
+
+
 def test_report():
     from tidelane.plans import report
 

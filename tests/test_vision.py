@@ -97,3 +97,12 @@ def test_panel_operator(spark):
 def test_templates_from_files():
     good, bad = load_templates({"slash": png(rgb(glyph("/"))), "7": png(rgb(glyph("7"))), "x": b"no"})
     assert set(good) == {"/", "7"} and bad == ["x"]
+
+
+def test_pixels_masks_and_symmetry():
+    raw = bytes(range(1, 9)) + b"\0\0" + bytes(range(11, 19)) + b"\0\0"
+    img = K.rgb_of(raw, 2, 2, 10)
+    assert img.tolist() == [[[3, 2, 1], [7, 6, 5]], [[13, 12, 11], [17, 16, 15]]]
+    kept = K.masked(img, [(1, 0, 1, 1)])
+    assert kept[0, 1].tolist() == [7, 6, 5] and kept.sum() == 18
+    assert K.asymmetry(np.array([[1.0, 0.0], [2.0, 2.0]])) == 2.0

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelane import constants as C
 
@@ -312,13 +313,18 @@ class Session:
 
 
 def sessions(frames: DataFrame) -> DataFrame:
-    """(match_id, seq, role) for frames with readable and complete flags."""
+    """(match_id, seq, role) for frames with readable and complete flags; null flags are false.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        s = Session()
-        return pd.DataFrame({"match_id": p["match_id"], "seq": p["seq"], "role": [s.push(bool(a), bool(b)) for a, b in zip(p["readable"], p["complete"], strict=True)]})
-
-    return per_match(frames.select("match_id", "seq", "ts_ms", "readable", "complete"), run, "match_id long, seq long, role string")
+    The first complete frame starts a match and the first unreadable one after it ends it: two minima over each match.
+    """
+    w = Window.partitionBy("match_id")
+    readable, complete = (F.coalesce(c, F.lit(False)) for c in ("readable", "complete"))
+    at, start, end = F.struct("ts_ms", "seq"), F.col("start_"), F.col("end_")
+    x = frames.withColumn("at_", at).withColumn("start_", F.min(F.when(readable & complete, at)).over(w))
+    x = x.withColumn("end_", F.min(F.when(~readable & (F.col("at_") > start), F.col("at_"))).over(w))
+    at = F.col("at_")
+    role = F.when(start.isNull() | (at < start), "idle").when(at == start, "start").when(end.isNull() | (at < end), "row").when(at == end, "end").otherwise("after")
+    return x.select("match_id", "seq", role.alias("role"))
 
 
 # spends and drops -------------------------------------------------------------------------------------------------
