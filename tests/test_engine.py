@@ -73,7 +73,10 @@ def _stream(spark, tmp_path, rows, schema, run, name, until, per_file=3):
         spark.createDataFrame(rows[i : i + per_file], schema).coalesce(1).write.mode("append").parquet(src)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = run(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).outputMode("append").trigger(processingTime="200 milliseconds").start()
+    q = run(stream).writeStream.format("memory").queryName(name).option(
+        "checkpointLocation",
+        str(tmp_path / f"{name}-cp"),
+    ).outputMode("append").trigger(processingTime="200 milliseconds").start()
     try:
         began = time.monotonic()
         while time.monotonic() - began < 120:
@@ -89,7 +92,14 @@ def _stream(spark, tmp_path, rows, schema, run, name, until, per_file=3):
 def test_bridge_stream_equals_batch(spark, tmp_path):
     from tidelane.streaming.live import FRAMES, live_states
 
-    rows = [(1, 0, 0, "overlay", 20, 20, True, True), (1, 1, 250, "overlay", 20, 20, True, True), (1, 2, 500, "white", 20, 20, True, True), (1, 3, 750, "overlay", 20, 20, True, True), (1, 4, 1000, "white", 20, 20, True, True), (1, 5, 1250, None, None, None, False, False)]
+    rows = [
+        (1, 0, 0, "overlay", 20, 20, True, True),
+        (1, 1, 250, "overlay", 20, 20, True, True),
+        (1, 2, 500, "white", 20, 20, True, True),
+        (1, 3, 750, "overlay", 20, 20, True, True),
+        (1, 4, 1000, "white", 20, 20, True, True),
+        (1, 5, 1250, None, None, None, False, False),
+    ]
     got = {r.seq: r.state for r in _stream(spark, tmp_path, rows, FRAMES, live_states, "live", 4)}
     assert got == {1: "housed", 2: "housed", 3: "housed", 4: "housed"}
 
@@ -97,7 +107,12 @@ def test_bridge_stream_equals_batch(spark, tmp_path):
 def test_stream_of_a_match_that_just_stops(spark, tmp_path):
     from tidelane.streaming.live import FRAMES, live_states
 
-    rows = [(1, 0, 0, "white", 20, 25, True, True), (1, 1, 250, "overlay", 20, 20, True, True), (1, 2, 500, "white", 20, 20, True, True), (1, 3, 750, "white", 20, 20, True, True)]
+    rows = [
+        (1, 0, 0, "white", 20, 25, True, True),
+        (1, 1, 250, "overlay", 20, 20, True, True),
+        (1, 2, 500, "white", 20, 20, True, True),
+        (1, 3, 750, "white", 20, 20, True, True),
+    ]
     got = _stream(spark, tmp_path, rows, FRAMES, lambda s: live_states(s, idle_ms=3000), "stops", 3)
     assert {r.seq: r.state for r in got} == {1: "housed", 2: "housed", 3: "housed"}
 
@@ -196,7 +211,10 @@ def test_analysis_end_to_end(spark):
     readings = spark.createDataFrame(rows, "match_id long, seq long, ts_ms long, " + ", ".join(f"{c} int" for c in PANEL) + ", housing string")
     ev = [(1, i, int(s[0]), "queue", 83, f"Queue u{i}", *[int(c) for c in s[1:]], [1], ["b"], False) for i, s in enumerate(spends)]
     ev.append((1, 99, 300000, "research", 101, "Research age", 0, 0, 0, 0, [1], ["b"], False))
-    events = spark.createDataFrame(ev, "match_id long, seq long, ts_ms long, kind string, type_id long, description string, food long, wood long, gold long, stone long, building_ids array<long>, building_types array<string>, gives_resources boolean")
+    events = spark.createDataFrame(
+        ev,
+        "match_id long, seq long, ts_ms long, kind string, type_id long, description string, food long, wood long, gold long, stone long, building_ids array<long>, building_types array<string>, gives_resources boolean",
+    )
     a = analyze(readings, events)
     assert a.mappings.first().status == "ok"
     g = a.grades.first()
@@ -204,7 +222,9 @@ def test_analysis_end_to_end(spark):
     assert {r.phase for r in a.floating_by_phase.collect()} == {0, 1}
     assert a.chart.where("floating_food").count() > 0
     found, stats = sanity(a.timeline)
-    poor = a.timeline.where("src = 'screen'").unionByName(a.timeline.where("src = 'event' and kind = 'queue'").limit(1).withColumn("cost_food", F.lit(900000)).withColumn("cost_wood", F.lit(0)).withColumn("cost_gold", F.lit(0)))
+    poor = a.timeline.where("src = 'screen'").unionByName(
+        a.timeline.where("src = 'event' and kind = 'queue'").limit(1).withColumn("cost_food", F.lit(900000)).withColumn("cost_wood", F.lit(0)).withColumn("cost_gold", F.lit(0))
+    )
     assert any("only" in r.detail and "available for 900000" in r.detail for r in sanity(poor)[0].where("section = 'unmatched'").collect())
     assert {r.section for r in found.collect()} <= {"glitch", "increase", "invariant", "unmatched", "overclaimed", "unexplained"}
     s = stats.first()
@@ -230,7 +250,17 @@ def test_scalar_functions(spark):
 def test_decode(spark):
     from tidelane.operators.decode import OPS, decode, players, winners
 
-    gd = spark.createDataFrame([("unit", 83, "Villager", 50, 0, 0, 0), ("building", 109, "Town Center", 0, 275, 0, 100), ("building", 70, "House", 0, 25, 0, 0), ("building", 117, "Wall", 0, 0, 0, 5), ("tech", 101, "Age", 500, 0, 0, 0), ("building", 50, "Farm", 0, 60, 0, 0)], "kind string, id long, name string, food long, wood long, gold long, stone long")
+    gd = spark.createDataFrame(
+        [
+            ("unit", 83, "Villager", 50, 0, 0, 0),
+            ("building", 109, "Town Center", 0, 275, 0, 100),
+            ("building", 70, "House", 0, 25, 0, 0),
+            ("building", 117, "Wall", 0, 0, 0, 5),
+            ("tech", 101, "Age", 500, 0, 0, 0),
+            ("building", 50, "Farm", 0, 60, 0, 0),
+        ],
+        "kind string, id long, name string, food long, wood long, gold long, stone long",
+    )
     op = lambda n, kind, **k: tuple({"match_id": 1, "op_seq": n, "kind": kind, "time_increment": 0, "player_id": 1, "amount": 0, **k}.get(c.split()[0]) for c in OPS.split(", "))
     ops = spark.createDataFrame(
         [
@@ -252,7 +282,10 @@ def test_decode(spark):
 
     lines = [r.line for r in event_lines(events).collect()]
     assert len(lines) == 9 and all(x.count("\t") == 9 for x in lines)
-    p = spark.createDataFrame([(1, 1, "", "", 2, 5, 2), (1, 2, "Bo", "", 2, 6, 2), (1, 3, "", "", 0, 6, 2)], "match_id long, slot int, name string, ai_name string, player_type int, civ_id long, rec_player int")
+    p = spark.createDataFrame(
+        [(1, 1, "", "", 2, 5, 2), (1, 2, "Bo", "", 2, 6, 2), (1, 3, "", "", 0, 6, 2)],
+        "match_id long, slot int, name string, ai_name string, player_type int, civ_id long, rec_player int",
+    )
     civ = spark.createDataFrame([(5, "Franks")], "id long, name string")
     out = sorted(winners(players(p, civ), ops).collect(), key=lambda r: r.place)
     assert [(r.name, r.civ, r.is_winner) for r in out] == [("Bo", "Unknown Civ 6", False), ("Player 1", "Franks", True)]
@@ -268,7 +301,14 @@ def test_codecs(spark, tmp_path):
     (tmp_path / "bad.csv").write_text(head + "\nx,5,,6,,7,,8,,1,2,3,4,housed\n")
     with pytest.raises(Exception, match="timestamp_ms"):
         S.read_telemetry(spark, str(tmp_path / "bad.csv")).collect()
-    merged = spark.createDataFrame([("10", "ScreenGrab", "", "5", "", "7", "8", "99", "", "", "0", "1", "2", "3", "normal", ""), ("20", "RecEvent", "Queue Villager", "-50", "", "", "", "", "Town Center", "7", "", "", "", "", "", "83"), ("30", "RecEvent", "Nonsense", "", "", "", "", "", "", "", "", "", "", "", "", "")], S.MERGED)
+    merged = spark.createDataFrame(
+        [
+            ("10", "ScreenGrab", "", "5", "", "7", "8", "99", "", "", "0", "1", "2", "3", "normal", ""),
+            ("20", "RecEvent", "Queue Villager", "-50", "", "", "", "", "Town Center", "7", "", "", "", "", "", "83"),
+            ("30", "RecEvent", "Nonsense", "", "", "", "", "", "", "", "", "", "", "", "", ""),
+        ],
+        S.MERGED,
+    )
     line = S.decode_merged(merged)
     assert line.count() == 2
     S.write_merged(line, str(tmp_path / "m"))
@@ -373,8 +413,14 @@ def test_retiming(spark):
 
 
 def test_change_bounds(spark):
-    rows = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 1000, 1), (1, 2, 2000, 2), (1, 3, 3000, 1), (1, 4, 4000, 2)], "match_id long, seq long, ts_ms long, key long")
-    changes = spark.createDataFrame([(1, 7, 1200, 1300, 1, 2), (1, 8, 1200, 1300, 2, 3), (1, 9, 9000, 9100, 1, 2), (1, 10, 1200, 1300, None, 2)], "match_id long, seq long, old_ms long, new_ms long, old_key long, new_key long")
+    rows = spark.createDataFrame(
+        [(1, 0, 0, 1), (1, 1, 1000, 1), (1, 2, 2000, 2), (1, 3, 3000, 1), (1, 4, 4000, 2)],
+        "match_id long, seq long, ts_ms long, key long",
+    )
+    changes = spark.createDataFrame(
+        [(1, 7, 1200, 1300, 1, 2), (1, 8, 1200, 1300, 2, 3), (1, 9, 9000, 9100, 1, 2), (1, 10, 1200, 1300, None, 2)],
+        "match_id long, seq long, old_ms long, new_ms long, old_key long, new_key long",
+    )
     assert [tuple(r) for r in retime.change_bounds(changes, rows, 0, 2500).collect()] == [(1, 7, -300, 800)]
 
 
@@ -408,6 +454,14 @@ def test_json_differences(spark):
     a = {"n": 1.0, "s": "x", "list": [1, 2, 3], "o": {"gone": {"deep": 1}}, "kind": {"k": 1}, "t": True}
     b = {"n": 1.0 + 1e-7, "s": "y", "list": [1, 5], "o": {"new": 1}, "kind": [1], "t": 1}
     assert compare.json_differences(a, a) == []
-    assert compare.json_differences(a, b) == [("$.kind", "value"), ("$.list", "length"), ("$.list[1]", "value"), ("$.o.gone", "missing"), ("$.o.new", "unexpected"), ("$.s", "value"), ("$.t", "value")]
+    assert compare.json_differences(a, b) == [
+        ("$.kind", "value"),
+        ("$.list", "length"),
+        ("$.list[1]", "value"),
+        ("$.o.gone", "missing"),
+        ("$.o.new", "unexpected"),
+        ("$.s", "value"),
+        ("$.t", "value"),
+    ]
     x = spark.createDataFrame([(1.0, 1.0 + 1e-7), (1.0, 1.1), (None, 1.0), (None, None)], "e double, a double")
     assert [r[0] for r in x.select(compare.beyond(F.col("e"), F.col("a"))).collect()] == [False, True, True, False]

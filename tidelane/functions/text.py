@@ -20,7 +20,10 @@ def clock_single(ms: Column) -> Column:
 def signed_clock(ms: Column) -> Column:
     """[-]h:mm:ss.fff"""
     a = F.abs(ms)
-    return F.concat(F.when(ms < 0, "-").otherwise(""), F.format_string("%d:%02d:%02d.%03d", F.floor(a / 3600000), F.floor(a / 60000) % 60, F.floor(a / 1000) % 60, a % 1000))
+    return F.concat(
+        F.when(ms < 0, "-").otherwise(""),
+        F.format_string("%d:%02d:%02d.%03d", F.floor(a / 3600000), F.floor(a / 60000) % 60, F.floor(a / 1000) % 60, a % 1000),
+    )
 
 
 def parse_clock(text: Column) -> Column:

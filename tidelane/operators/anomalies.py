@@ -21,13 +21,21 @@ def drops(series: DataFrame, gap_ms: int) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
     x = neighbours(series).withColumn("was_glitch", F.coalesce(F.lag("glitch").over(w), F.lit(False)))
     x = x.where((F.col("value") < F.col("prev")) & (F.col("ts_ms") - F.col("prev_ts") <= gap_ms) & ~F.col("glitch") & ~F.col("was_glitch"))
-    return x.select("match_id", "seq", ((F.col("prev_ts") + F.col("ts_ms")) / 2.0).alias("at_ms"), ((F.col("ts_ms") - F.col("prev_ts")) / 2.0).alias("slack_ms"), (F.col("prev") - F.col("value")).alias("delta"))
+    return x.select(
+        "match_id",
+        "seq",
+        ((F.col("prev_ts") + F.col("ts_ms")) / 2.0).alias("at_ms"),
+        ((F.col("ts_ms") - F.col("prev_ts")) / 2.0).alias("slack_ms"),
+        (F.col("prev") - F.col("value")).alias("delta"),
+    )
 
 
 def spikes(series: DataFrame, by: int) -> DataFrame:
     """Readings more than `by` below both neighbours or above both."""
     x = neighbours(series).where("prev is not null and next is not null")
-    return x.where((F.col("value") + by < F.least("prev", "next")) | (F.col("value") > F.greatest("prev", "next") + by)).select("match_id", "seq", "ts_ms", "prev", "value", "next")
+    return x.where(
+        (F.col("value") + by < F.least("prev", "next")) | (F.col("value") > F.greatest("prev", "next") + by)
+    ).select("match_id", "seq", "ts_ms", "prev", "value", "next")
 
 
 def merged_drops(rows: DataFrame, columns: list[str], gap_ms: int) -> DataFrame:
@@ -39,12 +47,20 @@ def merged_drops(rows: DataFrame, columns: list[str], gap_ms: int) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
     part = None
     for c in columns:
-        x = neighbours(rows.select("match_id", "seq", "ts_ms", F.col(c).alias("value"))).withColumn("was_glitch", F.coalesce(F.lag("glitch").over(w), F.lit(False)))
+        x = neighbours(
+            rows.select("match_id", "seq", "ts_ms", F.col(c).alias("value"))
+        ).withColumn("was_glitch", F.coalesce(F.lag("glitch").over(w), F.lit(False)))
         x = x.where((F.col("value") < F.col("prev")) & (F.col("ts_ms") - F.col("prev_ts") <= gap_ms) & ~F.col("glitch") & ~F.col("was_glitch"))
         x = x.select("match_id", "seq", "ts_ms", "prev_ts", *[(F.col("prev") - F.col("value") if k == c else F.lit(0)).cast("long").alias(k) for k in columns])
         part = x if part is None else part.unionByName(x)
     one = part.groupBy("match_id", "seq", "ts_ms").agg(F.max("prev_ts").alias("prev_ts"), *[F.sum(c).alias(c) for c in columns])
-    return one.select("match_id", "seq", ((F.col("prev_ts") + F.col("ts_ms")) / 2.0).alias("at_ms"), ((F.col("ts_ms") - F.col("prev_ts")) / 2.0).alias("slack_ms"), *columns)
+    return one.select(
+        "match_id",
+        "seq",
+        ((F.col("prev_ts") + F.col("ts_ms")) / 2.0).alias("at_ms"),
+        ((F.col("ts_ms") - F.col("prev_ts")) / 2.0).alias("slack_ms"),
+        *columns,
+    )
 
 
 def large_increases(series: DataFrame, refunds: DataFrame, by: int, before_ms: int, after_ms: int) -> DataFrame:
@@ -53,7 +69,10 @@ def large_increases(series: DataFrame, refunds: DataFrame, by: int, before_ms: i
     The last refund up to after_ms after each rise is carried to it; the rise stays if that one is too old.
     """
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
-    x = neighbours(series).withColumn("was_glitch", F.coalesce(F.lag("glitch").over(w), F.lit(False))).where((F.col("value") > F.col("prev") + by) & ~F.col("was_glitch"))
+    x = neighbours(series).withColumn(
+        "was_glitch",
+        F.coalesce(F.lag("glitch").over(w), F.lit(False)),
+    ).where((F.col("value") > F.col("prev") + by) & ~F.col("was_glitch"))
     rise = x.select("match_id", "seq", F.col("ts_ms").alias("at_"), (F.col("ts_ms") + after_ms).alias("ts_ms"), (F.col("value") - F.col("prev")).alias("rise"))
     back = refunds.select("match_id", "ts_ms", F.lit(0).cast("long").alias("seq"), F.col("ts_ms").alias("refund_"))
     had = asof.backward(rise, back, "refund_", "last_")

@@ -66,7 +66,10 @@ def named_ops(ops: DataFrame, game_data: DataFrame) -> DataFrame:
     x = ops.withColumn("type_id", F.when(F.col("kind") == "farm", F.lit(FARM)).otherwise(F.col("type_id"))).withColumn("dim", dims[F.col("kind")])
     x = x.join(dim, ["dim", "type_id"], "left")
     unknown = F.format_string("Unknown %s %d", F.col("dim"), F.col("type_id"))
-    x = x.withColumn("miss", F.col("dim").isNotNull() & F.col("hit").isNull()).withColumn("name", F.coalesce("name", F.when(F.col("dim").isNotNull(), unknown))).drop("hit")
+    x = x.withColumn("miss", F.col("dim").isNotNull() & F.col("hit").isNull()).withColumn(
+        "name",
+        F.coalesce("name", F.when(F.col("dim").isNotNull(), unknown)),
+    ).drop("hit")
     code = small(game_data.where("kind = 'building'").select(F.col("id").alias("code"), F.col("name").alias("cn")))
     x = x.join(code, "code", "left").withColumn("code_name", F.coalesce("cn", F.format_string("Unknown building %d", "code"))).drop("cn")
     for r in RESOURCES:
@@ -98,7 +101,12 @@ def decode(ops: DataFrame, game_data: DataFrame, objects: DataFrame) -> tuple[Da
         return pd.DataFrame({"match_id": p["match_id"], "op_seq": p["op_seq"], "building_types": [registry.see(r) for r in p.to_dict("records")]})
 
     cols = ["match_id", "op_seq", "kind", "object_id", "x", "y", "ids", "name", "code_name", "start"]
-    seen = per_match(y.where("kind in ('research', 'queue', 'dequeue', 'unqueue', 'build', 'interact', 'delete')").select(*cols), run, "match_id long, op_seq long, building_types array<string>", ("op_seq",))
+    seen = per_match(
+        y.where("kind in ('research', 'queue', 'dequeue', 'unqueue', 'build', 'interact', 'delete')").select(*cols),
+        run,
+        "match_id long, op_seq long, building_types array<string>",
+        ("op_seq",),
+    )
     z = x.join(seen, ["match_id", "op_seq"], "left")
     sale = market_sale(F.col("code"), F.col("amount"))
     tiles = wall_cost(F.lit(1), F.col("x"), F.col("y"), F.col("x2"), F.col("y2")).cast("long")
@@ -118,7 +126,10 @@ def decode(ops: DataFrame, game_data: DataFrame, objects: DataFrame) -> tuple[Da
         .when(is_("sell"), F.concat(F.lit("Market sell "), F.initcap(sale["name"])))
     )
     units = F.when(is_("queue", "dequeue"), F.greatest(F.coalesce("amount", F.lit(0)), F.lit(0))).otherwise(1)
-    z = z.withColumn("description", text).where("description is not null").withColumn("unit", F.explode(F.when(units > 0, F.sequence(F.lit(1).cast("long"), units.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
+    z = z.withColumn("description", text).where("description is not null").withColumn(
+        "unit",
+        F.explode(F.when(units > 0, F.sequence(F.lit(1).cast("long"), units.cast("long"))).otherwise(F.array().cast("array<bigint>"))),
+    )
     ids = F.when(is_("research"), F.array("object_id")).otherwise(F.coalesce("ids", F.array().cast("array<bigint>")))
     names = F.when(is_("delete"), F.array().cast("array<string>")).otherwise(F.coalesce("building_types", F.array().cast("array<string>")))
     events = z.select(
@@ -148,7 +159,13 @@ def players(rows: DataFrame, civs: DataFrame) -> DataFrame:
     x = rows.withColumn("shown", F.coalesce(own, F.format_string("Player %d", "slot"))).where(F.col("player_type").isin(2, 4) | own.isNotNull())
     x = x.join(small(civs.select(F.col("id").alias("civ_id"), F.col("name").alias("civ"))), "civ_id", "left")
     w = Window.partitionBy("match_id").orderBy(F.when(F.col("slot") == F.col("rec_player"), 0).otherwise(1), "slot")
-    return x.select("match_id", "slot", F.col("shown").alias("name"), F.coalesce("civ", F.format_string("Unknown Civ %d", "civ_id")).alias("civ"), F.row_number().over(w).alias("place"))
+    return x.select(
+        "match_id",
+        "slot",
+        F.col("shown").alias("name"),
+        F.coalesce("civ", F.format_string("Unknown Civ %d", "civ_id")).alias("civ"),
+        F.row_number().over(w).alias("place"),
+    )
 
 
 def winners(listed: DataFrame, ops: DataFrame) -> DataFrame:

@@ -18,7 +18,10 @@ def threshold_runs(timeline: DataFrame, thresholds: Column) -> DataFrame:
     """
     x = with_phase(timeline).withColumn("end_all", F.max("ts_ms").over(Window.partitionBy("match_id")))
     x = x.withColumn("epoch", F.sum(F.when(F.col("phase").isNotNull(), 1).otherwise(0)).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("over", F.when(F.col("phase").isNotNull(), F.lit(False)).when(F.col("value").isNotNull(), F.col("value") > F.get(thresholds, F.col("now")))).where("over is not null")
+    x = x.withColumn(
+        "over",
+        F.when(F.col("phase").isNotNull(), F.lit(False)).when(F.col("value").isNotNull(), F.col("value") > F.get(thresholds, F.col("now"))),
+    ).where("over is not null")
     x = x.withColumn("was", F.coalesce(F.lag("over").over(ordered()), F.lit(False)))
     x = x.where("over <> was or phase is not null")
     x = x.withColumn("end_ms", F.coalesce(F.lead("ts_ms").over(ordered()), F.col("end_all")))
@@ -33,7 +36,9 @@ def subtract(runs: DataFrame, holes: DataFrame, least_ms: int = 0) -> DataFrame:
     """
     run_id = F.struct(*runs.columns).alias("run")
     touching = (F.col("h.match_id") == F.col("r.run.match_id")) & (F.col("h.to_ms") > F.col("r.run.start_ms")) & (F.col("h.from_ms") < F.col("r.run.end_ms"))
-    joined = runs.select(run_id).distinct().alias("r").join(holes.alias("h"), touching, "left").groupBy("run").agg(F.sort_array(F.collect_list(F.when(F.col("h.from_ms").isNotNull(), F.struct("h.from_ms", "h.to_ms")))).alias("hs"))
+    joined = runs.select(run_id).distinct().alias("r").join(holes.alias("h"), touching, "left").groupBy("run").agg(
+        F.sort_array(F.collect_list(F.when(F.col("h.from_ms").isNotNull(), F.struct("h.from_ms", "h.to_ms")))).alias("hs")
+    )
     start = F.struct(F.col("run.start_ms").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
     step = lambda acc, h: F.struct(
         F.greatest(acc["at"], h["to_ms"]).alias("at"),
@@ -60,7 +65,9 @@ def inside(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def max_overlap(spans: DataFrame) -> DataFrame:
     """(match_id, at, until, depth): the first stretch that most spans cover; ends come before starts at one place."""
-    edges = spans.select("match_id", F.col("start_ms").alias("x"), F.lit(1).alias("d")).unionByName(spans.select("match_id", F.col("end_ms").alias("x"), F.lit(-1).alias("d")))
+    edges = spans.select("match_id", F.col("start_ms").alias("x"), F.lit(1).alias("d")).unionByName(
+        spans.select("match_id", F.col("end_ms").alias("x"), F.lit(-1).alias("d"))
+    )
     w = Window.partitionBy("match_id").orderBy("x", "d")
     sweep = edges.withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("x").over(w))
     first = Window.partitionBy("match_id").orderBy(F.col("depth").desc(), "x", F.col("until").asc_nulls_last())

@@ -49,7 +49,14 @@ def segments(timeline: DataFrame) -> DataFrame:
     x = x.where(change | cut)
     after = ordered()
     reason = F.when(F.lead("ts_ms").over(after).isNull(), "end").when(F.lead("phase").over(after).isNotNull(), "phase").otherwise("value")
-    return x.select("match_id", F.col("ts_ms").alias("start_ms"), F.coalesce(F.lead("ts_ms").over(after), F.col("end_all")).alias("end_ms"), F.col("cur").alias("value"), F.col("now").alias("phase"), reason.alias("end_reason"))
+    return x.select(
+        "match_id",
+        F.col("ts_ms").alias("start_ms"),
+        F.coalesce(F.lead("ts_ms").over(after), F.col("end_all")).alias("end_ms"),
+        F.col("cur").alias("value"),
+        F.col("now").alias("phase"),
+        reason.alias("end_reason"),
+    )
 
 
 def weighted_by_phase(cut: DataFrame) -> DataFrame:

@@ -31,10 +31,22 @@ def mappings(readings: DataFrame, events: DataFrame | None) -> DataFrame:
     ready = F.min(F.when(F.expr(" and ".join(f"{r} is not null" for r in C.RESOURCES)), F.col("ts_ms")))
     start = readings.groupBy("match_id").agg(ready.alias("t0"))
     plain = F.when(F.col("t0").isNotNull(), F.array(F.struct(F.col("t0").cast("double").alias("rw"), F.lit(0.0).alias("ig"))))
-    alone = start.select("match_id", F.when(F.col("t0").isNotNull(), "telemetry only").otherwise("no complete reading").alias("status"), plain.alias("knots"), F.lit(C.TELEMETRY_SPEED).alias("speed_before"), F.lit(C.TELEMETRY_SPEED).alias("speed_after"))
+    alone = start.select(
+        "match_id",
+        F.when(F.col("t0").isNotNull(), "telemetry only").otherwise("no complete reading").alias("status"),
+        plain.alias("knots"),
+        F.lit(C.TELEMETRY_SPEED).alias("speed_before"),
+        F.lit(C.TELEMETRY_SPEED).alias("speed_after"),
+    )
     if events is None:
         return alone
-    fitted = calibrate_matches(readings, events.withColumn("ig_ms", F.col("ts_ms"))).where("knots is not null").select("match_id", "status", "knots", "speed_before", "speed_after")
+    fitted = calibrate_matches(readings, events.withColumn("ig_ms", F.col("ts_ms"))).where("knots is not null").select(
+        "match_id",
+        "status",
+        "knots",
+        "speed_before",
+        "speed_after",
+    )
     return fitted.unionByName(alone.join(fitted, "match_id", "left_anti"))
 
 
@@ -45,8 +57,14 @@ def in_game(rows: DataFrame, maps: DataFrame) -> DataFrame:
     below = F.filter("knots", lambda k: k["rw"] <= t)
     a, b = F.element_at(below, -1), F.element_at(F.filter("knots", lambda k: k["rw"] > t), 1)
     inner = a["ig"] + (b["ig"] - a["ig"]) * (t - a["rw"]) / (b["rw"] - a["rw"])
-    ig = F.when(t <= first["rw"], first["ig"] - (first["rw"] - t) * F.col("speed_before")).when(t >= last["rw"], last["ig"] + (t - last["rw"]) * F.col("speed_after")).otherwise(inner)
-    return rows.join(maps.where("knots is not null").select("match_id", "knots", "speed_before", "speed_after"), "match_id").withColumn("ig", ig).drop("knots", "speed_before", "speed_after")
+    ig = F.when(
+        t <= first["rw"],
+        first["ig"] - (first["rw"] - t) * F.col("speed_before"),
+    ).when(t >= last["rw"], last["ig"] + (t - last["rw"]) * F.col("speed_after")).otherwise(inner)
+    return rows.join(
+        maps.where("knots is not null").select("match_id", "knots", "speed_before", "speed_after"),
+        "match_id",
+    ).withColumn("ig", ig).drop("knots", "speed_before", "speed_after")
 
 
 def timeline(readings: DataFrame, events: DataFrame | None, maps: DataFrame) -> DataFrame:
@@ -55,14 +73,36 @@ def timeline(readings: DataFrame, events: DataFrame | None, maps: DataFrame) ->
     Events of unmapped or telemetry-only matches are left out.
     """
     shots = in_game(readings, maps)
-    screens = shots.where("ig >= 0").select("match_id", F.lit("screen").alias("src"), F.lit(1).alias("rank"), F.struct(F.col("seq"), F.lit(0).cast("long").alias("unit")).alias("seq"), F.round("ig").cast("long").alias("in_game_ms"), "ts_ms", *PANEL, "housing")
+    screens = shots.where("ig >= 0").select(
+        "match_id",
+        F.lit("screen").alias("src"),
+        F.lit(1).alias("rank"),
+        F.struct(F.col("seq"), F.lit(0).cast("long").alias("unit")).alias("seq"),
+        F.round("ig").cast("long").alias("in_game_ms"),
+        "ts_ms",
+        *PANEL,
+        "housing",
+    )
     if events is None:
         return screens
     end = shots.groupBy("match_id").agg(F.round(F.greatest(F.max_by("ig", "ts_ms"), F.lit(0.0))).cast("long").alias("end_"))
     told = events.join(maps.where("status = 'ok'").select("match_id"), "match_id", "left_semi").join(end, "match_id").where("ts_ms <= end_")
     kind = events.schema["seq"].dataType
     parts = [F.col(f"seq.{n}") for n in kind.fieldNames()] if hasattr(kind, "fieldNames") else [F.col("seq"), F.lit(0).cast("long")]
-    told = told.select("match_id", F.lit("event").alias("src"), F.lit(0).alias("rank"), F.struct(parts[0].alias("seq"), parts[1].alias("unit")).alias("seq"), F.col("ts_ms").alias("in_game_ms"), "kind", "type_id", "description", *[F.col(r).alias(f"cost_{r}") for r in COSTS], "building_ids", "building_types", "gives_resources")
+    told = told.select(
+        "match_id",
+        F.lit("event").alias("src"),
+        F.lit(0).alias("rank"),
+        F.struct(parts[0].alias("seq"), parts[1].alias("unit")).alias("seq"),
+        F.col("ts_ms").alias("in_game_ms"),
+        "kind",
+        "type_id",
+        "description",
+        *[F.col(r).alias(f"cost_{r}") for r in COSTS],
+        "building_ids",
+        "building_types",
+        "gives_resources",
+    )
     return screens.unionByName(told, allowMissingColumns=True)
 
 
@@ -73,8 +113,21 @@ def _clicks(line: DataFrame) -> DataFrame:
 
 def _series(line: DataFrame, value) -> DataFrame:
     """All rows of the timeline for phases.segments: other events end the last segment but carry nothing."""
-    rows = line.where("not (src = 'event' and coalesce(kind = 'research', false))").select("match_id", F.col("in_game_ms").alias("ts_ms"), "rank", "seq", F.when(F.col("src") == "screen", value).cast("long").alias("value"), F.lit(None).cast("int").alias("phase"))
-    research = line.where("src = 'event' and kind = 'research'").select("match_id", F.col("in_game_ms").alias("ts_ms"), "rank", "seq", F.lit(None).cast("long").alias("value"))
+    rows = line.where("not (src = 'event' and coalesce(kind = 'research', false))").select(
+        "match_id",
+        F.col("in_game_ms").alias("ts_ms"),
+        "rank",
+        "seq",
+        F.when(F.col("src") == "screen", value).cast("long").alias("value"),
+        F.lit(None).cast("int").alias("phase"),
+    )
+    research = line.where("src = 'event' and kind = 'research'").select(
+        "match_id",
+        F.col("in_game_ms").alias("ts_ms"),
+        "rank",
+        "seq",
+        F.lit(None).cast("long").alias("value"),
+    )
     clicks = phases.effective_clicks(_clicks(line)).select("match_id", "seq", "phase")
     return rows.unionByName(research.join(clicks, ["match_id", "seq"], "left").select(*rows.columns))
 
@@ -89,7 +142,12 @@ def floating(line: DataFrame) -> DataFrame:
     clicks, out = _clicks(line), None
     castles = line.where("src = 'event' and kind = 'build' and description = 'Build Castle'").select("match_id", "in_game_ms")
     since = lambda df, t: df.select("match_id", F.greatest(F.col(t) - C.SAVE_UP_MS, F.lit(0)).alias("from_ms"), F.col(t).alias("to_ms"))
-    holes = {"food": since(clicks, "ts_ms"), "gold": since(clicks.where("phase >= 2"), "ts_ms"), "stone": since(castles, "in_game_ms"), "wood": since(castles.where("false"), "in_game_ms")}
+    holes = {
+        "food": since(clicks, "ts_ms"),
+        "gold": since(clicks.where("phase >= 2"), "ts_ms"),
+        "stone": since(castles, "in_game_ms"),
+        "wood": since(castles.where("false"), "in_game_ms"),
+    }
     for i, r in enumerate(C.RESOURCES):
         runs = intervals.threshold_runs(_series(line, F.col(r)), F.array(*[F.lit(t[i]) for t in C.THRESHOLDS]))
         part = intervals.subtract(runs, holes[r], C.FLOATING_MIN_MS).withColumn("resource", F.lit(r))
@@ -121,12 +179,28 @@ def grades(line: DataFrame, has_events: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("known"), F.lit(False)) & (F.col("length") > 0)
     share = lambda a, b: F.when(ok, F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0)) / F.col(b)).otherwise(0.0))
     (ip, it, i_s), (hp, ht, h_s) = percent_tier(share("lost", "whole")), percent_tier(share("housed", "time"))
-    return x.select("match_id", ip.alias("idle_pct"), it.alias("idle_tier"), i_s.alias("idle_stars"), hp.alias("housed_pct"), ht.alias("housed_tier"), h_s.alias("housed_stars"), F.when(ok, overall_tier(i_s + h_s)).otherwise("none").alias("overall_tier"))
+    return x.select(
+        "match_id",
+        ip.alias("idle_pct"),
+        it.alias("idle_tier"),
+        i_s.alias("idle_stars"),
+        hp.alias("housed_pct"),
+        ht.alias("housed_tier"),
+        h_s.alias("housed_stars"),
+        F.when(ok, overall_tier(i_s + h_s)).otherwise("none").alias("overall_tier"),
+    )
 
 
 def chart(line: DataFrame, floats: DataFrame) -> DataFrame:
     """Each reading's label and flags for the report's charts."""
-    out = line.where("src = 'screen'").select("match_id", "seq", F.col("in_game_ms").alias("ts_ms"), stem(clock(F.col("in_game_ms"))).alias("label"), *PANEL, (F.coalesce(F.col("housing") == "housed", F.lit(False))).alias("housed"))
+    out = line.where("src = 'screen'").select(
+        "match_id",
+        "seq",
+        F.col("in_game_ms").alias("ts_ms"),
+        stem(clock(F.col("in_game_ms"))).alias("label"),
+        *PANEL,
+        (F.coalesce(F.col("housing") == "housed", F.lit(False))).alias("housed"),
+    )
     for r in C.RESOURCES:
         out = intervals.inside(out, floats.where(F.col("resource") == r)).withColumnRenamed("inside", f"floating_{r}")
     return out
@@ -142,18 +216,43 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
     tag = lambda df, section, field, d: df.select("match_id", F.lit(section).alias("section"), F.col("ts_ms").alias("in_game_ms"), F.lit(field).alias("field"), d.alias("detail"))
     for r in C.RESOURCES:
         parts.append(tag(anomalies.neighbours(series(r)).where("glitch"), "glitch", r, detail("prev", "value", "next")))
-        parts.append(tag(anomalies.large_increases(series(r), refunds, C.LARGE_INCREASE, C.AFTER_MS, C.BEFORE_MS), "increase", r, F.concat(F.lit("+"), F.col("rise").cast("string"))))
+        parts.append(
+            tag(
+                anomalies.large_increases(series(r), refunds, C.LARGE_INCREASE, C.AFTER_MS, C.BEFORE_MS),
+                "increase",
+                r,
+                F.concat(F.lit("+"), F.col("rise").cast("string")),
+            )
+        )
     for f in ("pop_curr", "pop_max", "pop_vils"):
         parts.append(tag(anomalies.spikes(series(f), C.POP_SPIKE), "glitch", f, detail("prev", "value", "next")))
     for big, small in (("pop_vils", "pop_curr"), ("idle_vils", "pop_vils")):
-        runs = anomalies.invariant_runs(shots.select("match_id", F.col("s_").alias("seq"), F.col("in_game_ms").alias("ts_ms"), big, small), F.col(big) > F.col(small))
-        parts.append(tag(runs.withColumnRenamed("first_ms", "ts_ms"), "invariant", big, F.concat(F.lit(f"{big} > {small} in "), F.col("frames").cast("string"), F.lit(" frames"))))
+        runs = anomalies.invariant_runs(
+            shots.select("match_id", F.col("s_").alias("seq"), F.col("in_game_ms").alias("ts_ms"), big, small),
+            F.col(big) > F.col(small),
+        )
+        parts.append(
+            tag(
+                runs.withColumnRenamed("first_ms", "ts_ms"),
+                "invariant",
+                big,
+                F.concat(F.lit(f"{big} > {small} in "), F.col("frames").cast("string"), F.lit(" frames")),
+            )
+        )
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     needs = line.where("src = 'event'").where(" or ".join(f"cost_{r} > 0" for r in C.RESOURCES))
     first = shots.groupBy("match_id").agg(F.min("in_game_ms").alias("t0"))
-    spends = needs.join(first, "match_id").where("in_game_ms >= t0").select("match_id", "seq.seq", "seq.unit", F.col("in_game_ms").alias("ts_ms"), "description", F.greatest(F.size("building_ids"), F.lit(1)).alias("buildings"), *[F.col(f"cost_{r}").alias(r) for r in C.RESOURCES])
+    spends = needs.join(first, "match_id").where("in_game_ms >= t0").select(
+        "match_id",
+        "seq.seq",
+        "seq.unit",
+        F.col("in_game_ms").alias("ts_ms"),
+        "description",
+        F.greatest(F.size("building_ids"), F.lit(1)).alias("buildings"),
+        *[F.col(f"cost_{r}").alias(r) for r in C.RESOURCES],
+    )
 
     def settle(key: tuple, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         s, f = s.sort_values(["ts_ms", "seq", "unit"]), f.sort_values(["ts_ms", "seq"])
@@ -166,7 +265,18 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
             short = {r: n for r, n in need.items() if got[r] < C.TAKE_FRACTION * n}
             shown = ", ".join(f"{r} {n} charged, ~{got[r]} on screen" for r, n in need.items())
             text = f"{x['description']} with {x['buildings']} buildings: {shown}" if over else x["description"]
-            rows.append((key[0], i, "overclaimed" if over else "matched" if ok else "unmatched", int(x["ts_ms"]), next(iter(short or need)), text, off, [{"resource": r, "need": n} for r, n in short.items()]))
+            rows.append(
+                (
+                    key[0],
+                    i,
+                    "overclaimed" if over else "matched" if ok else "unmatched",
+                    int(x["ts_ms"]),
+                    next(iter(short or need)),
+                    text,
+                    off,
+                    [{"resource": r, "need": n} for r, n in short.items()],
+                )
+            )
         seeds, rest = folds.left_over(pool)
         rows += [(key[0], -1, "reseed", 0, "wood", "", None, [])] * seeds + [(key[0], -1, "unexplained", ts, r, f"-{left}", None, []) for r, ts, left in rest]
         return pd.DataFrame(rows, columns=["match_id", "n", "section", "in_game_ms", "field", "detail", "offset_ms", "short"]).astype({"offset_ms": "Int64"})
@@ -174,23 +284,54 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
     falls = None
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
     for r in C.RESOURCES:
-        x = anomalies.neighbours(series(r)).withColumn("was", F.coalesce(F.lag("glitch").over(w), F.lit(False))).where("value < prev and not glitch and not was")
+        x = anomalies.neighbours(series(r)).withColumn(
+            "was",
+            F.coalesce(F.lag("glitch").over(w), F.lit(False)),
+        ).where("value < prev and not glitch and not was")
         x = x.select("match_id", "seq", "ts_ms", F.lit(r).alias("resource"), (F.col("prev") - F.col("value")).alias("delta"))
         falls = x if falls is None else falls.unionByName(x)
     falls = falls.select(*[F.col(c).alias(c) for c in falls.columns])  # both sides come from one table
-    settled = folds.spread(spends).groupBy("match_id").cogroup(folds.spread(falls).groupBy("match_id")).applyInPandas(settle, f"match_id {dict(line.dtypes)['match_id']}, n long, section string, in_game_ms long, field string, detail string, offset_ms long, short array<struct<resource:string,need:long>>")
+    settled = folds.spread(spends).groupBy("match_id").cogroup(folds.spread(falls).groupBy("match_id")).applyInPandas(
+        settle,
+        f"match_id {dict(line.dtypes)['match_id']}, n long, section string, in_game_ms long, field string, detail string, offset_ms long, short array<struct<resource:string,need:long>>",
+    )
     is_ = lambda *k: F.sum(F.col("section").isin(*k).cast("long"))
-    stats = settled.groupBy("match_id").agg(is_("matched", "overclaimed").alias("matched"), is_("matched", "overclaimed", "unmatched").alias("total"), is_("reseed").alias("reseeds"), F.expr("get(sort_array(collect_list(offset_ms)), cast(((count(offset_ms) - 1) * 50) div 100 as int))").alias("median_ms"))
+    stats = settled.groupBy("match_id").agg(
+        is_("matched", "overclaimed").alias("matched"),
+        is_("matched", "overclaimed", "unmatched").alias("total"),
+        is_("reseed").alias("reseeds"),
+        F.expr("get(sort_array(collect_list(offset_ms)), cast(((count(offset_ms) - 1) * 50) div 100 as int))").alias("median_ms"),
+    )
     # why a spend found no drop: the last reading before it could not pay, or none was seen
-    short = settled.where("section = 'unmatched'").select("match_id", "n", F.col("in_game_ms").alias("ts_ms"), F.explode("short").alias("s")).select("match_id", "n", "ts_ms", "s.*")
-    shown = shots.select("match_id", "s_", "in_game_ms", F.explode(F.array(*[F.struct(F.lit(r).alias("resource"), F.col(r).alias("value")) for r in C.RESOURCES])).alias("x"))
-    shown = shown.select("match_id", F.col("x.resource").alias("resource"), F.col("in_game_ms").alias("ts_ms"), F.col("s_").alias("seq"), F.col("x.value").cast("long").alias("value"))
+    short = settled.where("section = 'unmatched'").select(
+        "match_id",
+        "n",
+        F.col("in_game_ms").alias("ts_ms"),
+        F.explode("short").alias("s"),
+    ).select("match_id", "n", "ts_ms", "s.*")
+    shown = shots.select(
+        "match_id",
+        "s_",
+        "in_game_ms",
+        F.explode(F.array(*[F.struct(F.lit(r).alias("resource"), F.col(r).alias("value")) for r in C.RESOURCES])).alias("x"),
+    )
+    shown = shown.select(
+        "match_id",
+        F.col("x.resource").alias("resource"),
+        F.col("in_game_ms").alias("ts_ms"),
+        F.col("s_").alias("seq"),
+        F.col("x.value").cast("long").alias("value"),
+    )
     had = asof.backward(short, shown, "value", "had", ("match_id", "resource"))
     poor = F.concat("resource", F.lit(": only "), F.col("had").cast("string"), F.lit(" available for "), F.col("need").cast("string"))
     none = F.concat("resource", F.lit(": no drop of ~"), F.col("need").cast("string"), F.lit(" on screen"))
     order = F.array_position(F.array(*[F.lit(r) for r in C.RESOURCES]), F.col("resource"))
-    why = had.withColumn("why", F.when(F.col("had") < F.col("need"), poor).otherwise(none)).groupBy("match_id", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "why"))), lambda x: x["why"]), "; ").alias("why"))
-    told = settled.where("section in ('unmatched', 'overclaimed', 'unexplained')").join(why, ["match_id", "n"], "left").withColumn("detail", F.concat_ws(": ", "detail", "why")).select("match_id", "section", "in_game_ms", "field", "detail")
+    why = had.withColumn("why", F.when(F.col("had") < F.col("need"), poor).otherwise(none)).groupBy("match_id", "n").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "why"))), lambda x: x["why"]), "; ").alias("why")
+    )
+    told = settled.where(
+        "section in ('unmatched', 'overclaimed', 'unexplained')"
+    ).join(why, ["match_id", "n"], "left").withColumn("detail", F.concat_ws(": ", "detail", "why")).select("match_id", "section", "in_game_ms", "field", "detail")
     return found.unionByName(told), stats
 
 
@@ -220,4 +361,12 @@ def analyze(readings: DataFrame, events: DataFrame | None) -> Analysis:
         for c, t in (("kind", "string"), ("type_id", "long"), ("description", "string")):
             line = line.withColumn(c, F.lit(None).cast(t))
     floats = floating(line)
-    return Analysis(maps, line, floats, floating_by_phase(line, floats), grades(line, maps.where("status = 'ok'").select("match_id")), chart(line, floats), kept)
+    return Analysis(
+        maps,
+        line,
+        floats,
+        floating_by_phase(line, floats),
+        grades(line, maps.where("status = 'ok'").select("match_id")),
+        chart(line, floats),
+        kept,
+    )

@@ -26,7 +26,11 @@ def query(sql: str | None = None):
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(p_name, 'Unknown part ' || l_partkey) AS name, coalesce(p_size, 0) AS size, p_partkey IS NULL AS miss FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) p ON p_partkey = l_partkey")
 def dim_lookup_unknown(spark, d):
-    dim = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    dim = table(spark, d, "part").where("p_partkey % 10 <> 0").select(
+        F.col("p_partkey").alias("l_partkey"),
+        F.col("p_name").alias("name"),
+        F.col("p_size").alias("size"),
+    )
     facts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     out = lookups.named(facts, dim, ["l_partkey"], "name", F.concat(F.lit("Unknown part "), F.col("l_partkey").cast("string")), ["size"])
     return out.select("l_orderkey", "l_linenumber", "name", "size", "miss")
@@ -56,7 +60,12 @@ def id_names(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, CAST(unnest(range(CAST(l_quantity AS BIGINT))) AS INTEGER) AS unit, l_extendedprice FROM lineitem")
 def explode_units(spark, d):
-    x = table(spark, d, "lineitem").where("l_quantity >= 1").select("l_orderkey", "l_linenumber", "l_extendedprice", F.explode(F.expr("sequence(0, cast(l_quantity as int) - 1)")).alias("unit"))
+    x = table(spark, d, "lineitem").where("l_quantity >= 1").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_extendedprice",
+        F.explode(F.expr("sequence(0, cast(l_quantity as int) - 1)")).alias("unit"),
+    )
     return x.select("l_orderkey", "l_linenumber", "unit", "l_extendedprice")
 
 
@@ -171,7 +180,13 @@ def exact_key_join(spark, d):
 
 @query("WITH c AS (SELECT l_returnflag AS field, l_linestatus = CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'F' ELSE 'O' END AS ok FROM lineitem) SELECT field, CAST(count(*) FILTER (ok) AS BIGINT) AS correct, count(*) AS total FROM c GROUP BY field UNION ALL SELECT 'all', count(*) FILTER (ok), count(*) FROM c")
 def accuracy_rollup(spark, d):
-    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("field"), "l_orderkey", "l_linenumber", "l_linestatus", F.expr("case when year(l_shipdate) < 1998 then 'F' else 'O' end").alias("guess"))
+    x = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("field"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_linestatus",
+        F.expr("case when year(l_shipdate) < 1998 then 'F' else 'O' end").alias("guess"),
+    )
     return lookups.accuracy(x.withColumn("correct", F.col("l_linestatus").eqNullSafe(F.col("guess"))), "field")
 
 
@@ -220,7 +235,10 @@ def players_order(spark, d):
 @query("SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_name END), ''), 'Player ' || c_custkey) AS name FROM customer")
 def display_name(spark, d):
     raw = F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.col("c_name"))
-    return table(spark, d, "customer").select("c_custkey", F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.concat(F.lit("Player "), F.col("c_custkey").cast("string"))).alias("name"))
+    return table(spark, d, "customer").select(
+        "c_custkey",
+        F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.concat(F.lit("Player "), F.col("c_custkey").cast("string"))).alias("name"),
+    )
 
 
 @query("SELECT p_partkey, split_part(v, '/', 1) AS cur, split_part(v, '/', 2) AS most FROM (SELECT p_partkey, p_size || '/' || (p_size + 5) AS v FROM part)")

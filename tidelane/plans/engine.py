@@ -32,7 +32,12 @@ def game_data(spark, d) -> DataFrame:
     kind = F.get(F.array(*[F.lit(k) for k in ("unit", "building", "tech")]), (F.col("p_partkey") % 3).cast("int"))
     size = F.col("p_size").cast("long")
     cost = [size.alias("food"), (size * 2).alias("wood"), (size % 7).alias("gold"), (size % 3).alias("stone")]
-    return table(spark, d, "part").where("p_partkey % 10 <> 0").select(kind.alias("kind"), F.expr("p_partkey div 3").alias("id"), F.col("p_name").alias("name"), *cost)
+    return table(spark, d, "part").where("p_partkey % 10 <> 0").select(
+        kind.alias("kind"),
+        F.expr("p_partkey div 3").alias("id"),
+        F.col("p_name").alias("name"),
+        *cost,
+    )
 
 
 def operations(spark, d) -> DataFrame:
@@ -129,7 +134,15 @@ def decode_events(spark, d):
     """Operations to events: clock, names and costs, object names by registry, a row for each unit."""
     found, _ = _events(spark, d)
     ids = F.array_join(F.transform("building_ids", lambda i: i.cast("string")), ",")
-    return found.select("match_id", "seq.op_seq", "seq.unit", *found.columns[2:-3], ids.alias("building_ids"), F.array_join("building_types", ",").alias("building_types"), "gives_resources")
+    return found.select(
+        "match_id",
+        "seq.op_seq",
+        "seq.unit",
+        *found.columns[2:-3],
+        ids.alias("building_ids"),
+        F.array_join("building_types", ",").alias("building_types"),
+        "gives_resources",
+    )
 
 
 @query(_GAME + "SELECT dim, type_id, count(*) AS n FROM named WHERE miss GROUP BY dim, type_id")
@@ -141,7 +154,11 @@ def decode_misses(spark, d):
 def refunds_and_spends(spark, d):
     """What gives resources back and what takes some, by kind."""
     found, _ = _events(spark, d)
-    return found.groupBy("match_id", "kind").agg(F.count("*").alias("n"), F.sum(D.is_refund().cast("long")).alias("refunds"), F.sum(D.is_spend().cast("long")).alias("spends"))
+    return found.groupBy("match_id", "kind").agg(
+        F.count("*").alias("n"),
+        F.sum(D.is_refund().cast("long")).alias("refunds"),
+        F.sum(D.is_spend().cast("long")).alias("spends"),
+    )
 
 
 @query(
@@ -198,5 +215,10 @@ SELECT p.*, coalesce(p.name <> lost.name, false) AS is_winner FROM p LEFT JOIN l
 def match_winners(spark, d):
     """The last to resign loses, and everyone of another name wins."""
     c = table(spark, d, "customer").where("c_custkey % 3 = 0 and c_nationkey % 5 <> 0")
-    ops = c.select(F.col("c_nationkey").cast("long").alias("match_id"), (F.col("c_custkey") * 7919 % 99991).alias("op_seq"), F.lit("resign").alias("kind"), F.col("c_custkey").cast("int").alias("player_id"))
+    ops = c.select(
+        F.col("c_nationkey").cast("long").alias("match_id"),
+        (F.col("c_custkey") * 7919 % 99991).alias("op_seq"),
+        F.lit("resign").alias("kind"),
+        F.col("c_custkey").cast("int").alias("player_id"),
+    )
     return D.winners(_players(spark, d), ops)

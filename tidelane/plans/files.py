@@ -51,7 +51,20 @@ def merged_files(spark, d):
     path = S.workplace(spark, "merged")
     S.write_merged(games.line(spark, d), path)
     x = S.read_merged(spark, path).withColumn("building_ids", F.array_join(F.transform("building_ids", lambda i: i.cast("string")), ","))
-    return x.select("in_game_ms", "src", "kind", "description", *games.PANEL, "cost_food", "cost_gold", "cost_stone", "ts_ms", "housing", "building_ids", "type_id")
+    return x.select(
+        "in_game_ms",
+        "src",
+        "kind",
+        "description",
+        *games.PANEL,
+        "cost_food",
+        "cost_gold",
+        "cost_stone",
+        "ts_ms",
+        "housing",
+        "building_ids",
+        "type_id",
+    )
 
 
 @query(engine._GAME + "SELECT kind, id, name, food, wood, gold, stone FROM gd")
@@ -66,7 +79,10 @@ def id_name_file(spark, d):
     """Rows without an id are skipped, and of repeated ids the last one holds."""
     path = S.workplace(spark, "names")
     key = F.when(F.col("n_nationkey") % 5 == 0, F.lit("x")).otherwise((F.col("n_nationkey") % 7).cast("string"))
-    table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(key.alias("ID"), F.col("n_name").alias("Name")).write.csv(path, header=True)
+    table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(
+        key.alias("ID"),
+        F.col("n_name").alias("Name"),
+    ).write.csv(path, header=True)
     return S.read_id_names(spark, path)
 
 
@@ -81,14 +97,22 @@ def game_documents(spark, d):
     n, r = F.col("n_nationkey"), F.col("r_regionkey")
     cost = lambda k, v: F.struct(F.create_map(F.lit(k), v.cast("long")).alias("Cost"))
     up = F.struct((n + 100).alias("ID"), F.create_map(F.lit("Stone"), F.lit(9).cast("long")).alias("Cost"))
-    costs = doc(nation, n, cost("Food", F.col("n_regionkey")), "Unit").join(doc(region, r, cost("Wood", F.lit(5)), "Building")).join(doc(nation.where("n_nationkey < 5"), n + 100, cost("Stone", F.lit(9)), "Tech")).join(doc(nation.where("n_nationkey < 10"), n, up, "unit_upgrades"))
+    costs = doc(nation, n, cost("Food", F.col("n_regionkey")), "Unit").join(doc(region, r, cost("Wood", F.lit(5)), "Building")).join(
+        doc(nation.where("n_nationkey < 5"), n + 100, cost("Stone", F.lit(9)), "Tech")
+    ).join(doc(nation.where("n_nationkey < 10"), n, up, "unit_upgrades"))
     costs.select(F.struct("Unit", "Building", "Tech", "unit_upgrades").alias("data")).coalesce(1).write.json(f"{path}/costs")
     told = lambda c: F.struct(c.alias("localised_name"))
-    both = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).unionByName(region.where("r_regionkey < 0").select(r.alias("k"), F.col("r_name").alias("name")))
+    both = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).unionByName(
+        region.where("r_regionkey < 0").select(r.alias("k"), F.col("r_name").alias("name"))
+    )
     names = doc(both, F.col("k"), told(F.col("name")), "units_buildings").join(doc(nation, n + 100, told(F.concat("n_name", F.lit(" tech"))), "techs"))
     names.coalesce(1).write.json(f"{path}/names")
     found, known = S.read_game_documents(spark, f"{path}/costs", f"{path}/names")
-    own = region.select(F.lit("building").alias("kind"), r.alias("id"), F.when(r == 2, F.concat(F.lit("own "), "r_name")).otherwise(F.col("r_name")).alias("name"))
+    own = region.select(
+        F.lit("building").alias("kind"),
+        r.alias("id"),
+        F.when(r == 2, F.concat(F.lit("own "), "r_name")).otherwise(F.col("r_name")).alias("name"),
+    )
     return S.merge_game_data(found, known, own)
 
 
@@ -110,7 +134,12 @@ def ui_map_file(spark, d):
 def text_blocks(spark, d):
     """`key: value` lines under `File:` lines."""
     path = S.workplace(spark, "blocks")
-    lines = F.array(F.concat(F.lit("File: "), F.col("p_partkey").cast("string"), F.lit(".png")), F.concat(F.lit(" food :  "), F.col("p_size").cast("string")), F.concat(F.lit("wood: x: "), "p_brand"), F.lit("no colon"))
+    lines = F.array(
+        F.concat(F.lit("File: "), F.col("p_partkey").cast("string"), F.lit(".png")),
+        F.concat(F.lit(" food :  "), F.col("p_size").cast("string")),
+        F.concat(F.lit("wood: x: "), "p_brand"),
+        F.lit("no colon"),
+    )
     table(spark, d, "part").select(F.explode(lines).alias("value")).write.text(path)
     return S.read_blocks(spark, path)
 
@@ -136,7 +165,13 @@ def saved_frame_files(spark, d):
     path = S.workplace(spark, "frames")
     frames = tables.readings(spark, d).select("match_id", "seq", "ts_ms", F.col("seq").cast("string").cast("binary").alias("content"))
     S.write_saved_frames(folded.recorder_policy(spark, d), frames, path)
-    return spark.read.parquet(path).select(F.col("match_id").cast("long").alias("match_id"), "file", "ts_ms", "reason", F.col("content").cast("string").alias("content"))
+    return spark.read.parquet(path).select(
+        F.col("match_id").cast("long").alias("match_id"),
+        "file",
+        "ts_ms",
+        "reason",
+        F.col("content").cast("string").alias("content"),
+    )
 
 
 # recordings ---------------------------------------------------------------------------------------------------------
@@ -207,7 +242,14 @@ def changes_seen(spark, d):
     """Changes between consecutive samples, and whether the rows make the same step near them."""
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
     key = F.expr("cost div 25")
-    x = tables.spends(spark, d).select("match_id", "seq", F.lag("ts_ms").over(w).alias("old_ms"), F.col("ts_ms").alias("new_ms"), F.lag(key).over(w).alias("old_key"), key.alias("new_key"))
+    x = tables.spends(spark, d).select(
+        "match_id",
+        "seq",
+        F.lag("ts_ms").over(w).alias("old_ms"),
+        F.col("ts_ms").alias("new_ms"),
+        F.lag(key).over(w).alias("old_key"),
+        key.alias("new_key"),
+    )
     rows = tables.readings(spark, d).where("value is not null").select("match_id", "seq", "ts_ms", F.expr("value div 25").alias("key"))
     return retime.changes_seen(x.where("old_key <> new_key"), rows, 0, 24 * HOUR).select("match_id", "seq", "seen")
 

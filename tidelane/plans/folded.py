@@ -53,8 +53,18 @@ def calibrate(spark, d):
     """Clocks of users against themselves: real time is event time, game time runs 1.7 times as fast from their first event."""
     r, s = _readings(spark, d), spends(spark, d)
     quarter = F.expr("ts_ms div 10000")
-    panel = r.select("match_id", quarter.alias("ts_ms"), *[F.col("value").cast("int").alias(c) if c == "food" else F.lit(None).cast("int").alias(c) for c in PANEL])
-    cost = s.select("match_id", "seq", (quarter * 1.7).alias("ig_ms"), F.col("cost").alias("food"), *[F.lit(0).cast("long").alias(c) for c in ("wood", "gold", "stone")])
+    panel = r.select(
+        "match_id",
+        quarter.alias("ts_ms"),
+        *[F.col("value").cast("int").alias(c) if c == "food" else F.lit(None).cast("int").alias(c) for c in PANEL],
+    )
+    cost = s.select(
+        "match_id",
+        "seq",
+        (quarter * 1.7).alias("ig_ms"),
+        F.col("cost").alias("food"),
+        *[F.lit(0).cast("long").alias(c) for c in ("wood", "gold", "stone")],
+    )
     return calibrate_matches(panel, cost)
 
 

@@ -46,15 +46,37 @@ def replay(spark, d) -> DataFrame:
     text = F.when(kind == "research", "Research age").when(kind == "delete", "Delete x").when(kind == "build", "Build Castle").otherwise("Queue unit")
     type_id = F.when(kind == "research", 101 + F.col("seq") % 3).otherwise(F.lit(7)).cast("long")
     of = lambda k, c: F.when(kind == k, c).otherwise(0).cast("long")
-    cost = [of("queue", F.col("cost")).alias("food"), F.lit(0).cast("long").alias("wood"), of("queue", F.col("cost") % 50).alias("gold"), of("build", F.lit(650)).alias("stone")]
+    cost = [
+        of("queue", F.col("cost")).alias("food"),
+        F.lit(0).cast("long").alias("wood"),
+        of("queue", F.col("cost") % 50).alias("gold"),
+        of("build", F.lit(650)).alias("stone"),
+    ]
     ids = F.array(F.col("seq")).alias("building_ids")
-    return e.select("match_id", "seq", F.col("ig").alias("ts_ms"), kind.alias("kind"), type_id.alias("type_id"), text.alias("description"), *cost, ids, F.array(F.lit("b")).alias("building_types"), F.lit(False).alias("gives_resources"))
+    return e.select(
+        "match_id",
+        "seq",
+        F.col("ig").alias("ts_ms"),
+        kind.alias("kind"),
+        type_id.alias("type_id"),
+        text.alias("description"),
+        *cost,
+        ids,
+        F.array(F.lit("b")).alias("building_types"),
+        F.lit(False).alias("gives_resources"),
+    )
 
 
 def maps(spark, d) -> DataFrame:
     """Every match's clock, as a calibration would give it."""
     start = readings(spark, d).groupBy("match_id").agg((F.min("ts_ms") + LATE).cast("double").alias("rw"))
-    return start.select("match_id", F.lit("ok").alias("status"), F.array(F.struct("rw", F.lit(0.0).alias("ig"))).alias("knots"), F.lit(SPEED).alias("speed_before"), F.lit(SPEED).alias("speed_after"))
+    return start.select(
+        "match_id",
+        F.lit("ok").alias("status"),
+        F.array(F.struct("rw", F.lit(0.0).alias("ig"))).alias("knots"),
+        F.lit(SPEED).alias("speed_before"),
+        F.lit(SPEED).alias("speed_after"),
+    )
 
 
 def line(spark, d) -> DataFrame:
@@ -91,13 +113,33 @@ UNION ALL SELECT match_id, 'event', 0, seq, ig, NULL, {", ".join("NULL" for _ in
 )
 def analysis_timeline(spark, d):
     """Readings from game start on and events until the last reading, in game time."""
-    cols = ["match_id", "src", "rank", F.col("seq.seq").alias("seq"), "in_game_ms", "ts_ms", *PANEL, "housing", "kind", "type_id", "description", "cost_food", "cost_gold", "cost_stone"]
+    cols = [
+        "match_id",
+        "src",
+        "rank",
+        F.col("seq.seq").alias("seq"),
+        "in_game_ms",
+        "ts_ms",
+        *PANEL,
+        "housing",
+        "kind",
+        "type_id",
+        "description",
+        "cost_food",
+        "cost_gold",
+        "cost_stone",
+    ]
     return line(spark, d).select(*cols)
 
 
 def _floats() -> str:
     """SQL of time above the phase's threshold, less what is saved for, in pieces of 30 s or more."""
-    holes = {"food": "SELECT match_id, ig FROM clk", "gold": "SELECT match_id, ig FROM clk WHERE phase >= 2", "stone": "SELECT match_id, ig FROM act WHERE description = 'Build Castle'", "wood": "SELECT match_id, ig FROM clk WHERE false"}
+    holes = {
+        "food": "SELECT match_id, ig FROM clk",
+        "gold": "SELECT match_id, ig FROM clk WHERE phase >= 2",
+        "stone": "SELECT match_id, ig FROM act WHERE description = 'Build Castle'",
+        "wood": "SELECT match_id, ig FROM clk WHERE false",
+    }
     out = []
     for i, r in enumerate(C.RESOURCES):
         levels = [t[i] for t in C.THRESHOLDS]
@@ -113,7 +155,9 @@ c_{r} AS (  -- what of a run no hole covers: from its start, or a hole's end, to
   WHERE NOT EXISTS (SELECT 1 FROM h_{r} h WHERE h.match_id = r.match_id AND h.a <= p.at AND h.b > p.at)),
 p_{r} AS (
   SELECT c.match_id, '{r}' AS resource, c.phase, c.at AS start_ms, coalesce((SELECT min(h.a) FROM h_{r} h WHERE h.match_id = c.match_id AND h.a > c.at AND h.a < c.rb AND h.b > h.a), c.rb) AS end_ms FROM c_{r} c)""")
-    return ",\n" + ",\n".join(out) + ",\nfl AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM p_{r}" for r in C.RESOURCES) + f") WHERE end_ms - start_ms >= {C.FLOATING_MIN_MS})\n"
+    return ",\n" + ",\n".join(out) + ",\nfl AS (SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT * FROM p_{r}" for r in C.RESOURCES
+    ) + f") WHERE end_ms - start_ms >= {C.FLOATING_MIN_MS})\n"
 
 
 @query(_GAMES + _floats() + "SELECT match_id, resource, phase, start_ms, end_ms FROM fl")
@@ -193,11 +237,15 @@ def _findings() -> str:
         series = f"""(SELECT *, coalesce(lag(glitch) OVER (PARTITION BY match_id ORDER BY ig, seq), false) AS was FROM (SELECT *, coalesce(prev = next AND value <> prev, false) AS glitch FROM (
     SELECT match_id, seq, ig, {c} AS value, lag({c}) OVER w AS prev, lead({c}) OVER w AS next FROM scr WHERE {c} IS NOT NULL WINDOW w AS (PARTITION BY match_id ORDER BY ig, seq))))"""
         if c in C.RESOURCES:
-            parts.append(f"SELECT match_id, 'glitch' AS section, ig AS in_game_ms, '{c}' AS field, prev || ' -> ' || value || ' -> ' || next AS detail FROM {series} WHERE glitch")
+            parts.append(
+                f"SELECT match_id, 'glitch' AS section, ig AS in_game_ms, '{c}' AS field, prev || ' -> ' || value || ' -> ' || next AS detail FROM {series} WHERE glitch"
+            )
             parts.append(f"""SELECT x.match_id, 'increase', x.ig, '{c}', '+' || (value - prev) FROM {series} x WHERE value > prev + {C.LARGE_INCREASE} AND NOT was
   AND NOT EXISTS (SELECT 1 FROM act WHERE act.match_id = x.match_id AND act.kind = 'delete' AND act.ig BETWEEN x.ig - {C.AFTER_MS} AND x.ig + {C.BEFORE_MS})""")
         else:
-            parts.append(f"SELECT match_id, 'glitch', ig, '{c}', prev || ' -> ' || value || ' -> ' || next FROM {series} WHERE prev IS NOT NULL AND next IS NOT NULL AND (value + {C.POP_SPIKE} < least(prev, next) OR value > greatest(prev, next) + {C.POP_SPIKE})")
+            parts.append(
+                f"SELECT match_id, 'glitch', ig, '{c}', prev || ' -> ' || value || ' -> ' || next FROM {series} WHERE prev IS NOT NULL AND next IS NOT NULL AND (value + {C.POP_SPIKE} < least(prev, next) OR value > greatest(prev, next) + {C.POP_SPIKE})"
+            )
     for big, small in (("pop_vils", "pop_curr"), ("idle_vils", "pop_vils")):
         parts.append(f"""SELECT match_id, 'invariant', min(ig), '{big}', '{big} > {small} in ' || count(*) || ' frames' FROM (
     SELECT match_id, ig, n - row_number() OVER (PARTITION BY match_id ORDER BY ig, seq) AS island FROM (

@@ -47,9 +47,21 @@ def _holes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT match_id, src, seq, ts_ms, row_number() OVER (PARTITION BY match_id ORDER BY ts_ms, r, seq) AS pos FROM (SELECT o_custkey % 150 AS match_id, 'order' AS src, 0 AS r, o_orderkey AS seq, epoch_ms(o_orderdate) AS ts_ms FROM orders UNION ALL SELECT user_id, 'event', 1, event_id, epoch_us(ts) // 1000 FROM events)")
 def timeline_merge(spark, d):
-    orders = table(spark, d, "orders").select((F.col("o_custkey") % 150).alias("match_id"), F.lit("order").alias("src"), F.lit(0).alias("r"), F.col("o_orderkey").alias("seq"), (F.unix_date(F.to_date("o_orderdate")).cast("long") * 86_400_000).alias("ts_ms"))
+    orders = table(spark, d, "orders").select(
+        (F.col("o_custkey") % 150).alias("match_id"),
+        F.lit("order").alias("src"),
+        F.lit(0).alias("r"),
+        F.col("o_orderkey").alias("seq"),
+        (F.unix_date(F.to_date("o_orderdate")).cast("long") * 86_400_000).alias("ts_ms"),
+    )
     both = orders.unionByName(events(spark, d).select("match_id", F.lit("event").alias("src"), F.lit(1).alias("r"), "seq", "ts_ms"))
-    return both.select("match_id", "src", "seq", "ts_ms", F.row_number().over(Window.partitionBy("match_id").orderBy("ts_ms", "r", "seq")).cast("long").alias("pos"))
+    return both.select(
+        "match_id",
+        "src",
+        "seq",
+        "ts_ms",
+        F.row_number().over(Window.partitionBy("match_id").orderBy("ts_ms", "r", "seq")).cast("long").alias("pos"),
+    )
 
 
 @query(CTE + "SELECT match_id, phase, max(ts_ms) AS ts_ms FROM ck GROUP BY match_id, phase")
@@ -80,7 +92,11 @@ def weighted_value_by_phase(spark, d):
 @query(CTE + "SELECT CAST(sum(end_ms - start_ms) AS BIGINT) AS all_ms, CAST(sum(CASE WHEN value > 0 THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS positive_ms, CAST(sum((end_ms - start_ms) * value) AS BIGINT) AS weighted_ms, phase FROM seg GROUP BY phase UNION ALL SELECT CAST(sum(end_ms - start_ms) AS BIGINT), CAST(sum(CASE WHEN value > 0 THEN end_ms - start_ms ELSE 0 END) AS BIGINT), CAST(sum((end_ms - start_ms) * value) AS BIGINT), -1 FROM seg")
 def segment_totals(spark, d):
     ms = F.col("end_ms") - F.col("start_ms")
-    out = phases.segments(_timeline(spark, d)).rollup("phase").agg(F.sum(ms).alias("all_ms"), F.sum(F.when(F.col("value") > 0, ms).otherwise(0)).alias("positive_ms"), F.sum(ms * F.col("value")).alias("weighted_ms"))
+    out = phases.segments(_timeline(spark, d)).rollup("phase").agg(
+        F.sum(ms).alias("all_ms"),
+        F.sum(F.when(F.col("value") > 0, ms).otherwise(0)).alias("positive_ms"),
+        F.sum(ms * F.col("value")).alias("weighted_ms"),
+    )
     return out.withColumn("phase", F.coalesce("phase", F.lit(-1)))
 
 
@@ -95,7 +111,12 @@ def status_duration_pivot(spark, d):
 
 @query(CTE + "SELECT match_id, start_ms, end_ms, CASE WHEN end_reason = 'phase' THEN ' (click)' ELSE '' END AS note FROM seg")
 def segment_annotation(spark, d):
-    return phases.segments(_timeline(spark, d)).select("match_id", "start_ms", "end_ms", F.when(F.col("end_reason") == "phase", " (click)").otherwise("").alias("note"))
+    return phases.segments(_timeline(spark, d)).select(
+        "match_id",
+        "start_ms",
+        "end_ms",
+        F.when(F.col("end_reason") == "phase", " (click)").otherwise("").alias("note"),
+    )
 
 
 @query(CTE + "SELECT * FROM run")
@@ -191,7 +212,11 @@ def spend_rarity(spark, d):
 
 @query(CTE + ", k0 AS (SELECT match_id, ts_ms AS x, row_number() OVER (PARTITION BY match_id ORDER BY ts_ms, seq) AS i FROM ck), k AS (SELECT match_id, x, i * 7200000.0::DOUBLE AS y, lead(x) OVER (PARTITION BY match_id ORDER BY x, i) AS nx, lead(i) OVER (PARTITION BY match_id ORDER BY x, i) * 7200000.0::DOUBLE AS ny, first(x) OVER (PARTITION BY match_id ORDER BY x, i) AS fx FROM k0) SELECT r.match_id, r.seq, round(CASE WHEN k.x IS NULL THEN 7200000.0::DOUBLE - (f.fx - r.ts_ms) * 1.5::DOUBLE WHEN k.nx IS NULL THEN k.y + (r.ts_ms - k.x) * 2.0::DOUBLE ELSE k.y + (k.ny - k.y) * (r.ts_ms - k.x) / (k.nx - k.x) END, 3) AS y FROM rd r JOIN (SELECT DISTINCT match_id, fx FROM k) f ON f.match_id = r.match_id LEFT JOIN k ON k.match_id = r.match_id AND k.x <= r.ts_ms AND (k.nx IS NULL OR r.ts_ms < k.nx)")
 def clock_map_piecewise(spark, d):
-    knots = clicks(spark, d).select("match_id", F.col("ts_ms").alias("x"), (F.row_number().over(Window.partitionBy("match_id").orderBy("ts_ms", "seq")) * 7_200_000.0).alias("y"))
+    knots = clicks(spark, d).select(
+        "match_id",
+        F.col("ts_ms").alias("x"),
+        (F.row_number().over(Window.partitionBy("match_id").orderBy("ts_ms", "seq")) * 7_200_000.0).alias("y"),
+    )
     times = _series(spark, d).select("match_id", "seq", F.col("ts_ms").alias("x"))
     return asof.clock(times, knots, 1.5, 2.0).where("y is not null").select("match_id", "seq", F.round("y", 3).alias("y"))
 
@@ -201,19 +226,36 @@ _PAIRS = ", p AS (SELECT match_id, seq::DOUBLE AS x, value::DOUBLE AS y FROM rd
 
 @query(CTE + _PAIRS + " SELECT match_id, round(coalesce(regr_slope(y, x), 1.0), 6) AS slope, round(avg(y) - coalesce(regr_slope(y, x), 1.0) * avg(x), 4) AS intercept FROM p GROUP BY match_id")
 def regression_fit(spark, d):
-    fit = stats.least_squares(_series(spark, d).where("value is not null").select("match_id", F.col("seq").cast("double").alias("x"), F.col("value").cast("double").alias("y")))
+    fit = stats.least_squares(
+        _series(spark, d).where("value is not null").select(
+            "match_id",
+            F.col("seq").cast("double").alias("x"),
+            F.col("value").cast("double").alias("y"),
+        )
+    )
     return fit.select("match_id", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
 @query(CTE + _PAIRS + " SELECT match_id, round(sum(x * y) / sum(x * x), 9) AS slope FROM p GROUP BY match_id HAVING sum(x * x) > 0")
 def anchored_slope(spark, d):
-    fit = stats.anchored_slope(_series(spark, d).where("value is not null").select("match_id", F.col("seq").cast("double").alias("x"), F.col("value").cast("double").alias("y")))
+    fit = stats.anchored_slope(
+        _series(spark, d).where("value is not null").select(
+            "match_id",
+            F.col("seq").cast("double").alias("x"),
+            F.col("value").cast("double").alias("y"),
+        )
+    )
     return fit.where("slope is not null").select("match_id", F.round("slope", 9).alias("slope"))
 
 
 @query(CTE + ", v AS (SELECT match_id, seq % 1000 AS x, value AS y, 1 + seq % 3 AS w FROM rd WHERE value IS NOT NULL), b AS (SELECT match_id, i AS speed_no, CAST(floor((y - x / s::DOUBLE) / 25.0::DOUBLE) AS BIGINT) AS bin, w FROM v, (VALUES (0, 0.5), (1, 1.0), (2, 1.7), (3, 2.0), (4, 4.0)) g(i, s)), h AS (SELECT match_id, speed_no, bin, sum(w) AS w FROM b GROUP BY ALL), s AS (SELECT a.match_id, a.speed_no, a.bin, CAST(sum(n.w) AS BIGINT) AS score FROM h a JOIN h n ON n.match_id = a.match_id AND n.speed_no = a.speed_no AND n.bin BETWEEN a.bin - 1 AND a.bin + 1 GROUP BY a.match_id, a.speed_no, a.bin) SELECT match_id, speed_no, bin, score FROM s QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY score DESC, speed_no, bin) = 1")
 def hough_votes(spark, d):
-    votes = _series(spark, d).where("value is not null").select("match_id", (F.col("seq") % 1000).alias("x"), F.col("value").alias("y"), (1 + F.col("seq") % 3).alias("w"))
+    votes = _series(spark, d).where("value is not null").select(
+        "match_id",
+        (F.col("seq") % 1000).alias("x"),
+        F.col("value").alias("y"),
+        (1 + F.col("seq") % 3).alias("w"),
+    )
     return stats.hough(votes, list(SPEEDS), 25.0)
 
 
@@ -292,7 +334,9 @@ def set_diff_findings(spark, d):
 @query(CTE + ", g AS (SELECT match_id, seq, ts_ms, value FROM rd), c AS (SELECT match_id, seq, value, lag(value) OVER (PARTITION BY match_id ORDER BY ts_ms, seq) AS p FROM g) SELECT match_id, seq, p, value FROM c WHERE p IS NOT NULL AND value IS NOT NULL AND p <> value")
 def change_pairs(spark, d):
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
-    return _series(spark, d).withColumn("p", F.lag("value").over(w)).where("p is not null and value is not null and p <> value").select("match_id", "seq", "p", "value")
+    return _series(spark, d).withColumn("p", F.lag("value").over(w)).where(
+        "p is not null and value is not null and p <> value"
+    ).select("match_id", "seq", "p", "value")
 
 
 @query(CTE + "SELECT match_id, last(seq ORDER BY ts_ms, seq) AS loser_seq, count(*) AS n FROM ev WHERE kind = 'error' GROUP BY match_id")
@@ -321,15 +365,28 @@ def change_bounds(spark, d):
     """The offset between two views of every reading, as bounded by each change that both show."""
     rows = _series(spark, d).where("value is not null").select("match_id", "seq", "ts_ms", F.expr("value div 25").alias("key"))
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
-    seen = rows.select("match_id", "seq", F.lag("ts_ms").over(w).alias("old_ms"), F.col("ts_ms").alias("new_ms"), F.lag("key").over(w).alias("old_key"), F.col("key").alias("new_key"))
+    seen = rows.select(
+        "match_id",
+        "seq",
+        F.lag("ts_ms").over(w).alias("old_ms"),
+        F.col("ts_ms").alias("new_ms"),
+        F.lag("key").over(w).alias("old_key"),
+        F.col("key").alias("new_key"),
+    )
     return retime.change_bounds(seen.where("old_key <> new_key"), rows, 0, HOUR)
 
 
 @query(CTE + ", o AS (SELECT r.match_id, r.seq, r.value, row_number() OVER (PARTITION BY match_id ORDER BY ts_ms, seq) AS i FROM rd r) SELECT a.match_id, a.seq, bool_or(a.value = b.value) AS agrees FROM o a JOIN o b ON b.match_id = a.match_id AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.i <> a.i WHERE a.value IS NOT NULL GROUP BY ALL")
 def neighbour_agreement(spark, d):
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
-    x = _series(spark, d).withColumn("a", F.lag("value").over(w)).withColumn("b", F.lead("value").over(w)).withColumn("alone", F.count("*").over(Window.partitionBy("match_id")) == 1)
-    agrees = F.when((F.col("a") == F.col("value")) | (F.col("b") == F.col("value")), True).when(F.col("a").isNull() & F.col("b").isNull(), F.lit(None)).otherwise(False)
+    x = _series(spark, d).withColumn("a", F.lag("value").over(w)).withColumn("b", F.lead("value").over(w)).withColumn(
+        "alone",
+        F.count("*").over(Window.partitionBy("match_id")) == 1,
+    )
+    agrees = F.when(
+        (F.col("a") == F.col("value")) | (F.col("b") == F.col("value")),
+        True,
+    ).when(F.col("a").isNull() & F.col("b").isNull(), F.lit(None)).otherwise(False)
     return x.where("value is not null and not alone").select("match_id", "seq", agrees.alias("agrees"))
 
 

@@ -11,9 +11,50 @@ from pyspark.sql.window import Window
 
 from tidelane.functions.text import clock_single, cost_text, cost_value, int_list
 
-TELEMETRY = ["timestamp_ms", "food_total", "food_vils", "wood_total", "wood_vils", "gold_total", "gold_vils", "stone_total", "stone_vils", "pop_curr", "pop_max", "pop_vils", "idle_vils", "housing"]
-NUMBERS = {"food_total": "food", "wood_total": "wood", "gold_total": "gold", "stone_total": "stone", "pop_curr": "pop_curr", "pop_max": "pop_max", "pop_vils": "pop_vils", "idle_vils": "idle_vils"}
-MERGED = ["in_game_ms", "observation_type", "event_desc", "food", "wood", "gold", "stone", "rw_timestamp_ms", "building_type", "building_ids", "idle_vils", "pop_curr", "pop_max", "pop_vils", "housing", "type_id"]
+TELEMETRY = [
+    "timestamp_ms",
+    "food_total",
+    "food_vils",
+    "wood_total",
+    "wood_vils",
+    "gold_total",
+    "gold_vils",
+    "stone_total",
+    "stone_vils",
+    "pop_curr",
+    "pop_max",
+    "pop_vils",
+    "idle_vils",
+    "housing",
+]
+NUMBERS = {
+    "food_total": "food",
+    "wood_total": "wood",
+    "gold_total": "gold",
+    "stone_total": "stone",
+    "pop_curr": "pop_curr",
+    "pop_max": "pop_max",
+    "pop_vils": "pop_vils",
+    "idle_vils": "idle_vils",
+}
+MERGED = [
+    "in_game_ms",
+    "observation_type",
+    "event_desc",
+    "food",
+    "wood",
+    "gold",
+    "stone",
+    "rw_timestamp_ms",
+    "building_type",
+    "building_ids",
+    "idle_vils",
+    "pop_curr",
+    "pop_max",
+    "pop_vils",
+    "housing",
+    "type_id",
+]
 
 
 def _strings(names: list[str]) -> str:
@@ -45,12 +86,19 @@ def read_telemetry(spark: SparkSession, path: str, match_id: Column | None = Non
     ts = F.col("timestamp_ms").try_cast("long")
     checked = F.when(F.assert_true(ts.isNotNull(), F.lit("timestamp_ms can't be read")).isNull(), ts)
     out = raw.withColumn("match_id", F.col("_metadata.file_path") if match_id is None else match_id)
-    return out.select("match_id", checked.alias("ts_ms"), *[F.when(F.col(a).try_cast("int") >= 0, F.col(a).try_cast("int")).alias(b) for a, b in NUMBERS.items()], status(F.col("housing")).alias("housing"))
+    return out.select(
+        "match_id",
+        checked.alias("ts_ms"),
+        *[F.when(F.col(a).try_cast("int") >= 0, F.col(a).try_cast("int")).alias(b) for a, b in NUMBERS.items()],
+        status(F.col("housing")).alias("housing"),
+    )
 
 
 def write_telemetry(readings: DataFrame, path: str) -> None:
     text = {b: F.coalesce(F.col(b).cast("string"), F.lit("")) for b in NUMBERS.values()}
-    cols = [F.col("ts_ms").cast("string").alias(c) if c == "timestamp_ms" else text[NUMBERS[c]].alias(c) if c in NUMBERS else F.coalesce("housing", F.lit("")).alias(c) if c == "housing" else F.lit("").alias(c) for c in TELEMETRY]
+    cols = [
+        F.col("ts_ms").cast("string").alias(c) if c == "timestamp_ms" else text[NUMBERS[c]].alias(c) if c in NUMBERS else F.coalesce("housing", F.lit("")).alias(c) if c == "housing" else F.lit("").alias(c) for c in TELEMETRY
+    ]
     readings.select(*cols).write.mode("append").csv(path, header=True, emptyValue="")
 
 
@@ -138,13 +186,19 @@ def read_id_names(spark: SparkSession, path: str) -> DataFrame:
 def read_ui_map(spark: SparkSession, path: str) -> DataFrame:
     """(baseline_margin, name, x_px, y_px, w_px, h_px, split_pct) of each element of a UI map."""
     schema = "baseline_margin double, elements map<string, struct<x_px:double,y_px:double,w_px:double,h_px:double,split_pct:double>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select("baseline_margin", F.explode("elements").alias("name", "e")).select("baseline_margin", "name", "e.*")
+    return spark.read.schema(schema).json(path, multiLine=True).select(
+        "baseline_margin",
+        F.explode("elements").alias("name", "e"),
+    ).select("baseline_margin", "name", "e.*")
 
 
 def read_frames(spark: SparkSession, folder: str, index: DataFrame | None = None) -> DataFrame:
     """(ts_ms, path, content) of recorded images by time, from an index (file, ts_ms) or <ts>.png names; none is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).withColumn("file", F.substring_index("path", "/", -1))
-    timed = files.join(index, "file") if index is not None else files.withColumn("ts_ms", F.regexp_extract("file", r"^(\d+)\.png$", 1).try_cast("long")).where("ts_ms is not null")
+    timed = files.join(index, "file") if index is not None else files.withColumn(
+        "ts_ms",
+        F.regexp_extract("file", r"^(\d+)\.png$", 1).try_cast("long"),
+    ).where("ts_ms is not null")
     if timed.select("path").isEmpty():
         raise ValueError(f"no frames in {folder}")
     return timed.select("ts_ms", "path", "content").orderBy("ts_ms", "path")
@@ -180,8 +234,20 @@ def read_game_documents(spark: SparkSession, costs: str, names: str) -> tuple[Da
     doc = spark.read.schema(_COSTS).json(costs, multiLine=True)
     parts = []
     for kind, section in (("unit", "Unit"), ("building", "Building"), ("tech", "Tech")):
-        parts.append(doc.select(F.explode(f"data.{section}").alias("key", "e")).select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("id"), F.col("e.Cost").alias("cost")))
-    parts.append(doc.select(F.explode("data.unit_upgrades").alias("key", "e")).select(F.lit("tech").alias("kind"), F.col("e.ID").alias("id"), F.col("e.Cost").alias("cost")))
+        parts.append(
+            doc.select(F.explode(f"data.{section}").alias("key", "e")).select(
+                F.lit(kind).alias("kind"),
+                F.col("key").cast("long").alias("id"),
+                F.col("e.Cost").alias("cost"),
+            )
+        )
+    parts.append(
+        doc.select(F.explode("data.unit_upgrades").alias("key", "e")).select(
+            F.lit("tech").alias("kind"),
+            F.col("e.ID").alias("id"),
+            F.col("e.Cost").alias("cost"),
+        )
+    )
     found = parts[0]
     for x in parts[1:]:
         found = found.unionByName(x)
@@ -189,7 +255,11 @@ def read_game_documents(spark: SparkSession, costs: str, names: str) -> tuple[Da
     section = F.when(F.col("kind") == "tech", "techs").otherwise("units_buildings").alias("section")
     told = spark.read.schema(_NAMES).json(names, multiLine=True)
     both = [told.select(F.lit(c).alias("section"), F.explode(c).alias("key", "e")) for c in ("units_buildings", "techs")]
-    return found.select("kind", "id", section, *amount), both[0].unionByName(both[1]).select("section", F.col("key").cast("long").alias("id"), F.col("e.localised_name").alias("name"))
+    return found.select("kind", "id", section, *amount), both[0].unionByName(both[1]).select(
+        "section",
+        F.col("key").cast("long").alias("id"),
+        F.col("e.localised_name").alias("name"),
+    )
 
 
 def merge_game_data(costs: DataFrame, names: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -215,7 +285,19 @@ def event_lines(events: DataFrame) -> DataFrame:
     """(match_id, seq, line): a printed line of ten columns for each event."""
     cost = F.concat_ws("/", *[F.col(r).cast("string") for r in ("food", "wood", "gold", "stone")])
     ids = F.array_join(F.transform("building_ids", lambda i: i.cast("string")), ",")
-    line = F.concat_ws("\t", clock_single(F.col("ts_ms")), F.col("player_id").cast("string"), "kind", F.coalesce(F.col("type_id").cast("string"), F.lit("")), "description", cost, ids, F.array_join("building_types", ","), F.col("gives_resources").cast("string"), F.col("match_id").cast("string"))
+    line = F.concat_ws(
+        "\t",
+        clock_single(F.col("ts_ms")),
+        F.col("player_id").cast("string"),
+        "kind",
+        F.coalesce(F.col("type_id").cast("string"), F.lit("")),
+        "description",
+        cost,
+        ids,
+        F.array_join("building_types", ","),
+        F.col("gives_resources").cast("string"),
+        F.col("match_id").cast("string"),
+    )
     return events.select("match_id", "seq", line.alias("line"))
 
 

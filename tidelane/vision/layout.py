@@ -19,13 +19,33 @@ def layout(spark: SparkSession) -> DataFrame:
     group = spark.range(len(GROUPS)).select(F.col("id").alias("i"), F.get(F.array(*[F.lit(g) for g in GROUPS]), F.col("id").cast("int")).alias("g"))
 
     def box(name, x, y, w, h):
-        return group.select(F.concat("g", F.lit(name)).alias("name"), (x + i * STEP).alias("x_px"), F.lit(y).alias("y_px"), w.alias("w_px"), F.lit(h).alias("h_px"), F.lit(1.0).alias("split_pct"), last.alias("last"))
+        return group.select(
+            F.concat("g", F.lit(name)).alias("name"),
+            (x + i * STEP).alias("x_px"),
+            F.lit(y).alias("y_px"),
+            w.alias("w_px"),
+            F.lit(h).alias("h_px"),
+            F.lit(1.0).alias("split_pct"),
+            last.alias("last"),
+        )
 
     totals = box("_total", F.lit(TOTAL[0]), TOTAL[1], F.lit(TOTAL[2]) + F.when(last, WIDER).otherwise(0), TOTAL[3])
     villagers = box("_vils", F.lit(VILLAGERS[0]), VILLAGERS[1], F.lit(VILLAGERS[2]), VILLAGERS[3])
-    idle = totals.where("last").select(F.lit("idle_vils").alias("name"), (F.col("x_px") + IDLE_AFTER).alias("x_px"), F.lit(IDLE_Y).alias("y_px"), F.lit(VILLAGERS[2]).alias("w_px"), F.lit(VILLAGERS[3]).alias("h_px"), "split_pct", "last")
+    idle = totals.where("last").select(
+        F.lit("idle_vils").alias("name"),
+        (F.col("x_px") + IDLE_AFTER).alias("x_px"),
+        F.lit(IDLE_Y).alias("y_px"),
+        F.lit(VILLAGERS[2]).alias("w_px"),
+        F.lit(VILLAGERS[3]).alias("h_px"),
+        "split_pct",
+        "last",
+    )
     boxes = totals.unionByName(villagers).unionByName(idle).drop("last")
-    return boxes.select(F.lit(MARGIN).alias("baseline_margin"), "name", *[F.col(c).cast("double").alias(c) for c in ("x_px", "y_px", "w_px", "h_px", "split_pct")])
+    return boxes.select(
+        F.lit(MARGIN).alias("baseline_margin"),
+        "name",
+        *[F.col(c).cast("double").alias(c) for c in ("x_px", "y_px", "w_px", "h_px", "split_pct")],
+    )
 
 
 def write_layout(boxes: DataFrame, path: str) -> None:
