@@ -29,7 +29,15 @@ from tidelane.llm.toxicity import segments, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [(1, None, None, None, None), (2, "", "en", "s0", 0), (3, "one", "en", "s1", 3), (3, "one", "en", "s1", 3), (None, "word " * 30, "en", "s1", 5), (4, "word " * 30, None, "s1", 5), (5, "x y\tzé \U0001f600 " * 4000, "de", "s2", 9)]
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "s0", 0),
+    (3, "one", "en", "s1", 3),
+    (3, "one", "en", "s1", 3),
+    (None, "word " * 30, "en", "s1", 5),
+    (4, "word " * 30, None, "s1", 5),
+    (5, "x y\tzé \U0001f600 " * 4000, "de", "s2", 9),
+]
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +56,12 @@ def rows_of(df):
 
 # 1 ---------------------------------------------------------------------------------------------------------------
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
 
 
 def luhn(d):
@@ -67,7 +80,18 @@ def base_spans(t):
 
 
 def test_pii_equals_regular_expressions(spark, docs):
-    hard = ["a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 0255.1.1.256 999.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (017) 555-7713 +49 30 12", "\U0001f600 a@b.co \x01 c@d.co", "1 " * 3000 + "a@b.cd", "aaaa" * 5000 + "@", "é a.b@x-y.z.", "5" * 19 + " 79927398713", "+1.+1234567890-"]
+    hard = [
+        "a@b.c_d@e.f x@y",
+        "1.2.3.4.5.6.7.8 0255.1.1.256 999.1.1.1",
+        "4111 1111 1111 1111 4111-1111-1111-1112",
+        "+1 (017) 555-7713 +49 30 12",
+        "\U0001f600 a@b.co \x01 c@d.co",
+        "1 " * 3000 + "a@b.cd",
+        "aaaa" * 5000 + "@",
+        "é a.b@x-y.z.",
+        "5" * 19 + " 79927398713",
+        "+1.+1234567890-",
+    ]
     made = spark.createDataFrame([(1000000 + i, t) for i, t in enumerate(hard)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(made)
     got = rows_of(personal_digest(personal_data(both)))
@@ -160,8 +184,24 @@ def test_pii_rounds_equal_brute_force(spark):
         sure = left[-1:] in ("a", "b", "c")
         kind = rng.choice([0, 1, 2]) if sure and rng.random() < 0.85 else -1
         shape = rng.choice(["9", "a9"]) if kind != 1 else "9.9"
-        tokens.append({"row": i, "start": 5, "end": 9, "left": left, "right": word(), "shape": shape if kind >= 0 else rng.choice(["9", "a9", "9.9", "z"]), "digits": rng.randint(4, 30), "value": rng.randrange(600), "kind": kind, "longest": True})
-    df = spark.createDataFrame([tuple(t.values()) for t in tokens], "row long, start int, end int, left string, right string, shape string, digits int, value long, kind int, longest boolean")
+        tokens.append(
+            {
+                "row": i,
+                "start": 5,
+                "end": 9,
+                "left": left,
+                "right": word(),
+                "shape": shape if kind >= 0 else rng.choice(["9", "a9", "9.9", "z"]),
+                "digits": rng.randint(4, 30),
+                "value": rng.randrange(600),
+                "kind": kind,
+                "longest": True,
+            }
+        )
+    df = spark.createDataFrame(
+        [tuple(t.values()) for t in tokens],
+        "row long, start int, end int, left string, right string, shape string, digits int, value long, kind int, longest boolean",
+    )
     want = brute_bootstrap(tokens, 3, 0.8)
     got = {r.row: r.kind for r in bootstrap(df, 3, 0.8).collect()}
     assert got == want and 20 <= len(want) < sum(t["kind"] < 0 for t in tokens)
@@ -178,7 +218,13 @@ def test_pii_contexts_have_no_length_limit(spark):
 
 
 def test_pii_odd_rows(spark, odd):
-    rows = [(7, "a@b.co", "en", "s", 1), (7, "a@b.co", "en", "s", 1), (7, "c@d.co 1.2.3.4", "en", "s", 1), (None, "+1 (017) 555-7713", "en", "s", 1), (8, None, None, None, None)]
+    rows = [
+        (7, "a@b.co", "en", "s", 1),
+        (7, "a@b.co", "en", "s", 1),
+        (7, "c@d.co 1.2.3.4", "en", "s", 1),
+        (None, "+1 (017) 555-7713", "en", "s", 1),
+        (8, None, None, None, None),
+    ]
     both = odd.unionByName(spark.createDataFrame(rows, DOCS).withColumn("Score", F.lit("x"))).withColumn("Kind", F.lit(1)).withColumn("t", F.lit("a@b.co"))
     out = personal_digest(personal_data(both)).collect()
     assert len(out) == len(ODD) + len(rows)
@@ -202,7 +248,14 @@ def test_top_k_equals_brute_force(spark, limits):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (300, 64)).astype(np.float32)
     x[40:80] = x[40]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 64), (320, [1.0, 2.0]), (340, [0.5, 0.5]), (360, [])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [
+        (300, None),
+        (301, [1.0, None]),
+        (302, [float("nan")] * 64),
+        (320, [1.0, 2.0]),
+        (340, [0.5, 0.5]),
+        (360, []),
+    ]
     rows += [(None, [1.0] * 64), (380, [1e30] * 64), (400, [float("inf")] * 64)]
     got = collections.defaultdict(list)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("Score", F.lit(1)).withColumn("dim", F.lit("x"))
@@ -344,7 +397,17 @@ def test_water_filling_equals_brute_force(spark):
     rng = random.Random(1)
     leaves = [(f"d{rng.randint(0, 2)}", f"l{j}", f"s{k}", rng.randint(0, 100)) for j in range(3) for k in range(4)]
     leaves = list({x[:3]: x for x in leaves}.values())
-    got = {tuple(r[:3]): r.got for r in leaf_budgets(spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"), 300, (1, 1), {}, {}, {}, 1).collect()}
+    got = {
+        tuple(r[:3]): r.got for r in leaf_budgets(
+            spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"),
+            300,
+            (1, 1),
+            {},
+            {},
+            {},
+            1,
+        ).collect()
+    }
     assert sum(got.values()) == min(300, sum(x[3] for x in leaves)) and all(got[x[:3]] <= x[3] for x in leaves)
     for d in {x[0] for x in leaves}:  # siblings that are not full have equal parts, within rounding
         for lang in {x[1] for x in leaves if x[0] == d}:
@@ -426,7 +489,10 @@ def brute_leaks(text, item):
 
 
 def check_leaks(spark, text, item):
-    docs_ = spark.createDataFrame([(d, " ".join(w)) for d, w in text.items()], "doc_id long, text string").withColumn("Item_ID", F.lit(7)).withColumn("length", F.lit("x"))
+    docs_ = spark.createDataFrame(
+        [(d, " ".join(w)) for d, w in text.items()],
+        "doc_id long, text string",
+    ).withColumn("Item_ID", F.lit(7)).withColumn("length", F.lit("x"))
     bench = spark.createDataFrame([(i, " ".join(p)) for i, p in item.items()], "item_id long, text string").withColumn("DOC_id", F.lit(3))
     got = leaks(docs_, bench).collect()
     assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == brute_leaks(text, item)
@@ -513,8 +579,17 @@ def test_quality_statistics_equal_plain_counts(docs):
         size = len(raw) / 4
         mean = (sum(map(len, w)) + 150) / (n + 25)
         square = (sum(len(x) ** 2 for x in w) + 25 * 45) / (n + 25)
-        want = [logit(of(range(65, 91)), size, 0.06), logit(of(range(48, 58)), size, 0.003), logit(of(b".,;:!?'\"()-"), size, 0.09), logit(of(b"#$%&*+/<=>@[\\]^_`{|}~"), size, 0.004)]
-        want += [np.log((len(set(w)) + 22.5) / (n + 25)) + 0.12 * np.log(n + 25), logit(len(set(pairs)), len(pairs), 0.97), logit(sum(a == b for a, b in pairs), len(pairs), 0.01)]
+        want = [
+            logit(of(range(65, 91)), size, 0.06),
+            logit(of(range(48, 58)), size, 0.003),
+            logit(of(b".,;:!?'\"()-"), size, 0.09),
+            logit(of(b"#$%&*+/<=>@[\\]^_`{|}~"), size, 0.004),
+        ]
+        want += [
+            np.log((len(set(w)) + 22.5) / (n + 25)) + 0.12 * np.log(n + 25),
+            logit(len(set(pairs)), len(pairs), 0.97),
+            logit(sum(a == b for a, b in pairs), len(pairs), 0.01),
+        ]
         want += [logit(max(collections.Counter(w).values(), default=0), n, 0.06), np.log(mean), np.log(max(square - mean**2, 0.05)), np.log(n + 25)]
         assert np.allclose(row, want, atol=1e-6), t
 
@@ -645,7 +720,10 @@ def test_html(spark):
     assert main_text("<article><h1>T</h1><p>x<p>y<script>var a='</p>';</script><p>a &lt; b &eacute;") == "T\n\nx\n\ny\n\na < b é"
     assert main_text("<body><article><h1>T</h1><p>x.</p></article><div><p>" + "Much, longer text. " * 20 + "</p></div></body>") == "T\n\nx."
     assert main_text('<article><p>a > b</p><img alt="<p>no</p>"><p title="x > y">z</p></article>') == "a > b\n\nz"
-    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>only <b>this"), (4, "u", "a < b")], "page_id long, url string, html string")
+    rows = spark.createDataFrame(
+        [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>only <b>this"), (4, "u", "a < b")],
+        "page_id long, url string, html string",
+    )
     got = {r.page_id: (r.text, r.n_chars) for r in extract(rows).collect()}
     assert got[2] == ("", 0) and got[3] == ("", 0) and got[None] == ("only this", 9) and got[4] == ("a < b", 5)
 
@@ -657,7 +735,9 @@ def test_html_articles_follow_the_scores():
     assert text in main_text(f"<main><h1>T</h1><div><p>{long}</p><p>{long}</p></div>{teaser}</main>")
     assert main_text(f"<body>{teaser}<div><h1>T</h1><p>{long}</p><p>{long}</p></div></body>").endswith(f"T\n\n{text}\n\n{text}")
     assert text in main_text(f"<body><div><p>{long}</p></div>{teaser}</body>")
-    assert main_text(f"<body><article><p>{long}A.</p></article><p>Between.</p><article><p>{long}</p><p>{long}B.</p></article></body>") == f"{text} A.\n\n{text}\n\n{text} B."
+    assert main_text(
+        f"<body><article><p>{long}A.</p></article><p>Between.</p><article><p>{long}</p><p>{long}B.</p></article></body>"
+    ) == f"{text} A.\n\n{text}\n\n{text} B."
 
 
 def test_html_names_are_whole_and_wrappers_pass():
@@ -666,7 +746,9 @@ def test_html_names_are_whole_and_wrappers_pass():
     for name in ("class='layout has-sidebar'", "class=no-sidebar", 'class="page search-results"', "id='social-history'", "id=ad-hoc", "class=sidebar", "class='page search'"):
         assert main_text(f"<body><div {name}><div><p>{long}</p></div><p>{long}</p></div></body>") == f"{text}\n\n{text}", name
     assert main_text(f"<body><article class='comments-open'><p>{long}</p></article></body>") == text
-    assert main_text(f"<body><form id=aspnetForm><div class=Sidebar>Popular, things.</div><div><p>{long}</p></div></form><form>Your mail.</form></body>") == text
+    assert main_text(
+        f"<body><form id=aspnetForm><div class=Sidebar>Popular, things.</div><div><p>{long}</p></div></form><form>Your mail.</form></body>"
+    ) == text
     assert main_text(f"<body><div><p>{long}</p><div class='box ad'>Buy, now.</div><article class='comment'>Nice, post.</article></div></body>") == text
 
 
@@ -744,7 +826,12 @@ def test_pipeline_stages_equal_brute_force(spark, odd):
     rng = random.Random(3)
     text = [" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(30)]
     rows = [(i, t, "en", f"src{i % 4}", 1) for i, t in enumerate(text)] + [(100, text[0] + " x", "en", "src1", 1), (7, text[7], "en", "src3", 1)]
-    rows += [(200, text[1] + " " + " ".join(bench[0]), "en", "src0", 1), (None, " ".join(bench[1]), "de", "src0", 1), (None, "clean words only", "de", None, 1), (201, None, None, None, None)]
+    rows += [
+        (200, text[1] + " " + " ".join(bench[0]), "en", "src0", 1),
+        (None, " ".join(bench[1]), "de", "src0", 1),
+        (None, "clean words only", "de", None, 1),
+        (201, None, None, None, None),
+    ]
     ds = spark.createDataFrame(rows, DOCS)
     kept = P.drop_near_duplicates(spark, ds, SF)
     assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted([*range(1, 30), -1, -1, -1, 200, 201])

@@ -58,7 +58,10 @@ def window_prints(words: Column, length: Column) -> Column:
     def of(hashes: Column) -> Column:
         step = lambda sums, bits: F.concat(sums, F.array(F.element_at(sums, -1) + bits))
         two = lambda h, g: F.call_function("shiftrightunsigned", h, g).bitwiseAND(F.lit((1 << 32) | 1))
-        return F.transform(F.sequence(F.lit(0), F.lit(_LANES - 1)), lambda g: F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda sums, h: step(sums, two(h, g))))
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(_LANES - 1)),
+            lambda g: F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda sums, h: step(sums, two(h, g))),
+        )
 
     def prints(sums: Column) -> Column:
         n = F.size(words)
@@ -86,7 +89,14 @@ def simhash(words: Column) -> Column:
 
 def _bands(fp: Column) -> Column:
     mask = F.lit((1 << BAND_BITS) - 1).cast("bigint")
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(fp, b * BAND_BITS).bitwiseAND(mask).cast("int").alias("value")) for b in range(BANDS)])
+    return F.array(
+        *[
+            F.struct(
+                F.lit(b).alias("band"),
+                F.shiftrightunsigned(fp, b * BAND_BITS).bitwiseAND(mask).cast("int").alias("value"),
+            ) for b in range(BANDS)
+        ]
+    )
 
 
 def _near(radius: int) -> Column:
@@ -183,12 +193,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     # few bytes but much work: not left to the few tasks that a merged shuffle has
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(tasks, "doc_id", "key", "w")
-    segments = cut(found.select(F.monotonically_increasing_id().alias("segment"), "doc_id", "key", F.col("w.length").alias("length"), F.col("w.first").alias("first"), part.alias("words")))
+    segments = cut(
+        found.select(
+            F.monotonically_increasing_id().alias("segment"),
+            "doc_id",
+            "key",
+            F.col("w.length").alias("length"),
+            F.col("w.first").alias("first"),
+            part.alias("words"),
+        )
+    )
     windows = segments.select("segment", "length", F.posexplode(window_prints(F.col("words"), F.col("length"))).alias("at", "fp"))
     windows = cut(windows)
     pairs = hamming_pairs(windows.select("length", "fp").distinct(), items.select("length", "r", "fp"))
     met = windows.join(pairs, ["length", "fp"]).join(segments, ["segment", "length"])
-    met = met.select("doc_id", "key", (F.col("first") + F.col("at")).alias("start"), F.slice("words", F.col("at") + 1, F.col("length")).alias("words"), "r", "bits")
+    met = met.select(
+        "doc_id",
+        "key",
+        (F.col("first") + F.col("at")).alias("start"),
+        F.slice("words", F.col("at") + 1, F.col("length")).alias("words"),
+        "r",
+        "bits",
+    )
     met = cut(met.withColumn("l", F.sha2(F.array_join("words", " ").cast("binary"), 256)))
     known = met.groupBy("l", "r").agg(F.first("words").alias("words")).select("l", "r", item_shingles(F.col("words")).alias("a"))
     verified = (
@@ -197,7 +223,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
         .where(F.col("similarity") >= similarity)
     )
     out = met.select("doc_id", "key", "start", F.size("words").alias("n"), "bits", "l", "r").join(verified, ["l", "r"])
-    best = out.groupBy("doc_id", "key", "item_id").agg(F.max_by(F.struct("start", "n", "bits", "similarity"), F.struct("similarity", -F.col("start"), -F.col("bits"))).alias("x"))
+    best = out.groupBy("doc_id", "key", "item_id").agg(
+        F.max_by(F.struct("start", "n", "bits", "similarity"), F.struct("similarity", -F.col("start"), -F.col("bits"))).alias("x")
+    )
     return best.select(
         "doc_id",
         "item_id",

@@ -89,4 +89,12 @@ def shard_digest(docs: DataFrame, n_shards: int, seed: str = "0") -> DataFrame:
         F.md5(text).alias("text_md5"),
     )
     out = interleaved(rows, n_shards, seed, group="text_md5")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

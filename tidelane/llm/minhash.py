@@ -179,7 +179,10 @@ def confirmed(texts: DataFrame, grouped: DataFrame, k: int, percent: int, block:
     rows = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("text", "doc_id", "component", "blocks", "own")
     sets = rows.mapInArrow(_set_bytes(k), "doc_id long, component long, blocks int, own int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0)))).alias("z")
-    pairs = sets.select("component", "own", "doc_id", "shingles", other).withColumn("z", F.when(F.col("z") >= F.col("own"), F.col("z") + 1).otherwise(F.col("z")))
+    pairs = sets.select("component", "own", "doc_id", "shingles", other).withColumn(
+        "z",
+        F.when(F.col("z") >= F.col("own"), F.col("z") + 1).otherwise(F.col("z")),
+    )
     pairs = pairs.select("component", F.least("own", "z").alias("p"), F.greatest("own", "z").alias("q"), "doc_id", "shingles")
     pairs = pairs.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
     return pairs.mapInArrow(_confirm(percent), "u long, v long")
@@ -194,7 +197,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     linked: its component_id is null and it is kept.
     """
     known = cut(sketches(docs, k, t, w))
-    reps = known.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("copies"))
+    reps = known.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.max("doc_id").alias("last"),
+        F.count("*").alias("copies"),
+    )
     reps = cut(reps)
     shared = reps.where("last > doc_id").select("set_key", F.col("doc_id").alias("rep"), "copies")
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
@@ -203,7 +210,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     members = cut(groups.withColumnRenamed("node", "doc_id").join(sizes, "doc_id"))
     links = confirmed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), members, k, percent)
     found = components(links)
-    copies = join_frequent(known.select("doc_id", "n_shingles", "set_key"), shared, ["set_key"], "copies", known.count()).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    copies = join_frequent(
+        known.select("doc_id", "n_shingles", "set_key"),
+        shared,
+        ["set_key"],
+        "copies",
+        known.count(),
+    ).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = copies.join(found.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -40,12 +40,18 @@ def _shared(nodes: DataFrame, parent: list[str], child: str, weight: Column) ->
     x = x.withColumn("full", F.col("cap").cast("decimal(38,0)") * F.col("ws") <= F.col("left").cast("decimal(38,0)") * F.col("w"))
     x = x.withColumn("open", ~F.col("full"))
     free = Window.partitionBy(*parent)
-    x = x.withColumn("rest", F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(free)).withColumn("wr", F.sum(F.when(F.col("open"), F.col("w")).otherwise(0)).over(free))
+    x = x.withColumn(
+        "rest",
+        F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(free),
+    ).withColumn("wr", F.sum(F.when(F.col("open"), F.col("w")).otherwise(0)).over(free))
     part = F.when(F.col("full"), F.col("cap")).otherwise(F.expr("cast(floor(cast(rest as decimal(38,0)) * w / greatest(wr, 1)) as long)"))
     x = x.withColumn("part", part)
     last = F.row_number().over(Window.partitionBy(*parent).orderBy(F.col("full").asc(), (F.col("cap") / F.col("w")).desc(), F.col(child).desc()))
     x = x.withColumn("last", (last == 1) & ~F.col("full")).withColumn("spare", F.col("budget") - F.sum("part").over(free))
-    return x.withColumn("got", F.when(F.col("last"), F.least("cap", F.col("part") + F.col("spare"))).otherwise(F.col("part"))).drop("w", "left", "ws", "full", "open", "rest", "wr", "part", "last", "spare")
+    return x.withColumn(
+        "got",
+        F.when(F.col("last"), F.least("cap", F.col("part") + F.col("spare"))).otherwise(F.col("part")),
+    ).drop("w", "left", "ws", "full", "open", "rest", "wr", "part", "last", "spare")
 
 
 def leaf_budgets(leaves: DataFrame, total: Column | int | None, share: tuple[int, int] | None, domains: dict[str, int], languages: dict[str, int], sources: dict[str, int], max_epochs: int, other: int = 1) -> DataFrame:
@@ -70,7 +76,12 @@ def leaf_budgets(leaves: DataFrame, total: Column | int | None, share: tuple[int
     dom = dom.withColumn("budget", F.least(room, want.cast("long")))
     dom = _shared(dom, ["root"], "domain", weight_of("domain", domains, other)).select("domain", F.col("got").alias("budget"))
     lang = _shared(lang.join(dom, "domain"), ["domain"], "lang", weight_of("lang", languages, other)).select("domain", "lang", F.col("got").alias("budget"))
-    return _shared(leaf.join(lang, ["domain", "lang"]), ["domain", "lang"], "source", weight_of("source", sources, other)).select("domain", "lang", "source", "tokens", "got")
+    return _shared(
+        leaf.join(lang, ["domain", "lang"]),
+        ["domain", "lang"],
+        "source",
+        weight_of("source", sources, other),
+    ).select("domain", "lang", "source", "tokens", "got")
 
 
 def mixture(
@@ -110,16 +121,25 @@ def mixture(
     leaves = rows.groupBy(*key).agg(F.sum("n_tokens").alias("tokens"))
     got = leaf_budgets(leaves, total, share, domains, languages, sources or {}, max_epochs, other)
     # whole epochs, and what the one after them gives
-    plan = got.withColumn("whole", F.expr("case when tokens > 0 then got div tokens else 0 end")).withColumn("rest", F.col("got") - F.col("whole") * F.col("tokens"))
+    plan = got.withColumn(
+        "whole",
+        F.expr("case when tokens > 0 then got div tokens else 0 end"),
+    ).withColumn("rest", F.col("got") - F.col("whole") * F.col("tokens"))
     plan = cut(plan.select(*key, F.col("whole").cast("int").alias("whole"), "rest"))
     epochs = rows.join(lookup(plan), key).withColumn("epoch", F.explode(F.expr("sequence(0, whole)"))).where("epoch < whole or rest > 0")
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     full = epochs.where("epoch < whole")
-    part = epochs.where("epoch = whole").withColumn("h_", hashed).withColumn("p_", (F.conv(F.substring("h_", 1, 8), 16, 10).cast("long") * parts / 2**32).cast("int"))
+    part = epochs.where("epoch = whole").withColumn("h_", hashed).withColumn(
+        "p_",
+        (F.conv(F.substring("h_", 1, 8), 16, 10).cast("long") * parts / 2**32).cast("int"),
+    )
     sums = part.groupBy(*key, "p_").agg(F.sum("n_tokens").alias("t_"))
     along = Window.partitionBy(*key).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*key, "p_", F.coalesce(F.sum("t_").over(along), F.lit(0)).alias("b_"))
     inside = Window.partitionBy(*key, "p_").orderBy("h_", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.join(starts, [*key, "p_"]).where("b_ < rest").withColumn("b_", F.col("b_") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("b_ < rest")
+    part = part.join(starts, [*key, "p_"]).where("b_ < rest").withColumn(
+        "b_",
+        F.col("b_") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)),
+    ).where("b_ < rest")
     cols = ["doc_id", "epoch", *key, "n_tokens", "text_key"]
     return full.select(*cols).unionByName(part.select(*cols))

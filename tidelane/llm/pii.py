@@ -51,7 +51,13 @@ def _walk(pieces: Column, entry) -> Column:
     def of(p: Column) -> Column:
         # an even number, so that matches have odd places in every chunk
         per = (F.greatest(F.lit(_CHUNK), F.ceil(F.sqrt(F.size(p).cast("double")))).cast("int") / 2).cast("int") * 2
-        return let(per, lambda n: let(F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / n).cast("int")), lambda c: F.slice(p, c * n + 1, n)), lambda chunks: matches(p, n, chunks)))
+        return let(
+            per,
+            lambda n: let(
+                F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / n).cast("int")), lambda c: F.slice(p, c * n + 1, n)),
+                lambda chunks: matches(p, n, chunks),
+            ),
+        )
 
     def matches(p: Column, per: Column, chunks: Column) -> Column:
         sums = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(0), lambda a, x: a + F.length(x)))
@@ -95,7 +101,13 @@ def _spans(text: Column, kind: str) -> Column:
 
 def _join(spans: Column) -> Column:
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(
+            spans,
+            lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")),
+        ),
+        ",",
+    )
 
 
 def _shape(x: Column) -> Column:
@@ -116,7 +128,14 @@ def _tokens(text: Column, base: Column) -> Column:
 
     def joined(p: Column, i: Column) -> Column:
         """Whether the token at place i and the next one are of a run."""
-        return F.coalesce(F.concat(F.substring(F.get(p, i), -1, 1), F.get(p, i + 1), F.substring(F.get(p, i + 2), 1, 1)).rlike(r"^[0-9().-][\x20().-]+[0-9().-]$"), F.lit(False))
+        return F.coalesce(
+            F.concat(
+                F.substring(F.get(p, i), -1, 1),
+                F.get(p, i + 1),
+                F.substring(F.get(p, i + 2), 1, 1),
+            ).rlike(r"^[0-9().-][\x20().-]+[0-9().-]$"),
+            F.lit(False),
+        )
 
     def runs(p: Column, i: Column) -> Column:
         """The texts of the first, the first two, ... tokens of the run from place i on."""
@@ -125,7 +144,10 @@ def _tokens(text: Column, base: Column) -> Column:
             F.struct(F.lit(1).alias("n"), F.lit(True).alias("open")),
             lambda a, k: F.when(a["open"] & joined(p, i + k * 2), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("open"))),
         )["n"]
-        return F.when(joined(p, i), F.transform(F.sequence(F.lit(1), more), lambda n: F.array_join(F.slice(p, i + 1, n * 2 - 1), ""))).otherwise(F.array(F.get(p, i)))
+        return F.when(
+            joined(p, i),
+            F.transform(F.sequence(F.lit(1), more), lambda n: F.array_join(F.slice(p, i + 1, n * 2 - 1), "")),
+        ).otherwise(F.array(F.get(p, i)))
 
     def entry(x: Column, at: Column, p: Column, i: Column) -> Column:
         first = at + F.length(F.regexp_extract(x, edge, 0))
@@ -136,7 +158,17 @@ def _tokens(text: Column, base: Column) -> Column:
         def made(t: Column, n: Column, left: Column, kind: Column, longest: Column) -> Column:
             core = F.regexp_replace(t, edge + r"|[^A-Za-z0-9]+$", "")
             right = F.lower(F.regexp_extract(F.concat(F.get(p, i + n * 2 - 1), F.coalesce(F.get(p, i + n * 2), F.lit(""))), r"^\s*(\S+)", 1))
-            out = F.struct(first.alias("start"), (first + F.length(core)).alias("end"), left.alias("left"), right.alias("right"), _shape(core).alias("shape"), F.length(F.regexp_replace(core, "[^0-9]", "")).alias("digits"), F.xxhash64(core).alias("value"), kind.alias("kind"), longest.alias("longest"))
+            out = F.struct(
+                first.alias("start"),
+                (first + F.length(core)).alias("end"),
+                left.alias("left"),
+                right.alias("right"),
+                _shape(core).alias("shape"),
+                F.length(F.regexp_replace(core, "[^0-9]", "")).alias("digits"),
+                F.xxhash64(core).alias("value"),
+                kind.alias("kind"),
+                longest.alias("longest"),
+            )
             return F.when(F.length(core) > 0, out)
 
         def kinds(near: Column, left: Column) -> Column:
@@ -145,7 +177,13 @@ def _tokens(text: Column, base: Column) -> Column:
             free = lambda ts: F.filter(ts, lambda t: ~F.exists(near, lambda b: b["start"] < at + F.length(t)))
             covered = lambda ts: F.size(F.filter(ts, lambda t: at + F.length(t) < seed[0]["end"])) + 1
             plain = let(free(runs(p, i)), lambda ts: F.transform(ts, lambda t, k: made(t, k + 1, left, F.lit(-1), k + 1 == F.size(ts))))
-            whole = let(runs(p, i), lambda ts: let(F.least(covered(ts), F.size(ts)), lambda n: F.array(made(F.element_at(ts, n), n, left, seed[0]["kind"], F.lit(True)))))
+            whole = let(
+                runs(p, i),
+                lambda ts: let(
+                    F.least(covered(ts), F.size(ts)),
+                    lambda n: F.array(made(F.element_at(ts, n), n, left, seed[0]["kind"], F.lit(True))),
+                ),
+            )
             return F.when(F.size(seed) == 0, plain).when(seed[0]["start"] >= first, whole)
 
         return let(left, lambda w: let(F.filter(base, lambda b: b["end"] > first), lambda near: kinds(near, w)))
@@ -161,7 +199,12 @@ def _edges(instances: DataFrame) -> DataFrame:
     """instances with side and pattern, a row for each context that has all its words."""
     word = F.element_at(F.split("left", " "), -1)
     has_left, has_right = F.col("left") != "", F.col("right") != ""
-    of = {"L": (has_left, F.col("left")), "B": (has_left & has_right, F.concat(word, F.lit(" _ "), F.col("right"))), "l": (has_left, word), "r": (has_right, F.col("right"))}
+    of = {
+        "L": (has_left, F.col("left")),
+        "B": (has_left & has_right, F.concat(word, F.lit(" _ "), F.col("right"))),
+        "l": (has_left, word),
+        "r": (has_right, F.col("right")),
+    }
     made = [F.when(some, F.struct(F.lit(s).alias("side"), text.alias("pattern"))) for s, (some, text) in of.items()]
     return instances.withColumn("x", F.explode(F.array_compact(F.array(*made)))).select("*", "x.side", "x.pattern").drop("x", "left", "right")
 
@@ -180,7 +223,11 @@ def bootstrap(tokens: DataFrame, support: int, confidence: float, least: float =
     kept, then the first, and the longest of one start. A found instance counts from the next round on, in place of the
     longest one of its start; rounds end when one finds nothing new.
     """
-    seeds = tokens.where("kind >= 0").groupBy("shape", F.col("kind").alias("to")).agg(F.count("*").alias("n"), F.min("digits").alias("low"), F.max("digits").alias("high"))
+    seeds = tokens.where("kind >= 0").groupBy("shape", F.col("kind").alias("to")).agg(
+        F.count("*").alias("n"),
+        F.min("digits").alias("low"),
+        F.max("digits").alias("high"),
+    )
     free = tokens.where("kind = -1").join(lookup(cut(seeds)), "shape").where("2 * digits >= low and digits <= 2 * high")
     forms = free.groupBy("row", "start", "end", "left", "right").agg(F.max_by("to", F.struct("n", -F.col("to"))).alias("to"))
     open_ = cut(_edges(forms))
@@ -190,11 +237,18 @@ def bootstrap(tokens: DataFrame, support: int, confidence: float, least: float =
             now = tokens.where("longest")
         else:
             given = tokens.join(found.select("row", "start", F.col("end").alias("until"), F.col("kind").alias("given")), ["row", "start"], "left")
-            now = given.where("case when kind < 0 and given is not null then end = until else longest end").withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("given", "kind")).otherwise(F.col("kind")))
+            now = given.where("case when kind < 0 and given is not null then end = until else longest end").withColumn(
+                "kind",
+                F.when(F.col("kind") < 0, F.coalesce("given", "kind")).otherwise(F.col("kind")),
+            )
         # by value first: a hot pattern is counted in parts before its values meet
         values = _edges(now).groupBy("side", "pattern", "value").agg(F.max(F.when(F.col("kind") >= 0, 1).otherwise(0)).alias("is"))
         counts = values.groupBy("side", "pattern").agg(F.sum("is").alias("n"), F.count("*").alias("all"))
-        trusted = cut(counts.where((F.col("n") >= support) & (F.col("n") >= least * F.col("all"))).select("side", "pattern", (F.col("n") / F.col("all")).alias("score")))
+        trusted = cut(
+            counts.where(
+                (F.col("n") >= support) & (F.col("n") >= least * F.col("all"))
+            ).select("side", "pattern", (F.col("n") / F.col("all")).alias("score"))
+        )
         hit = spread_join(open_, trusted, ["side", "pattern"], F.xxhash64("row", "start"))
         of = {s: F.max(F.when(F.col("side") == s, F.col("score"))).alias(f"s{i}") for i, s in enumerate(_SIDES)}
         scored = hit.groupBy("row", "start", "end", F.col("to").alias("kind")).agg(*of.values())

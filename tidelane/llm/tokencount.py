@@ -67,14 +67,21 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, separa
             yield rows("block", [block], [bytes(held)], [None])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source.mapInArrow(run, "kind string, file int, place long, payload binary, doc_id long").write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    source.mapInArrow(
+        run,
+        "kind string, file int, place long, payload binary, doc_id long",
+    ).write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
 
 def read_flat_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, block, payload) of plain token files at a path or glob that Spark reads; an empty file has no block."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     n = F.ceil(F.length("content") / block_bytes).cast("int")
-    return files.where(F.length("content") > 0).select("file", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select("file", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, block * {block_bytes} + 1, {block_bytes})").alias("payload"))
+    return files.where(F.length("content") > 0).select("file", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block")).select(
+        "file",
+        F.col("block").cast("long").alias("block"),
+        F.expr(f"substring(content, block * {block_bytes} + 1, {block_bytes})").alias("payload"),
+    )
 
 
 def _scan(separator: int):
@@ -87,7 +94,10 @@ def _scan(separator: int):
                 ends.append(np.flatnonzero(ids == separator))
             step = pa.array(np.cumsum([0, *map(len, ends)]).astype(np.int32))
             flat = pa.array(np.concatenate(ends).astype(np.int64) if ends else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(step, flat)], names=["file", "block", "size", "ends"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(step, flat)],
+                names=["file", "block", "size", "ends"],
+            )
 
     return run
 
@@ -102,21 +112,47 @@ def separator_scan(blocks: DataFrame, separator: int, span: int = SPAN) -> DataF
     none; ids are 16 bits wide and a block holds whole ids.
     """
     kind = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", F.col("block").cast("long").alias("block"), "payload").mapInArrow(_scan(separator), f"file {kind}, block long, size long, ends array<long>")
+    found = blocks.select("file", F.col("block").cast("long").alias("block"), "payload").mapInArrow(
+        _scan(separator),
+        f"file {kind}, block long, size long, ends array<long>",
+    )
     found = found.withColumn("span", F.expr(f"block div {span}"))
     inner = Window.partitionBy("file", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    near = found.withColumn("at", F.coalesce(F.sum("size").over(inner), F.lit(0))).withColumn("k", F.coalesce(F.sum(F.size("ends").cast("long")).over(inner), F.lit(0)))
+    near = found.withColumn("at", F.coalesce(F.sum("size").over(inner), F.lit(0))).withColumn(
+        "k",
+        F.coalesce(F.sum(F.size("ends").cast("long")).over(inner), F.lit(0)),
+    )
     near = near.withColumn("prev", F.max(F.when(F.size("ends") > 0, F.col("at") + F.element_at("ends", -1))).over(inner))
-    whole = near.groupBy("file", "span").agg(F.sum("size").alias("s"), F.sum(F.size("ends").cast("long")).alias("c"), F.max(F.when(F.size("ends") > 0, F.col("at") + F.element_at("ends", -1))).alias("e"))
+    whole = near.groupBy("file", "span").agg(
+        F.sum("size").alias("s"),
+        F.sum(F.size("ends").cast("long")).alias("c"),
+        F.max(F.when(F.size("ends") > 0, F.col("at") + F.element_at("ends", -1))).alias("e"),
+    )
     outer = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     far = whole.withColumn("s0", F.coalesce(F.sum("s").over(outer), F.lit(0))).withColumn("c0", F.coalesce(F.sum("c").over(outer), F.lit(0)))
-    far = far.withColumn("e0", F.max(F.col("s0") + F.col("e")).over(outer)).withColumn("final", F.lead("span").over(Window.partitionBy("file").orderBy("span")).isNull())
+    far = far.withColumn("e0", F.max(F.col("s0") + F.col("e")).over(outer)).withColumn(
+        "final",
+        F.lead("span").over(Window.partitionBy("file").orderBy("span")).isNull(),
+    )
     rows = near.join(far.select("file", "span", "s0", "c0", "e0", "s", "final"), ["file", "span"])
-    rows = rows.withColumn("prev", F.coalesce(F.col("prev") + F.col("s0"), F.col("e0"), F.lit(-1))).withColumn("at", F.col("at") + F.col("s0")).withColumn("k", F.col("k") + F.col("c0"))
-    closed = F.transform("ends", lambda e, i: F.struct((F.col("k") + i).alias("ordinal"), (e + F.col("at") - F.when(i > 0, F.col("at") + F.try_element_at("ends", i)).otherwise(F.col("prev")) - 1).alias("n_tokens")))
+    rows = rows.withColumn(
+        "prev",
+        F.coalesce(F.col("prev") + F.col("s0"), F.col("e0"), F.lit(-1)),
+    ).withColumn("at", F.col("at") + F.col("s0")).withColumn("k", F.col("k") + F.col("c0"))
+    closed = F.transform(
+        "ends",
+        lambda e,
+        i: F.struct(
+            (F.col("k") + i).alias("ordinal"),
+            (e + F.col("at") - F.when(i > 0, F.col("at") + F.try_element_at("ends", i)).otherwise(F.col("prev")) - 1).alias("n_tokens"),
+        ),
+    )
     done = F.col("at") + F.col("size")
     tail = done - 1 - F.when(F.size("ends") > 0, F.col("at") + F.try_element_at("ends", F.lit(-1))).otherwise(F.col("prev"))
-    open_ = F.when(F.col("final") & (done == F.col("s0") + F.col("s")) & (F.col("size") > 0) & (tail > 0), F.array(F.struct((F.col("k") + F.size("ends")).alias("ordinal"), tail.alias("n_tokens"))))
+    open_ = F.when(
+        F.col("final") & (done == F.col("s0") + F.col("s")) & (F.col("size") > 0) & (tail > 0),
+        F.array(F.struct((F.col("k") + F.size("ends")).alias("ordinal"), tail.alias("n_tokens"))),
+    )
     out = rows.select("file", F.explode(F.concat(closed, F.coalesce(open_, F.expr("array()")))).alias("x"))
     return out.select("file", F.col("x.ordinal").cast("long").alias("ordinal"), F.col("x.n_tokens").cast("long").alias("n_tokens"))
 

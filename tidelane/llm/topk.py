@@ -44,7 +44,10 @@ def _packer(block: int):
         def emit(dim: int) -> pa.RecordBatch:
             ids, x = (np.concatenate(p) for p in zip(*held.pop(dim), strict=True))
             values = [[dim], [len(ids)], [ids.tobytes()], [x.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["dim", "n", "ids", "x"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                names=["dim", "n", "ids", "x"],
+            )
 
         for batch in batches:
             lists = batch.column(1)
@@ -188,8 +191,14 @@ def top_k(vectors: DataFrame, every: int, k: int, chunk_numbers: int = CHUNK_NUM
     returns about 16 k rows a query at most, however many tasks it has.
     """
     spark = vectors.sparkSession
-    ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & ok)
+    ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(
+        "embedding",
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))),
+    )
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    ).where(F.col("vec_id").isNotNull() & ok)
     tasks = max(LEAST_TASKS, rows.count() // TASK_ROWS)
     blocks = cut(rows.repartition(tasks, "vec_id").mapInArrow(_packer(ROW_BLOCK), _PACKED))
     queries = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(_packer(QUERY_BLOCK), _PACKED))

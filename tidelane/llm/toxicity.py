@@ -155,7 +155,10 @@ def log_odds(sample: DataFrame) -> Lexicon:
     Counts are summed over the sample's rows in Spark. Log-odds of either sign keep the part 1 - (SURE / z)^2 of
     themselves, z being their standard errors; tokens that keep none do not come to the driver.
     """
-    counts = sample.select("text", "y").mapInArrow(_tokens, "token long, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = sample.select("text", "y").mapInArrow(_tokens, "token long, toxic long, clean long").groupBy("token").agg(
+        F.sum("toxic").alias("t"),
+        F.sum("clean").alias("c"),
+    )
     counts = cut(counts.withColumn("p", PRIOR_FLAT + PRIOR_SHARE * (F.col("t") + F.col("c"))))
     nt, nc, a0 = (float(x or 0) for x in counts.agg(F.sum("t"), F.sum("c"), F.sum("p")).head())
     if not nt or not nc:
@@ -181,7 +184,16 @@ def _observed(model: Lexicon):
                 values.append(up.tolist())
                 times.append(many.tolist())
                 best.append([x for *_, x in passages(g - model.drift)])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(values, pa.list_(pa.float64())), pa.array(times, pa.list_(pa.int64())), pa.array(best, pa.list_(pa.float64()))], names=["y", "n", "values", "times", "found"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1),
+                    pa.array(n, pa.int64()),
+                    pa.array(values, pa.list_(pa.float64())),
+                    pa.array(times, pa.list_(pa.int64())),
+                    pa.array(best, pa.list_(pa.float64())),
+                ],
+                names=["y", "n", "values", "times", "found"],
+            )
 
     return run
 
@@ -228,7 +240,12 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Lexic
     sure; a half without both labels leaves both steps to all texts.
     """
     key = F.xxhash64("text")
-    sample = cut(labelled_sample(docs, labels, "toxic", bound).withColumn("key", key).groupBy("key").agg(F.max_by("text", "doc_id").alias("text"), F.max_by("y", "doc_id").alias("y")))
+    sample = cut(
+        labelled_sample(docs, labels, "toxic", bound).withColumn("key", key).groupBy("key").agg(
+            F.max_by("text", "doc_id").alias("text"),
+            F.max_by("y", "doc_id").alias("y"),
+        )
+    )
     half = {(r["half"], r["y"]) for r in sample.groupBy((F.col("key") % 2 == 0).alias("half"), "y").count().collect()}
     split = len(half) == 4
     model = log_odds(sample.where("key % 2 = 0") if split else sample)
@@ -257,7 +274,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound:
                 got = normalised(m, len(g), passages(g - m.drift))
                 score.append(probability(m, features(got)))
                 found.append([{"first": a, "end": b, "score": x} for a, b, x in got if x >= LEAST])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(found, pa.list_(kind))], names=["doc_id", "score", "passages"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score, pa.float64()), pa.array(found, pa.list_(kind))],
+                names=["doc_id", "score", "passages"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, score double, passages array<struct<first:int,end:int,score:double>>")
