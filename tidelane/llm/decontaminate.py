@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut, let
+from tidelane.llm.common import checkpointed as cut
+from tidelane.llm.common import let
 
 #: Words of a shingle.
 SHINGLE = 5
