@@ -12,6 +12,7 @@ from tidelane.llm.common import learnable, table
 from tidelane.llm.decontaminate import leaks
 from tidelane.llm.html import extract
 from tidelane.llm.interleave import shard_digest
+from tidelane.llm.merkle import manifest
 from tidelane.llm.minhash import near_duplicates
 from tidelane.llm.mixing import mixture
 from tidelane.llm.pii import personal_data, personal_digest
@@ -76,6 +77,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_tokencount": op9_tokencount,
     "op10_html": op10_html,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -179,3 +185,50 @@ _FILL = """{k}2 AS (
 {k}g AS (SELECT p, c, CAST(CASE WHEN z = 1 AND NOT filled THEN least(cap, part + spare) ELSE part END AS BIGINT) AS got FROM {k}6)"""
 for _k in "dls":
     ORACLE_SQL["op4_mixing"] = ORACLE_SQL["op4_mixing"].replace(f"{{fill:{_k}:p}}", _FILL.format(k=_k))
+
+#: {column} stands for a value as it enters a leaf; the checksum is that of op7_sharding, over the id.
+_MERKLE = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g,
+    {doc_id} || {source} || {lang} || {n_chars} AS rest, {text} AS body,
+    {low} AS low_body,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS crc FROM documents, crc),
+leaf AS (SELECT r, doc_id, g, sha256(rest || body) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256(rest || low_body) ELSE sha256(rest || body) END AS own FROM d),
+nodes AS (
+  SELECT g, 0 AS level, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, leaf AS h, r FROM leaf
+  UNION ALL
+  SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)), NULL FROM nodes WHERE n > 1 GROUP BY g, level, pos // 8, n),
+subroots AS (SELECT g, h FROM nodes WHERE n = 1),
+tops AS (
+  SELECT g, 0 AS level, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, h FROM subroots
+  UNION ALL
+  SELECT NULL, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
+steps AS (
+  SELECT g, level, pos, coalesce(string_agg(h, '' ORDER BY pos) OVER (PARTITION BY g, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '' ORDER BY pos) OVER (PARTITION BY g, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM nodes WHERE n > 1),
+top_steps AS (
+  SELECT level, pos, coalesce(string_agg(h, '' ORDER BY pos) OVER (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '' ORDER BY pos) OVER (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM tops WHERE n > 1),
+depth AS (SELECT g, max(level) AS levels FROM nodes GROUP BY g),
+walk AS (
+  SELECT l.r, l.g, 0 AS level, n.pos, l.own AS h, '' AS kin, false AS up FROM leaf l JOIN nodes n ON n.r = l.r AND n.level = 0
+  UNION ALL
+  SELECT w.r, w.g, CASE WHEN w.up OR w.level < p.levels THEN w.level + 1 ELSE 0 END,
+    CASE WHEN w.up OR w.level < p.levels THEN w.pos // 8 ELSE t.pos END,
+    CASE WHEN w.up THEN sha256(x.a || w.h || x.b) WHEN w.level < p.levels THEN sha256(s.a || w.h || s.b) ELSE w.h END,
+    CASE WHEN w.up THEN w.kin || x.a || x.b WHEN w.level < p.levels THEN w.kin || s.a || s.b ELSE w.kin END, w.up OR w.level = p.levels
+  FROM walk w JOIN depth p ON p.g = w.g JOIN tops t ON t.g = w.g
+  LEFT JOIN steps s ON s.g = w.g AND s.level = w.level AND s.pos = w.pos LEFT JOIN top_steps x ON x.level = w.level AND x.pos = w.pos
+  WHERE NOT w.up OR x.a IS NOT NULL),
+done AS (SELECT r, h, kin FROM walk WHERE up QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(w.kin) AS proof_sha256, w.h AS folded_root,
+  w.h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaf l JOIN done w ON w.r = l.r JOIN subroots s ON s.g = l.g"""
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0}, '-')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL["op13_merkle"] = _MERKLE.format(
+    low=_FIELD.format(_LOWER), **{c: _FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+)
