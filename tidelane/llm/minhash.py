@@ -14,16 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidelane.llm import links
 from tidelane.llm.common import cut, join_frequent
-from tidelane.llm.components import components
+from tidelane.llm.links import BLOCK_SHINGLES
 from tidelane.llm.words import mix, shingle_sets
 
 #: Hashes in each collection and minima in each hash.
 TABLES, WIDTH = 12, 3
-#: Shingles of one block of a candidate group; a task holds two blocks.
-BLOCK_SHINGLES = 1 << 19
 
 _SKETCH = "doc_id long, n_shingles long, set_key binary, left array<long>, right array<long>"
 
@@ -76,82 +74,20 @@ def sketches(docs: DataFrame, k: int, t: int = TABLES, w: int = WIDTH) -> DataFr
     return ids.mapInArrow(_sketcher(k, t, w), _SKETCH)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Edges (u, v) from each member of a table bucket to the bucket's least id.
+def bucket_rows(lead: DataFrame) -> DataFrame:
+    """(key, doc_id, label) of lead (doc_id, label, left, right): a row for each table bucket that may hold others.
 
-    One shuffle deals out T rows a text by first-collection hash; texts alone in theirs go before the second
-    collection is unfolded, and the buckets of all T x T tables are found inside that dealing.
+    A document alone with a hash of the first collection shares no bucket of it: those hashes go before the second
+    collection is unfolded.
     """
-    one = Window.partitionBy("i", "a")
-    two = Window.partitionBy("i", "a", "j", "b")
-    rows = reps.select("doc_id", "right", F.posexplode("left").alias("i", "a"))
-    rows = rows.withColumn("shared", F.min("doc_id").over(one) < F.max("doc_id").over(one)).where("shared")
-    rows = rows.select("doc_id", "i", "a", F.posexplode("right").alias("j", "b"))
-    return rows.select(F.col("doc_id").alias("u"), F.min("doc_id").over(two).alias("v")).where("u > v").distinct()
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each key, which come one after another; the first columns are the key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        new = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        if held and any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(cols)):
-            new[0] = True
-        at = 0
-        for b in np.flatnonzero(new):
-            if b > at:
-                held.append(batch.slice(at, b - at))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, at = [], b
-        held.append(batch.slice(at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the place of the first one that it reaches over links; breadth first, each text is expanded once."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    root = np.full(n, -1)
-    open_ = np.arange(n)
-    for start in range(n):
-        if root[start] >= 0:
-            continue
-        root[start], queue = start, [start]
-        while queue:
-            i = queue.pop()
-            open_ = open_[root[open_] < 0]
-            near = open_[(100 * np.minimum(size[open_], size[i]) >= percent * np.maximum(size[open_], size[i]))]
-            if not len(near):
-                continue
-            every = np.concatenate([sets[j] for j in near])
-            at = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
-            both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.append(0, np.cumsum(size[near])[:-1]))
-            hit = near[100 * both >= percent * (size[near] + size[i] - both)]
-            root[hit] = start
-            queue.extend(hit.tolist())
-    return root
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 3):
-            ids = rows["doc_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            shingled = rows["shingles"].combine_chunks() if rows["shingles"].num_chunks > 1 else rows["shingles"].chunk(0)
-            sets = [np.frombuffer(shingled[int(i)].as_buffer(), np.uint64) for i in order]
-            root = _linked(sets, percent)
-            ids = ids[order]
-            away = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], names=["u", "v"])
-
-    return run
+    firsts = lead.select("doc_id", F.posexplode("left").alias("i", "a")).select("doc_id", "i", F.xxhash64("i", "a").alias("key"))
+    often = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("met", F.lit(True))
+    often = cut(often)
+    met = join_frequent(firsts, often, ["key"], "n", often.agg(F.sum("n")).head()[0] or 0).where("met")
+    shared = met.groupBy("doc_id").agg(F.collect_set("i").alias("shared"))
+    pairs = lead.join(shared, "doc_id").select("doc_id", "label", "right", "left", F.explode("shared").alias("i"))
+    pairs = pairs.select("doc_id", "label", "i", F.get("left", F.col("i")).alias("a"), F.posexplode("right").alias("j", "b"))
+    return pairs.select(F.xxhash64("i", "j", "a", "b").alias("key"), "doc_id", "label")
 
 
 def _set_bytes(k: int):
@@ -164,28 +100,9 @@ def _set_bytes(k: int):
 
 
 def confirmed(texts: DataFrame, grouped: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Edges (u, v) that span the links inside each candidate group.
-
-    texts: (doc_id, text); grouped: (doc_id, n_shingles, component). Every pair of a group is held against every
-    other on whole sets unless links already connect the two. A group above `block` shingles is dealt into blocks by
-    a hash of the id, and each task takes two blocks, so that none grows with a group.
-    """
-    big = grouped.groupBy("component").agg((F.sum("n_shingles") / F.lit(block)).cast("int").alias("more")).where("more > 0")
-    dealt = (
-        grouped.join(big, "component", "left")
-        .withColumn("blocks", F.coalesce(F.col("more"), F.lit(0)) + 1)
-        .select("doc_id", "component", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int").alias("own"))
-    )
-    rows = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("text", "doc_id", "component", "blocks", "own")
-    sets = rows.mapInArrow(_set_bytes(k), "doc_id long, component long, blocks int, own int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0)))).alias("z")
-    pairs = sets.select("component", "own", "doc_id", "shingles", other).withColumn(
-        "z",
-        F.when(F.col("z") >= F.col("own"), F.col("z") + 1).otherwise(F.col("z")),
-    )
-    pairs = pairs.select("component", F.least("own", "z").alias("p"), F.greatest("own", "z").alias("q"), "doc_id", "shingles")
-    pairs = pairs.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
-    return pairs.mapInArrow(_confirm(percent), "u long, v long")
+    """Edges (u, v) that span the links inside each group (doc_id, n_shingles, component), all pairs held against each other."""
+    alone = grouped.withColumn("label", F.col("doc_id")).withColumn("centre", F.lit(False))
+    return links.confirmed(texts, alone, _set_bytes(k), links.linked(percent), block)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TABLES, w: int = WIDTH) -> DataFrame:
@@ -197,26 +114,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     linked: its component_id is null and it is kept.
     """
     known = cut(sketches(docs, k, t, w))
-    reps = known.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.max("doc_id").alias("last"),
-        F.count("*").alias("copies"),
-    )
-    reps = cut(reps)
-    shared = reps.where("last > doc_id").select("set_key", F.col("doc_id").alias("rep"), "copies")
+    reps = links.representatives(known)
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    groups = components(candidates(lead.where("n_shingles > 0").select("doc_id", "left", "right")))
-    sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    members = cut(groups.withColumnRenamed("node", "doc_id").join(sizes, "doc_id"))
-    links = confirmed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), members, k, percent)
-    found = components(links)
-    copies = join_frequent(
-        known.select("doc_id", "n_shingles", "set_key"),
-        shared,
-        ["set_key"],
-        "copies",
-        known.count(),
-    ).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = copies.join(found.select(F.col("node").alias("rep"), F.col("component")), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    lead = cut(lead.where("n_shingles > 0").select("doc_id", "n_shingles", "left", "right"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = links.settle(lead, bucket_rows, texts, _set_bytes(k), links.linked(percent))
+    out = links.expanded(known, reps, found)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
