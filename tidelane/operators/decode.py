@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelane.constants import RESOURCES
 from tidelane.functions.cost import market_sale, wall_cost
-from tidelane.operators.folds import per_match
-from tidelane.operators.lookups import misses, small
+from tidelane.operators import lookups, running
+from tidelane.operators.lookups import fits, misses, small
 
 #: The operations' contract. code is the building type of dequeue, the resource of sell; ids are the selected objects.
 OPS = "match_id long, op_seq long, kind string, time_increment long, player_id int, type_id long, object_id long, amount long, x double, y double, x2 double, y2 double, code long, ids array<long>"
@@ -19,49 +18,14 @@ _DIM = {"research": "tech", "queue": "unit", "dequeue": "unit", "build": "buildi
 
 
 def with_clock(ops: DataFrame) -> DataFrame:
-    """ops with ts_ms: the increments up to and with each operation."""
-    w = Window.partitionBy("match_id").orderBy("op_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return ops.withColumn("ts_ms", F.coalesce(F.sum("time_increment").over(w), F.lit(0)))
-
-
-def _cell(v: float) -> int:
-    return int(v * 10)
-
-
-class Registry:
-    """Names of objects: given at the start, overwritten by dequeue, and added by the first interaction near a pending build."""
-
-    def __init__(self, start: dict[int, str]) -> None:
-        self.names, self.pending = dict(start), {}
-
-    def see(self, r: dict) -> list[str]:
-        """The building names of an operation, after it took effect."""
-        ids = [] if r["ids"] is None else [int(i) for i in r["ids"]]
-        kind = r["kind"]
-        if kind == "dequeue":
-            self.names |= dict.fromkeys(ids, r["code_name"])
-            return [r["code_name"]] * len(ids)
-        if kind == "queue":
-            return [self.names.get(ids[0], "Unknown Building")] * len(ids) if ids else []
-        if kind == "unqueue":
-            return [self.names.get(i, "Unknown Building") for i in ids]
-        if kind == "research":
-            return [self.names.get(int(r["object_id"]), "Unknown Building")]
-        if kind == "delete":
-            return [self.names.get(int(r["object_id"]), "Unknown")]
-        if kind == "build":
-            self.pending[_cell(r["x"]), _cell(r["y"])] = r["name"]
-        elif kind == "interact" and r["object_id"] > 0 and r["object_id"] not in self.names:
-            cx, cy = _cell(r["x"]), _cell(r["y"])
-            around = [(cx, cy)] + [(cx + dx, cy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-            if hit := next((self.pending[c] for c in around if c in self.pending), None):
-                self.names[int(r["object_id"])] = hit
-        return []
-
-
-def named_ops(ops: DataFrame, game_data: DataFrame) -> DataFrame:
-    """ops with name and base cost of what they make, code_name, and miss; an unknown id has no cost."""
-    dim = small(game_data.select(F.col("kind").alias("dim"), F.col("id").alias("type_id"), "name", *RESOURCES, F.lit(True).alias("hit")))
+    """ops with ts_ms: the increments up to and with each operation; long matches are summed in parts."""
+    return running.running_sum(ops, ["match_id"], "op_seq", "time_increment", "ts_ms")
+
+
+def named_ops(ops: DataFrame, game_data: DataFrame, near: bool) -> DataFrame:
+    """ops with name and base cost of what they make, code_name, and miss; an unknown id has no cost. near: game_data fits a broadcast."""
+    mark = F.broadcast if near else lambda df: df
+    dim = mark(game_data.select(F.col("kind").alias("dim"), F.col("id").alias("type_id"), "name", *RESOURCES, F.lit(True).alias("hit")))
     dims = F.create_map(*[F.lit(v) for kv in _DIM.items() for v in kv])
     x = ops.withColumn("type_id", F.when(F.col("kind") == "farm", F.lit(FARM)).otherwise(F.col("type_id"))).withColumn("dim", dims[F.col("kind")])
     x = x.join(dim, ["dim", "type_id"], "left")
@@ -70,44 +34,72 @@ def named_ops(ops: DataFrame, game_data: DataFrame) -> DataFrame:
         "name",
         F.coalesce("name", F.when(F.col("dim").isNotNull(), unknown)),
     ).drop("hit")
-    code = small(game_data.where("kind = 'building'").select(F.col("id").alias("code"), F.col("name").alias("cn")))
+    code = mark(game_data.where("kind = 'building'").select(F.col("id").alias("code"), F.col("name").alias("cn")))
     x = x.join(code, "code", "left").withColumn("code_name", F.coalesce("cn", F.format_string("Unknown building %d", "code"))).drop("cn")
     for r in RESOURCES:
         x = x.withColumn(r, F.coalesce(r, F.lit(0)).cast("long"))
     return x
 
 
-def start_names(objects: DataFrame, game_data: DataFrame) -> DataFrame:
+def start_names(objects: DataFrame, game_data: DataFrame, near: bool) -> DataFrame:
     """(match_id, object_id, name) of starting objects: a building's name, else a unit's; misses are not counted."""
-    by = lambda kind: small(game_data.where(F.col("kind") == kind).select(F.col("id").alias("type_id"), F.col("name").alias(kind)))
+    mark = F.broadcast if near else lambda df: df
+    by = lambda kind: mark(game_data.where(F.col("kind") == kind).select(F.col("id").alias("type_id"), F.col("name").alias(kind)))
     x = objects.join(by("building"), "type_id", "left").join(by("unit"), "type_id", "left")
     return x.select("match_id", "object_id", F.coalesce("building", "unit", F.format_string("Unknown (%d)", "type_id")).alias("name"))
 
 
+def interactions(x: DataFrame) -> DataFrame:
+    """(match_id, object_id, op_seq, near) of the interactions with an object near a build of operations (see named_ops).
+
+    near is the last build before in the interaction's cell, else that of the first cell around which has one (see
+    lookups.around). A build is a row of its cell, an interaction one of nine cells.
+    """
+    placed = x.where("(kind = 'build' or (kind = 'interact' and object_id > 0)) and x is not null and y is not null")
+    rows = lookups.cells(placed, "x", "y").select("match_id", "op_seq", "object_id", "cx", "cy", F.when(F.col("kind") == "build", F.col("name")).alias("built"))
+    rows = lookups.around(rows).where("built is null or i = 0")
+    seen = running.as_of(rows, ["match_id", "cx", "cy"], "op_seq", "near", "built").where("built is null and near is not null")
+    return seen.groupBy("match_id", "object_id", "op_seq").agg(F.min_by("near", "i").alias("near"))
+
+
+def building_names(x: DataFrame, start: DataFrame) -> DataFrame:
+    """(match_id, op_seq, found): the names that operations see for their objects, in the order of ids.
+
+    A queue sees that of its first object, an unqueue those of all, research and delete that of their own. Objects are
+    named at the start (match_id, object_id, name), anew by each dequeue, and where nothing has named them yet by the
+    first interaction near a build.
+    """
+    kind, own = F.col("kind"), F.array(F.col("object_id"))
+    ids = F.when(kind == "queue", F.slice("ids", 1, 1)).when(kind.isin("unqueue", "dequeue"), F.col("ids")).when(kind.isin("research", "delete"), own)
+    sure, maybe = F.when(kind == "dequeue", F.col("code_name")).alias("sure"), F.lit(None).cast("string").alias("maybe")
+    rows = x.select("match_id", "op_seq", "kind", sure, maybe, F.posexplode(ids).alias("k", "object_id")).where("object_id is not null")
+    first = start.select("match_id", F.lit(-(2**62)).alias("op_seq"), F.col("name").alias("sure"), "object_id")
+    near = interactions(x).withColumnRenamed("near", "maybe")
+    rows = rows.unionByName(first, allowMissingColumns=True).unionByName(near, allowMissingColumns=True)
+    seen = running.as_of(rows, ["match_id", "object_id"], "op_seq", "seen", "sure", "maybe").where("kind is not null and kind <> 'dequeue'")
+    shown = F.struct("k", F.coalesce("seen", F.when(kind == "delete", "Unknown").otherwise("Unknown Building")).alias("name"))
+    return seen.groupBy("match_id", "op_seq").agg(F.sort_array(F.collect_list(shown)).alias("x")).select("match_id", "op_seq", F.col("x.name").alias("found"))
+
+
 def decode(ops: DataFrame, game_data: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, misses): every operation that is an event, a row for each queued unit at its base cost.
 
     Each queued unit is one row whatever buildings were selected; an amount below 1 gives none. Operations of other
-    kinds pass by. events: match_id, seq, ts_ms, player_id, kind, type_id, description, costs, building_ids,
-    building_types, gives_resources.
+    kinds pass by. op_seq is unique in a match. A null object has no known name. events: match_id, seq, ts_ms,
+    player_id, kind, type_id, description, costs, building_ids, building_types, gives_resources.
     """
-    x = named_ops(with_clock(ops), game_data)
-    start = start_names(objects, game_data).groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("object_id", "name"))).alias("start"))
-    y = x.join(start, "match_id", "left")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        first = p["start"].iloc[0]
-        registry = Registry(dict(first) if first is not None and len(first) else {})
-        return pd.DataFrame({"match_id": p["match_id"], "op_seq": p["op_seq"], "building_types": [registry.see(r) for r in p.to_dict("records")]})
-
-    cols = ["match_id", "op_seq", "kind", "object_id", "x", "y", "ids", "name", "code_name", "start"]
-    seen = per_match(
-        y.where("kind in ('research', 'queue', 'dequeue', 'unqueue', 'build', 'interact', 'delete')").select(*cols),
-        run,
-        "match_id long, op_seq long, building_types array<string>",
-        ("op_seq",),
+    near = fits(game_data)
+    seen = building_names(named_ops(ops, game_data, near), start_names(objects, game_data, near))
+    x = named_ops(with_clock(ops), game_data, near)
+    n = F.coalesce(F.greatest(F.size("ids"), F.lit(0)), F.lit(0))
+    names = (
+        F.when(F.col("kind") == "dequeue", F.array_repeat("code_name", n))
+        .when((F.col("kind") == "queue") & (n > 0), F.array_repeat(F.coalesce(F.get("found", F.lit(0)), F.lit("Unknown Building")), n))
+        .when(F.col("kind") == "delete", F.coalesce("found", F.array(F.lit("Unknown"))))
+        .when(F.col("kind") == "research", F.coalesce("found", F.array(F.lit("Unknown Building"))))
+        .otherwise(F.coalesce("found", F.array().cast("array<string>")))
     )
-    z = x.join(seen, ["match_id", "op_seq"], "left")
+    z = x.join(seen, ["match_id", "op_seq"], "left").withColumn("building_types", names)
     sale = market_sale(F.col("code"), F.col("amount"))
     tiles = wall_cost(F.lit(1), F.col("x"), F.col("y"), F.col("x2"), F.col("y2")).cast("long")
     is_ = lambda *k: F.col("kind").isin(*k)

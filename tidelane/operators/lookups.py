@@ -10,9 +10,13 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 100_000
 
 
+def fits(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return dim.limit(rows + 1).count() <= rows
+
+
 def small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """dim, marked for broadcast if it has no more than `rows` rows."""
-    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
+    return F.broadcast(dim) if fits(dim, rows) else dim
 
 
 def named(facts: DataFrame, dim: DataFrame, on: list[str], name: str, unknown: Column, amounts: list[str]) -> DataFrame:
@@ -33,16 +37,20 @@ def cells(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.withColumn("cx", (F.col(x) * 10).cast("long")).withColumn("cy", (F.col(y) * 10).cast("long"))
 
 
+def around(points: DataFrame) -> DataFrame:
+    """points (cx, cy, ...) nine times, with each cell to look in: i = 0 for its own, then those around, x before y from -1."""
+    order = [(0, 0)] + [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
+    cell = [F.struct(F.lit(i).alias("i"), (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for i, (dx, dy) in enumerate(order)]
+    return points.withColumn("c_", F.explode(F.array(*cell))).drop("cx", "cy").select("*", "c_.*").drop("c_")
+
+
 def nearby(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
-    """left (key, cx, cy) with `what` of the right row of its cell, else of the first of the cells around, x before y from -1.
+    """left (key, cx, cy) with `what` of the right row of its cell, else of the first of the cells around (see around).
 
     Of several rows in one cell the least `what` counts. Nine cells a row are looked up by equality.
     """
-    order = [(0, 0)] + [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(order)])
-    a = left.withColumn("c", F.explode(around)).select(key, (F.col("cx") + F.col("c.dx")).alias("cx"), (F.col("cy") + F.col("c.dy")).alias("cy"), F.col("c.i").alias("i"))
     one = right.groupBy("cx", "cy").agg(F.min(what).alias(what))
-    best = a.join(one, ["cx", "cy"]).groupBy(key).agg(F.min_by(what, "i").alias(what))
+    best = around(left.select(key, "cx", "cy")).join(one, ["cx", "cy"]).groupBy(key).agg(F.min_by(what, "i").alias(what))
     return left.join(best, key, "left")
 
 

@@ -41,12 +41,12 @@ def game_data(spark, d) -> DataFrame:
 
 
 def operations(spark, d) -> DataFrame:
-    """D.OPS of the line items, forty matches."""
+    """D.OPS of the line items: match 0 has a third of them, the others those of 256 order keys each."""
     kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), ((F.col("l_partkey") + F.col("l_linenumber")) % 12).cast("int"))
     at = lambda c, n: F.when(kind == "wall", F.col(c) % n).otherwise(F.col(c) % n * 0.1 + 0.05)
     items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("l_quantity"))
     return items.select(
-        (F.col("l_suppkey") % 40).cast("long").alias("match_id"),
+        F.expr("cast(if(l_suppkey % 3 = 0, 0, 1 + l_orderkey div 256) as long)").alias("match_id"),
         (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).cast("long").alias("op_seq"),
         kind.alias("kind"),
         F.when(kind == "sync", F.col("l_quantity").cast("long") * 10).otherwise(0).cast("long").alias("time_increment"),
@@ -73,7 +73,7 @@ _GAME = """WITH gd AS (
   SELECT ['unit', 'building', 'tech'][p_partkey % 3 + 1] AS kind, p_partkey // 3 AS id, p_name AS name, CAST(p_size AS BIGINT) AS food, CAST(p_size * 2 AS BIGINT) AS wood, CAST(p_size % 7 AS BIGINT) AS gold, CAST(p_size % 3 AS BIGINT) AS stone
   FROM part WHERE p_partkey % 10 <> 0),
 op0 AS (
-  SELECT CAST(l_suppkey % 40 AS BIGINT) AS match_id, CAST(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS BIGINT) AS op_seq,
+  SELECT CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 + l_orderkey // 256 END AS BIGINT) AS match_id, CAST(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS BIGINT) AS op_seq,
     ['sync', 'queue', 'dequeue', 'build', 'interact', 'delete', 'research', 'unqueue', 'wall', 'sell', 'farm', 'chat'][(l_partkey + l_linenumber) % 12 + 1] AS kind, CAST(l_quantity AS BIGINT) * 10 AS q,
     CAST(l_linenumber % 2 + 1 AS INTEGER) AS player_id, l_partkey // 3 AS raw_type, CAST(l_partkey % 30 AS BIGINT) AS object_id, CAST(l_linenumber % 3 AS BIGINT) AS amount,
     l_partkey % 20 AS cx, l_orderkey % 20 AS cy, l_orderkey % 17 AS cx2, l_partkey % 13 AS cy2, l_linenumber % 4 AS sells, [CAST(l_partkey % 30 AS BIGINT), CAST(l_orderkey % 30 AS BIGINT)] AS ids
@@ -87,10 +87,12 @@ named AS (
 ob AS (
   SELECT m.match_id, o.object_id, coalesce(b.name, u.name, 'Unknown (' || o.object_id * 7 || ')') AS name FROM (SELECT DISTINCT match_id FROM op) m, (SELECT unnest(range(0, 19, 2)) AS object_id) o
   LEFT JOIN gd b ON b.kind = 'building' AND b.id = o.object_id * 7 LEFT JOIN gd u ON u.kind = 'unit' AND u.id = o.object_id * 7),
+cell AS (SELECT dx, dy, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE 1 + (dx + 1) * 3 + dy + 1 END AS k FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+touch AS (SELECT match_id, op_seq, object_id, k, cx + dx AS cx, cy + dy AS cy FROM named, cell WHERE kind = 'interact' AND object_id > 0),
 near AS (  -- the first of the nine cells that has a build before, and that cell's last one
-  SELECT i.match_id, i.op_seq, i.object_id, arg_min(b.name, CASE WHEN b.cx = i.cx AND b.cy = i.cy THEN 0 ELSE 1 + (b.cx - i.cx + 1) * 3 + (b.cy - i.cy + 1) END * 10000000000000000 - b.op_seq) AS name
-  FROM named i JOIN named b ON b.match_id = i.match_id AND b.kind = 'build' AND b.op_seq < i.op_seq AND abs(b.cx - i.cx) <= 1 AND abs(b.cy - i.cy) <= 1
-  WHERE i.kind = 'interact' AND i.object_id > 0 GROUP BY i.match_id, i.op_seq, i.object_id),
+  SELECT t.match_id, t.op_seq, t.object_id, arg_min(b.name, t.k) AS name
+  FROM touch t ASOF JOIN (SELECT match_id, op_seq, cx, cy, name FROM named WHERE kind = 'build') b ON b.match_id = t.match_id AND b.cx = t.cx AND b.cy = t.cy AND b.op_seq < t.op_seq
+  GROUP BY t.match_id, t.op_seq, t.object_id),
 sure AS (
   SELECT match_id, object_id, -1 AS op_seq, name FROM ob
   UNION ALL SELECT DISTINCT o.match_id, unnest(ids), op_seq, coalesce(gd.name, 'Unknown building ' || raw_type) FROM op o LEFT JOIN gd ON gd.kind = 'building' AND gd.id = raw_type WHERE o.kind = 'dequeue'),
