@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from tidelane.llm.common import cut, join_frequent, spread_join
 from tidelane.llm.words import LOWER, mix, slices, words
 
-#: Bytes of text in a shard, unless one piece alone is longer.
-SHARD_BYTES = 8 << 20
+#: Bytes of text in a shard, unless one piece alone is longer; a task holds some thirty times as many.
+SHARD_BYTES = 2 << 20
 #: Bits of the table of frequent phrases that sieves the next longer ones; a fixed size, whatever the corpus has.
 SIEVE_BITS = 1 << 26
 #: Parts in which a language's phrases are ranked before the best of each meet.
@@ -87,59 +87,81 @@ def _hashes(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     out = np.full(len(at), size, np.uint64)
     for k in range(size):
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + h[at + k] * np.uint64(0xA0761D6478BD642F))
-    return out & np.uint64(SIEVE_BITS - 1)
+    return out
 
 
-def _counter(sizes: list[int], sieve):
+class Shard:
+    """The words of a shard: their hashes, ids, langs and how many words their piece has from each on."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> None:
+        low = LOWER[data]
+        self.h, length, bounds = words(data, offsets, GAP)
+        n = len(self.h)
+        place = np.flatnonzero(~GAP[low])
+        ends = np.append(0, np.cumsum(length))
+        text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(low[place])))
+        self.text = text.dictionary_encode()
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+        stops = np.cumsum(BREAK[low])[place[ends[:-1]]]
+        first = np.flatnonzero(np.append(True, (np.diff(stops) > 0) | (np.diff(doc) > 0))) if n else np.zeros(0, np.int64)
+        last = np.append(first[1:], n)[: len(first)]
+        self.left = np.repeat(last, last - first) - np.arange(n)
+        self.lang = codes[doc]
+        self.ids = self.text.indices.to_numpy(zero_copy_only=False).astype(np.int64) + self.lang * len(self.text.dictionary)
+        if n and int(self.ids.max()) >= 1 << 31:
+            self.ids = np.unique(self.ids, return_inverse=True)[1]
+
+    def sorted(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        order = suffix_array(self.ids, self.left, depth)
+        return order, common_prefixes(self.ids, self.left, order, depth)
+
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        parts = [self.text.dictionary.take(self.text.indices.take(pa.array(at + k))) for k in range(size)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]
+
+
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Shard]]:
+    """(names of langs, shard) of batches (lang, text); shards without words are left out."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, data, offsets in shards(batch.column(1)):
+            shard = Shard(data, offsets, codes[row:])
+            if len(shard.h):
+                yield langs.dictionary, shard
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each shard's word pairs by hash."""
+    for _, shard in _shards_of(batches):
+        at, count = intervals(shard.left, *shard.sorted(2), 2)
+        yield pa.RecordBatch.from_arrays([pa.array(_hashes(shard.h, at, 2).view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "n"])
+
+
+def _counter(sizes: list[int], sieve, width: int):
     """Counts of a shard's n-grams of these sizes, and under size 0 of its words if 1 is among them.
 
-    sieve: a broadcast table of bits; n-grams of more than two words whose first or last words (all but one) have none
-    are left out, since they can't be frequent.
+    sieve: a broadcast table of bits of frequent phrases of `width` words; n-grams that hold any other are left out.
     """
 
     def passing(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         ok = np.ones(len(at), bool)
-        for shift in (0, 1):
-            x = _hashes(h, at + shift, size - 1)
+        for shift in range(size - width + 1):
+            x = _hashes(h, at + shift, width) & np.uint64(SIEVE_BITS - 1)
             ok &= (sieve.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
         return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            names, codes = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, data, offsets in shards(batch.column(1)):
-                h, length, bounds = words(data, offsets, GAP)
-                n = len(h)
-                if not n:
-                    continue
-                low = LOWER[data]
-                place = np.flatnonzero(~GAP[low])
-                ends = np.append(0, np.cumsum(length))
-                text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(low[place])))
-                text = text.dictionary_encode()
-                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-                stops = np.cumsum(BREAK[low])[place[ends[:-1]]]
-                fresh = np.append(True, (np.diff(stops) > 0) | (np.diff(doc) > 0))
-                last = np.append(np.flatnonzero(fresh)[1:], n)
-                left = np.repeat(last, np.diff(np.append(np.flatnonzero(fresh), n))) - np.arange(n)
-                lang = codes[row + doc]
-                ids = text.indices.to_numpy(zero_copy_only=False).astype(np.int64) + lang * len(text.dictionary)
-                if len(names) * len(text.dictionary) >= 1 << 31:
-                    ids = np.unique(ids, return_inverse=True)[1]
-                order = suffix_array(ids, left, max(sizes))
-                common = common_prefixes(ids, left, order, max(sizes))
-                if 1 in sizes:
-                    some, count = np.unique(lang, return_counts=True)
-                    yield _batch(names.take(pa.array(some)), 0, pa.array([""] * len(some)), count)
-                for size in sizes:
-                    at, count = intervals(left, order, common, size)
-                    if size > 2:
-                        ok = passing(h, at, size)
-                        at, count = at[ok], count[ok]
-                    parts = [text.dictionary.take(text.indices.take(pa.array(at + k))) for k in range(size)]
-                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]
-                    yield _batch(names.take(pa.array(lang[at])), size, phrase, count)
+        for names, shard in _shards_of(batches):
+            order, common = shard.sorted(max(sizes))
+            if 1 in sizes:
+                some, count = np.unique(shard.lang, return_counts=True)
+                yield _batch(names.take(pa.array(some)), 0, pa.array([""] * len(some)), count)
+            for size in sizes:
+                at, count = intervals(shard.left, order, common, size)
+                ok = passing(shard.h, at, size)
+                at, count = at[ok], count[ok]
+                yield _batch(names.take(pa.array(shard.lang[at])), size, shard.phrases(at, size), count)
 
     return run
 
@@ -149,41 +171,43 @@ def _batch(lang: pa.Array, size: int, phrase: pa.Array, count: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays(cols, names=["lang", "size", "phrase", "n"])
 
 
-def _bits(size: int):
+def _phrase_hashes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 h, _, bounds = words(data, offsets, GAP)
-                x = _hashes(h, bounds[:-1], size)
-                bit = np.left_shift(np.uint64(1), x & np.uint64(63))
-                yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(6)).astype(np.int32)), pa.array(bit.view(np.int64))], names=["at", "bit"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(h, bounds[:-1], size).view(np.int64))], names=["h"])
 
     return run
 
 
-def _sieve(phrases: DataFrame, size: int):
-    """A broadcast table of SIEVE_BITS bits in which every phrase of that size has one."""
-    found = phrases.mapInArrow(_bits(size), "at int, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+def _sieve(hashes: DataFrame):
+    """A broadcast table of SIEVE_BITS bits in which every hash (h) has one."""
+    low = F.col("h").bitwiseAND(F.lit(SIEVE_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
+    found = hashes.select(F.shiftright(low, 6).cast("int").alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(SIEVE_BITS >> 6, np.uint64)
     table[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(table)
+    return hashes.sparkSession.sparkContext.broadcast(table)
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3) -> DataFrame:
     """(lang, size, phrase, f): how often each phrase of 1 to most_words words occurs, if `least` times or more.
 
-    Size 0 has the number of all words of a lang, under an empty phrase. Texts are read once for words and pairs and
-    once for each longer size, for which only phrases with frequent parts are counted.
+    Size 0 has the number of all words of a lang, under an empty phrase. Texts are read once for counts of pairs by
+    hash, then once for phrases of up to three words whose pairs are frequent, and once for each longer size.
+    Hashes only sieve, and let too much pass where they meet; counts are of phrases.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
-    def counted(sizes: list[int], sieve) -> DataFrame:
-        grams = rows.mapInArrow(_counter(sizes, sieve), _GRAMS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
+    def counted(sizes: list[int], sieve, width: int) -> DataFrame:
+        grams = rows.mapInArrow(_counter(sizes, sieve, width), _GRAMS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
         return cut(grams.where(F.col("f") >= F.when(F.col("size") == 0, 0).otherwise(least)))
 
-    out = now = counted([1, 2], None)
-    for size in range(3, most_words + 1):
-        now = counted([size], _sieve(now.where(F.col("size") == size - 1).select("phrase"), size - 1))
+    pairs = rows.mapInArrow(_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    out = now = counted([1, 2, 3][:most_words], _sieve(pairs), 2)
+    for size in range(4, most_words + 1):
+        now = counted([size], _sieve(now.where(F.col("size") == size - 1).select("phrase").mapInArrow(_phrase_hashes(size - 1), "h long")), size - 1)
         out = out.unionByName(now)
     return out
 
