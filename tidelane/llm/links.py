@@ -8,7 +8,7 @@ but for those that links already connect. So every pair of a key is decided, and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ MEMBER_ROWS = 500_000
 #: equal labels are connected already, those of one side are not held against each other; alone: only place 0 against
 #: the others.
 Compare = Callable[[list[np.ndarray], np.ndarray, np.ndarray, bool], list[tuple[int, int]]]
+#: The shingle sets of a column of texts.
+Sets = Callable[[pa.ChunkedArray], Iterable[np.ndarray]]
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -99,13 +101,13 @@ def linked(percent: int) -> Compare:
     return compare
 
 
-def _confirm(compare: Compare):
+def _confirm(compare: Compare, sets_of: Sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 3):
             ids, centre = rows["doc_id"].to_numpy(), rows["centre"].to_numpy(zero_copy_only=False)
             order = np.lexsort((ids, ~centre))
-            held = rows["shingles"].combine_chunks() if rows["shingles"].num_chunks > 1 else rows["shingles"].chunk(0)
-            sets = [np.frombuffer(held[int(i)].as_buffer(), np.uint64) for i in order]
+            sets = list(sets_of(rows["text"]))
+            sets = [sets[i] for i in order]
             side = rows["own"].to_numpy()[order] if rows["p"][0] != rows["q"][0] else np.arange(len(order))
             pairs = compare(sets, rows["label"].to_numpy()[order].copy(), side, bool(centre.any()))
             u, v = np.array(pairs, np.int64).reshape(-1, 2).T
@@ -115,13 +117,13 @@ def _confirm(compare: Compare):
     return run
 
 
-def confirmed(texts: DataFrame, grouped: DataFrame, sets_of, compare: Compare, block: int = BLOCK_SHINGLES, star: bool = False) -> DataFrame:
+def confirmed(texts: DataFrame, grouped: DataFrame, sets_of: Sets, compare: Compare, block: int = BLOCK_SHINGLES, star: bool = False) -> DataFrame:
     """Links (u, v) inside each group, enough to connect all documents that links of the group connect.
 
     texts: (doc_id, text); grouped: (doc_id, n_shingles, component, label, centre). With star every member of a group is
     held against its centre alone: the group is dealt into blocks of about `block` shingles, each with the centre. Else
-    all pairs meet once, in tasks of one block or two, so that none grows with a group. sets_of maps batches (text,
-    others ...) to (others ..., shingles).
+    all pairs meet once, in tasks of one block or two, so that none grows with a group. Texts are shuffled, not sets,
+    which are larger and don't compress.
     """
     big = grouped.groupBy("component").agg((F.sum("n_shingles") / F.lit(block)).cast("int").alias("more")).where("more > 0")
     dealt = grouped.join(big, "component", "left").withColumn("blocks", F.coalesce(F.col("more"), F.lit(0)) + 1)
@@ -131,19 +133,18 @@ def confirmed(texts: DataFrame, grouped: DataFrame, sets_of, compare: Compare, b
     rows = texts.join(near, "doc_id").select("text", "doc_id", "component", "label", "centre", "blocks", "own")
     # few bytes but much work: not left to the few tasks that a merged shuffle has
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = rows.mapInArrow(sets_of, "doc_id long, component long, label long, centre boolean, blocks int, own int, shingles binary")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     if star:
         z = F.when(F.col("centre"), every).otherwise(F.array("own"))
-        pairs = sets.withColumn("p", F.explode(z)).withColumn("q", F.col("p"))
+        pairs = rows.withColumn("p", F.explode(z)).withColumn("q", F.col("p"))
     else:
-        pairs = sets.withColumn("z", F.explode(every)).withColumn("p", F.least("own", "z")).withColumn("q", F.greatest("own", "z"))
-    pairs = pairs.select("component", "p", "q", "doc_id", "label", "centre", "own", "shingles")
+        pairs = rows.withColumn("z", F.explode(every)).withColumn("p", F.least("own", "z")).withColumn("q", F.greatest("own", "z"))
+    pairs = pairs.select("component", "p", "q", "doc_id", "label", "centre", "own", "text")
     pairs = pairs.repartition(tasks, "component", "p", "q").sortWithinPartitions("component", "p", "q")
-    return pairs.mapInArrow(_confirm(compare), "u long, v long")
+    return pairs.mapInArrow(_confirm(compare, sets_of), "u long, v long")
 
 
-def settle(lead: DataFrame, rows_of: Callable[[DataFrame], DataFrame], texts: DataFrame, sets_of, compare: Compare, block: int = BLOCK_SHINGLES) -> DataFrame:
+def settle(lead: DataFrame, rows_of: Callable[[DataFrame], DataFrame], texts: DataFrame, sets_of: Sets, compare: Compare, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, component) of all documents that are linked with another one.
 
     lead: (doc_id, n_shingles, ...); rows_of makes rows (key, doc_id, label) of it and a label. Linked documents share a

@@ -90,19 +90,14 @@ def bucket_rows(lead: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("i", "j", "a", "b").alias("key"), "doc_id", "label")
 
 
-def _set_bytes(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [x.tobytes() for x in shingle_sets(batch.column(0), k)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=[*batch.schema.names[1:], "shingles"])
-
-    return run
+def _sets(k: int) -> links.Sets:
+    return lambda column: shingle_sets(column, k)
 
 
 def confirmed(texts: DataFrame, grouped: DataFrame, k: int, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges (u, v) that span the links inside each group (doc_id, n_shingles, component), all pairs held against each other."""
     alone = grouped.withColumn("label", F.col("doc_id")).withColumn("centre", F.lit(False))
-    return links.confirmed(texts, alone, _set_bytes(k), links.linked(percent), block)
+    return links.confirmed(texts, alone, _sets(k), links.linked(percent), block)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TABLES, w: int = WIDTH) -> DataFrame:
@@ -118,6 +113,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     lead = cut(lead.where("n_shingles > 0").select("doc_id", "n_shingles", "left", "right"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = links.settle(lead, bucket_rows, texts, _set_bytes(k), links.linked(percent))
+    found = links.settle(lead, bucket_rows, texts, _sets(k), links.linked(percent))
     out = links.expanded(known, reps, found)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

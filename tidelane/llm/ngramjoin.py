@@ -102,13 +102,8 @@ def _sketcher(k: int, percent: int, classes: Broadcast):
     return run
 
 
-def _set_bytes(k: int, classes: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [rare_first(x, classes.value).tobytes() for x in shingle_sets(batch.column(0), k)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=[*batch.schema.names[1:], "shingles"])
-
-    return run
+def _sets(k: int, classes: Broadcast) -> links.Sets:
+    return lambda column: (rare_first(x, classes.value) for x in shingle_sets(column, k))
 
 
 def suffix_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -192,5 +187,5 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     reps = links.representatives(known)
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     lead = cut(lead.select("doc_id", "n_shingles", "prefix"))
-    found = links.settle(lead, _prefix_rows, ids, _set_bytes(k, classes), joined(percent, classes))
+    found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes))
     return links.expanded(known, reps, found)
