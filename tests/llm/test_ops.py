@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelane.llm import queries
+from tidelane.llm.common import labelled_sample
 from tidelane.llm.components import components
 from tidelane.llm.decontaminate import leaks
 from tidelane.llm.html import extract, main_text
@@ -848,8 +849,32 @@ def test_pipeline_stages_equal_brute_force(spark, odd):
     assert len(P.drop_leaks(spark, odd, SF).columns) == len(odd.columns)
 
 
+def test_pipeline_keeps_every_text_of_an_id(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (6, b + " x", "en", "s", 1), (7, c, "en", "s", 1), (7, c + " y", "en", "s", 1)]
+    ds = spark.createDataFrame(rows, DOCS).withColumn("Node_x", F.lit(1))
+    kept = P.drop_near_duplicates(spark, ds, SF)
+    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == ds.columns and len(got) == 3 and got[0] == (3, a)
+    assert got[1] == (6, b + " x") and got[2] in ((7, c), (7, c + " y"))
+
+
+def test_labelled_sample_is_bounded(spark):
+    # many rows of few ids: one row an id, and no more than the bound
+    ds = spark.createDataFrame([(i % 2 + 1, f"text {i}") for i in range(5000)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)] + [(1, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = labelled_sample(ds, labels, "quality", 2).collect()
+    assert len(rows) <= 2 and len({r.doc_id for r in rows}) == len(rows)
+    every = {r.doc_id: r.y for r in labelled_sample(ds, labels, "quality", 100).collect()}
+    assert set(every) <= {1, 2} and every.get(1, 1) == 1
+    assert labelled_sample(ds.limit(0), labels, "quality", 5).count() == 0
+
+
 def test_queries_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert pd.notna(bootstrap)
 

@@ -65,10 +65,10 @@ def learnable(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, y): at most `bound` labelled rows, those whose ids hash lowest; ids are unique on the label side.
+    """(doc_id, text, y): at most `bound` labelled rows, those whose ids hash lowest, one row an id.
 
-    The sample is the only bounded part of a fit; bound is its documented limit. Rows without label, id or text
-    are no examples.
+    Of several texts of one id that with the lowest hash counts; of several labels the highest. The sample is the only
+    bounded part of a fit; bound is its documented limit. Rows without label, id or text are no examples.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learnable(F.col("doc_id")))
@@ -77,7 +77,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
 
 
 #: Most rows of a table that is broadcast.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import checkpointed as cut
-from tidelane.llm.common import let
+from tidelane.llm.common import let, spread_join
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -152,7 +152,9 @@ def _segments(rows: DataFrame, items: DataFrame) -> DataFrame:
         both = partial(_counted_shingles, k)
         marked = rows.select("doc_id", "key", let(text_words(F.col("text")), lambda w: both(w)).alias("x"))
         grams = marked.select("doc_id", "key", F.col("x.n").alias("n"), F.posexplode("x.hs").alias("pos", "h"))
-        hits = grams.join(_maybe_broadcast(mine, mine.count()), "h")
+        lengths = mine.groupBy("h").agg(F.collect_set("length").alias("lengths"))  # as many as items have sizes
+        met = spread_join(grams, lengths, ["h"], F.xxhash64("doc_id", "pos"), BROADCAST_ROWS)
+        hits = met.select("doc_id", "key", "n", "pos", F.explode("lengths").alias("length"))
         first = F.greatest(F.col("pos") - F.col("length") + k, F.lit(0))
         last = F.greatest(F.least(F.col("pos"), F.col("n") - F.col("length")), F.lit(0))
         placed = hits.select("doc_id", "key", "length", F.least(first, last).alias("first"), last.alias("last"))
@@ -188,34 +190,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     placed = cut(placed)
     in_docs = placed.groupBy(F.col("doc_id").alias("d_"), F.col("key").alias("k_")).agg(F.collect_list(F.struct("length", "first", "last")).alias("at"))
     found = rows.join(_maybe_broadcast(in_docs, placed.count()), (F.col("key") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("d_")))
-    found = found.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", text_words(F.col("text")).alias("words"), "at")
-    found = found.select("doc_id", "key", "words", F.explode("at").alias("w"))
-    part = F.slice("words", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + F.col("w.length"))
-    # few bytes but much work: not left to the few tasks that a merged shuffle has
+    # words are cut out before anything is copied or shuffled, so that no row holds more of a text than its segment
+    words = let(text_words(F.col("text")), lambda ws: F.transform("at", lambda w: F.struct(w["length"].alias("length"), w["first"].alias("first"), F.slice(ws, w["first"] + 1, w["last"] - w["first"] + w["length"]).alias("words"))))
+    found = found.select("doc_id", "key", F.explode(words).alias("w")).select("doc_id", "key", "w.*")
+    # few bytes but much work: not left to the few tasks that a merged shuffle has; rows of one id and text meet there
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.repartition(tasks, "doc_id", "key", "w")
-    segments = cut(
-        found.select(
-            F.monotonically_increasing_id().alias("segment"),
-            "doc_id",
-            "key",
-            F.col("w.length").alias("length"),
-            F.col("w.first").alias("first"),
-            part.alias("words"),
-        )
-    )
+    found = found.repartition(tasks, "doc_id", "key", "length", "first").dropDuplicates(["doc_id", "key", "length", "first"])
+    segments = cut(found.select(F.monotonically_increasing_id().alias("segment"), "doc_id", "key", "length", "first", "words"))
     windows = segments.select("segment", "length", F.posexplode(window_prints(F.col("words"), F.col("length"))).alias("at", "fp"))
     windows = cut(windows)
     pairs = hamming_pairs(windows.select("length", "fp").distinct(), items.select("length", "r", "fp"))
-    met = windows.join(pairs, ["length", "fp"]).join(segments, ["segment", "length"])
-    met = met.select(
-        "doc_id",
-        "key",
-        (F.col("first") + F.col("at")).alias("start"),
-        F.slice("words", F.col("at") + 1, F.col("length")).alias("words"),
-        "r",
-        "bits",
-    )
+    near = pairs.groupBy("length", "fp").agg(F.collect_list(F.struct("r", "bits")).alias("near"))  # items of one size near one fingerprint
+    met = spread_join(windows, near, ["length", "fp"], F.xxhash64("segment", "at"), BROADCAST_ROWS).join(segments, ["segment", "length"])
+    start, part = (F.col("first") + F.col("at")).alias("start"), F.slice("words", F.col("at") + 1, F.col("length")).alias("words")
+    met = met.select("doc_id", "key", start, part, F.explode("near").alias("x")).select("doc_id", "key", "start", "words", "x.r", "x.bits")
     met = cut(met.withColumn("l", F.sha2(F.array_join("words", " ").cast("binary"), 256)))
     known = met.groupBy("l", "r").agg(F.first("words").alias("words")).select("l", "r", item_shingles(F.col("words")).alias("a"))
     verified = (
@@ -223,7 +211,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
         .select("l", "r", "item_id", weighted_similarity(F.col("a"), F.col("b")).alias("similarity"))
         .where(F.col("similarity") >= similarity)
     )
-    out = met.select("doc_id", "key", "start", F.size("words").alias("n"), "bits", "l", "r").join(verified, ["l", "r"])
+    starts = met.select("doc_id", "key", "start", F.size("words").alias("n"), "bits", "l", "r")
+    out = spread_join(starts, verified, ["l", "r"], F.xxhash64("doc_id", "key", "start"), BROADCAST_ROWS)
     best = out.groupBy("doc_id", "key", "item_id").agg(
         F.max_by(F.struct("start", "n", "bits", "similarity"), F.struct("similarity", -F.col("start"), -F.col("bits"))).alias("x")
     )
