@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import scratch, table
+from tidelane.llm.common import cut, lookup, scratch, table
 from tidelane.llm.decontaminate import leaks
 from tidelane.llm.interleave import shard_digest
 from tidelane.llm.minhash import near_duplicates
@@ -26,13 +26,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality(docs, table(spark, sf_dir, "labels"), threshold=0.3).where("predicted = 1").select(*docs.columns)
 
 
+def own_ids(docs: DataFrame) -> DataFrame:
+    """docs with node_: doc_id, or for an id with several texts a number from 2^62 on for each of them."""
+    keys = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key")).distinct()
+    several = keys.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    numbers = cut(keys.join(several, "doc_id").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), (F.lit(2**62) + F.monotonically_increasing_id()).alias("number_")))
+    if numbers.isEmpty():
+        return docs.withColumn("node_", F.col("doc_id"))
+    same = (docs["doc_id"] == F.col("id_")) & (F.xxhash64(docs["text"]) == F.col("key_"))
+    return docs.join(lookup(numbers), same, "left").select(*docs.columns, F.coalesce("number_", "doc_id").alias("node_"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by five-word shingles at 0.8, and one of equal rows.
+    """One document of each group linked by five-word shingles at 0.8, and one of equal rows.
 
-    Rows of one doc_id go together. Rows without doc_id are not held against others and stay.
+    The one that stays has the least doc_id, but ids with several texts come after others: such rows are documents of
+    their own, held against all others and each other by their text. Rows without doc_id are not held against others
+    and stay.
     """
-    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = own_ids(docs)
+    groups = near_duplicates(rows.select(F.col("node_").alias("doc_id"), "text"), k=5, percent=80)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
+    out = rows.join(gone, F.col("node_") == F.col("gone_"), "left_anti").select(*docs.columns)
     twice = out.groupBy("doc_id", F.xxhash64("text").alias("text_key")).count().where("count > 1 and doc_id is not null")
     if twice.isEmpty():
         return out
