@@ -30,12 +30,16 @@ def drops(series: DataFrame, gap_ms: int) -> DataFrame:
     )
 
 
+def is_spike(by: int) -> Column:
+    """Of neighbours: whether a reading is more than `by` below both neighbours or above both; not where it lacks one."""
+    low, high = F.least("prev", "next"), F.greatest("prev", "next")
+    both = F.col("prev").isNotNull() & F.col("next").isNotNull()
+    return both & ((F.col("value") + by < low) | (F.col("value") > high + by))
+
+
 def spikes(series: DataFrame, by: int) -> DataFrame:
     """Readings more than `by` below both neighbours or above both."""
-    x = neighbours(series).where("prev is not null and next is not null")
-    return x.where(
-        (F.col("value") + by < F.least("prev", "next")) | (F.col("value") > F.greatest("prev", "next") + by)
-    ).select("match_id", "seq", "ts_ms", "prev", "value", "next")
+    return neighbours(series).where(is_spike(by)).select("match_id", "seq", "ts_ms", "prev", "value", "next")
 
 
 def merged_drops(rows: DataFrame, columns: list[str], gap_ms: int) -> DataFrame:

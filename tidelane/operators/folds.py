@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 from tidelane import constants as C
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows by match over all shuffle partitions: folds cost processor time, not bytes, so small stages must not be merged."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_id")
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by match (or keys) over all shuffle partitions: folds cost processor time, not bytes, so small stages must not be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(keys or ("match_id",)))
 
 
 def per_match(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: tuple[str, ...] = ("ts_ms", "seq")) -> DataFrame:
@@ -371,16 +371,43 @@ def match_quality(found: DataFrame, least: int = C.MIN_MATCHED, share: float = C
     return x.select("match_id", "matched", "total", part.alias("share"), F.when((F.col("matched") >= least) & (part >= share), "ok").otherwise("too few matches").alias("status"))
 
 
+#: Spends and falls of one piece of a match, about.
+PIECE_ROWS = 2000
+
+
+def by_piece(spends: DataFrame, falls: DataFrame, run, schema: str, before: int = C.BEFORE_MS, after: int = C.AFTER_MS, size: int = PIECE_ROWS) -> DataFrame:
+    """run(key, spends, falls) on pieces of matches, key (match_id, piece): rows of both are sorted by ts_ms and seq.
+
+    Spends that see a common fall, directly or over others, stay together: a piece begins where no window of an earlier
+    spend reaches, and has `size` rows or so if the match has such places. Spends without falls and falls without spends
+    come, too. match_id, seq and ts_ms are columns of both.
+    """
+    s = spends.withColumn("side_", F.lit(0)).withColumn("from_", F.col("ts_ms") - before).withColumn("to_", F.col("ts_ms") + after)
+    f = falls.withColumn("side_", F.lit(1)).withColumn("from_", F.col("ts_ms")).withColumn("to_", F.col("ts_ms"))
+    w = Window.partitionBy("match_id").orderBy("from_", "side_", "seq")
+    reach = F.max("to_").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = s.unionByName(f, allowMissingColumns=True).withColumn("fresh_", F.coalesce(F.col("from_") > reach, F.lit(True))).withColumn("n_", F.row_number().over(w))
+    piece = F.expr(f"cast(start_ div {size} as int)")
+    both = both.withColumn("start_", F.max(F.when(F.col("fresh_"), F.col("n_"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("piece_", piece)
+    own, theirs = spends.columns, falls.columns
+
+    def both_sides(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["ts_ms", "seq"], kind="stable")
+        return run(key, p[p["side_"] == 0][own], p[p["side_"] == 1][theirs])
+
+    kept = both.select(*dict.fromkeys([*own, *theirs, "side_", "piece_"]))
+    return spread(kept, "match_id", "piece_").groupBy("match_id", "piece_").applyInPandas(both_sides, schema)
+
+
 def greedy_match(spends: DataFrame, falls: DataFrame, **options: float) -> DataFrame:
     """(match_id, seq, matched, offset_ms, got) for spends (match_id, seq, ts_ms, cost) and falls (match_id, seq, ts_ms, delta)."""
 
     def run(key: tuple, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        s, f = s.sort_values(["ts_ms", "seq"]), f.sort_values(["ts_ms", "seq"])
         pool = {"v": [[int(t), int(x)] for t, x in zip(f["ts_ms"], f["delta"], strict=True)]}
         rows = [(key[0], int(q), int(t), int(c)) for q, t, c in zip(s["seq"], s["ts_ms"], s["cost"], strict=True) if c > 0]
         found = take_drops([(q, t, {"v": c}) for _, q, t, c in rows], pool, **options)
         return pd.DataFrame([(key[0], tag, ok, off, got["v"]) for tag, ok, off, got in found], columns=["match_id", "seq", "matched", "offset_ms", "got"]).astype({"offset_ms": "Int64"})
 
-    falls = spread(falls.select(F.col("match_id").alias("match_id"), "seq", "ts_ms", "delta"))
-    both = spread(spends.select("match_id", "seq", "ts_ms", "cost")).groupBy("match_id").cogroup(falls.groupBy("match_id"))
-    return both.applyInPandas(run, "match_id long, seq long, matched boolean, offset_ms long, got long")
+    window = {k: int(options[k]) for k in ("before", "after") if k in options}
+    falls = falls.select("match_id", "seq", "ts_ms", "delta")
+    return by_piece(spends.select("match_id", "seq", "ts_ms", "cost"), falls, run, "match_id long, seq long, matched boolean, offset_ms long, got long", **window)

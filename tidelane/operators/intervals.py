@@ -28,26 +28,42 @@ def threshold_runs(timeline: DataFrame, thresholds: Column) -> DataFrame:
     return x.where("over").select("match_id", F.col("now").alias("phase"), F.col("ts_ms").alias("start_ms"), "end_ms")
 
 
+def merged_holes(holes: DataFrame) -> DataFrame:
+    """(match_id, g, from_ms, to_ms): overlapping and touching holes as one, numbered from 1 in each match."""
+    w = Window.partitionBy("match_id").orderBy("from_ms", "to_ms")
+    reach = F.max("to_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = holes.where("from_ms <= to_ms").select("match_id", "from_ms", "to_ms", F.coalesce((F.col("from_ms") > reach).cast("int"), F.lit(1)).alias("fresh"))
+    x = x.withColumn("g", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy("match_id", "g").agg(F.min("from_ms").alias("from_ms"), F.max("to_ms").alias("to_ms"))
+
+
+def _last_hole(runs: DataFrame, holes: DataFrame, at: str, edge: str, out: str, own_first: bool) -> DataFrame:
+    """runs with out: the number of the last hole whose edge is at or before `at` (before it, if own_first), 0 where none is."""
+    side = holes.select("match_id", F.col(edge).alias("t_"), F.lit(1 if own_first else 0).alias("o_"), F.col("g").alias("g_"))
+    both = runs.withColumn("t_", F.col(at)).withColumn("o_", F.lit(0 if own_first else 1)).unionByName(side, allowMissingColumns=True)
+    w = Window.partitionBy("match_id").orderBy("t_", "o_").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn(out, F.coalesce(F.max("g_").over(w), F.lit(0))).where(F.col("g_").isNull())
+    return seen.drop("t_", "o_", "g_")
+
+
 def subtract(runs: DataFrame, holes: DataFrame, least_ms: int = 0) -> DataFrame:
-    """runs (with start_ms, end_ms) cut by the match's holes (match_id, from_ms, to_ms), pieces of least_ms or more.
+    """runs (match_id, start_ms, end_ms, ...) cut by the match's holes (match_id, from_ms, to_ms), pieces of least_ms or more.
 
-    Holes may overlap and touch; each run's pieces come from one pass over its sorted holes. Runs that holes cover
-    whole vanish, empty runs too.
+    Holes may overlap and touch, and so may runs; an empty hole parts a run. Runs that holes cover whole vanish, empty
+    runs too, and equal runs count once. Two sweeps number the last hole that ends by a run's start and the last one that
+    begins before its end; the gaps between holes from the one to the other meet the run by their number.
     """
-    run_id = F.struct(*runs.columns).alias("run")
-    touching = (F.col("h.match_id") == F.col("r.run.match_id")) & (F.col("h.to_ms") > F.col("r.run.start_ms")) & (F.col("h.from_ms") < F.col("r.run.end_ms"))
-    joined = runs.select(run_id).distinct().alias("r").join(holes.alias("h"), touching, "left").groupBy("run").agg(
-        F.sort_array(F.collect_list(F.when(F.col("h.from_ms").isNotNull(), F.struct("h.from_ms", "h.to_ms")))).alias("hs")
-    )
-    start = F.struct(F.col("run.start_ms").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
-    step = lambda acc, h: F.struct(
-        F.greatest(acc["at"], h["to_ms"]).alias("at"),
-        F.when(h["from_ms"] > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), h["from_ms"].alias("b"))))).otherwise(acc["out"]).alias("out"),
-    )
-    last = lambda acc: F.when(acc["at"] < F.col("run.end_ms"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), F.col("run.end_ms").alias("b"))))).otherwise(acc["out"])
-    pieces = joined.select("run", F.explode(F.aggregate("hs", start, step, last)).alias("p"))
-    kept = [F.col(f"run.{c}").alias(c) for c in runs.columns if c not in ("start_ms", "end_ms")]
-    return pieces.where(F.col("p.b") - F.col("p.a") >= least_ms).select(*kept, F.col("p.a").alias("start_ms"), F.col("p.b").alias("end_ms"))
+    merged, far = merged_holes(holes), 2**62
+    numbered = _last_hole(_last_hole(runs.distinct(), merged, "start_ms", "to_ms", "low_", False), merged, "end_ms", "from_ms", "high_", True)
+    gaps = merged.select("match_id", F.col("g").alias("g_"), F.col("to_ms").alias("after_"), F.lit(None).cast("long").alias("before_"))
+    gaps = gaps.unionByName(merged.select("match_id", (F.col("g") - 1).alias("g_"), F.lit(None).cast("long").alias("after_"), F.col("from_ms").alias("before_")))
+    gaps = gaps.groupBy("match_id", "g_").agg(F.coalesce(F.max("after_"), F.lit(-far)).alias("after_"), F.coalesce(F.max("before_"), F.lit(far)).alias("before_"))
+    pieces = numbered.withColumn("g_", F.explode(F.sequence("low_", F.greatest("low_", "high_")))).join(gaps, ["match_id", "g_"], "left")
+    a = F.greatest(F.col("start_ms"), F.coalesce("after_", F.lit(-far)))
+    b = F.least(F.col("end_ms"), F.coalesce("before_", F.lit(far)))
+    cut = pieces.withColumn("a_", a).withColumn("b_", b).where("b_ > a_").where(F.col("b_") - F.col("a_") >= least_ms)
+    kept = [c for c in runs.columns if c not in ("start_ms", "end_ms")]
+    return cut.select(*kept, F.col("a_").alias("start_ms"), F.col("b_").alias("end_ms"))
 
 
 def inside(points: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -63,6 +79,15 @@ def inside(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return both.withColumn("inside", F.coalesce(reach >= F.col("t_"), F.lit(False))).where("o_ = 1").select(*cols, "inside")
 
 
+def inside_each(points: DataFrame, intervals: DataFrame, by: str, names: tuple[str, ...], prefix: str) -> DataFrame:
+    """points with a flag prefix + name for each name: as inside, for the intervals whose `by` is that name, all in one window."""
+    a = intervals.select("match_id", F.col("start_ms").alias("t_"), F.lit(0).alias("o_"), F.col("end_ms").alias("e_"), F.col(by).alias("by_"))
+    both = points.withColumn("t_", F.col("ts_ms")).withColumn("o_", F.lit(1)).unionByName(a, allowMissingColumns=True)
+    w = Window.partitionBy("match_id").orderBy("t_", "o_").rowsBetween(Window.unboundedPreceding, 0)
+    flags = [F.coalesce(F.max(F.when(F.col("by_") == n, F.col("e_"))).over(w) >= F.col("t_"), F.lit(False)).alias(f"{prefix}{n}") for n in names]
+    return both.select("*", *flags).where("o_ = 1").select(*points.columns, *[f"{prefix}{n}" for n in names])
+
+
 def max_overlap(spans: DataFrame) -> DataFrame:
     """(match_id, at, until, depth): the first stretch that most spans cover; ends come before starts at one place."""
     edges = spans.select("match_id", F.col("start_ms").alias("x"), F.lit(1).alias("d")).unionByName(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,14 +111,14 @@ def _clicks(line: DataFrame) -> DataFrame:
     return line.where("src = 'event' and kind = 'research'").withColumn("phase", tech[F.col("type_id").cast("int")]).where("phase is not null").select("match_id", F.col("in_game_ms").alias("ts_ms"), "seq", "phase")
 
 
-def _series(line: DataFrame, value) -> DataFrame:
-    """All rows of the timeline for phases.segments: other events end the last segment but carry nothing."""
+def _rows(line: DataFrame, value: Column, kind: str) -> DataFrame:
+    """All rows of the timeline for phases.segments, with a value of that type: other events end the last segment but carry nothing."""
     rows = line.where("not (src = 'event' and coalesce(kind = 'research', false))").select(
         "match_id",
         F.col("in_game_ms").alias("ts_ms"),
         "rank",
         "seq",
-        F.when(F.col("src") == "screen", value).cast("long").alias("value"),
+        F.when(F.col("src") == "screen", value).cast(kind).alias("value"),
         F.lit(None).cast("int").alias("phase"),
     )
     research = line.where("src = 'event' and kind = 'research'").select(
@@ -126,12 +126,34 @@ def _series(line: DataFrame, value) -> DataFrame:
         F.col("in_game_ms").alias("ts_ms"),
         "rank",
         "seq",
-        F.lit(None).cast("long").alias("value"),
+        F.lit(None).cast(kind).alias("value"),
     )
     clicks = phases.effective_clicks(_clicks(line)).select("match_id", "seq", "phase")
     return rows.unionByName(research.join(clicks, ["match_id", "seq"], "left").select(*rows.columns))
 
 
+def _series(line: DataFrame, value: Column) -> DataFrame:
+    return _rows(line, value, "long")
+
+
+def keyed(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """rows of several numbers (array `value`, in the order of names) as one table of series: match_id is (match, name).
+
+    Operators take any key as match_id, so that all series go through one plan.
+    """
+    x = rows.withColumn("x_", F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("name"), F.sequence(F.lit(0), F.lit(len(names) - 1)).alias("i"))))
+    return x.withColumn("match_id", F.struct(F.col("match_id").alias("match"), F.col("x_.name").alias("name"))).withColumn("value", F.get("value", F.col("x_.i"))).drop("x_")
+
+
+def _of(match: str, name: Column) -> Column:
+    return F.struct(F.col(match).alias("match"), name.alias("name")).alias("match_id")
+
+
+def _unkeyed(rows: DataFrame, name: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != "match_id"]
+    return rows.select(F.col("match_id.match").alias("match_id"), F.col("match_id.name").alias(name), *rest)
+
+
 def phase_segments(line: DataFrame, value) -> DataFrame:
     """Segments of one of a timeline's numbers."""
     return phases.segments(_series(line, value))
@@ -139,20 +161,15 @@ def phase_segments(line: DataFrame, value) -> DataFrame:
 
 def floating(line: DataFrame) -> DataFrame:
     """(match_id, resource, phase, start_ms, end_ms): time above the phase's threshold, less what is saved for, 30 s or more."""
-    clicks, out = _clicks(line), None
-    castles = line.where("src = 'event' and kind = 'build' and description = 'Build Castle'").select("match_id", "in_game_ms")
-    since = lambda df, t: df.select("match_id", F.greatest(F.col(t) - C.SAVE_UP_MS, F.lit(0)).alias("from_ms"), F.col(t).alias("to_ms"))
-    holes = {
-        "food": since(clicks, "ts_ms"),
-        "gold": since(clicks.where("phase >= 2"), "ts_ms"),
-        "stone": since(castles, "in_game_ms"),
-        "wood": since(castles.where("false"), "in_game_ms"),
-    }
-    for i, r in enumerate(C.RESOURCES):
-        runs = intervals.threshold_runs(_series(line, F.col(r)), F.array(*[F.lit(t[i]) for t in C.THRESHOLDS]))
-        part = intervals.subtract(runs, holes[r], C.FLOATING_MIN_MS).withColumn("resource", F.lit(r))
-        out = part if out is None else out.unionByName(part)
-    return out
+    clicks = _clicks(line)
+    castles = line.where("src = 'event' and kind = 'build' and description = 'Build Castle'").select("match_id", F.col("in_game_ms").alias("ts_ms"), F.lit("stone").alias("name"))
+    saved = F.when(F.col("phase") >= 2, F.array(F.lit("food"), F.lit("gold"))).otherwise(F.array(F.lit("food")))
+    ends = clicks.select("match_id", "ts_ms", F.explode(saved).alias("name")).unionByName(castles)
+    holes = ends.select(_of("match_id", F.col("name")), F.greatest(F.col("ts_ms") - C.SAVE_UP_MS, F.lit(0)).alias("from_ms"), F.col("ts_ms").alias("to_ms"))
+    series = keyed(_rows(line, F.array(*[F.col(r).cast("long") for r in C.RESOURCES]), "array<bigint>"), C.RESOURCES)
+    levels = F.create_map(*[x for i, r in enumerate(C.RESOURCES) for x in (F.lit(r), F.array(*[F.lit(t[i]) for t in C.THRESHOLDS]))])
+    pieces = intervals.subtract(intervals.threshold_runs(series, levels[F.col("match_id.name")]), holes, C.FLOATING_MIN_MS)
+    return _unkeyed(pieces, "resource")
 
 
 def floating_by_phase(line: DataFrame, floats: DataFrame) -> DataFrame:
@@ -201,47 +218,38 @@ def chart(line: DataFrame, floats: DataFrame) -> DataFrame:
         *PANEL,
         (F.coalesce(F.col("housing") == "housed", F.lit(False))).alias("housed"),
     )
-    for r in C.RESOURCES:
-        out = intervals.inside(out, floats.where(F.col("resource") == r)).withColumnRenamed("inside", f"floating_{r}")
-    return out
+    return intervals.inside_each(out, floats, "resource", C.RESOURCES, "floating_")
+
+
+#: Numbers that are watched for misreads, and which must not exceed which.
+WATCHED = (*C.RESOURCES, "pop_curr", "pop_max", "pop_vils")
+ORDERED = (("pop_vils", "pop_curr"), ("idle_vils", "pop_vils"))
 
 
 def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings (match_id, section, in_game_ms, field, detail), spends (match_id, matched, total, reseeds)) of timelines."""
     shots = line.where("src = 'screen'").withColumn("s_", F.col("seq.seq"))
-    series = lambda f: shots.select("match_id", F.col("s_").alias("seq"), F.col("in_game_ms").alias("ts_ms"), F.col(f).cast("long").alias("value"))
-    refunds = line.where(F.coalesce(is_refund(), F.lit(False)) & (F.col("src") == "event")).select("match_id", F.col("in_game_ms").alias("ts_ms"))
-    detail = lambda *c: F.concat_ws(" -> ", *c)
-    parts = []
-    tag = lambda df, section, field, d: df.select("match_id", F.lit(section).alias("section"), F.col("ts_ms").alias("in_game_ms"), F.lit(field).alias("field"), d.alias("detail"))
-    for r in C.RESOURCES:
-        parts.append(tag(anomalies.neighbours(series(r)).where("glitch"), "glitch", r, detail("prev", "value", "next")))
-        parts.append(
-            tag(
-                anomalies.large_increases(series(r), refunds, C.LARGE_INCREASE, C.AFTER_MS, C.BEFORE_MS),
-                "increase",
-                r,
-                F.concat(F.lit("+"), F.col("rise").cast("string")),
-            )
-        )
-    for f in ("pop_curr", "pop_max", "pop_vils"):
-        parts.append(tag(anomalies.spikes(series(f), C.POP_SPIKE), "glitch", f, detail("prev", "value", "next")))
-    for big, small in (("pop_vils", "pop_curr"), ("idle_vils", "pop_vils")):
-        runs = anomalies.invariant_runs(
-            shots.select("match_id", F.col("s_").alias("seq"), F.col("in_game_ms").alias("ts_ms"), big, small),
-            F.col(big) > F.col(small),
-        )
-        parts.append(
-            tag(
-                runs.withColumnRenamed("first_ms", "ts_ms"),
-                "invariant",
-                big,
-                F.concat(F.lit(f"{big} > {small} in "), F.col("frames").cast("string"), F.lit(" frames")),
-            )
-        )
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    rows = shots.select("match_id", F.col("s_").alias("seq"), F.col("in_game_ms").alias("ts_ms"), F.array(*[F.col(c).cast("long") for c in WATCHED]).alias("value"))
+    series = keyed(rows, WATCHED)
+    refunds = line.where(F.coalesce(is_refund(), F.lit(False)) & (F.col("src") == "event")).select("match_id", F.col("in_game_ms").alias("ts_ms"), F.explode(F.array(*[F.lit(r) for r in C.RESOURCES])).alias("name"))
+    resource = F.col("match_id.name").isin(*C.RESOURCES)
+    near = anomalies.neighbours(series)
+
+    def finding(df: DataFrame, section: str, detail: Column) -> DataFrame:
+        return df.select(F.col("match_id.match").alias("match_id"), F.lit(section).alias("section"), F.col("ts_ms").alias("in_game_ms"), F.col("match_id.name").alias("field"), detail.alias("detail"))
+
+    odd = F.when(resource, F.col("glitch")).otherwise(anomalies.is_spike(C.POP_SPIKE))
+    found = finding(near.where(odd), "glitch", F.concat_ws(" -> ", "prev", "value", "next"))
+    rises = anomalies.large_increases(series.where(resource), refunds.select(_of("match_id", F.col("name")), "ts_ms"), C.LARGE_INCREASE, C.AFTER_MS, C.BEFORE_MS)
+    found = found.unionByName(finding(rises, "increase", F.concat(F.lit("+"), F.col("rise").cast("string"))))
+    bigger = F.array(*[F.struct(F.lit(a).alias("big"), F.lit(b).alias("small"), (F.col(a) > F.col(b)).alias("bad")) for a, b in ORDERED])
+    pairs = shots.select("match_id", F.col("s_").alias("seq"), F.col("in_game_ms").alias("ts_ms"), F.explode(bigger).alias("x"))
+    text = F.concat_ws(" > ", "x.big", "x.small")
+    runs = anomalies.invariant_runs(pairs.select(_of("match_id", F.struct("x.big", text.alias("text"))), "seq", "ts_ms", "x.bad"), F.col("bad"))
+    frames = F.concat(F.col("match_id.name.text"), F.lit(" in "), F.col("frames").cast("string"), F.lit(" frames"))
+    found = found.unionByName(
+        runs.select(F.col("match_id.match").alias("match_id"), F.lit("invariant").alias("section"), F.col("first_ms").alias("in_game_ms"), F.col("match_id.name.big").alias("field"), frames.alias("detail"))
+    )
     needs = line.where("src = 'event'").where(" or ".join(f"cost_{r} > 0" for r in C.RESOURCES))
     first = shots.groupBy("match_id").agg(F.min("in_game_ms").alias("t0"))
     spends = needs.join(first, "match_id").where("in_game_ms >= t0").select(
@@ -255,7 +263,7 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
     def settle(key: tuple, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        s, f = s.sort_values(["ts_ms", "seq", "unit"]), f.sort_values(["ts_ms", "seq"])
+        s, first = s.sort_values(["ts_ms", "seq", "unit"]), int(key[1]) << 32
         pool = {r: [[int(t), int(d)] for t, d in zip(p["ts_ms"], p["delta"], strict=True)] for r, p in f.groupby("resource")}
         want = [(i, int(x["ts_ms"]), {r: int(x[r]) for r in C.RESOURCES if x[r] > 0}) for i, x in enumerate(s.to_dict("records"))]
         rows, info = [], s.to_dict("records")
@@ -268,7 +276,7 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows.append(
                 (
                     key[0],
-                    i,
+                    first + i,
                     "overclaimed" if over else "matched" if ok else "unmatched",
                     int(x["ts_ms"]),
                     next(iter(short or need)),
@@ -281,17 +289,12 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows += [(key[0], -1, "reseed", 0, "wood", "", None, [])] * seeds + [(key[0], -1, "unexplained", ts, r, f"-{left}", None, []) for r, ts, left in rest]
         return pd.DataFrame(rows, columns=["match_id", "n", "section", "in_game_ms", "field", "detail", "offset_ms", "short"]).astype({"offset_ms": "Int64"})
 
-    falls = None
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
-    for r in C.RESOURCES:
-        x = anomalies.neighbours(series(r)).withColumn(
-            "was",
-            F.coalesce(F.lag("glitch").over(w), F.lit(False)),
-        ).where("value < prev and not glitch and not was")
-        x = x.select("match_id", "seq", "ts_ms", F.lit(r).alias("resource"), (F.col("prev") - F.col("value")).alias("delta"))
-        falls = x if falls is None else falls.unionByName(x)
-    falls = falls.select(*[F.col(c).alias(c) for c in falls.columns])  # both sides come from one table
-    settled = folds.spread(spends).groupBy("match_id").cogroup(folds.spread(falls).groupBy("match_id")).applyInPandas(
+    falls = near.where(resource).withColumn("was", F.coalesce(F.lag("glitch").over(w), F.lit(False))).where("value < prev and not glitch and not was")
+    falls = _unkeyed(falls.select("match_id", "seq", "ts_ms", (F.col("prev") - F.col("value")).alias("delta")), "resource")
+    settled = folds.by_piece(
+        spends,
+        falls,
         settle,
         f"match_id {dict(line.dtypes)['match_id']}, n long, section string, in_game_ms long, field string, detail string, offset_ms long, short array<struct<resource:string,need:long>>",
     )

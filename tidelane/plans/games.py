@@ -259,7 +259,88 @@ def sanity_findings(spark, d):
     return A.sanity(line(spark, d))[0].where("section in ('glitch', 'increase', 'invariant')")
 
 
-@query()
+def _ledger() -> str:
+    """Recursive SQL of the ledger: remain is what is left of each fall of a match after its first n spends."""
+    paid = ("food", "gold", "stone")  # nothing costs wood in these games
+    falls = " UNION ALL ".join(
+        f"""SELECT match_id, ig, seq, {k} AS k, '{c}' AS resource, prev - value AS delta FROM (SELECT *, coalesce(lag(glitch) OVER (PARTITION BY match_id ORDER BY ig, seq), false) AS was FROM (
+    SELECT *, coalesce(prev = next AND value <> prev, false) AS glitch FROM (SELECT match_id, seq, ig, {c} AS value, lag({c}) OVER w AS prev, lead({c}) OVER w AS next FROM scr WHERE {c} IS NOT NULL WINDOW w AS (PARTITION BY match_id ORDER BY ig, seq))))
+  WHERE value < prev AND NOT glitch AND NOT was"""
+        for k, c in enumerate(C.RESOURCES)
+    )
+    span = lambda xs, f: f"CAST(coalesce(list_sum(list_transform({xs}, lambda t: {f})), 0) AS BIGINT)"
+    near = ", ".join(
+        f"""list_sort(list_filter(list_transform(range(1, len(s.remain) + 1), lambda i: {{'k': abs(f.ts[i] - w.ig - {C.DELAY_MS}), 'i': i}}),
+            lambda c: f.res[c.i] = '{r}' AND s.remain[c.i] > 0 AND f.ts[c.i] BETWEEN w.ig - {C.BEFORE_MS} AND w.ig + {C.AFTER_MS})) AS near_{r}"""
+        for r in paid
+    )
+    before = ", ".join(f"list_transform(range(1, len(near_{r}) + 1), lambda j: {span(f'near_{r}[1:j - 1]', 'remain[t.i]')}) AS before_{r}" for r in paid)
+    taken = ", ".join(
+        f"list_filter(list_transform(range(1, len(near_{r}) + 1), lambda j: {{'i': near_{r}[j].i, 'before': before_{r}[j], 'part': least(remain[near_{r}[j].i], {r} - before_{r}[j])}}), lambda t: t.before < {C.TAKE_FRACTION} * {r}) AS taken_{r}"
+        for r in paid
+    )
+    got = ", ".join(f"{span(f'taken_{r}', 't.part')} AS got_{r}" for r in paid)
+    fine = " AND ".join(f"got_{r} >= {C.TAKE_FRACTION} * {r}" for r in paid)
+    every = "list_concat(list_concat(taken_food, taken_gold), taken_stone)"
+    return f""",
+fall AS ({falls}),
+lists AS (SELECT match_id, list(ig ORDER BY ig, seq, k) AS ts, list(resource ORDER BY ig, seq, k) AS res, list(delta ORDER BY ig, seq, k) AS delta FROM fall GROUP BY match_id),
+want AS (
+  SELECT a.match_id, a.seq, a.ig, a.description, a.food, a.gold, a.stone, row_number() OVER (PARTITION BY a.match_id ORDER BY a.ig, a.seq) AS n
+  FROM act a JOIN (SELECT match_id, min(ig) AS t0 FROM scr GROUP BY match_id) t ON t.match_id = a.match_id WHERE a.ig >= t0 AND greatest(a.food, a.gold, a.stone) > 0),
+step(match_id, n, fine, offset_ms, got_food, got_gold, got_stone, remain) AS (
+  SELECT m.match_id, CAST(0 AS BIGINT), false, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), coalesce(l.delta, [])
+  FROM (SELECT match_id FROM want UNION SELECT match_id FROM lists) m LEFT JOIN lists l ON l.match_id = m.match_id
+  UNION ALL
+  SELECT match_id, n, fine, CASE WHEN fine AND len(every) > 0 THEN list_min(list_transform(every, lambda t: ts[t.i])) - ig END, got_food, got_gold, got_stone,
+    CASE WHEN fine THEN list_transform(range(1, len(remain) + 1), lambda i: remain[i] - {span("list_filter(every, lambda t: t.i = i)", "t.part")}) ELSE remain END FROM (
+    SELECT *, {fine} AS fine, {every} AS every FROM (
+      SELECT *, {got} FROM (
+        SELECT *, {taken} FROM (
+          SELECT *, {before} FROM (
+            SELECT w.*, s.remain, f.ts, {near}
+            FROM step s JOIN want w ON w.match_id = s.match_id AND w.n = s.n + 1 LEFT JOIN lists f ON f.match_id = w.match_id)))))),
+spent AS (SELECT w.*, s.fine, s.offset_ms, s.got_food, s.got_gold, s.got_stone FROM step s JOIN want w ON w.match_id = s.match_id AND w.n = s.n),
+rest AS (
+  SELECT * FROM (SELECT s.match_id, unnest(l.ts) AS ig, unnest(l.res) AS resource, unnest(s.remain) AS remain FROM step s JOIN lists l ON l.match_id = s.match_id QUALIFY s.n = max(s.n) OVER (PARTITION BY s.match_id))
+  WHERE remain >= {C.LEAST_DROP})
+"""
+
+
+_RECURSIVE = _GAMES.replace("WITH", "WITH RECURSIVE", 1)
+_RESEED = f"resource = 'wood' AND remain BETWEEN {C.RESEED_LOW} AND {C.RESEED_HIGH}"
+_SHORT = [f"CASE WHEN {r} > 0 AND got_{r} < {C.TAKE_FRACTION} * {r} THEN '{r}' END" for r in ("food", "gold", "stone")]
+
+
+@query(
+    _RECURSIVE
+    + _ledger()
+    + f"""SELECT m.match_id, coalesce(s.matched, 0) AS matched, coalesce(s.total, 0) AS total, coalesce(r.reseeds, 0) AS reseeds, s.median_ms
+FROM (SELECT match_id FROM spent UNION SELECT match_id FROM rest) m
+LEFT JOIN (SELECT match_id, CAST(sum(CASE WHEN fine THEN 1 ELSE 0 END) AS BIGINT) AS matched, count(*) AS total,
+  list_sort(list(offset_ms) FILTER (WHERE offset_ms IS NOT NULL))[(count(offset_ms) - 1) * 50 // 100 + 1] AS median_ms FROM spent GROUP BY match_id) s ON s.match_id = m.match_id
+LEFT JOIN (SELECT match_id, CAST(sum(CASE WHEN {_RESEED} THEN 1 ELSE 0 END) AS BIGINT) AS reseeds FROM rest GROUP BY match_id) r ON r.match_id = m.match_id"""
+)
 def sanity_spends(spark, d):
-    """Matched and other spends of every match, by the ledger of all four resources; greedy_match has its SQL for one."""
+    """Matched and all spends of every match by the ledger of the four resources, reseeds, and the median offset."""
     return A.sanity(line(spark, d))[1]
+
+
+def _why() -> str:
+    """Per short resource of an unmatched spend: what the last reading before it showed, or that no drop was seen."""
+    parts = []
+    for r in ("food", "gold", "stone"):
+        had = f"(SELECT arg_max({r}, struct_pack(ig := s.ig, seq := s.seq)) FROM scr s WHERE s.match_id = p.match_id AND s.ig <= p.ig AND s.{r} IS NOT NULL)"
+        parts.append(f"""CASE WHEN {r} > 0 AND got_{r} < {C.TAKE_FRACTION} * {r} THEN '{r}: ' || CASE WHEN {had} < {r} THEN 'only ' || {had} || ' available for ' || {r} ELSE 'no drop of ~' || {r} || ' on screen' END END""")
+    return f"concat_ws('; ', {', '.join(parts)})"
+
+
+@query(
+    _RECURSIVE
+    + _ledger()
+    + f"""SELECT match_id, 'unmatched' AS section, ig AS in_game_ms, coalesce({", ".join(_SHORT)}) AS field, description || ': ' || {_why()} AS detail FROM spent p WHERE NOT fine
+UNION ALL SELECT match_id, 'unexplained', ig, resource, '-' || remain FROM rest WHERE NOT ({_RESEED})"""
+)
+def spend_findings(spark, d):
+    """Spends that no drop explains, with the reason of each resource that falls short, and drops that no spend explains."""
+    return A.sanity(line(spark, d))[0].where("section in ('unmatched', 'overclaimed', 'unexplained')")
