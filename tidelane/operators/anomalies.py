@@ -91,6 +91,39 @@ def invariant_runs(rows: DataFrame, broken: Column) -> DataFrame:
     return x.groupBy("match_id", "island").agg(F.min("ts_ms").alias("first_ms"), F.count("*").alias("frames")).drop("island")
 
 
+def frozen_runs(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(match_id, n, ts_ms, run): the rows numbered in order, and the number of the row that began each one's frozen run.
+
+    A run goes on while no column shows another value than it has shown since the run began; nulls fit any. A row
+    differs from what its columns showed last; `late` is the latest of those rows that it differs from. It ends every run
+    that began by then, so one that differs from the row before it begins a run for certain. Between such rows, which
+    cut a match into stretches, a fold over the few that differ from an earlier one decides.
+    """
+    w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = rows.select("match_id", "seq", "ts_ms", *columns).withColumn("n", F.row_number().over(w))
+    x = x.withColumns({f"last_{c}": F.last(F.when(F.col(c).isNotNull(), F.struct("n", F.col(c).alias("v"))), True).over(back) for c in columns})
+    differs = [F.when(F.col(c) != F.col(f"last_{c}.v"), F.col(f"last_{c}.n")) for c in columns]
+    x = x.select("match_id", "n", "ts_ms", F.array_max(F.array(*differs)).alias("late"))
+    sure = (F.col("n") == 1) | F.coalesce(F.col("late") == F.col("n") - 1, F.lit(False))
+    x = x.withColumn("from", F.max(F.when(sure, F.col("n"))).over(Window.partitionBy("match_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    # in each stretch: a row begins a run if the one before it had begun by `late`
+    ends = x.where("late >= from").groupBy("match_id", "from").agg(F.sort_array(F.collect_list(F.struct("n", "late"))).alias("ends"))
+    step = lambda starts, e: F.when(F.element_at(starts, -1) <= e["late"], F.concat(starts, F.array(e["n"]))).otherwise(starts)
+    starts = ends.select("match_id", F.explode(F.aggregate("ends", F.array("from"), step)).alias("start"))
+    starts = starts.unionByName(x.where("n = from").select("match_id", F.col("n").alias("start"))).distinct().select("match_id", F.col("start").alias("n"), F.lit(True).alias("fresh"))
+    marked = x.join(starts, ["match_id", "n"], "left")
+    over = Window.partitionBy("match_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.select("match_id", "n", "ts_ms", F.max(F.when(F.col("fresh"), F.col("n"))).over(over).alias("run"))
+
+
+def longest_frozen(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(match_id, from_ms, to_ms) of each match's longest stretch without a changed number, the first of equals; none without length."""
+    spans = frozen_runs(rows, columns).groupBy("match_id", "run").agg(F.min("ts_ms").alias("from_ms"), F.max("ts_ms").alias("to_ms"))
+    best = spans.groupBy("match_id").agg(F.max_by(F.struct("from_ms", "to_ms"), F.struct(F.col("to_ms") - F.col("from_ms"), -F.col("run"))).alias("x"))
+    return best.select("match_id", "x.*").where("to_ms > from_ms")
+
+
 def sharp_change(rows: DataFrame, totals: list[str], counts: list[str], jump: int, count_jump: int) -> DataFrame:
     """rows with `changed`: the first field, in the given order, that moved by its jump or appeared or disappeared."""
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")

@@ -181,8 +181,23 @@ def on_schedule(times: Iterable[float], interval: float) -> list[bool]:
     return out
 
 
-def resample(rows: DataFrame, interval_ms: int) -> DataFrame:
-    return per_match(rows.select("match_id", "seq", "ts_ms"), lambda p: p[kept_apart(p["ts_ms"], interval_ms)], "match_id long, seq long, ts_ms long")
+def resample(rows: DataFrame, interval_ms: int, size: int = 2000) -> DataFrame:
+    """(match_id, seq, ts_ms) of the rows that are interval_ms or more after the last kept one, from each match's first on.
+
+    A row that far after the one before it is kept whatever was kept before: matches are folded in pieces of `size` rows
+    or so that begin at such rows.
+    """
+    w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
+    fresh = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w) >= interval_ms, F.lit(True))
+    x = rows.select("match_id", "seq", "ts_ms").withColumn("n_", F.row_number().over(w)).withColumn("fresh_", fresh)
+    start = F.max(F.when(F.col("fresh_"), F.col("n_"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("start_", start).select("match_id", "seq", "ts_ms", F.expr(f"cast(start_ div {size} as int)").alias("piece_"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["ts_ms", "seq"], kind="stable")
+        return p[kept_apart(p["ts_ms"], interval_ms)][["match_id", "seq", "ts_ms"]]
+
+    return spread(x, "match_id", "piece_").groupBy("match_id", "piece_").applyInPandas(run, "match_id long, seq long, ts_ms long")
 
 
 def sampled(rows: DataFrame, interval_ms: int) -> DataFrame:

@@ -21,13 +21,13 @@ def _same(keys: list[str]) -> Column:
 def with_part(rows: DataFrame, keys: list[str], order: str, size: int = PART_ROWS) -> DataFrame:
     """rows with part_, a number that ascends with `order` in each of the keys, so that large ones have parts of `size` rows or so.
 
-    order is a whole number. The range of keys with more rows is cut into equal widths, as many as it has times `size`
+    order is a finite number. The range of keys with more rows is cut into equal widths, as many as it has times `size`
     rows; where rows crowd at one end parts are uneven, but no result depends on the cut. Smaller keys are one part.
     """
     own = [F.col(k).alias(f"{k}_") for k in keys]
     span = rows.groupBy(*own).agg(F.min(order).alias("low_"), F.max(order).alias("high_"), F.count("*").alias("n_")).where(f"n_ > {size}")
-    span = span.withColumn("width_", F.expr(f"(high_ - low_) div (1 + n_ div {size}) + 1")).drop("high_", "n_")
-    near = rows.join(span, _same(keys), "left").withColumn("part_", F.coalesce(F.expr(f"({order} - low_) div width_"), F.lit(0)))
+    span = span.withColumn("width_", F.expr(f"greatest((high_ - low_) / (1 + n_ div {size}), 1e-300D)")).drop("high_", "n_")
+    near = rows.join(span, _same(keys), "left").withColumn("part_", F.coalesce(F.floor((F.col(order) - F.col("low_")) / F.col("width_")).cast("long"), F.lit(0)))
     return near.drop(*[f"{k}_" for k in keys], "low_", "width_")
 
 

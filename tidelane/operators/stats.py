@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelane.operators import running
 
-def lower_percentile(values: str, percent: int) -> Column:
-    """The element at (n - 1) * percent div 100 of the sorted values: an aggregate."""
-    return F.expr(f"get(sort_array(collect_list({values})), cast(((count({values}) - 1) * {percent}) div 100 as int))")
+
+def lower_percentiles(rows: DataFrame, keys: list[str], value: str, percents: dict[str, int], size: int = running.PART_ROWS) -> DataFrame:
+    """(keys, a column for each of percents): the element at (n - 1) * percent div 100 of the sorted values of the keys.
+
+    Values are counted, counts are summed along the values in parts, and the value at which the sum passes the rank is
+    picked: no task holds all values of a key. Nulls are no values; keys without any have null. Values are finite numbers.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.when(F.col(value).isNotNull(), F.count("*")).otherwise(0).alias("n_"))
+    totals = counts.groupBy(*keys).agg(F.sum("n_").alias("all_"))
+    summed = running.running_sum(counts.where(F.col(value).isNotNull()), keys, value, "n_", "up_to_", size)
+    renamed = totals.select(*[F.col(k).alias(f"{k}_") for k in keys], "all_")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    ranks = {out: F.expr(f"((all_ - 1) * {percent}) div 100") for out, percent in percents.items()}
+    here = {out: (F.col("up_to_") - F.col("n_") <= rank) & (rank < F.col("up_to_")) for out, rank in ranks.items()}
+    picked = [F.max(F.when(hit, F.col(value))).alias(out) for out, hit in here.items()]
+    found = renamed.join(summed, same, "left").groupBy(*[f"{k}_" for k in keys]).agg(*picked)
+    return found.select(*[F.col(f"{k}_").alias(k) for k in keys], *percents)
 
 
 def quarter_medians(rows: DataFrame, value: str) -> DataFrame:
     """(match_id, quarter 0 to 3, median): lower medians by quarter of the match's time; null for a quarter without rows."""
     last = F.max("ts_ms").over(Window.partitionBy("match_id"))
     x = rows.withColumn("last", last).withColumn("quarter", F.expr("cast(least(ts_ms * 4 div greatest(last, 1), 3) as int)"))
-    found = x.groupBy("match_id", "quarter").agg(lower_percentile(value, 50).alias("median"))
+    found = lower_percentiles(x, ["match_id", "quarter"], value, {"median": 50})
     grid = rows.select("match_id").distinct().withColumn("quarter", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return grid.join(found, ["match_id", "quarter"], "left")
 

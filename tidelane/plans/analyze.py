@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tidelane import constants as C
 from tidelane.functions.text import clock, overall_tier, percent_tier, stem
 from tidelane.operators import anomalies, asof, folds, intervals, phases
+from tidelane.operators import stats as stats_
 from tidelane.operators.decode import is_refund
 from tidelane.sync.calibrate import PANEL, calibrate_matches
 
@@ -303,8 +304,7 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
         is_("matched", "overclaimed").alias("matched"),
         is_("matched", "overclaimed", "unmatched").alias("total"),
         is_("reseed").alias("reseeds"),
-        F.expr("get(sort_array(collect_list(offset_ms)), cast(((count(offset_ms) - 1) * 50) div 100 as int))").alias("median_ms"),
-    )
+    ).join(stats_.lower_percentiles(settled, ["match_id"], "offset_ms", {"median_ms": 50}), "match_id")
     # why a spend found no drop: the last reading before it could not pay, or none was seen
     short = settled.where("section = 'unmatched'").select(
         "match_id",

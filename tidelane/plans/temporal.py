@@ -185,7 +185,7 @@ def missing_counts(spark, d):
 
 @query(CTE + "SELECT match_id, list_sort(list(value) FILTER (value IS NOT NULL))[(count(value) - 1) * 50 // 100 + 1] AS p50, list_sort(list(value) FILTER (value IS NOT NULL))[(count(value) - 1) * 90 // 100 + 1] AS p90 FROM rd GROUP BY match_id")
 def percentile_lower(spark, d):
-    return _series(spark, d).groupBy("match_id").agg(stats.lower_percentile("value", 50).alias("p50"), stats.lower_percentile("value", 90).alias("p90"))
+    return stats.lower_percentiles(_series(spark, d), ["match_id"], "value", {"p50": 50, "p90": 90})
 
 
 @query(CTE + ", v AS (SELECT match_id, value, ts_ms - 1704067200000 AS t FROM rd WHERE value IS NOT NULL), q AS (SELECT match_id, value, CAST(least(t * 4 // greatest(max(t) OVER (PARTITION BY match_id), 1), 3) AS INTEGER) AS quarter FROM v), f AS (SELECT match_id, quarter, list_sort(list(value))[(count(*) - 1) * 50 // 100 + 1] AS median FROM q GROUP BY match_id, quarter) SELECT g.match_id, g.quarter, f.median FROM (SELECT DISTINCT match_id, CAST(k AS INTEGER) AS quarter FROM v, range(4) t(k)) g LEFT JOIN f ON f.match_id = g.match_id AND f.quarter = g.quarter")
@@ -194,6 +194,25 @@ def quarter_median(spark, d):
     return stats.quarter_medians(rows, "value")
 
 
+@query(
+    CTE.replace("WITH", "WITH RECURSIVE", 1)
+    + """, shown AS (
+  SELECT match_id, ts_ms, row_number() OVER (PARTITION BY match_id ORDER BY ts_ms, seq) AS n, CASE WHEN seq % 3 = 0 THEN NULL ELSE value // 40 END AS a, CASE WHEN seq % 4 = 1 THEN NULL ELSE value // 60 END AS b FROM rd),
+still(match_id, n, start, a, b) AS (
+  SELECT match_id, n, n, a, b FROM shown WHERE n = 1
+  UNION ALL
+  SELECT match_id, n, CASE WHEN broken THEN n ELSE start END, CASE WHEN broken THEN a ELSE coalesce(x, a) END, CASE WHEN broken THEN b ELSE coalesce(y, b) END FROM (
+    SELECT p.match_id, p.n, p.a, p.b, r.start, r.a AS x, r.b AS y, coalesce(p.a <> r.a, false) OR coalesce(p.b <> r.b, false) AS broken FROM still r JOIN shown p ON p.match_id = r.match_id AND p.n = r.n + 1)),
+span AS (SELECT r.match_id, r.start, min(p.ts_ms) AS from_ms, max(p.ts_ms) AS to_ms FROM still r JOIN shown p ON p.match_id = r.match_id AND p.n = r.n GROUP BY r.match_id, r.start)
+SELECT match_id, from_ms, to_ms FROM span WHERE to_ms > from_ms QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY to_ms - from_ms DESC, start) = 1"""
+)
+def longest_frozen(spark, d):
+    """The longest time in which neither of two numbers changed; every third reading of one and fourth of the other is missing."""
+    r = _series(spark, d)
+    shown = lambda every, at, by: F.when(F.col("seq") % every != at, F.expr(f"value div {by}"))
+    return anomalies.longest_frozen(r.select("match_id", "seq", "ts_ms", shown(3, 0, 40).alias("a"), shown(4, 1, 60).alias("b")), ["a", "b"])
+
+
 _SIM = "(cost * least(cost, delta)::DOUBLE / greatest(cost, delta)) / cost::DOUBLE"
 
 
