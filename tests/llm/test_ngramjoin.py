@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_ops import DOCS, ODD, SF, brute_components
 from tidelane.llm import links, queries
-from tidelane.llm.ngramjoin import joined, ngram_join, prefix_length, ranks, rare_first, suffix_distance
+from tidelane.llm.ngramjoin import PLACES, joined, ngram_join, prefix_length, ranks, rare_first, suffix_distance
 
 
 class Held:
@@ -64,7 +64,7 @@ def brute_pairs(sets, percent):
 def test_filters_lose_no_pair(seed):
     """Every pair of sets, each in a label of its own and merged by none, at several thresholds and frequencies."""
     rng = np.random.default_rng(seed)
-    classes = rng.integers(0, 200, 1 << 20).astype(np.uint16)
+    classes = rng.integers(0, 200, PLACES).astype(np.uint8)
     pool = rng.integers(0, 2**63, 70, dtype=np.uint64)
     sets = [np.sort(rng.choice(pool, rng.integers(1, 60), replace=False)) for _ in range(40)]
     for i in range(40):  # near copies
@@ -102,7 +102,7 @@ def test_suffix_distance_is_a_lower_bound():
 
 
 def test_prefixes_are_rare_first():
-    classes = np.zeros(1 << 20, np.uint16)
+    classes = np.zeros(PLACES, np.uint8)
     h = np.arange(1, 101, dtype=np.uint64) << np.uint64(24) | np.arange(100, dtype=np.uint64)
     classes[:50] = 9
     order = rare_first(h, classes)

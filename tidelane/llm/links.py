@@ -8,6 +8,7 @@ but for those that links already connect. So every pair of a key is decided, and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -144,11 +145,23 @@ def confirmed(texts: DataFrame, grouped: DataFrame, sets_of: Sets, compare: Comp
     return pairs.mapInArrow(_confirm(compare, sets_of), "u long, v long")
 
 
-def settle(lead: DataFrame, rows_of: Callable[[DataFrame], DataFrame], texts: DataFrame, sets_of: Sets, compare: Compare, block: int = BLOCK_SHINGLES) -> DataFrame:
+def by_length(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (key, doc_id, label, n_shingles) by key and length: twice each, so that two sets meet only if the smaller one can have percent of the larger.
+
+    Lengths are in classes of that ratio, the least bit wider; sets that can be linked are in one class or neighbouring ones.
+    """
+    kind = F.floor(F.log("n_shingles") / F.lit(math.log(100 / percent) * (1 + 1e-9)))
+    return rows.withColumn("length", F.explode(F.array(kind, kind - 1))).select(F.xxhash64("key", "length").alias("key"), "doc_id", "label")
+
+
+def settle(
+    lead: DataFrame, rows_of: Callable[[DataFrame], DataFrame], texts: DataFrame, sets_of: Sets, compare: Compare, percent: int, block: int = BLOCK_SHINGLES
+) -> DataFrame:
     """(node, component) of all documents that are linked with another one.
 
-    lead: (doc_id, n_shingles, ...); rows_of makes rows (key, doc_id, label) of it and a label. Linked documents share a
-    key. Those of one key that the links with centres leave in different components are held against each other.
+    lead: (doc_id, n_shingles, ...); rows_of makes rows (key, doc_id, label, n_shingles) of it and a label. Linked
+    documents share a key. Those of one key and like length that the links with centres leave in different components
+    are held against each other.
     """
     sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     edges = cut(stars(rows_of(lead.withColumn("label", F.col("doc_id")))))
@@ -160,7 +173,7 @@ def settle(lead: DataFrame, rows_of: Callable[[DataFrame], DataFrame], texts: Da
     nodes = edges.select(F.col("u").alias("doc_id")).unionByName(edges.select(F.col("v").alias("doc_id"))).distinct()
     label = F.coalesce("component", "doc_id").alias("label")
     labels = cut(nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label))
-    left = cut(stars(rows_of(lead.join(labels, "doc_id"))))
+    left = cut(stars(by_length(rows_of(lead.join(labels, "doc_id")), percent)))
     if left.isEmpty():
         return known
     groups = components(left.select("u", "v")).withColumnRenamed("node", "doc_id")

@@ -75,7 +75,7 @@ def sketches(docs: DataFrame, k: int, t: int = TABLES, w: int = WIDTH) -> DataFr
 
 
 def bucket_rows(lead: DataFrame) -> DataFrame:
-    """(key, doc_id, label) of lead (doc_id, label, left, right): a row for each table bucket that may hold others.
+    """(key, doc_id, label, n_shingles) of lead (doc_id, label, n_shingles, left, right): a row for each table bucket that may hold others.
 
     A document alone with a hash of the first collection shares no bucket of it: those hashes go before the second
     collection is unfolded.
@@ -85,9 +85,9 @@ def bucket_rows(lead: DataFrame) -> DataFrame:
     often = cut(often)
     met = join_frequent(firsts, often, ["key"], "n", often.agg(F.sum("n")).head()[0] or 0).where("met")
     shared = met.groupBy("doc_id").agg(F.collect_set("i").alias("shared"))
-    pairs = lead.join(shared, "doc_id").select("doc_id", "label", "right", "left", F.explode("shared").alias("i"))
-    pairs = pairs.select("doc_id", "label", "i", F.get("left", F.col("i")).alias("a"), F.posexplode("right").alias("j", "b"))
-    return pairs.select(F.xxhash64("i", "j", "a", "b").alias("key"), "doc_id", "label")
+    pairs = lead.join(shared, "doc_id").select("doc_id", "label", "n_shingles", "right", "left", F.explode("shared").alias("i"))
+    pairs = pairs.select("doc_id", "label", "n_shingles", "i", F.get("left", F.col("i")).alias("a"), F.posexplode("right").alias("j", "b"))
+    return pairs.select(F.xxhash64("i", "j", "a", "b").alias("key"), "doc_id", "label", "n_shingles")
 
 
 def _sets(k: int) -> links.Sets:
@@ -113,6 +113,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     lead = cut(lead.where("n_shingles > 0").select("doc_id", "n_shingles", "left", "right"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = links.settle(lead, bucket_rows, texts, _sets(k), links.linked(percent))
+    found = links.settle(lead, bucket_rows, texts, _sets(k), links.linked(percent), percent)
     out = links.expanded(known, reps, found)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

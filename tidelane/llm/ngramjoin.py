@@ -20,8 +20,10 @@ from tidelane.llm import links
 from tidelane.llm.common import cut
 from tidelane.llm.words import mix, shingle_sets, shingles, slices, words
 
-#: Places of the frequency table, 4 MB of counts whatever the corpus has, and those in one row of a partial sum.
-PLACES, ROW_PLACES = 1 << 20, 1 << 12
+#: Places of the frequency table, 16 MB of classes whatever the corpus has, and those in one row of a partial sum.
+PLACES, ROW_PLACES = 1 << 24, 1 << 12
+#: Shingles that a task counts at once.
+COUNTED = 1 << 22
 #: Tasks whose partial sums meet first.
 FAN_IN = 256
 #: Pivots of the suffix filter.
@@ -35,39 +37,80 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n + (-percent * n) // 100 + 1
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A row of counts up to 255: bytes, or places (two bytes each) and counts of those above 0 where that is shorter."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].tobytes() if 3 * len(at) < ROW_PLACES else counts.tobytes()
+
+
+def _add(total: np.ndarray, packed: bytes) -> None:
+    if len(packed) == ROW_PLACES:
+        total += np.frombuffer(packed, np.uint8)
+    else:
+        n = len(packed) // 3
+        total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.uint8, n, 2 * n)
+
+
 def _counting(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(PLACES, np.int64)
+        total, held, size = np.zeros(PLACES, np.uint8), [], 0
+
+        def count() -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            total[at] = np.minimum(total[at] + n, 255)
+            held.clear()
+
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 h, _, bounds = words(data, offsets)
-                some = [shingles(h[a:b], k) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                total += np.bincount((np.concatenate(some) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    held.append((shingles(h[a:b], k) & np.uint64(PLACES - 1)).astype(np.int32))
+                    size += len(held[-1])
+                if size >= COUNTED:
+                    count()
+                    size = 0
+        if held:
+            count()
         rows = total.reshape(-1, ROW_PLACES)
         at = np.flatnonzero(rows.any(axis=1))
         part = TaskContext.get().partitionId() // FAN_IN
-        cols = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array([rows[i].tobytes() for i in at], pa.binary())]
+        cols = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array([_packed(rows[i]) for i in at], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["row", "part", "counts"])
 
     return run
 
 
+def _row(rows: pa.Table, counts: np.ndarray) -> pa.Table:
+    return pa.table({"row": rows["row"].slice(0, 1), "part": rows["part"].slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def _sum(rows: pa.Table) -> pa.Table:
     total = np.zeros(ROW_PLACES, np.int64)
     for x in rows["counts"]:
-        total += np.frombuffer(x.as_buffer(), np.int64)
-    return pa.table({"row": rows["row"].slice(0, 1), "part": rows["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        _add(total, x.as_py())
+    return _row(rows, total.astype(np.uint32))
+
+
+def _classes(rows: pa.Table) -> pa.Table:
+    """Six classes for each doubling of the count."""
+    total = np.zeros(ROW_PLACES, np.int64)
+    for x in rows["counts"]:
+        total += np.frombuffer(x.as_py(), np.uint32)
+    return _row(rows, (6 * np.log2(1 + total)).astype(np.uint8))
 
 
 def frequency_classes(docs: DataFrame, k: int) -> Broadcast:
-    """A broadcast table: for each place (the low bits of a shingle's hash) a class that grows with how many documents count there."""
+    """A broadcast table: for each place (the low bits of a shingle's hash) a class that grows with how many documents count there.
+
+    A task counts up to 255 at a place; sums over tasks are exact.
+    """
     schema = "row int, part int, counts binary"
     partial = docs.select("text").mapInArrow(_counting(k), schema).groupBy("row", "part").applyInArrow(_sum, schema)
-    whole = partial.groupBy("row").applyInArrow(_sum, schema).toArrow()
-    total = np.zeros((PLACES // ROW_PLACES, ROW_PLACES), np.int64)
+    whole = partial.groupBy("row").applyInArrow(_classes, schema).toArrow()
+    total = np.zeros((PLACES // ROW_PLACES, ROW_PLACES), np.uint8)
     for row, x in zip(whole["row"].to_pylist(), whole["counts"], strict=True):
-        total[row] = np.frombuffer(x.as_buffer(), np.int64)
-    return docs.sparkSession.sparkContext.broadcast((16 * np.log2(1 + total.ravel())).astype(np.uint16))
+        total[row] = np.frombuffer(x.as_py(), np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(total.ravel())
 
 
 def ranks(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -167,7 +210,7 @@ def joined(percent: int, classes: Broadcast) -> links.Compare:
 
 
 def _prefix_rows(lead: DataFrame) -> DataFrame:
-    return lead.select(F.explode("prefix").alias("key"), "doc_id", "label")
+    return lead.select(F.explode("prefix").alias("key"), "doc_id", "label", "n_shingles")
 
 
 def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -187,5 +230,5 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     reps = links.representatives(known)
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     lead = cut(lead.select("doc_id", "n_shingles", "prefix"))
-    found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes))
+    found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes), percent)
     return links.expanded(known, reps, found)
