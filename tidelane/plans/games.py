@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelane import constants as C
 from tidelane.plans import analyze as A
+from tidelane.plans import report
 from tidelane.plans import tables
 
 QUERIES: dict = {}
@@ -259,6 +260,34 @@ def sanity_findings(spark, d):
     return A.sanity(line(spark, d))[0].where("section in ('glitch', 'increase', 'invariant')")
 
 
+@query(
+    _GAMES
+    + f""", f AS ({_findings()}),
+r AS (SELECT *, row_number() OVER (PARTITION BY match_id, section ORDER BY in_game_ms, field, detail) AS n, count(*) OVER (PARTITION BY match_id, section) AS k FROM f)
+SELECT match_id, section, 0 AS place, section || ': ' || k AS line FROM r WHERE n = 1
+UNION ALL SELECT match_id, section, CAST(n AS INTEGER), '  ' || lpad(CAST(in_game_ms // 60000 AS VARCHAR), CAST(greatest(2, len(CAST(in_game_ms // 60000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(in_game_ms % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(in_game_ms % 1000 AS VARCHAR), 3, '0') || ' ' || field || ': ' || detail
+  FROM r WHERE n <= {C.EXAMPLES}
+UNION ALL SELECT match_id, section, {C.EXAMPLES + 1}, '  ... ' || (k - {C.EXAMPLES}) || ' more' FROM r WHERE n = 1 AND k > {C.EXAMPLES}"""
+)
+def finding_lines(spark, d):
+    """The lines of every match's findings: counts, first examples and what is left."""
+    return report.finding_lines(sanity_findings(spark, d))
+
+
+@query(
+    _GAMES
+    + _floats()
+    + f""", c AS (
+  SELECT match_id, seq, ig AS ts_ms, lpad(CAST(ig // 60000 AS VARCHAR), CAST(greatest(2, len(CAST(ig // 60000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(ig % 60000 // 1000 AS VARCHAR), 2, '0') AS label, {", ".join(PANEL)}, coalesce(housing = 'housed', false) AS housed,
+    {", ".join(f"EXISTS (SELECT 1 FROM fl WHERE fl.match_id = scr.match_id AND resource = '{r}' AND scr.ig BETWEEN start_ms AND end_ms) AS floating_{r}" for r in C.RESOURCES)} FROM scr)
+SELECT match_id, {", ".join(f"CAST(to_json(list({c} ORDER BY ts_ms, seq)) AS VARCHAR) AS {c}" for c in report.CHART)} FROM c GROUP BY match_id"""
+)
+def chart_arrays(spark, d):
+    """The JSON arrays of every match's charts."""
+    x = line(spark, d)
+    return report.chart_columns(A.chart(x, A.floating(x)))
+
+
 def _ledger() -> str:
     """Recursive SQL of the ledger: remain is what is left of each fall of a match after its first n spends."""
     paid = ("food", "gold", "stone")  # nothing costs wood in these games

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +46,27 @@ def findings_text(findings: list[dict], stats: dict | None) -> str:
     return "\n".join(out)
 
 
-def chart_json(rows: list[dict]) -> dict[str, str]:
-    """A JSON array for each chart column, in time order."""
-    rows = sorted(rows, key=lambda r: (r["ts_ms"], r["seq"]))
-    names = ["label", "pop_vils", "idle_vils", "housed", *[f"floating_{r}" for r in RESOURCES], *RESOURCES]
-    return {n: json.dumps([r[n] for r in rows]) for n in names}
+def finding_lines(findings: DataFrame, most: int = EXAMPLES) -> DataFrame:
+    """(match_id, section, place, line): how many findings a match's section has, its first ones by time, and how many more there are."""
+    group = Window.partitionBy("match_id", "section")
+    x = findings.withColumn("n", F.row_number().over(group.orderBy("in_game_ms", "field", "detail"))).withColumn("all", F.count("*").over(group)).where(F.col("n") <= most)
+    line = F.format_string("  %s %s: %s", clock(F.col("in_game_ms")), "field", "detail")
+    head = F.struct(F.lit(0).alias("place"), F.format_string("%s: %d", "section", "all").alias("line"))
+    more = F.struct(F.lit(most + 1).alias("place"), F.format_string("  ... %d more", F.col("all") - most).alias("line"))
+    own = F.struct(F.col("n").alias("place"), line.alias("line"))
+    lines = F.when(F.col("n") > 1, F.array(own)).when(F.col("all") > most, F.array(head, own, more)).otherwise(F.array(head, own))
+    return x.select("match_id", "section", F.explode(lines).alias("x")).select("match_id", "section", "x.place", "x.line")
+
+
+#: The columns of a report's charts.
+CHART = ("label", "pop_vils", "idle_vils", "housed", *[f"floating_{r}" for r in RESOURCES], *RESOURCES)
+
+
+def chart_columns(chart: DataFrame) -> DataFrame:
+    """(match_id, a JSON array for each chart column, in time order): one row a match, the report's own size."""
+    points = F.sort_array(F.collect_list(F.struct("ts_ms", "seq", *CHART)))
+    x = chart.groupBy("match_id").agg(points.alias("x"))
+    return x.select("match_id", *[F.to_json(F.col(f"x.{c}")).alias(c) for c in CHART])
 
 
 def page(title: str, players: list[dict], grade: dict, charts: dict[str, str], phases: list[dict]) -> str:
