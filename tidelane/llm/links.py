@@ -155,16 +155,25 @@ def by_length(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def settle(
-    lead: DataFrame, rows_of: Callable[[DataFrame], DataFrame], texts: DataFrame, sets_of: Sets, compare: Compare, percent: int, block: int = BLOCK_SHINGLES
+    lead: DataFrame,
+    rows_of: Callable[[DataFrame], DataFrame],
+    texts: DataFrame,
+    sets_of: Sets,
+    compare: Compare,
+    percent: int,
+    block: int = BLOCK_SHINGLES,
+    lengths: bool = False,
 ) -> DataFrame:
     """(node, component) of all documents that are linked with another one.
 
     lead: (doc_id, n_shingles, ...); rows_of makes rows (key, doc_id, label, n_shingles) of it and a label. Linked
     documents share a key. Those of one key and like length that the links with centres leave in different components
-    are held against each other.
+    are held against each other. With lengths, keys are taken by length for the centres, too: for keys that are shared by
+    documents of any length.
     """
     sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    edges = cut(stars(rows_of(lead.withColumn("label", F.col("doc_id")))))
+    rows = rows_of(lead.withColumn("label", F.col("doc_id")))
+    edges = cut(stars(by_length(rows, percent) if lengths else rows))
     best = edges.groupBy(F.col("u").alias("doc_id")).agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("component"))
     centres = best.select(F.col("component").alias("doc_id"), "component").distinct()
     grouped = best.withColumn("centre", F.lit(False)).unionByName(centres.withColumn("centre", F.lit(True))).join(sizes, "doc_id")

@@ -230,5 +230,5 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     reps = links.representatives(known)
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     lead = cut(lead.select("doc_id", "n_shingles", "prefix"))
-    found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes), percent)
+    found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes), percent, lengths=True)
     return links.expanded(known, reps, found)
