@@ -217,9 +217,17 @@ def outlier_frames(spark, d):
     return folds.outliers(tables.readings(spark, d).select("match_id", "seq", "ts_ms", "value"), "value", 50, 12 * HOUR)
 
 
-@query()
+def _sampled_bridge() -> str:
+    """SQL of the bridge over the frames that sampling every six hours keeps."""
+    grid = ORACLE_SQL["sampled_rows"].split("\nSELECT s.match_id")[0].replace("43200000 - 1", "21600000 - 1")
+    bridge = folded.ORACLE_SQL["bridge_states"].removeprefix(CTE)
+    kept = "rd WHERE EXISTS (SELECT 1 FROM s JOIN pick ON pick.match_id = s.match_id AND pick.n = s.n WHERE s.match_id = rd.match_id AND s.seq = rd.seq)"
+    return grid + bridge.replace("AS n FROM rd),", f"AS n FROM {kept}),", 1)
+
+
+@query(_sampled_bridge())
 def sampled_states(spark, d):
-    """A recording read every six hours and bridged: sampling and the bridge are held to SQL by queries of their own."""
+    """A recording read every six hours and bridged."""
     frames = folded._frames(spark, d)
     return folds.sampled_states(frames, 6 * HOUR, housed_ms=24 * HOUR, queued_ms=48 * HOUR)
 
