@@ -116,3 +116,29 @@ def test_join_sql_equals_brute_force():
     texts = dict(db.execute("SELECT doc_id, text FROM documents").fetchall())
     got = {i: (n, c) for i, n, c in db.execute(queries.ORACLE_SQL["op11_ngramjoin"]).fetchall()}
     assert got == brute_components(texts, 3, 90)
+
+
+def test_keys_of_few_documents_meet_by_one_shuffle(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), i, i // 3, rng.randrange(1, 60)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, doc_id long, label long, n_shingles long")
+    marked = df.withColumn("few", F.col("key") % 3 > 0)
+    got = links.stars_by_length(marked, 90)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in links.stars(links.by_length(df, 90)).collect()}
+    # what is told apart by length is dealt by key alone
+    plan = links.stars_by_length(marked.where("few"), 90)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key#" in plan and "hashpartitioning(key#" in next(x for x in plan.splitlines() if "REPARTITION_BY_COL" in x)
+
+
+def test_few_counts_prefix_places():
+    import pyarrow as pa
+
+    from tidelane.llm.ngramjoin import FEW, _class, _sketcher
+    from tidelane.llm.words import shingle_sets
+
+    x = next(iter(shingle_sets(pa.chunked_array([pa.array([" ".join(f"w{i}" for i in range(102))])]), 3)))
+    classes = np.full(PLACES, _class(FEW + 1000), np.uint8)
+    classes[(x[:3] & np.uint64(PLACES - 1)).astype(np.int64)] = _class(FEW)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(102))])], names=["doc_id", "text"])
+    out = next(_sketcher(3, 90, Held(classes))(iter([batch]))).to_pylist()[0]
+    assert (out["few"], len(out["prefix"]), out["n_shingles"]) == (3, 11, 100)

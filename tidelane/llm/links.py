@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelane.llm.common import cut, join_frequent
 from tidelane.llm.components import components
@@ -32,16 +33,20 @@ Compare = Callable[[list[np.ndarray], np.ndarray, np.ndarray, bool], list[tuple[
 Sets = Callable[[pa.ChunkedArray], Iterable[np.ndarray]]
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """(u, v, shared) from rows (key, doc_id, label): for each key with several labels, its other documents u and the least one, v.
+def _met(rows: DataFrame) -> DataFrame:
+    """(u, v) from rows (key, doc_id, label): for each key with several labels, its other documents u and the least one, v.
 
     Minima are pre-aggregated; keys of very many rows are joined by broadcast, others by a shuffle.
     """
     low = rows.groupBy("key").agg(F.min("doc_id").alias("v"), F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
     low = cut(low.where("a < b").select("key", "v", "n"))
     total = low.agg(F.sum("n")).head()[0] or 0
-    met = join_frequent(rows.select("key", F.col("doc_id").alias("u")), low, ["key"], "n", total).where("v < u")
-    return met.groupBy("u", "v").agg(F.count("*").alias("shared"))
+    return join_frequent(rows.select("key", F.col("doc_id").alias("u")), low, ["key"], "n", total).where("v < u").select("u", "v")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """(u, v, shared) from rows (key, doc_id, label): how many keys of several labels u shares with v, the least document of the key."""
+    return _met(rows).groupBy("u", "v").agg(F.count("*").alias("shared"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -145,13 +150,31 @@ def confirmed(texts: DataFrame, grouped: DataFrame, sets_of: Sets, compare: Comp
     return pairs.mapInArrow(_confirm(compare, sets_of), "u long, v long")
 
 
+def _kind(percent: int) -> Column:
+    """Lengths in classes of the ratio 100 to percent, the least bit wider; sets that can be linked are in one class or neighbouring ones."""
+    return F.floor(F.log("n_shingles") / F.lit(math.log(100 / percent) * (1 + 1e-9)))
+
+
 def by_length(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (key, doc_id, label, n_shingles) by key and length: twice each, so that two sets meet only if the smaller one can have percent of the larger.
+    """rows (key, doc_id, label, n_shingles) by key and length: twice each, so that two sets meet only if the smaller one can have percent of the larger."""
+    kind = _kind(percent)
+    return rows.withColumn("length", F.explode(F.array(kind, kind - 1))).select(F.xxhash64("key", "length").alias("key"), "doc_id", "label")
+
 
-    Lengths are in classes of that ratio, the least bit wider; sets that can be linked are in one class or neighbouring ones.
+def stars_by_length(rows: DataFrame, percent: int) -> DataFrame:
+    """stars of by_length. Rows may have `few`: true where few documents have the key, so that all of them fit a task.
+
+    Such rows are shuffled once, by key, and are told apart by length only where their key is; the others are shuffled
+    twice for each length.
     """
-    kind = F.floor(F.log("n_shingles") / F.lit(math.log(100 / percent) * (1 + 1e-9)))
-    return rows.withColumn("length", F.explode(F.array(kind, kind - 1))).select(F.xxhash64("key", "length").alias("key"), "doc_id", "label")
+    if "few" not in rows.columns:
+        return stars(by_length(rows, percent))
+    near = rows.where("few").select("key", "doc_id", "label", _kind(percent).cast("int").alias("kind")).repartition("key")
+    w = Window.partitionBy("key", "length")
+    near = near.withColumn("length", F.explode(F.array(F.col("kind"), F.col("kind") - 1)))
+    near = near.select(F.col("doc_id").alias("u"), F.min("doc_id").over(w).alias("v"), F.min("label").over(w).alias("a"), F.max("label").over(w).alias("b"))
+    met = near.where("a < b and v < u").select("u", "v").unionByName(_met(by_length(rows.where("not few"), percent)))
+    return met.groupBy("u", "v").agg(F.count("*").alias("shared"))
 
 
 def settle(
@@ -173,7 +196,7 @@ def settle(
     """
     sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     rows = rows_of(lead.withColumn("label", F.col("doc_id")))
-    edges = cut(stars(by_length(rows, percent) if lengths else rows))
+    edges = cut(stars_by_length(rows, percent) if lengths else stars(rows))
     best = edges.groupBy(F.col("u").alias("doc_id")).agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("component"))
     centres = best.select(F.col("component").alias("doc_id"), "component").distinct()
     grouped = best.withColumn("centre", F.lit(False)).unionByName(centres.withColumn("centre", F.lit(True))).join(sizes, "doc_id")
@@ -182,7 +205,7 @@ def settle(
     nodes = edges.select(F.col("u").alias("doc_id")).unionByName(edges.select(F.col("v").alias("doc_id"))).distinct()
     label = F.coalesce("component", "doc_id").alias("label")
     labels = cut(nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label))
-    left = cut(stars(by_length(rows_of(lead.join(labels, "doc_id")), percent)))
+    left = cut(stars_by_length(rows_of(lead.join(labels, "doc_id")), percent))
     if left.isEmpty():
         return known
     groups = components(left.select("u", "v")).withColumnRenamed("node", "doc_id")

@@ -29,7 +29,11 @@ FAN_IN = 256
 #: Pivots of the suffix filter.
 PIVOTS = 15
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, prefix array<long>"
+#: Shingles whose place counts no more are met where they are: by one shuffle to one task (see links.stars_by_length). As a
+#: task counts up to 255, at most eight tasks' documents have one.
+FEW = (1 << 11) - 1
+
+_SKETCH = "doc_id long, n_shingles long, set_key binary, prefix array<long>, few int"
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -91,12 +95,16 @@ def _sum(rows: pa.Table) -> pa.Table:
     return _row(rows, total.astype(np.uint32))
 
 
-def _classes(rows: pa.Table) -> pa.Table:
+def _class(count: np.ndarray | int) -> np.ndarray:
     """Six classes for each doubling of the count."""
+    return (6 * np.log2(1 + count)).astype(np.uint8)
+
+
+def _classes(rows: pa.Table) -> pa.Table:
     total = np.zeros(ROW_PLACES, np.int64)
     for x in rows["counts"]:
         total += np.frombuffer(x.as_py(), np.uint32)
-    return _row(rows, (6 * np.log2(1 + total)).astype(np.uint8))
+    return _row(rows, _class(total))
 
 
 def frequency_classes(docs: DataFrame, k: int) -> Broadcast:
@@ -113,10 +121,14 @@ def frequency_classes(docs: DataFrame, k: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(total.ravel())
 
 
+def _places(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(h & np.uint64(PLACES - 1)).astype(np.int64)]
+
+
 def ranks(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """A number of each shingle by which rare ones come first: its place's class, then bits of the hash."""
     low = h & np.uint64((1 << 52) - 1)
-    return classes[(h & np.uint64(PLACES - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(52) | low
+    return _places(h, classes).astype(np.uint64) << np.uint64(52) | low
 
 
 def rare_first(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -125,22 +137,26 @@ def rare_first(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _sketcher(k: int, percent: int, classes: Broadcast):
+    least = _class(np.float64(FEW))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, keys, prefixes = [], [], []
+            counts, keys, prefixes, few = [], [], [], []
             for x in shingle_sets(batch.column(1), k):
                 counts.append(len(x))
                 if len(x):
                     place = mix(x + np.arange(len(x), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                     keys.append(np.array([np.add.reduce(place), np.bitwise_xor.reduce(x), len(x)], np.uint64).tobytes())
-                    prefixes.append(rare_first(x, classes.value)[: prefix_length(len(x), percent)].view(np.int64))
+                    prefixes.append(head := rare_first(x, classes.value)[: prefix_length(len(x), percent)].view(np.int64))
+                    few.append(int((_places(head.view(np.uint64), classes.value) <= least).sum()))
                 else:
                     keys.append(None)
                     prefixes.append(np.zeros(0, np.int64))
+                    few.append(0)
             ends = np.append(0, np.cumsum([len(x) for x in prefixes])).astype(np.int32)
             flat = pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]))
-            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_key", "prefix"])
+            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(few, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_key", "prefix", "few"])
 
     return run
 
@@ -210,7 +226,8 @@ def joined(percent: int, classes: Broadcast) -> links.Compare:
 
 
 def _prefix_rows(lead: DataFrame) -> DataFrame:
-    return lead.select(F.explode("prefix").alias("key"), "doc_id", "label", "n_shingles")
+    rows = lead.select(F.posexplode("prefix").alias("place", "key"), "doc_id", "label", "n_shingles", "few")
+    return rows.select("key", "doc_id", "label", "n_shingles", (F.col("place") < F.col("few")).alias("few"))
 
 
 def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -229,6 +246,6 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     known = cut(ids.mapInArrow(_sketcher(k, percent, classes), _SKETCH))
     reps = links.representatives(known)
     lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    lead = cut(lead.select("doc_id", "n_shingles", "prefix"))
+    lead = cut(lead.select("doc_id", "n_shingles", "prefix", "few"))
     found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes), percent, lengths=True)
     return links.expanded(known, reps, found)
