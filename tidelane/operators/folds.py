@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tidelane import constants as C
@@ -24,6 +28,55 @@ def per_match(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], sche
     return spread(rows).groupBy("match_id").applyInPandas(lambda p: run(p.sort_values(list(order), kind="stable")), schema)
 
 
+#: Rows of results that a task holds back, about.
+OUT_ROWS = 5000
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each key, whose rows come one after another; the first columns are the key, null equals null."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        if held and k[0] != last:
+            yield last, pa.Table.from_batches(held)
+            held = []
+        at = 0
+        for i in range(1, len(k)):
+            if k[i] != k[i - 1]:
+                yield k[at], pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, at = [], i
+        held.append(batch.slice(at))
+        last = k[-1]
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def each_group(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[tuple, pa.Table], list[tuple]], schema: str) -> DataFrame:
+    """Rows run(key, rows of the key in order) for each key: a group after another in a task, for very many small groups.
+
+    applyInPandas makes a pandas table and a message of each group, which takes longer than folding a few rows.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, group in runs(batches, len(keys)):
+            out += run(key, group)
+            if len(out) >= OUT_ROWS:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    rest = [c for c in rows.columns if c not in keys]
+    return spread(rows, *keys).sortWithinPartitions(*keys, *order).select(*keys, *rest).mapInArrow(go, schema)
+
+
 def half_away(x: float) -> int:
     return int(math.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
 
@@ -288,19 +341,20 @@ def recorded(rows: DataFrame, totals: list[str], counts: list[str], **options: i
     rows (match_id, seq, ts_ms, color, totals, counts) may have `lost`: the first frame where it is true ends the
     match, and later ones are not looked at.
     """
-    ends = "lost" in rows.columns
+    ends, numbers = "lost" in rows.columns, [*totals, *counts]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, p: pa.Table) -> list[tuple]:
         r, out = Recorder(**options), []
-        num = lambda v: None if pd.isna(v) else int(v)
-        for x in p.to_dict("records"):
+        for x in p.to_pylist():
             if ends and x["lost"]:
                 out += r.end(x["seq"])
                 break
-            out += r.offer(x["seq"], int(x["ts_ms"]), {c: num(x[c]) for c in totals}, {c: num(x[c]) for c in counts}, x["color"] if isinstance(x["color"], str) else None)
-        return pd.DataFrame([(p["match_id"].iloc[0], *o) for o in out], columns=["match_id", "seq", "reason"])
+            num = {c: None if x[c] is None else int(x[c]) for c in numbers}
+            out += r.offer(x["seq"], x["ts_ms"], {c: num[c] for c in totals}, {c: num[c] for c in counts}, x["color"])
+        return [(key[0], *o) for o in out]
 
-    return per_match(rows.select("match_id", "seq", "ts_ms", "color", *totals, *counts, *(["lost"] if ends else [])), run, "match_id long, seq long, reason string")
+    x = rows.select("match_id", "seq", "ts_ms", "color", *numbers, *(["lost"] if ends else []))
+    return each_group(x, ["match_id"], ["ts_ms", "seq"], run, "match_id long, seq long, reason string")
 
 
 # session ----------------------------------------------------------------------------------------------------------
