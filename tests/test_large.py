@@ -37,3 +37,8 @@ def test_each_group_over_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([x[j] for x in p], pa.int64()) for j in (0, 1)], names=["k", "v"]) for p in parts]
         got = {k: t["v"].to_pylist() for (k,), t in folds.runs(batches, 1)}
         assert got == {k: [v for j, v in rows if j == k] for k, _ in rows}
+
+
+def test_printed_clock_beyond_ninety_nine_minutes(spark):
+    shown = spark.range(1).select(*[text.clock_single(F.lit(x).cast("long")) for x in (0, 61_500, 6_061_500, 99_999_999)]).head()
+    assert tuple(shown) == ("00:00.000", "01:01.500", "101:01.500", "1666:39.999")
