@@ -42,3 +42,15 @@ def test_each_group_over_batches():
 def test_printed_clock_beyond_ninety_nine_minutes(spark):
     shown = spark.range(1).select(*[text.clock_single(F.lit(x).cast("long")) for x in (0, 61_500, 6_061_500, 99_999_999)]).head()
     assert tuple(shown) == ("00:00.000", "01:01.500", "101:01.500", "1666:39.999")
+
+
+def test_findings_of_readings_settle_no_spends(spark):
+    assert "MapInArrow" not in plan(games.sanity_findings(spark, SF)) and "FlatMapGroups" not in plan(games.sanity_findings(spark, SF))
+    x = games.line(spark, SF)
+    every = {tuple(r) for r in analyze.sanity(x)[0].where("section in ('glitch', 'increase', 'invariant')").collect()}
+    assert every and {tuple(r) for r in games.sanity_findings(spark, SF).collect()} == every
+
+
+def test_spends_are_settled_once(spark):
+    for df in (games.spend_findings(spark, SF), games.sanity_spends(spark, SF)):
+        assert "MapInArrow" not in plan(df) and "FlatMapGroups" not in plan(df)

@@ -402,14 +402,16 @@ def sessions(frames: DataFrame) -> DataFrame:
 def take_drops(spends: list[tuple], falls: dict[str, list[list]], before: int = C.BEFORE_MS, after: int = C.AFTER_MS, delay: int = C.DELAY_MS, fraction: float = C.TAKE_FRACTION) -> Iterator[tuple]:
     """For each spend (tag, ts, {resource: need}) in order: (tag, matched, offset, {resource: got}).
 
-    falls: by resource [ts, left], changed in place. Each resource takes from the falls in [ts - before, ts + after],
+    falls: by resource [ts, left] by time, changed in place. Each resource takes from the falls in [ts - before, ts + after],
     nearest to ts + delay first, until it has `fraction` of its need; a spend takes anything only if all of its
     resources get that. The offset is the earliest taken fall's time less the spend's.
     """
+    times = {name: [d[0] for d in ds] for name, ds in falls.items()}
     for tag, ts, needs in spends:
         plan, got = [], {}
         for name, need in needs.items():
-            window = [d for d in falls.get(name, ()) if d[1] > 0 and ts - before <= d[0] <= ts + after]
+            a, b = bisect_left(times.get(name, ()), ts - before), bisect_right(times.get(name, ()), ts + after)
+            window = [d for d in falls.get(name, ())[a:b] if d[1] > 0]
             window.sort(key=lambda d: abs(d[0] - ts - delay))
             have = 0
             for d in window:
@@ -444,13 +446,8 @@ def match_quality(found: DataFrame, least: int = C.MIN_MATCHED, share: float = C
 PIECE_ROWS = 2000
 
 
-def by_piece(spends: DataFrame, falls: DataFrame, run, schema: str, before: int = C.BEFORE_MS, after: int = C.AFTER_MS, size: int = PIECE_ROWS) -> DataFrame:
-    """run(key, spends, falls) on pieces of matches, key (match_id, piece): rows of both are sorted by ts_ms and seq.
-
-    Spends that see a common fall, directly or over others, stay together: a piece begins where no window of an earlier
-    spend reaches, and has `size` rows or so if the match has such places. Spends without falls and falls without spends
-    come, too. match_id, seq and ts_ms are columns of both.
-    """
+def _pieces(spends: DataFrame, falls: DataFrame, before: int, after: int, size: int) -> DataFrame:
+    """Rows of both with side_ (0 and 1) and piece_ (see by_piece)."""
     s = spends.withColumn("side_", F.lit(0)).withColumn("from_", F.col("ts_ms") - before).withColumn("to_", F.col("ts_ms") + after)
     f = falls.withColumn("side_", F.lit(1)).withColumn("from_", F.col("ts_ms")).withColumn("to_", F.col("ts_ms"))
     w = Window.partitionBy("match_id").orderBy("from_", "side_", "seq")
@@ -458,25 +455,44 @@ def by_piece(spends: DataFrame, falls: DataFrame, run, schema: str, before: int
     both = s.unionByName(f, allowMissingColumns=True).withColumn("fresh_", F.coalesce(F.col("from_") > reach, F.lit(True))).withColumn("n_", F.row_number().over(w))
     piece = F.expr(f"cast(start_ div {size} as int)")
     both = both.withColumn("start_", F.max(F.when(F.col("fresh_"), F.col("n_"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("piece_", piece)
+    return both.select(*dict.fromkeys([*spends.columns, *falls.columns, "side_", "piece_"]))
+
+
+def by_piece(spends: DataFrame, falls: DataFrame, run, schema: str, before: int = C.BEFORE_MS, after: int = C.AFTER_MS, size: int = PIECE_ROWS) -> DataFrame:
+    """run(key, spends, falls) on pieces of matches, key (match_id, piece): rows of both are sorted by ts_ms and seq.
+
+    Spends that see a common fall, directly or over others, stay together: a piece begins where no window of an earlier
+    spend reaches, and has `size` rows or so if the match has such places. Spends without falls and falls without spends
+    come, too. match_id, seq and ts_ms are columns of both.
+    """
     own, theirs = spends.columns, falls.columns
 
     def both_sides(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["ts_ms", "seq"], kind="stable")
         return run(key, p[p["side_"] == 0][own], p[p["side_"] == 1][theirs])
 
-    kept = both.select(*dict.fromkeys([*own, *theirs, "side_", "piece_"]))
+    kept = _pieces(spends, falls, before, after, size)
     return spread(kept, "match_id", "piece_").groupBy("match_id", "piece_").applyInPandas(both_sides, schema)
 
 
+def settled_pieces(spends: DataFrame, falls: DataFrame, run, schema: str, before: int = C.BEFORE_MS, after: int = C.AFTER_MS, size: int = PIECE_ROWS) -> DataFrame:
+    """As by_piece, for very many small pieces: run(key, spends, falls) takes lists of dicts and gives a list of tuples."""
+
+    def both_sides(key: tuple, p: pa.Table) -> list[tuple]:
+        rows = p.to_pylist()
+        return run(key, [x for x in rows if x["side_"] == 0], [x for x in rows if x["side_"] == 1])
+
+    return each_group(_pieces(spends, falls, before, after, size), ["match_id", "piece_"], ["ts_ms", "seq"], both_sides, schema)
+
+
 def greedy_match(spends: DataFrame, falls: DataFrame, **options: float) -> DataFrame:
     """(match_id, seq, matched, offset_ms, got) for spends (match_id, seq, ts_ms, cost) and falls (match_id, seq, ts_ms, delta)."""
 
-    def run(key: tuple, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        pool = {"v": [[int(t), int(x)] for t, x in zip(f["ts_ms"], f["delta"], strict=True)]}
-        rows = [(key[0], int(q), int(t), int(c)) for q, t, c in zip(s["seq"], s["ts_ms"], s["cost"], strict=True) if c > 0]
-        found = take_drops([(q, t, {"v": c}) for _, q, t, c in rows], pool, **options)
-        return pd.DataFrame([(key[0], tag, ok, off, got["v"]) for tag, ok, off, got in found], columns=["match_id", "seq", "matched", "offset_ms", "got"]).astype({"offset_ms": "Int64"})
+    def run(key: tuple, s: list[dict], f: list[dict]) -> list[tuple]:
+        pool = {"v": [[x["ts_ms"], int(x["delta"])] for x in f]}
+        found = take_drops([(x["seq"], x["ts_ms"], {"v": int(x["cost"])}) for x in s if (x["cost"] or 0) > 0], pool, **options)
+        return [(key[0], tag, ok, off, got["v"]) for tag, ok, off, got in found]
 
     window = {k: int(options[k]) for k in ("before", "after") if k in options}
     falls = falls.select("match_id", "seq", "ts_ms", "delta")
-    return by_piece(spends.select("match_id", "seq", "ts_ms", "cost"), falls, run, "match_id long, seq long, matched boolean, offset_ms long, got long", **window)
+    return settled_pieces(spends.select("match_id", "seq", "ts_ms", "cost"), falls, run, "match_id long, seq long, matched boolean, offset_ms long, got long", **window)

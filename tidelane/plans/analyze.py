@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +13,7 @@ from tidelane.functions.text import clock, overall_tier, percent_tier, stem
 from tidelane.operators import anomalies, asof, folds, intervals, phases
 from tidelane.operators import stats as stats_
 from tidelane.operators.decode import is_refund
+from tidelane.sources.telemetry import kept
 from tidelane.sync.calibrate import PANEL, calibrate_matches
 
 #: Events: match_id, seq, ts_ms (in game), kind, type_id, description, four costs, building_ids, building_types, gives_resources.
@@ -227,11 +227,16 @@ WATCHED = (*C.RESOURCES, "pop_curr", "pop_max", "pop_vils")
 ORDERED = (("pop_vils", "pop_curr"), ("idle_vils", "pop_vils"))
 
 
-def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings (match_id, section, in_game_ms, field, detail), spends (match_id, matched, total, reseeds)) of timelines."""
+def _watched(line: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The readings of a timeline with s_, their number, and the watched numbers as series."""
     shots = line.where("src = 'screen'").withColumn("s_", F.col("seq.seq"))
     rows = shots.select("match_id", F.col("s_").alias("seq"), F.col("in_game_ms").alias("ts_ms"), F.array(*[F.col(c).cast("long") for c in WATCHED]).alias("value"))
-    series = keyed(rows, WATCHED)
+    return shots, keyed(rows, WATCHED)
+
+
+def misreads(line: DataFrame) -> DataFrame:
+    """Findings (match_id, section, in_game_ms, field, detail) of the readings alone: glitch, increase and invariant."""
+    shots, series = _watched(line)
     refunds = line.where(F.coalesce(is_refund(), F.lit(False)) & (F.col("src") == "event")).select("match_id", F.col("in_game_ms").alias("ts_ms"), F.explode(F.array(*[F.lit(r) for r in C.RESOURCES])).alias("name"))
     resource = F.col("match_id.name").isin(*C.RESOURCES)
     near = anomalies.neighbours(series)
@@ -248,9 +253,15 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.concat_ws(" > ", "x.big", "x.small")
     runs = anomalies.invariant_runs(pairs.select(_of("match_id", F.struct("x.big", text.alias("text"))), "seq", "ts_ms", "x.bad"), F.col("bad"))
     frames = F.concat(F.col("match_id.name.text"), F.lit(" in "), F.col("frames").cast("string"), F.lit(" frames"))
-    found = found.unionByName(
+    return found.unionByName(
         runs.select(F.col("match_id.match").alias("match_id"), F.lit("invariant").alias("section"), F.col("first_ms").alias("in_game_ms"), F.col("match_id.name.big").alias("field"), frames.alias("detail"))
     )
+
+
+def settled_spends(line: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(settled, shots, stats): every spend by the ledger and the drops that it leaves, written once; the readings; and spends (match_id, matched, total, reseeds, median_ms)."""
+    shots, series = _watched(line)
+    near = anomalies.neighbours(series.where(F.col("match_id.name").isin(*C.RESOURCES)))
     needs = line.where("src = 'event'").where(" or ".join(f"cost_{r} > 0" for r in C.RESOURCES))
     first = shots.groupBy("match_id").agg(F.min("in_game_ms").alias("t0"))
     spends = needs.join(first, "match_id").where("in_game_ms >= t0").select(
@@ -263,48 +274,46 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[F.col(f"cost_{r}").alias(r) for r in C.RESOURCES],
     )
 
-    def settle(key: tuple, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        s, first = s.sort_values(["ts_ms", "seq", "unit"]), int(key[1]) << 32
-        pool = {r: [[int(t), int(d)] for t, d in zip(p["ts_ms"], p["delta"], strict=True)] for r, p in f.groupby("resource")}
-        want = [(i, int(x["ts_ms"]), {r: int(x[r]) for r in C.RESOURCES if x[r] > 0}) for i, x in enumerate(s.to_dict("records"))]
-        rows, info = [], s.to_dict("records")
+    def settle(key: tuple, s: list[dict], f: list[dict]) -> list[tuple]:
+        s, first = sorted(s, key=lambda x: (x["ts_ms"], x["seq"], x["unit"])), int(key[1]) << 32
+        pool: dict[str, list] = {}
+        for x in f:
+            pool.setdefault(x["resource"], []).append([x["ts_ms"], int(x["delta"])])
+        want = [(i, x["ts_ms"], {r: int(x[r]) for r in C.RESOURCES if (x[r] or 0) > 0}) for i, x in enumerate(s)]
+        rows = []
         for i, ok, off, got in folds.take_drops(want, pool):
-            x, need = info[i], want[i][2]
+            x, need = s[i], want[i][2]
             over = ok and x["buildings"] > 1 and all(got[r] < C.OVERCLAIM * n for r, n in need.items())
             short = {r: n for r, n in need.items() if got[r] < C.TAKE_FRACTION * n}
             shown = ", ".join(f"{r} {n} charged, ~{got[r]} on screen" for r, n in need.items())
             text = f"{x['description']} with {x['buildings']} buildings: {shown}" if over else x["description"]
-            rows.append(
-                (
-                    key[0],
-                    first + i,
-                    "overclaimed" if over else "matched" if ok else "unmatched",
-                    int(x["ts_ms"]),
-                    next(iter(short or need)),
-                    text,
-                    off,
-                    [{"resource": r, "need": n} for r, n in short.items()],
-                )
-            )
+            section = "overclaimed" if over else "matched" if ok else "unmatched"
+            rows.append((key[0], first + i, section, x["ts_ms"], next(iter(short or need)), text, off, [{"resource": r, "need": n} for r, n in short.items()]))
         seeds, rest = folds.left_over(pool)
-        rows += [(key[0], -1, "reseed", 0, "wood", "", None, [])] * seeds + [(key[0], -1, "unexplained", ts, r, f"-{left}", None, []) for r, ts, left in rest]
-        return pd.DataFrame(rows, columns=["match_id", "n", "section", "in_game_ms", "field", "detail", "offset_ms", "short"]).astype({"offset_ms": "Int64"})
+        return rows + [(key[0], -1, "reseed", 0, "wood", "", None, [])] * seeds + [(key[0], -1, "unexplained", ts, r, f"-{left}", None, []) for r, ts, left in rest]
 
     w = Window.partitionBy("match_id").orderBy("ts_ms", "seq")
-    falls = near.where(resource).withColumn("was", F.coalesce(F.lag("glitch").over(w), F.lit(False))).where("value < prev and not glitch and not was")
+    falls = near.withColumn("was", F.coalesce(F.lag("glitch").over(w), F.lit(False))).where("value < prev and not glitch and not was")
     falls = _unkeyed(falls.select("match_id", "seq", "ts_ms", (F.col("prev") - F.col("value")).alias("delta")), "resource")
-    settled = folds.by_piece(
+    settled = folds.settled_pieces(
         spends,
         falls,
         settle,
         f"match_id {dict(line.dtypes)['match_id']}, n long, section string, in_game_ms long, field string, detail string, offset_ms long, short array<struct<resource:string,need:long>>",
     )
+    settled = kept(settled, "settled")
     is_ = lambda *k: F.sum(F.col("section").isin(*k).cast("long"))
     stats = settled.groupBy("match_id").agg(
         is_("matched", "overclaimed").alias("matched"),
         is_("matched", "overclaimed", "unmatched").alias("total"),
         is_("reseed").alias("reseeds"),
     ).join(stats_.lower_percentiles(settled, ["match_id"], "offset_ms", {"median_ms": 50}), "match_id")
+    return settled, shots, stats
+
+
+def spend_checks(line: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings unmatched, overclaimed and unexplained, spends) of timelines (see sanity)."""
+    settled, shots, stats = settled_spends(line)
     # why a spend found no drop: the last reading before it could not pay, or none was seen
     short = settled.where("section = 'unmatched'").select(
         "match_id",
@@ -332,10 +341,17 @@ def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
     why = had.withColumn("why", F.when(F.col("had") < F.col("need"), poor).otherwise(none)).groupBy("match_id", "n").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "why"))), lambda x: x["why"]), "; ").alias("why")
     )
-    told = settled.where(
+    found = settled.where(
         "section in ('unmatched', 'overclaimed', 'unexplained')"
     ).join(why, ["match_id", "n"], "left").withColumn("detail", F.concat_ws(": ", "detail", "why")).select("match_id", "section", "in_game_ms", "field", "detail")
-    return found.unionByName(told), stats
+    return found, stats
+
+
+def sanity(line: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings (match_id, section, in_game_ms, field, detail), spends (match_id, matched, total, reseeds)) of timelines."""
+    line = kept(line, "timeline")
+    found, stats = spend_checks(line)
+    return misreads(line).unionByName(found), stats
 
 
 @dataclass

@@ -9,6 +9,7 @@ from tidelane import constants as C
 from tidelane.plans import analyze as A
 from tidelane.plans import report
 from tidelane.plans import tables
+from tidelane.sources.telemetry import kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -84,6 +85,11 @@ def line(spark, d) -> DataFrame:
     return A.timeline(readings(spark, d), replay(spark, d), maps(spark, d))
 
 
+def _kept_line(spark, d) -> DataFrame:
+    """The timeline, written once: findings read it several times."""
+    return kept(line(spark, d), "timeline")
+
+
 _GAMES = f"""WITH e AS (SELECT user_id AS match_id, event_id AS seq, (epoch_us(ts) // 1000) // {HOUR_MS} AS ts, event_type AS kind, value AS amount FROM events),
 v AS (SELECT match_id, seq, ts, CASE WHEN kind <> 'error' THEN CAST(floor(amount) AS BIGINT) END AS v FROM e WHERE kind IN ('view', 'click', 'error')),
 t AS (SELECT match_id, min(ts) + {LATE} AS t0 FROM v GROUP BY match_id),
@@ -257,7 +263,7 @@ def _findings() -> str:
 @query(_GAMES + _findings())
 def sanity_findings(spark, d):
     """Glitches, spikes, increases without a refund and broken invariants of every match."""
-    return A.sanity(line(spark, d))[0].where("section in ('glitch', 'increase', 'invariant')")
+    return A.misreads(_kept_line(spark, d))
 
 
 @query(
@@ -352,7 +358,7 @@ LEFT JOIN (SELECT match_id, CAST(sum(CASE WHEN {_RESEED} THEN 1 ELSE 0 END) AS B
 )
 def sanity_spends(spark, d):
     """Matched and all spends of every match by the ledger of the four resources, reseeds, and the median offset."""
-    return A.sanity(line(spark, d))[1]
+    return A.settled_spends(_kept_line(spark, d))[2]
 
 
 def _why() -> str:
@@ -372,4 +378,4 @@ UNION ALL SELECT match_id, 'unexplained', ig, resource, '-' || remain FROM rest
 )
 def spend_findings(spark, d):
     """Spends that no drop explains, with the reason of each resource that falls short, and drops that no spend explains."""
-    return A.sanity(line(spark, d))[0].where("section in ('unmatched', 'overclaimed', 'unexplained')")
+    return A.spend_checks(_kept_line(spark, d))[0]
