@@ -54,3 +54,28 @@ def test_findings_of_readings_settle_no_spends(spark):
 def test_spends_are_settled_once(spark):
     for df in (games.spend_findings(spark, SF), games.sanity_spends(spark, SF)):
         assert "MapInArrow" not in plan(df) and "FlatMapGroups" not in plan(df)
+
+
+def test_operations_find_names_without_a_broadcast(spark):
+    ops, data, objects = engine.operations(spark, SF), engine.game_data(spark, SF), engine.objects(spark, SF)
+    near, far = (decode.named_ops(ops, data, x) for x in (True, False))
+    assert {str(r) for r in near.collect()} == {str(r) for r in far.select(*near.columns).collect()}
+    x = decode.named_ops(ops, data, True)
+    first = decode.interactions(x)
+    assert first.count() == first.select("match_id", "object_id").distinct().count() > 0
+    assert {r.match_id for r in objects.collect()} == {r.match_id for r in ops.select("match_id").distinct().collect()}
+
+
+def test_operations_of_a_null_match_are_events(spark):
+    rows = [(m, i, "build", 5, 1, 1, None, None, 0.5, 0.5, 0.0, 0.0, None, None) for m in (None, 1) for i in (1, 2)] + [(1, 3, "sync", 7, 1, 1, None, None, 0.5, 0.5, 0.0, 0.0, None, None)]
+    ops = spark.createDataFrame(rows, decode.OPS)
+    found, _ = decode.decode(ops, engine.game_data(spark, SF), spark.createDataFrame([], "match_id long, object_id long, type_id long"))
+    assert sorted((r.match_id or 0, r.seq.op_seq, r.ts_ms) for r in found.collect()) == [(0, 1, 5), (0, 2, 10), (1, 1, 5), (1, 2, 10)]
+
+
+def test_refunds_need_no_names_of_objects(spark):
+    df = engine.refunds_and_spends(spark, SF)
+    assert "Window" not in plan(df)
+    events = engine._events(spark, SF)[0]
+    want = events.groupBy("match_id", "kind").agg(F.count("*"), F.sum(decode.is_refund().cast("long")), F.sum(decode.is_spend().cast("long")))
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in want.collect()}
