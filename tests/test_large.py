@@ -88,3 +88,18 @@ def test_calibration_of_many_matches_in_one_task(spark):
     got = {x.match_id: x.status for x in df.collect()}
     assert got[1] == got[None] == "no spends" and got[3] == "no drops" and len(got) == 4
     assert "MapInArrow" in plan(df)
+
+
+def test_blocks_of_long_files_go_on_over_parts(spark, tmp_path):
+    rng, want = random.Random(3), []
+    for name in "ab":
+        lines, file = ["lost: 1"], None
+        for i in range(60):
+            if rng.random() < 0.2:
+                file = f"{name}{i}.png"
+                lines.append(f"File: {file}")
+            lines.append(f"k{i}: {i}")
+            want += [(file, f"k{i}", str(i))] if file else []
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines))
+    for size in (1, 5, 1000):
+        assert sorted(map(tuple, S.read_blocks(spark, str(tmp_path), size).collect())) == sorted(want)
