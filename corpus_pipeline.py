@@ -44,10 +44,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     their own, held against all others and each other by their text. Rows without doc_id are not held against others
     and stay.
     """
-    rows = own_ids(docs)
+    again = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = own_ids(docs) if again else docs.withColumn("node_", F.col("doc_id"))
     groups = near_duplicates(rows.select(F.col("node_").alias("doc_id"), "text"), k=5, percent=80)
     gone = groups.where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
     out = rows.join(gone, F.col("node_") == F.col("gone_"), "left_anti").select(*docs.columns)
+    if not again:
+        return out
     twice = out.groupBy("doc_id", F.xxhash64("text").alias("text_key")).count().where("count > 1 and doc_id is not null")
     if twice.isEmpty():
         return out

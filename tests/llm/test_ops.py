@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelane.llm import queries
-from tidelane.llm.common import labelled_sample
+from tidelane.llm.common import join_frequent, labelled_sample
 from tidelane.llm.components import components
 from tidelane.llm.decontaminate import leaks
 from tidelane.llm.html import extract, main_text
@@ -677,6 +677,38 @@ def test_components_of_a_chain(spark):
     assert components(e.where("false")).count() == 0
 
 
+def test_components_write_little(spark, monkeypatch):
+    """Stars are written once and gone through no round; a round without hot nodes is written once. Hot or not, components are the same."""
+    from tidelane.llm import components as C
+
+    writes = []
+    monkeypatch.setattr(C, "cut", lambda df, cut=C.cut: writes.append(1) or cut(df))
+    stars = spark.createDataFrame([(9, 1), (1, 5), (8, 2), (9, 1), (2, 2)], "u long, v long")
+    assert {r.node: r.component for r in components(stars).collect()} == {1: 1, 5: 1, 9: 1, 2: 2, 8: 2}
+    assert len(writes) == 1
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400, i) for i in range(401, 430)]
+    want = {i: i for e in pairs for i in e}
+    for u, v in pairs * len(want):
+        want[u] = want[v] = min(want[u], want[v])
+    want = {i: c for i, c in want.items() if any(i in e and e[0] != e[1] for e in pairs)}
+    e = spark.createDataFrame(pairs, "u long, v long")
+    for hot, most in ((1000, 6), (3, 11)):
+        writes.clear()
+        got = components(e, hot).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)
+        assert len(writes) <= most, hot
+
+
+def test_frequent_keys_are_joined_alike(spark):
+    left = spark.createDataFrame([(i % 7, i) for i in range(50)] + [(None, 50), (99, 51)], "k long, i long")
+    right = spark.createDataFrame([(k, 100 + k, 8) for k in range(5)], "k long, x long, n long")
+    want = sorted((i, None if k is None or k > 4 else 100 + k) for k, i in left.collect())
+    for most in (None, 8, 5000):
+        out = join_frequent(left, right, ["k"], "n", 52, most)
+        assert out.columns == ["k", "i", "x"] and sorted((r.i, r.x) for r in out.collect()) == want
+
+
 # 9, 10 -----------------------------------------------------------------------------------------------------------
 
 
@@ -862,6 +894,19 @@ def test_pipeline_keeps_every_text_of_an_id(spark):
     assert got[1] == (6, b + " x") and got[2] in ((7, c), (7, c + " y"))
 
 
+def test_near_duplicate_stage_runs_few_jobs(spark):
+    """The driver keeps memory for every job and exchange."""
+    import corpus_pipeline as P
+
+    ds = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.sparkContext.setJobGroup("near-duplicate stage", "")
+    try:
+        assert P.drop_near_duplicates(spark, ds, SF).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-duplicate stage")) <= 140
+
+
 def test_labelled_sample_is_bounded(spark):
     # many rows of few ids: one row an id, and no more than the bound
     ds = spark.createDataFrame([(i % 2 + 1, f"text {i}") for i in range(5000)] + [(3, None)], "doc_id long, text string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelane.llm.common import BROADCAST_ROWS, cut
 
@@ -31,24 +32,35 @@ def _star(edges: DataFrame, large: bool, hot_from: int) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step where no node is hot: nodes' neighbours meet in windows, one shuffle a step, and nothing is written."""
+    low = F.least("n", F.min("m").over(Window.partitionBy("n"))).alias("low")
+    both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m")))).alias("e")).select("e.n", "e.m")
+    once = both.select("n", "m", low).where("m > n").select(F.col("m").alias("n"), F.col("low").alias("m"))
+    seen = once.where("n > m").select("n", "m", low)
+    return seen.select(F.explode(F.array("n", "m")).alias("u"), F.col("low").alias("v")).where("u > v").distinct()
+
+
 def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, component): for each node of an edge (u, v), the least node that it reaches.
 
-    Null ends and loops are dropped; no edges give no rows. Rounds, each written to the shared folder, go on until one
-    changes nothing; every round lowers some node's neighbour, and as many as the logarithm of the longest chain are
-    usual. A node is hot from `hot` neighbours on, and from so many that no more than BROADCAST_ROWS nodes are.
+    Null ends and loops are dropped; no edges give no rows. Rounds, each written to the shared folder, go on until all
+    edges are stars around least nodes; every round lowers some node's neighbour, and as many as the logarithm of the
+    longest chain are usual. A node is hot from `hot` neighbours on, and from so many that no more than BROADCAST_ROWS
+    nodes are; without a hot node a round is one plan of three shuffles, as each costs the driver memory.
     """
     kind = edges.schema["u"].dataType
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    before = None
     while True:
-        tally = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).head()
-        if not tally[0] or tuple(tally) == before:
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
+        nodes = ends.groupBy("e.n").agg(F.count("*").alias("degree"), F.sum("e.up").alias("up"))
+        # a star's outer node has one edge, up to a centre, which has none up
+        count, most, chained = nodes.agg(F.sum("up"), F.max("degree"), F.bool_or((F.col("up") > 0) & (F.col("degree") > 1))).head()
+        if not chained:
             break
-        before = tuple(tally)
-        hot_from = max(hot, 1 + 2 * tally[0] // BROADCAST_ROWS)
-        once = _star(now, True, hot_from)
-        now = cut(_star(cut(once), False, hot_from))
+        hot_from = max(hot, 1 + 2 * count // BROADCAST_ROWS)
+        # a node has no more smaller neighbours after a large-star step than it had before
+        now = cut(_round(now) if most < hot_from else _star(cut(_star(now, True, hot_from)), False, hot_from))
     tops = now.select(F.col("v").alias("node")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))

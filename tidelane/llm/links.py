@@ -40,8 +40,8 @@ def _met(rows: DataFrame) -> DataFrame:
     """
     low = rows.groupBy("key").agg(F.min("doc_id").alias("v"), F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
     low = cut(low.where("a < b").select("key", "v", "n"))
-    total = low.agg(F.sum("n")).head()[0] or 0
-    return join_frequent(rows.select("key", F.col("doc_id").alias("u")), low, ["key"], "n", total).where("v < u").select("u", "v")
+    total, most = low.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
+    return join_frequent(rows.select("key", F.col("doc_id").alias("u")), low, ["key"], "n", total, most).where("v < u").select("u", "v")
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -221,7 +221,8 @@ def expanded(known: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
     """
     shared = reps.where("last > doc_id").select("set_key", F.col("doc_id").alias("rep"), "copies")
     rows = known.select("doc_id", "n_shingles", "set_key")
-    copies = join_frequent(rows, shared, ["set_key"], "copies", known.count()).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    total, most = reps.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).head()
+    copies = join_frequent(rows, shared, ["set_key"], "copies", total, most).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = copies.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 

@@ -83,7 +83,8 @@ def bucket_rows(lead: DataFrame) -> DataFrame:
     firsts = lead.select("doc_id", F.posexplode("left").alias("i", "a")).select("doc_id", "i", F.xxhash64("i", "a").alias("key"))
     often = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("met", F.lit(True))
     often = cut(often)
-    met = join_frequent(firsts, often, ["key"], "n", often.agg(F.sum("n")).head()[0] or 0).where("met")
+    total, most = often.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
+    met = join_frequent(firsts, often, ["key"], "n", total, most).where("met")
     shared = met.groupBy("doc_id").agg(F.collect_set("i").alias("shared"))
     pairs = lead.join(shared, "doc_id").select("doc_id", "label", "n_shingles", "right", "left", F.explode("shared").alias("i"))
     pairs = pairs.select("doc_id", "label", "n_shingles", "i", F.get("left", F.col("i")).alias("a"), F.posexplode("right").alias("j", "b"))
