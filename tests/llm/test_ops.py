@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidelane.llm import queries
 from tidelane.llm.common import join_frequent, labelled_sample
-from tidelane.llm.components import components
+from tidelane.llm.components import _forests, components, forest
 from tidelane.llm.decontaminate import leaks
 from tidelane.llm.html import extract, main_text
 from tidelane.llm.interleave import interleaved, shard_digest
@@ -700,6 +700,42 @@ def test_components_write_little(spark, monkeypatch):
         assert len(writes) <= most, hot
 
 
+def test_components_of_small_pieces_run_few_jobs(spark):
+    """A few edges, dealt over many files and with hot nodes, take no rounds; rounds, where a piece has fewer edges, find the same."""
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(2000, 2000 + i) for i in range(1, 40)]
+    rng.shuffle(pairs)
+    e = spark.createDataFrame(pairs, "u long, v long").repartition(40)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        got = components(e, 10).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 6
+    want = {i: i for p in pairs for i in p if p[0] != p[1]}
+    edges = [p for p in pairs if p[0] != p[1]]
+    while any(want[u] != want[v] for u, v in edges):
+        for u, v in edges:
+            want[u] = want[v] = min(want[u], want[v])
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    for hot in (10, 1000):
+        rounds = components(e, hot, piece=5).collect()
+        assert {r.node: r.component for r in rounds} == want and len(rounds) == len(want)
+
+
+def test_forests_of_a_task_in_parts():
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(0, 500, 400), rng.integers(0, 500, 400)
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[a : a + 7]), pa.array(v[a : a + 7])], names=["u", "v"]) for a in range(0, 400, 7)]
+    node, low = forest(u, v)
+    want = dict(zip(node.tolist(), low.tolist(), strict=True))
+    assert all(want[a] == want[b] <= min(a, b) for a, b in zip(u.tolist(), v.tolist(), strict=True))
+    for held in (1, 50, 10_000):
+        out = [np.array([b.column(i).to_numpy() for i in (0, 1)]) for b in _forests(False, held)(iter(batches))]
+        node, low = forest(*np.concatenate(out, axis=1))
+        assert (node > low).sum() == len({k for k, c in want.items() if k != c}) and all(want[k] == c for k, c in zip(node.tolist(), low.tolist(), strict=True))
+
+
 def test_frequent_keys_are_joined_alike(spark):
     left = spark.createDataFrame([(i % 7, i) for i in range(50)] + [(None, 50), (99, 51)], "k long, i long")
     right = spark.createDataFrame([(k, 100 + k, 8) for k in range(5)], "k long, x long, n long")

@@ -1,7 +1,11 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: forests of pieces, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +14,51 @@ from tidelane.llm.common import BROADCAST_ROWS, cut
 
 #: Neighbours from which on a node is hot at least.
 HOT = 1000
+#: Edges of one piece; a table of no more is one task's work and takes no rounds.
+PIECE_EDGES = 1 << 15
+#: Edges that a task holds at once.
+HELD_EDGES = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it reaches) for each end of the edges (u, v), in order of node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    top = np.arange(len(nodes))
+    while True:
+        x, y = top[a], top[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[top]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top[top] != top).any():
+            top = top[top]
+
+
+def _forests(tops: bool, held: int = HELD_EDGES):
+    """Rows (u, v) to those of the forest of each task, all nodes at their least one; tops: with a row for that one, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(node: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+            some = slice(None) if tops else node != low
+            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(low[some])], names=["u", "v"])
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(x) for x, _ in parts) >= held:
+                parts = [forest(*map(np.concatenate, zip(*parts, strict=True)))]
+                if len(parts[0][0]) > held // 2:
+                    yield rows(*parts.pop())
+        if parts:
+            yield rows(*forest(*map(np.concatenate, zip(*parts, strict=True))))
+
+    return run
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    return edges.mapInArrow(_forests(False), "u long, v long")
 
 
 def _star(edges: DataFrame, large: bool, hot_from: int) -> DataFrame:
@@ -41,17 +90,22 @@ def _round(edges: DataFrame) -> DataFrame:
     return seen.select(F.explode(F.array("n", "m")).alias("u"), F.col("low").alias("v")).where("u > v").distinct()
 
 
-def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT, piece: int = PIECE_EDGES) -> DataFrame:
     """(node, component): for each node of an edge (u, v), the least node that it reaches.
 
-    Null ends and loops are dropped; no edges give no rows. Rounds, each written to the shared folder, go on until all
+    Null ends and loops are dropped; no edges give no rows. Each task makes a forest of its edges, and a table of no more
+    than `piece` edges is one task's. Of larger ones rounds, each written to the shared folder, go on until all
     edges are stars around least nodes; every round lowers some node's neighbour, and as many as the logarithm of the
     longest chain are usual. A node is hot from `hot` neighbours on, and from so many that no more than BROADCAST_ROWS
     nodes are; without a hot node a round is one plan of three shuffles, as each costs the driver memory.
     """
     kind = edges.schema["u"].dataType
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    ends = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u > v")
+    now = cut(_contracted(ends))
     while True:
+        if now.count() <= piece:
+            out = now.coalesce(1).mapInArrow(_forests(True, max(HELD_EDGES, 4 * piece)), "u long, v long")
+            return out.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("component"))
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
         nodes = ends.groupBy("e.n").agg(F.count("*").alias("degree"), F.sum("e.up").alias("up"))
         # a star's outer node has one edge, up to a centre, which has none up
@@ -60,7 +114,7 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
             break
         hot_from = max(hot, 1 + 2 * count // BROADCAST_ROWS)
         # a node has no more smaller neighbours after a large-star step than it had before
-        now = cut(_round(now) if most < hot_from else _star(cut(_star(now, True, hot_from)), False, hot_from))
+        now = cut(_contracted(_round(now) if most < hot_from else _star(cut(_star(now, True, hot_from)), False, hot_from)))
     tops = now.select(F.col("v").alias("node")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))
