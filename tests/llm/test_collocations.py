@@ -87,6 +87,21 @@ def test_shards_cut_long_texts_between_pieces():
     assert all(x[-1] in ".," for x in got[0].split("|")[:-2]) and got[0].count("|") > 5 and got[4].count("|") == 2
 
 
+def test_counts_of_shards_are_shuffled_without_a_table_of_sums(spark, monkeypatch):
+    """A task that makes counts holds no sums; those that sum are more than a shuffle's partitions."""
+    from tidelane.llm import collocations as C
+
+    plans = []
+    monkeypatch.setattr(C, "cut", lambda df, cut=C.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    monkeypatch.setattr(C, "_sieve", lambda hashes, sieve=C._sieve: plans.append(hashes._jdf.queryExecution().executedPlan().toString()) or sieve(hashes))
+    docs = spark.createDataFrame([(i, "a b c. a b, d e", "en", "s", 1) for i in range(20)], DOCS)
+    assert sorted((r.size, r.phrase, r.f) for r in C.phrase_counts(docs).collect() if r.size > 1) == [(2, "a b", 40), (2, "b c", 20), (2, "d e", 20), (3, "a b c", 20)]
+    assert len(plans) == 2
+    for plan in plans:
+        above, below = plan.split("Exchange hashpartitioning")
+        assert "Aggregate" in above and "MapInArrow" in below and "Aggregate" not in below
+
+
 def test_collocations_sql_equals_plain_counts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     db = duckdb.connect()

@@ -25,6 +25,8 @@ SHARD_BYTES = 2 << 20
 SIEVE_BITS = 1 << 26
 #: Parts in which a language's phrases are ranked before the best of each meet.
 RANK_PARTS = 32
+#: Tasks that sum counts, for each partition of a shuffle.
+SUM_TASKS = 3
 
 #: What parts pieces, and what parts the words of a piece (fixed values).
 BREAK = np.zeros(256, bool)
@@ -191,6 +193,16 @@ def _sieve(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(table)
 
 
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """f, the sum of n, by keys.
+
+    Rows are shuffled as shards make them: shards have few phrases in common, so that a table of a task's sums would be
+    nearly as long and be held beside what is shuffled.
+    """
+    tasks = SUM_TASKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("n").alias("f"))
+
+
 def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3) -> DataFrame:
     """(lang, size, phrase, f): how often each phrase of 1 to most_words words occurs, if `least` times or more.
 
@@ -201,10 +213,10 @@ def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3) -> Data
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
     def counted(sizes: list[int], sieve, width: int) -> DataFrame:
-        grams = rows.mapInArrow(_counter(sizes, sieve, width), _GRAMS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
+        grams = _summed(rows.mapInArrow(_counter(sizes, sieve, width), _GRAMS), ["lang", "size", "phrase"])
         return cut(grams.where(F.col("f") >= F.when(F.col("size") == 0, 0).otherwise(least)))
 
-    pairs = rows.mapInArrow(_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    pairs = _summed(rows.mapInArrow(_pairs, "h long, n long"), ["h"]).where(F.col("f") >= least)
     out = now = counted([1, 2, 3][:most_words], _sieve(pairs), 2)
     for size in range(4, most_words + 1):
         now = counted([size], _sieve(now.where(F.col("size") == size - 1).select("phrase").mapInArrow(_phrase_hashes(size - 1), "h long")), size - 1)
