@@ -142,3 +142,70 @@ def test_few_counts_prefix_places():
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(102))])], names=["doc_id", "text"])
     out = next(_sketcher(3, 90, Held(classes))(iter([batch]))).to_pylist()[0]
     assert (out["few"], len(out["prefix"]), out["n_shingles"]) == (3, 11, 100)
+
+
+def test_counting_task_holds_little_memory():
+    """A task's arrays beside its table do not follow the number of shingles, and partial sums are handed on in parts."""
+    import tracemalloc
+    from unittest.mock import patch
+
+    import pyarrow as pa
+
+    from tidelane.llm import ngramjoin
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    texts = pa.array([" ".join(rng.integers(0, 10**6, 50_000).astype(str)) for _ in range(70)])
+    batches = [pa.RecordBatch.from_arrays([texts.slice(i, 1)], names=["text"]) for i in range(len(texts))]
+    tracemalloc.start()
+    total, most = 0, 0
+    with patch.object(ngramjoin.TaskContext, "get") as task:
+        task.return_value.partitionId.return_value = 0
+        for out in ngramjoin._counting(3)(iter(batches)):
+            most = max(most, out.num_rows)
+            for x in out["counts"]:
+                counts = np.zeros(ngramjoin.ROW_PLACES, np.int64)
+                ngramjoin._add(counts, x.as_py())
+                total += counts.sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 70 * 49_998
+    assert most <= 256
+    assert peak < 80e6
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tidelane.llm import minhash, ngramjoin
+    from tidelane.llm.common import BATCH_BYTES, BATCH_SETTING, small_batches
+
+    df = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 600)).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    with small_batches(spark):
+        got = [r.n for r in df.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 1 and max(got) < 1.2 * BATCH_BYTES
+    assert spark.conf.get(BATCH_SETTING, None) is None
+
+    class Seen(Exception):
+        pass
+
+    def seen(*_):
+        raise Seen(spark.conf.get(BATCH_SETTING, None))
+
+    monkeypatch.setattr(ngramjoin, "frequency_classes", seen)
+    monkeypatch.setattr(minhash, "sketches", seen)
+    for run in (ngramjoin.ngram_join, minhash.near_duplicates):
+        with pytest.raises(Seen, match=str(BATCH_BYTES)):
+            run(df)
+        assert spark.conf.get(BATCH_SETTING, None) is None
+    spark.conf.set(BATCH_SETTING, "1m")  # a lower setting stays
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(BATCH_SETTING) == "1m"
+        assert spark.conf.get(BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(BATCH_SETTING)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm import links
-from tidelane.llm.common import cut, join_frequent
+from tidelane.llm.common import cut, join_frequent, small_batches
 from tidelane.llm.links import BLOCK_SHINGLES
 from tidelane.llm.words import mix, shingle_sets
 
@@ -109,11 +109,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     stand alone. Rows with a repeated doc_id get a row each. A null doc_id is never
     linked: its component_id is null and it is kept.
     """
-    known = cut(sketches(docs, k, t, w))
-    reps = links.representatives(known)
-    lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    lead = cut(lead.where("n_shingles > 0").select("doc_id", "n_shingles", "left", "right"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = links.settle(lead, bucket_rows, texts, _sets(k), links.linked(percent), percent)
-    out = links.expanded(known, reps, found)
+    with small_batches(docs.sparkSession):
+        known = cut(sketches(docs, k, t, w))
+        reps = links.representatives(known)
+        lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+        lead = cut(lead.where("n_shingles > 0").select("doc_id", "n_shingles", "left", "right"))
+        found = links.settle(lead, bucket_rows, texts, _sets(k), links.linked(percent), percent)
+        out = links.expanded(known, reps, found)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm import links
-from tidelane.llm.common import cut
-from tidelane.llm.words import mix, shingle_sets, shingles, slices, words
+from tidelane.llm.common import cut, small_batches
+from tidelane.llm.words import SHINGLED_BYTES, mix, shingle_sets, shingles, slices, words
 
 #: Places of the frequency table, 16 MB of classes whatever the corpus has, and those in one row of a partial sum.
 PLACES, ROW_PLACES = 1 << 24, 1 << 12
 #: Shingles that a task counts at once.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
+#: Rows of a partial sum that a task hands on at once.
+HANDED = 256
 #: Tasks whose partial sums meet first.
 FAN_IN = 256
 #: Pivots of the suffix filter.
@@ -65,7 +67,7 @@ def _counting(k: int):
             held.clear()
 
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0), SHINGLED_BYTES):
                 h, _, bounds = words(data, offsets)
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     held.append((shingles(h[a:b], k) & np.uint64(PLACES - 1)).astype(np.int32))
@@ -76,10 +78,11 @@ def _counting(k: int):
         if held:
             count()
         rows = total.reshape(-1, ROW_PLACES)
-        at = np.flatnonzero(rows.any(axis=1))
         part = TaskContext.get().partitionId() // FAN_IN
-        cols = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array([_packed(rows[i]) for i in at], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["row", "part", "counts"])
+        for a in range(0, len(rows), HANDED):
+            at = a + np.flatnonzero(rows[a : a + HANDED].any(axis=1))
+            cols = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array([_packed(rows[i]) for i in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "part", "counts"])
 
     return run
 
@@ -242,10 +245,11 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rows give no rows.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = frequency_classes(ids, k)
-    known = cut(ids.mapInArrow(_sketcher(k, percent, classes), _SKETCH))
-    reps = links.representatives(known)
-    lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    lead = cut(lead.select("doc_id", "n_shingles", "prefix", "few"))
-    found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes), percent, lengths=True)
-    return links.expanded(known, reps, found)
+    with small_batches(docs.sparkSession):
+        classes = frequency_classes(ids, k)
+        known = cut(ids.mapInArrow(_sketcher(k, percent, classes), _SKETCH))
+        reps = links.representatives(known)
+        lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+        lead = cut(lead.select("doc_id", "n_shingles", "prefix", "few"))
+        found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes), percent, lengths=True)
+        return links.expanded(known, reps, found)

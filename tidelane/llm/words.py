@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text that one slice of a batch holds, unless one text alone is longer.
 SLICE_BYTES = 1 << 20
+#: The same where texts become shingles, whose arrays take some 60 times as much.
+SHINGLED_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,7 +100,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The set of each row of a string column, in order."""
-    for _, _, data, offsets in slices(column):
+    for _, _, data, offsets in slices(column, SHINGLED_BYTES):
         h, _, bounds = words(data, offsets)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield shingles(h[a:b], k)
