@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,6 +61,14 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_forests(False), "u long, v long")
 
 
+def written(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(u, v), u > v, written once: a forest of each task's edges, which connects what they connect; and its rows."""
+    ends = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u > v")
+    seen = Observation()
+    now = cut(_contracted(ends).observe(seen, F.count("*").alias("rows")))
+    return now, seen.get["rows"]
+
+
 def _star(edges: DataFrame, large: bool, hot_from: int) -> DataFrame:
     """Each node's neighbours (the larger ones, or itself and the smaller ones) linked to the least node that it sees.
 
@@ -90,20 +98,20 @@ def _round(edges: DataFrame) -> DataFrame:
     return seen.select(F.explode(F.array("n", "m")).alias("u"), F.col("low").alias("v")).where("u > v").distinct()
 
 
-def components(edges: DataFrame, hot: int = HOT, piece: int = PIECE_EDGES) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT, piece: int = PIECE_EDGES, rows: int | None = None) -> DataFrame:
     """(node, component): for each node of an edge (u, v), the least node that it reaches.
 
     Null ends and loops are dropped; no edges give no rows. Each task makes a forest of its edges, and a table of no more
     than `piece` edges is one task's. Of larger ones rounds, each written to the shared folder, go on until all
     edges are stars around least nodes; every round lowers some node's neighbour, and as many as the logarithm of the
     longest chain are usual. A node is hot from `hot` neighbours on, and from so many that no more than BROADCAST_ROWS
-    nodes are; without a hot node a round is one plan of three shuffles, as each costs the driver memory.
+    nodes are; without a hot node a round is one plan of three shuffles, as each costs the driver memory. rows: the
+    second result of `written`, of which edges are the first.
     """
     kind = edges.schema["u"].dataType
-    ends = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u > v")
-    now = cut(_contracted(ends))
+    now, rows = written(edges) if rows is None else (edges, rows)
     while True:
-        if now.count() <= piece:
+        if rows <= piece:
             out = now.coalesce(1).mapInArrow(_forests(True, max(HELD_EDGES, 4 * piece)), "u long, v long")
             return out.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("component"))
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
@@ -114,7 +122,7 @@ def components(edges: DataFrame, hot: int = HOT, piece: int = PIECE_EDGES) -> Da
             break
         hot_from = max(hot, 1 + 2 * count // BROADCAST_ROWS)
         # a node has no more smaller neighbours after a large-star step than it had before
-        now = cut(_contracted(_round(now) if most < hot_from else _star(cut(_star(now, True, hot_from)), False, hot_from)))
+        now, rows = written(_round(now) if most < hot_from else _star(cut(_star(now, True, hot_from)), False, hot_from))
     tops = now.select(F.col("v").alias("node")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import cut, join_frequent
-from tidelane.llm.components import components
+from tidelane.llm.common import BROADCAST_ROWS, cut, cut_with, join_frequent
+from tidelane.llm.components import components, written
 
 #: Shingles of one block of a group; a task holds two blocks.
 BLOCK_SHINGLES = 1 << 19
@@ -33,15 +33,20 @@ Compare = Callable[[list[np.ndarray], np.ndarray, np.ndarray, bool], list[tuple[
 Sets = Callable[[pa.ChunkedArray], Iterable[np.ndarray]]
 
 
+def totals(count: str) -> tuple[Column, Column]:
+    """Figures of a table for join_frequent: how many rows its keys have, all and at most."""
+    return F.coalesce(F.sum(count), F.lit(0)).alias("total"), F.coalesce(F.max(count), F.lit(0)).alias("most")
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """(u, v) from rows (key, doc_id, label): for each key with several labels, its other documents u and the least one, v.
 
     Minima are pre-aggregated; keys of very many rows are joined by broadcast, others by a shuffle.
     """
     low = rows.groupBy("key").agg(F.min("doc_id").alias("v"), F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
-    low = cut(low.where("a < b").select("key", "v", "n"))
-    total, most = low.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
-    return join_frequent(rows.select("key", F.col("doc_id").alias("u")), low, ["key"], "n", total, most).where("v < u").select("u", "v")
+    low, seen = cut_with(low.where("a < b").select("key", "v", "n"), *totals("n"))
+    near = join_frequent(rows.select("key", F.col("doc_id").alias("u")), low, ["key"], "n", seen["total"], seen["most"])
+    return near.where("v < u").select("u", "v")
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -131,11 +136,18 @@ def confirmed(texts: DataFrame, grouped: DataFrame, sets_of: Sets, compare: Comp
     all pairs meet once, in tasks of one block or two, so that none grows with a group. Texts are shuffled, not sets,
     which are larger and don't compress.
     """
-    big = grouped.groupBy("component").agg((F.sum("n_shingles") / F.lit(block)).cast("int").alias("more")).where("more > 0")
-    dealt = grouped.join(big, "component", "left").withColumn("blocks", F.coalesce(F.col("more"), F.lit(0)) + 1)
+    figures = F.count("*").alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")
+    grouped, seen = cut_with(grouped.select("doc_id", "n_shingles", "component", "label", "centre"), *figures)
+    if seen["shingles"] < block:
+        dealt = grouped.withColumn("blocks", F.lit(1))
+    else:
+        big = grouped.groupBy("component").agg((F.sum("n_shingles") / F.lit(block)).cast("int").alias("more")).where("more > 0")
+        if seen["shingles"] // block <= BROADCAST_ROWS:  # a big group has a block's shingles at least
+            big = F.broadcast(big)
+        dealt = grouped.join(big, "component", "left").withColumn("blocks", F.coalesce(F.col("more"), F.lit(0)) + 1)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int").alias("own")
-    dealt = cut(dealt.select("doc_id", "component", "label", "centre", "blocks", own))
-    near = F.broadcast(dealt) if dealt.limit(MEMBER_ROWS + 1).count() <= MEMBER_ROWS else dealt.hint("shuffle_hash")
+    dealt = dealt.select("doc_id", "component", "label", "centre", "blocks", own)
+    near = F.broadcast(dealt) if seen["rows"] <= MEMBER_ROWS else dealt.hint("shuffle_hash")
     rows = texts.join(near, "doc_id").select("text", "doc_id", "component", "label", "centre", "blocks", "own")
     # few bytes but much work: not left to the few tasks that a merged shuffle has
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -179,7 +191,7 @@ def stars_by_length(rows: DataFrame, percent: int) -> DataFrame:
 
 def settle(
     lead: DataFrame,
-    rows_of: Callable[[DataFrame], DataFrame],
+    rows_of: Callable[[DataFrame | None], DataFrame],
     texts: DataFrame,
     sets_of: Sets,
     compare: Compare,
@@ -189,45 +201,45 @@ def settle(
 ) -> DataFrame:
     """(node, component) of all documents that are linked with another one.
 
-    lead: (doc_id, n_shingles, ...); rows_of makes rows (key, doc_id, label, n_shingles) of it and a label. Linked
-    documents share a key. Those of one key and like length that the links with centres leave in different components
+    lead: (doc_id, n_shingles, ...); rows_of makes rows (key, doc_id, label, n_shingles) of the documents in labels
+    (doc_id, label), or without labels of all, each its own label. Linked documents share a key. Those of one key and like length that the links with centres leave in different components
     are held against each other. With lengths, keys are taken by length for the centres, too: for keys that are shared by
     documents of any length.
     """
     sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    rows = rows_of(lead.withColumn("label", F.col("doc_id")))
+    rows = rows_of(None)
     edges = cut(stars_by_length(rows, percent) if lengths else stars(rows))
     best = edges.groupBy(F.col("u").alias("doc_id")).agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("component"))
     centres = best.select(F.col("component").alias("doc_id"), "component").distinct()
     grouped = best.withColumn("centre", F.lit(False)).unionByName(centres.withColumn("centre", F.lit(True))).join(sizes, "doc_id")
-    first = cut(confirmed(texts, grouped.withColumn("label", F.col("doc_id")), sets_of, compare, block, star=True))
-    known = components(first)
+    first, linked_rows = written(confirmed(texts, grouped.withColumn("label", F.col("doc_id")), sets_of, compare, block, star=True))
+    known = components(first, rows=linked_rows)
     nodes = edges.select(F.col("u").alias("doc_id")).unionByName(edges.select(F.col("v").alias("doc_id"))).distinct()
     label = F.coalesce("component", "doc_id").alias("label")
-    labels = cut(nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label))
-    left = cut(stars_by_length(rows_of(lead.join(labels, "doc_id")), percent))
-    if left.isEmpty():
+    labels, seen = cut_with(nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label), F.count("*").alias("rows"))
+    left, left_rows = written(stars_by_length(rows_of(F.broadcast(labels) if seen["rows"] <= BROADCAST_ROWS else labels), percent))
+    if not left_rows:
         return known
-    groups = components(left.select("u", "v")).withColumnRenamed("node", "doc_id")
+    groups = components(left, rows=left_rows).withColumnRenamed("node", "doc_id")
     rest = groups.join(labels, "doc_id").join(sizes, "doc_id").withColumn("centre", F.lit(False))
     return components(first.unionByName(confirmed(texts, rest, sets_of, compare, block)))
 
 
-def expanded(known: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+def expanded(known: DataFrame, reps: DataFrame, seen: dict, found: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of known (doc_id, n_shingles, set_key).
 
-    reps: (set_key, doc_id, last, copies), the least and the greatest id of equal sets and their number; found: (node,
-    component) of linked representatives. Frequent copies meet their representative by broadcast.
+    reps: (set_key, doc_id, last, copies), the least and the greatest id of equal sets and their number; seen: how many
+    copies there are, `total` and of one set at `most`; found: (node, component) of linked representatives. Frequent copies meet their representative by broadcast.
     """
     shared = reps.where("last > doc_id").select("set_key", F.col("doc_id").alias("rep"), "copies")
     rows = known.select("doc_id", "n_shingles", "set_key")
-    total, most = reps.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).head()
-    copies = join_frequent(rows, shared, ["set_key"], "copies", total, most).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    copies = join_frequent(rows, shared, ["set_key"], "copies", seen["total"], seen["most"]).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = copies.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def representatives(known: DataFrame) -> DataFrame:
-    """(set_key, doc_id, last, copies): the least and greatest id of each set and how many rows have it; null ids and sets have none."""
+def representatives(known: DataFrame) -> tuple[DataFrame, dict]:
+    """(set_key, doc_id, last, copies): the least and greatest id of each set and how many rows have it; null ids and sets have none. With totals of copies."""
     some = known.where("doc_id is not null and set_key is not null")
-    return cut(some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("copies")))
+    sets = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("copies"))
+    return cut_with(sets, *totals("copies"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm import links
-from tidelane.llm.common import cut, join_frequent, small_batches
+from tidelane.llm.common import cut, cut_with, join_frequent, small_batches
 from tidelane.llm.links import BLOCK_SHINGLES
 from tidelane.llm.words import mix, shingle_sets
 
@@ -75,20 +75,19 @@ def sketches(docs: DataFrame, k: int, t: int = TABLES, w: int = WIDTH) -> DataFr
 
 
 def bucket_rows(lead: DataFrame) -> DataFrame:
-    """(key, doc_id, label, n_shingles) of lead (doc_id, label, n_shingles, left, right): a row for each table bucket that may hold others.
+    """(key, doc_id, n_shingles) of lead (doc_id, n_shingles, left, right): a row for each table bucket that may hold others.
 
     A document alone with a hash of the first collection shares no bucket of it: those hashes go before the second
     collection is unfolded.
     """
     firsts = lead.select("doc_id", F.posexplode("left").alias("i", "a")).select("doc_id", "i", F.xxhash64("i", "a").alias("key"))
     often = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("met", F.lit(True))
-    often = cut(often)
-    total, most = often.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
-    met = join_frequent(firsts, often, ["key"], "n", total, most).where("met")
+    often, seen = cut_with(often, *links.totals("n"))
+    met = join_frequent(firsts, often, ["key"], "n", seen["total"], seen["most"]).where("met")
     shared = met.groupBy("doc_id").agg(F.collect_set("i").alias("shared"))
-    pairs = lead.join(shared, "doc_id").select("doc_id", "label", "n_shingles", "right", "left", F.explode("shared").alias("i"))
-    pairs = pairs.select("doc_id", "label", "n_shingles", "i", F.get("left", F.col("i")).alias("a"), F.posexplode("right").alias("j", "b"))
-    return pairs.select(F.xxhash64("i", "j", "a", "b").alias("key"), "doc_id", "label", "n_shingles")
+    pairs = lead.join(shared, "doc_id").select("doc_id", "n_shingles", "right", "left", F.explode("shared").alias("i"))
+    pairs = pairs.select("doc_id", "n_shingles", "i", F.get("left", F.col("i")).alias("a"), F.posexplode("right").alias("j", "b"))
+    return pairs.select(F.xxhash64("i", "j", "a", "b").alias("key"), "doc_id", "n_shingles")
 
 
 def _sets(k: int) -> links.Sets:
@@ -112,9 +111,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = TAB
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession):
         known = cut(sketches(docs, k, t, w))
-        reps = links.representatives(known)
+        reps, copies = links.representatives(known)
         lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
         lead = cut(lead.where("n_shingles > 0").select("doc_id", "n_shingles", "left", "right"))
-        found = links.settle(lead, bucket_rows, texts, _sets(k), links.linked(percent), percent)
-        out = links.expanded(known, reps, found)
+        rows = cut(bucket_rows(lead))  # read four times
+
+        def rows_of(labels: DataFrame | None) -> DataFrame:
+            return rows.withColumn("label", F.col("doc_id")) if labels is None else rows.join(labels, "doc_id")
+
+        found = links.settle(lead, rows_of, texts, _sets(k), links.linked(percent), percent)
+        out = links.expanded(known, reps, copies, found)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -228,7 +228,8 @@ def joined(percent: int, classes: Broadcast) -> links.Compare:
     return compare
 
 
-def _prefix_rows(lead: DataFrame) -> DataFrame:
+def _prefix_rows(lead: DataFrame, labels: DataFrame | None) -> DataFrame:
+    lead = lead.withColumn("label", F.col("doc_id")) if labels is None else lead.join(labels, "doc_id")
     rows = lead.select(F.posexplode("prefix").alias("place", "key"), "doc_id", "label", "n_shingles", "few")
     return rows.select("key", "doc_id", "label", "n_shingles", (F.col("place") < F.col("few")).alias("few"))
 
@@ -248,8 +249,8 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     with small_batches(docs.sparkSession):
         classes = frequency_classes(ids, k)
         known = cut(ids.mapInArrow(_sketcher(k, percent, classes), _SKETCH))
-        reps = links.representatives(known)
+        reps, copies = links.representatives(known)
         lead = known.join(reps.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
         lead = cut(lead.select("doc_id", "n_shingles", "prefix", "few"))
-        found = links.settle(lead, _prefix_rows, ids, _sets(k, classes), joined(percent, classes), percent, lengths=True)
-        return links.expanded(known, reps, found)
+        found = links.settle(lead, lambda labels: _prefix_rows(lead, labels), ids, _sets(k, classes), joined(percent, classes), percent, lengths=True)
+        return links.expanded(known, reps, copies, found)
