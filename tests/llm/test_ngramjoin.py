@@ -209,3 +209,50 @@ def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
         assert spark.conf.get(BATCH_SETTING) == "1m"
     finally:
         spark.conf.unset(BATCH_SETTING)
+
+
+def chained(n=60, size=60):
+    """Texts that share a quarter of their words with the next one; none are linked."""
+    return [" ".join([*(f"a{i}x{j}" for j in range(20)), *(f"w{i}x{j}" for j in range(size)), *(f"a{i + 1}x{j}" for j in range(20))]) for i in range(n)]
+
+
+def test_ngrams_shared_by_chance_make_no_group(spark, monkeypatch):
+    """What a document shares with others by chance connects most of a large table; texts are not held against all of that."""
+    from tidelane.llm import ngramjoin
+
+    # as where a table is so large that its places count alike
+    monkeypatch.setattr(ngramjoin, "frequency_classes", lambda docs, k: docs.sparkSession.sparkContext.broadcast(np.zeros(PLACES, np.uint8)))
+    held, confirmed = [], links.confirmed
+
+    def seen(texts, grouped, *args, **kwargs):
+        held.append(grouped.count())
+        return confirmed(texts, grouped, *args, **kwargs)
+
+    monkeypatch.setattr(links, "confirmed", seen)
+    texts = dict(enumerate([*chained(), *edited(9, 30)]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(df).collect()}
+    assert got == brute_components(texts, 3, 90)
+    assert len(held) == 2 and held[1] <= 40, held  # of 30 near copies and 60 chained texts
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("paired", [2, 5, 64])
+def test_candidates_lose_no_link(spark, monkeypatch, few, paired):
+    """Linked sets are connected, whether keys are rare or not, by pairs or at a key's least document; repeated ids have several sets."""
+    monkeypatch.setattr(links, "PAIRED", paired)
+    rng = np.random.default_rng(paired)
+    sets = []
+    for size in (3, 8, 12, 40, 120):
+        base = rng.choice(10**6, size, replace=False)
+        for _ in range(12):  # some parts are left out, some added: sizes differ by up to a tenth
+            keep = base[rng.permutation(size)[: size - rng.integers(0, size // 10 + 1)]]
+            sets.append(np.union1d(keep, rng.integers(10**6, 2 * 10**6, rng.integers(0, size // 20 + 1))))
+    ids = [i % 50 for i in range(len(sets))]  # the last ten ids are those of other sets, too
+    rows = [(int(k), i, i, len(x), place) for i, x in zip(ids, sets, strict=True) for place, k in enumerate(x[: prefix_length(len(x), 90)])]
+    df = spark.createDataFrame(rows, "key long, doc_id long, label long, n_shingles long, place int").withColumn("few", F.lit(few) & (F.col("key") % 7 > 0))
+    edges = {(r.u, r.v) for r in links.candidates(df, 90).collect()}
+    root = groups(edges, 50)
+    want = {(ids[i], ids[j]) for i, j in brute_pairs(sets, 90)}
+    assert len(want) > 60 and all(root[i] == root[j] for i, j in want)
+    assert len(set(root)) >= 4  # repeated ids join the first and the last base, others stay apart

@@ -17,13 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelane.llm.common import BROADCAST_ROWS, cut, cut_with, join_frequent
+from tidelane.llm.common import BROADCAST_ROWS, cut, cut_with, join_frequent, lookup
 from tidelane.llm.components import components, written
 
 #: Shingles of one block of a group; a task holds two blocks.
 BLOCK_SHINGLES = 1 << 19
 #: Most ids of a group table that is broadcast to the texts, two numbers each.
 MEMBER_ROWS = 500_000
+#: Documents of one key and length up to which their pairs are listed.
+PAIRED = 64
+#: A document is held against a centre if it shares at least this part of the keys that a link asks for: of others that
+#: they share another document may be the least one.
+CENTRE_PART = 2
 
 #: compare(sets, labels, side, alone): pairs of places whose sets are linked, enough to connect all that are. Sets with
 #: equal labels are connected already, those of one side are not held against each other; alone: only place 0 against
@@ -189,6 +194,61 @@ def stars_by_length(rows: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("u", "v").agg(F.count("*").alias("shared"))
 
 
+def _least_shared(m: Column, n: Column, percent: int) -> tuple[Column, Column]:
+    """What sets of m and n elements share at least where they are linked: of all elements, and of their prefixes.
+
+    Prefixes are the first n - ceil(percent / 100 n) + 1 in one order. What is shared beyond the prefix that ends first
+    lies in the rest of that set, which is no longer than that of the longer set.
+    """
+    need = F.ceil(percent * (m + n) / F.lit(100 + percent))
+    return need, need - F.ceil(percent * F.greatest(m, n) / F.lit(100)) + 1
+
+
+def meeting(rows: DataFrame, percent: int) -> tuple[DataFrame, dict]:
+    """rows (key, doc_id, label, n_shingles, place, few) by key and length as in by_length, where several labels meet.
+
+    With `kind`, the row's own class of lengths, and `met`, how many rows are of its key and length; and how many rows
+    have a greater one than PAIRED, `hot`.
+    """
+    rows = rows.withColumn("kind", _kind(percent).cast("int"))
+    lengths = F.explode(F.array(F.col("kind"), F.col("kind") - 1))
+    w = Window.partitionBy("key", "length")
+    near = rows.where("few").drop("few").repartition("key").withColumn("length", lengths)
+    near = near.select("*", F.count("*").over(w).alias("met"), F.min("label").over(w).alias("a"), F.max("label").over(w).alias("b")).where("a < b").drop("a", "b")
+    far = rows.where("not few").drop("few").withColumn("length", lengths)
+    low = far.groupBy("key", "length").agg(F.count("*").alias("met"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    low, seen = cut_with(low.select("key", "length", "met", F.col("met").alias("n")), *totals("met"))
+    far = join_frequent(far, low, ["key", "length"], "n", seen["total"], seen["most"]).where("met is not null")
+    return cut_with(near.unionByName(far), F.count_if(F.col("met") > PAIRED).alias("hot"))
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that connect all documents of several labels that can be linked; rows as for meeting, keys in the places of a prefix.
+
+    Pairs of one key and length are listed, and of them those are left whose prefixes share as many keys as a link asks
+    for: far more than the one that documents share by chance, which in a large table nearly all do with some other. Keys of more
+    than PAIRED documents count as shared; those with nothing else in common meet at the key's least document.
+    """
+    met, seen = meeting(rows, percent)
+    ahead = Window.partitionBy("key", "length").orderBy("doc_id").rowsBetween(1, PAIRED)
+    others = F.collect_list(F.struct("doc_id", "label", "n_shingles", "place", "kind")).over(ahead)
+    pairs = met.where(F.col("met") <= PAIRED).withColumn("others", others).withColumn("other", F.explode("others"))
+    pairs = pairs.where("other.doc_id > doc_id and other.label <> label and least(other.kind, kind) = length")
+    pairs = pairs.groupBy(F.col("other.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("other.n_shingles").alias("m"), F.col("n_shingles").alias("n"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.min("other.place").alias("i"), F.min("place").alias("j"))
+    need, heads = _least_shared(F.col("m"), F.col("n"), percent)
+    can = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need
+    if not seen["hot"]:
+        return pairs.where((F.col("shared") >= heads) & can).select("u", "v")
+    hot = met.where(F.col("met") > PAIRED)
+    many = lookup(hot.groupBy("doc_id").agg(F.countDistinct("key").alias("many")))
+    for end in ("u", "v"):
+        pairs = pairs.join(many.select(F.col("doc_id").alias(end), F.col("many").alias(f"{end}_hot")), end, "left")
+    also = F.least(F.coalesce("u_hot", F.lit(0)), F.coalesce("v_hot", F.lit(0)))
+    some = pairs.where((F.col("shared") + also >= heads) & (can | (also > 0))).select("u", "v")
+    return some.unionByName(_met(hot.select(F.xxhash64("key", "length").alias("key"), "doc_id", "label")))
+
+
 def settle(
     lead: DataFrame,
     rows_of: Callable[[DataFrame | None], DataFrame],
@@ -204,20 +264,25 @@ def settle(
     lead: (doc_id, n_shingles, ...); rows_of makes rows (key, doc_id, label, n_shingles) of the documents in labels
     (doc_id, label), or without labels of all, each its own label. Linked documents share a key. Those of one key and like length that the links with centres leave in different components
     are held against each other. With lengths, keys are taken by length for the centres, too: for keys that are shared by
-    documents of any length.
+    documents of any length. Rows then have place and few, their keys are those of prefixes, and those are held against
+    each other that share enough of them (see candidates).
     """
     sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     rows = rows_of(None)
     edges = cut(stars_by_length(rows, percent) if lengths else stars(rows))
-    best = edges.groupBy(F.col("u").alias("doc_id")).agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("component"))
+    best = edges.groupBy(F.col("u").alias("doc_id")).agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("component"), F.max("shared").alias("shared"))
+    if lengths:  # not held against what it shares a key with by chance
+        near = best.join(sizes, "doc_id").join(sizes.select(F.col("doc_id").alias("component"), F.col("n_shingles").alias("n")), "component")
+        best = near.where(CENTRE_PART * F.col("shared") >= _least_shared(F.col("n_shingles"), F.col("n"), percent)[1]).select("doc_id", "component")
     centres = best.select(F.col("component").alias("doc_id"), "component").distinct()
-    grouped = best.withColumn("centre", F.lit(False)).unionByName(centres.withColumn("centre", F.lit(True))).join(sizes, "doc_id")
+    grouped = best.select("doc_id", "component", F.lit(False).alias("centre")).unionByName(centres.withColumn("centre", F.lit(True))).join(sizes, "doc_id")
     first, linked_rows = written(confirmed(texts, grouped.withColumn("label", F.col("doc_id")), sets_of, compare, block, star=True))
     known = components(first, rows=linked_rows)
     nodes = edges.select(F.col("u").alias("doc_id")).unionByName(edges.select(F.col("v").alias("doc_id"))).distinct()
     label = F.coalesce("component", "doc_id").alias("label")
     labels, seen = cut_with(nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label), F.count("*").alias("rows"))
-    left, left_rows = written(stars_by_length(rows_of(F.broadcast(labels) if seen["rows"] <= BROADCAST_ROWS else labels), percent))
+    rows = rows_of(F.broadcast(labels) if seen["rows"] <= BROADCAST_ROWS else labels)
+    left, left_rows = written(candidates(rows, percent) if lengths else stars_by_length(rows, percent))
     if not left_rows:
         return known
     groups = components(left, rows=left_rows).withColumnRenamed("node", "doc_id")

@@ -231,7 +231,7 @@ def joined(percent: int, classes: Broadcast) -> links.Compare:
 def _prefix_rows(lead: DataFrame, labels: DataFrame | None) -> DataFrame:
     lead = lead.withColumn("label", F.col("doc_id")) if labels is None else lead.join(labels, "doc_id")
     rows = lead.select(F.posexplode("prefix").alias("place", "key"), "doc_id", "label", "n_shingles", "few")
-    return rows.select("key", "doc_id", "label", "n_shingles", (F.col("place") < F.col("few")).alias("few"))
+    return rows.select("key", "doc_id", "label", "n_shingles", "place", (F.col("place") < F.col("few")).alias("few"))
 
 
 def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
