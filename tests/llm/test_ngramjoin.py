@@ -249,9 +249,10 @@ def test_candidates_lose_no_link(spark, monkeypatch, few, paired):
             keep = base[rng.permutation(size)[: size - rng.integers(0, size // 10 + 1)]]
             sets.append(np.union1d(keep, rng.integers(10**6, 2 * 10**6, rng.integers(0, size // 20 + 1))))
     ids = [i % 50 for i in range(len(sets))]  # the last ten ids are those of other sets, too
-    rows = [(int(k), i, i, len(x), place) for i, x in zip(ids, sets, strict=True) for place, k in enumerate(x[: prefix_length(len(x), 90)])]
-    df = spark.createDataFrame(rows, "key long, doc_id long, label long, n_shingles long, place int").withColumn("few", F.lit(few) & (F.col("key") % 7 > 0))
-    edges = {(r.u, r.v) for r in links.candidates(df, 90).collect()}
+    rows = [(int(k), i, len(x), place) for i, x in zip(ids, sets, strict=True) for place, k in enumerate(x[: prefix_length(len(x), 90)])]
+    df = spark.createDataFrame(rows, "key long, doc_id long, n_shingles long, place int").withColumn("few", F.lit(few) & (F.col("key") % 7 > 0))
+    met, seen = links.meeting(df, 90)
+    edges = {(r.u, r.v) for r in links.candidates(met.withColumn("label", F.col("doc_id")), 90, seen["hot"]).collect()}
     root = groups(edges, 50)
     want = {(ids[i], ids[j]) for i, j in brute_pairs(sets, 90)}
     assert len(want) > 60 and all(root[i] == root[j] for i, j in want)

@@ -205,48 +205,53 @@ def _least_shared(m: Column, n: Column, percent: int) -> tuple[Column, Column]:
 
 
 def meeting(rows: DataFrame, percent: int) -> tuple[DataFrame, dict]:
-    """rows (key, doc_id, label, n_shingles, place, few) by key and length as in by_length, where several labels meet.
+    """rows (key, doc_id, n_shingles, place, few) by key and length as in by_length, where several documents meet.
 
-    With `kind`, the row's own class of lengths, and `met`, how many rows are of its key and length; and how many rows
-    have a greater one than PAIRED, `hot`.
+    With `kind`, the row's own class of lengths, `met`, how many rows are of its key and length, and `least`, the least
+    document of those; and how many rows have a greater `met` than PAIRED, `hot`.
     """
-    rows = rows.withColumn("kind", _kind(percent).cast("int"))
+    rows = rows.select("key", "doc_id", F.col("n_shingles").cast("int").alias("n_shingles"), "place", "few").withColumn("kind", _kind(percent).cast("int"))
     lengths = F.explode(F.array(F.col("kind"), F.col("kind") - 1))
     w = Window.partitionBy("key", "length")
     near = rows.where("few").drop("few").repartition("key").withColumn("length", lengths)
-    near = near.select("*", F.count("*").over(w).alias("met"), F.min("label").over(w).alias("a"), F.max("label").over(w).alias("b")).where("a < b").drop("a", "b")
+    near = near.select("*", F.count("*").over(w).alias("met"), F.min("doc_id").over(w).alias("least"), F.max("doc_id").over(w).alias("last"))
     far = rows.where("not few").drop("few").withColumn("length", lengths)
-    low = far.groupBy("key", "length").agg(F.count("*").alias("met"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-    low, seen = cut_with(low.select("key", "length", "met", F.col("met").alias("n")), *totals("met"))
-    far = join_frequent(far, low, ["key", "length"], "n", seen["total"], seen["most"]).where("met is not null")
-    return cut_with(near.unionByName(far), F.count_if(F.col("met") > PAIRED).alias("hot"))
+    low = far.groupBy("key", "length").agg(F.count("*").alias("met"), F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    low, seen = cut_with(low.withColumn("n", F.col("met")), *totals("met"))
+    far = join_frequent(far, low, ["key", "length"], "n", seen["total"], seen["most"])
+    return cut_with(near.unionByName(far).where("least < last").drop("last"), F.count_if(F.col("met") > PAIRED).alias("hot"))
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) that connect all documents of several labels that can be linked; rows as for meeting, keys in the places of a prefix.
+def candidates(met: DataFrame, percent: int, hot: int) -> DataFrame:
+    """Edges (u, v) that connect all documents of several labels that can be linked; met: as meeting returns, with label, keys in the places of a prefix.
 
     Pairs of one key and length are listed, and of them those are left whose prefixes share as many keys as a link asks
     for: far more than the one that documents share by chance, which in a large table nearly all do with some other. Keys of more
     than PAIRED documents count as shared; those with nothing else in common meet at the key's least document.
     """
-    met, seen = meeting(rows, percent)
     ahead = Window.partitionBy("key", "length").orderBy("doc_id").rowsBetween(1, PAIRED)
     others = F.collect_list(F.struct("doc_id", "label", "n_shingles", "place", "kind")).over(ahead)
     pairs = met.where(F.col("met") <= PAIRED).withColumn("others", others).withColumn("other", F.explode("others"))
     pairs = pairs.where("other.doc_id > doc_id and other.label <> label and least(other.kind, kind) = length")
     pairs = pairs.groupBy(F.col("other.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("other.n_shingles").alias("m"), F.col("n_shingles").alias("n"))
     pairs = pairs.agg(F.count("*").alias("shared"), F.min("other.place").alias("i"), F.min("place").alias("j"))
-    need, heads = _least_shared(F.col("m"), F.col("n"), percent)
+    need, heads = _least_shared(F.col("m").cast("long"), F.col("n").cast("long"), percent)
     can = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need
-    if not seen["hot"]:
-        return pairs.where((F.col("shared") >= heads) & can).select("u", "v")
-    hot = met.where(F.col("met") > PAIRED)
-    many = lookup(hot.groupBy("doc_id").agg(F.countDistinct("key").alias("many")))
+    alone = pairs.where((F.col("shared") >= heads) & can).select("u", "v")
+    if not hot:
+        return alone
+    often = met.where(F.col("met") > PAIRED).select("key", "length", "doc_id", "label")
+    low = often.groupBy("key", "length").agg(F.min("doc_id").alias("v"), F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"))
+    low, seen = cut_with(low.where("a < b").select("key", "length", "v", "n"), *totals("n"))
+    if not seen["total"]:
+        return alone
+    often = join_frequent(often, low, ["key", "length"], "n", seen["total"], seen["most"]).where("v is not null")
+    many = lookup(often.groupBy("doc_id").agg(F.countDistinct("key").alias("many")))
     for end in ("u", "v"):
         pairs = pairs.join(many.select(F.col("doc_id").alias(end), F.col("many").alias(f"{end}_hot")), end, "left")
     also = F.least(F.coalesce("u_hot", F.lit(0)), F.coalesce("v_hot", F.lit(0)))
     some = pairs.where((F.col("shared") + also >= heads) & (can | (also > 0))).select("u", "v")
-    return some.unionByName(_met(hot.select(F.xxhash64("key", "length").alias("key"), "doc_id", "label")))
+    return some.unionByName(often.where("v < doc_id").select(F.col("doc_id").alias("u"), "v"))
 
 
 def settle(
@@ -269,7 +274,10 @@ def settle(
     """
     sizes = lead.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     rows = rows_of(None)
-    edges = cut(stars_by_length(rows, percent) if lengths else stars(rows))
+    if lengths:
+        met, figures = meeting(rows, percent)
+        edges = met.where("least < doc_id").groupBy(F.col("doc_id").alias("u"), F.col("least").alias("v")).agg(F.count("*").alias("shared"))
+    edges = cut(edges if lengths else stars(rows))
     best = edges.groupBy(F.col("u").alias("doc_id")).agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("component"), F.max("shared").alias("shared"))
     if lengths:  # not held against what it shares a key with by chance
         near = best.join(sizes, "doc_id").join(sizes.select(F.col("doc_id").alias("component"), F.col("n_shingles").alias("n")), "component")
@@ -281,8 +289,8 @@ def settle(
     nodes = edges.select(F.col("u").alias("doc_id")).unionByName(edges.select(F.col("v").alias("doc_id"))).distinct()
     label = F.coalesce("component", "doc_id").alias("label")
     labels, seen = cut_with(nodes.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", label), F.count("*").alias("rows"))
-    rows = rows_of(F.broadcast(labels) if seen["rows"] <= BROADCAST_ROWS else labels)
-    left, left_rows = written(candidates(rows, percent) if lengths else stars_by_length(rows, percent))
+    near = F.broadcast(labels) if seen["rows"] <= BROADCAST_ROWS else labels
+    left, left_rows = written(candidates(met.join(near, "doc_id"), percent, figures["hot"]) if lengths else stars_by_length(rows_of(near), percent))
     if not left_rows:
         return known
     groups = components(left, rows=left_rows).withColumnRenamed("node", "doc_id")
